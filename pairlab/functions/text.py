@@ -39,5 +39,5 @@ def base_id(c: Column | str) -> Column:
 
 def component(c: Column | str) -> Column:
     """A component label without outer blanks; null where it stands for 'missing'."""
-    t = F.trim(_c(c))
+    t = F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
     return F.when(~F.lower(t).isin("", "nan", "none", "null"), t)
