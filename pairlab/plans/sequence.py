@@ -53,3 +53,23 @@ def global_running(df: DataFrame, order: Sequence[Column | str], totals: dict[st
         else:
             out = out.withColumn(name, F.col(f"__b{i}") + F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))).over(within), F.lit(0)))
     return out.select(*df.columns, *totals)
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], totals: dict[str, str], split_groups: bool = False) -> DataFrame:
+    """``df`` with exclusive running totals in each group: ``totals`` maps an output name to a column.
+
+    A window for each group, which takes a group into one task: meant for rows aggregated beforehand
+    (one for each distinct score). Without groups, and with ``split_groups`` where a group is
+    larger than a task, totals come from range partitions over all groups, less the total before the group.
+    """
+    if by and not split_groups:
+        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for n, c in totals.items()])
+    names = {f"__t{i}": c for i, c in enumerate(totals.values())}
+    whole = cut(global_running(df, [*[F.col(b) for b in by], *order], names))
+    if not by:
+        return whole.withColumnsRenamed(dict(zip(names, totals)))
+    start = whole.groupBy(*by).agg(*[F.min(t).alias(f"{t}m") for t in names])
+    same = [whole[b].eqNullSafe(start[b]) for b in by]
+    joined = whole.join(start, same[0] if len(same) == 1 else [*same], "inner")
+    return joined.select(*[whole[c] for c in df.columns], *[(whole[t] - start[f"{t}m"]).alias(n) for t, n in zip(names, totals)])
