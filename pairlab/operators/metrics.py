@@ -69,7 +69,7 @@ def macro_roc_auc(df: DataFrame, by: Sequence[str], query: str, positive: Column
 def average_precision(df: DataFrame, by: Sequence[str], positive: Column, score: Column | str, weight: Column | str | None = None, split_groups: bool = False) -> DataFrame:
     """Average precision by steps: rows with the same score are one step. Null without positives."""
     scores = _by_score(df, by, positive, score, weight)
-    run = running(scores, by, [F.col("__s").desc()], {"__tp": "__p", "__fp": "__q"}, split_groups)
+    run = running(scores, by, [-F.col("__s")], {"__tp": "__p", "__fp": "__q"}, split_groups)
     tp, seen = F.col("__tp") + F.col("__p"), F.col("__tp") + F.col("__p") + F.col("__fp") + F.col("__q")
     agg = run.groupBy(*by).agg(F.sum(F.col("__p") * _div(tp * 1.0, seen)).alias("__a"), F.sum("__p").alias("__np"))
     return _named(agg, by, average_precision=_div(F.col("__a"), F.col("__np")))

@@ -15,9 +15,11 @@ from pyspark.sql import Window as W
 from .cut import cut
 
 _LOW = (1 << 33) - 1
+#: A column or its name, or one of these and "desc" (nulls last).
+Order = Column | str | tuple[Column | str, str]
 
 
-def global_sequence(df: DataFrame, order: Sequence[Column | str], name: str = "seq", partitions: int | None = None) -> DataFrame:
+def global_sequence(df: DataFrame, order: Sequence[Order], name: str = "seq", partitions: int | None = None) -> DataFrame:
     """``df`` with the 0-based position of each row in ``order`` (BIGINT, named ``name``).
 
     Nulls order as Spark orders them (first when ascending). An empty table stays
@@ -27,16 +29,19 @@ def global_sequence(df: DataFrame, order: Sequence[Column | str], name: str = "s
     return global_running(df, order, {name: None}, partitions)
 
 
-def global_running(df: DataFrame, order: Sequence[Column | str], totals: dict[str, str | None], partitions: int | None = None) -> DataFrame:
+def global_running(df: DataFrame, order: Sequence[Order], totals: dict[str, str | None], partitions: int | None = None) -> DataFrame:
     """``df`` with exclusive running totals in ``order``: ``totals`` maps an output name to a
     column to sum (null counts as 0), or to None for the row's position."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    down = [isinstance(c, tuple) for c in order]
+    by = [c[0] if isinstance(c, tuple) else c for c in order]
+    by = [F.col(c) if isinstance(c, str) else c for c in by]
     # Keys as plain columns: range bounds over expressions would be computed again for each row.
     keyed = df.select("*", *[c.alias(f"__o{i}") for i, c in enumerate(by)])
     keys = [f"__o{i}" for i in range(len(by))]
-    ranged = keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*keys)
+    sorts = [F.col(k).desc_nulls_last() if d else F.col(k).asc_nulls_first() for k, d in zip(keys, down)]
+    ranged = keyed.repartitionByRange(n, *sorts).sortWithinPartitions(*sorts).drop(*keys)
     ranged = cut(ranged.withColumn("__mid", F.monotonically_increasing_id()))
     part = F.shiftright("__mid", 33)
     sums = [F.sum(F.coalesce(F.col(c), F.lit(0)) if c else F.lit(1)).alias(f"__s{i}") for i, c in enumerate(totals.values())]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, scalars  # noqa: F401
+from . import aggregates, relational, scalars  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
