@@ -122,7 +122,6 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = classes.join(mixed, "fp", "left_semi").select("fp", "content", "d0", "d1", F.col("one.rec").alias("rec"), F.col("one.lo").alias("at"), F.col("one.n").alias("n"), F.col("one.off").alias("off"))
     pieces = some.join(source, "rec").select("fp", "content", "d0", "d1", "n", "off", F.expr(f"substring(text, cast(at as int) + 1, n + {span - 1})").alias("piece")).where(F.length("piece") >= span)
     windows = pieces.mapInArrow(_windows(span), f"fp long, content long, d0 {kind}, d1 {kind}, j int, h long")
-    windows = cut(windows)
     twice = windows.groupBy("fp", "h").agg(F.min("d0").alias("m0"), F.max("d1").alias("m1")).where("m0 < m1").select("fp", "h")
     # At most span - gram + 1 windows to a class.
     ends = windows.where("d0 = d1").join(twice, ["fp", "h"], "left_semi").groupBy("fp", "content").agg(F.collect_set("j").alias("js"))
