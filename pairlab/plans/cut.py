@@ -29,3 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder: later uses read that, and no executor's loss undoes it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for a table in the shared checkpoint folder, new for each call."""
+    import uuid
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

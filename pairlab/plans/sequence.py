@@ -74,7 +74,10 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], totals: d
     whole = cut(global_running(df, [*[F.col(b) for b in by], *order], names))
     if not by:
         return whole.withColumnsRenamed(dict(zip(names, totals)))
-    start = whole.groupBy(*by).agg(*[F.min(t).alias(f"{t}m") for t in names])
-    same = [whole[b].eqNullSafe(start[b]) for b in by]
-    joined = whole.join(start, same[0] if len(same) == 1 else [*same], "inner")
-    return joined.select(*[whole[c] for c in df.columns], *[(whole[t] - start[f"{t}m"]).alias(n) for t, n in zip(names, totals)])
+    keys = [F.col(b).alias(f"__g{i}") for i, b in enumerate(by)]
+    start = whole.groupBy(*keys).agg(*[F.min(t).alias(f"{t}m") for t in names])
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__g{i}"))
+    joined = whole.join(start, same)
+    return joined.select(*df.columns, *[(F.col(t) - F.col(f"{t}m")).alias(n) for t, n in zip(names, totals)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, composites, inference, lexical, relational, scalars  # noqa: F401
+from . import aggregates, composites, inference, io, lexical, relational, scalars, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

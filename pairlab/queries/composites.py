@@ -40,8 +40,8 @@ _POOL = """pool AS (SELECT t.claim_id, u.cand FROM tg t JOIN uni u ON len(list_i
     AND NOT coalesce(list_contains(u.components, t.target_component), false) AND NOT list_contains(t.target_refs, u.base)
     AND NOT EXISTS (SELECT 1 FROM prep p WHERE p.label <> 2 AND p.app = t.app AND p.doc = u.base) AND NOT EXISTS (SELECT 1 FROM prep p WHERE p.label <> 2 AND p.q = t.q AND p.doc = u.base) AND NOT EXISTS (SELECT 1 FROM prep p WHERE p.q = t.q AND p.passage = u.cpassage))"""
 _CHAIN = f"WITH {_DOCS}, {_PREP}, {_UNIVERSE}, {_TARGETS}, {_POOL}"
-_CHOSEN = """, sized AS (SELECT claim_id, count(*) AS pool_size FROM pool GROUP BY 1), pick AS (SELECT claim_id, pool_size, (('0x' || substr(sha256('42|test|' || app || '|' || q), 1, 16))::UBIGINT % pool_size)::BIGINT AS at FROM tg JOIN sized USING (claim_id)),
-    placed AS (SELECT claim_id, cand, row_number() OVER (PARTITION BY claim_id ORDER BY cand) - 1 AS n FROM pool), chosen AS (SELECT p.claim_id, cand, pool_size FROM placed p JOIN pick k ON p.claim_id = k.claim_id AND n = at)"""
+_CHOSEN = """, sized AS (SELECT claim_id, count(*) AS pool_size FROM pool GROUP BY 1), pick AS (SELECT claim_id, pool_size, (('0x' || substr(sha256('42|test|' || app || '|' || q), 1, 16))::UBIGINT % pool_size)::BIGINT AS place FROM tg JOIN sized USING (claim_id)),
+    placed AS (SELECT claim_id, cand, row_number() OVER (PARTITION BY claim_id ORDER BY cand) - 1 AS n FROM pool), chosen AS (SELECT p.claim_id, cand, pool_size FROM placed p JOIN pick k ON p.claim_id = k.claim_id AND n = place)"""
 
 
 def _built(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -178,7 +178,7 @@ def _stats(values: str) -> str:
     """Statistics of a relation of (relation, split, value)."""
     return f"""x AS (SELECT * FROM ({values}) WHERE value <> ''), n AS (SELECT relation, value, count(DISTINCT split) AS k, count(*) AS n, count(*) FILTER (split = 'train') AS tr, count(*) FILTER (split = 'test') AS te FROM x WHERE split IS NOT NULL GROUP BY ALL)
     SELECT relation, count(*) FILTER (k > 1) AS shared_values, coalesce(sum(n) FILTER (k > 1), 0)::BIGINT AS rows_affected, count(*) FILTER (tr > 0 AND te > 0) AS train_test_values,
-    coalesce(sum(tr + te) FILTER (tr > 0 AND te > 0), 0)::BIGINT AS train_test_rows, coalesce(sum(te) FILTER (tr > 0), 0)::BIGINT AS contaminated_rows, sum(te)::BIGINT AS test_rows, round(coalesce(sum(te) FILTER (tr > 0), 0) / nullif(sum(te), 0), 6) AS contamination FROM n GROUP BY relation"""
+    coalesce(sum(tr + te) FILTER (tr > 0 AND te > 0), 0)::BIGINT AS train_test_rows, coalesce(sum(te) FILTER (tr > 0), 0)::BIGINT AS contaminated_rows, sum(te)::BIGINT AS test_rows, round(coalesce(coalesce(sum(te) FILTER (tr > 0), 0) / nullif(sum(te), 0), 0), 6) AS contamination FROM n GROUP BY relation"""
 
 
 @query(f"WITH {_stats(_values(_PAIRS3, _REL))}")

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Quotes are doubled and blanks at the ends of a value are kept.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def load_splits(spark: SparkSession, folder: str, names: list[str], columns: list[str] | None = None) -> DataFrame:
     """The named splits as one table with a ``split`` column; only the given columns are read."""
     out = None
@@ -28,11 +32,11 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | list[s
     """A CSV file with a header and quoted line breaks; a list of names reads all columns as strings. Types are never guessed."""
     if isinstance(schema, list):
         schema = T.StructType([T.StructField(c, T.StringType()) for c in schema])
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.schema(schema).options(**_CSV, multiLine=True).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(**_CSV).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
