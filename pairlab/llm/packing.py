@@ -130,7 +130,9 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
 
     # Blocks hold about the same number of tokens, as every id is hashed; none grows with the data.
     blocked = rest.withColumn("block", F.pmod(F.xxhash64("rec", "piece"), F.lit(blocks)))
-    packed = blocked.groupBy("block").applyInPandas(pack_block, f"container_id string, rec {kind}, piece int, first_token long, n_tokens long, container_tokens long")
+    # The rows of a block are few bytes and much work, so their partitions aren't merged by size.
+    spread = blocked.repartition(min(blocks, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
+    packed = spread.groupBy("block").applyInPandas(pack_block, f"container_id string, rec {kind}, piece int, first_token long, n_tokens long, container_tokens long")
     return whole.unionByName(packed).withColumnRenamed("rec", id_col)
 
 
