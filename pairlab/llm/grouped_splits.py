@@ -24,9 +24,9 @@ def groups(df: DataFrame, id_col: str, keys: Sequence[Column], hops: int = 2, sm
     # An id that occurs once needs no node of its own; it hangs on its first key.
     several = rows.groupBy("row_id").agg(F.count("*").alias("c")).where("c > 1").select("row_id", F.lit(True).alias("again"))
     rows = cut(rows.join(several, "row_id", "left").withColumn("ks", F.when(F.col("again"), F.concat(F.array(F.concat(F.lit("r:"), "row_id")), "ks")).otherwise(F.col("ks"))).drop("again"))
-    edges = rows.where("size(ks) > 1").select(F.col("ks")[0].alias("u"), F.explode(F.slice("ks", 2, len(keys) + 1)).alias("v"))
+    edges = rows.where("size(ks) > 1").select(F.get("ks", F.lit(0)).alias("u"), F.explode(F.slice("ks", 2, len(keys) + 1)).alias("v"))
     found = components(edges, "u", "v", hops, small_graph)
-    first = rows.select("row_id", F.col("ks")[0].alias("node")).dropDuplicates(["row_id"])
+    first = rows.select("row_id", F.get("ks", F.lit(0)).alias("node")).dropDuplicates(["row_id"])
     named = first.join(found, "node", "left").select("row_id", F.coalesce("component", "node", F.concat(F.lit("r:"), "row_id")).alias("comp"))
     named = cut(named)
     sizes = named.groupBy("comp").agg(F.min("row_id").alias("group_row_id"), F.count("*").alias("group_size"))
