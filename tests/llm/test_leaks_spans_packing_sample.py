@@ -149,7 +149,7 @@ def test_pack(spark):
     assert (cut.n_tokens.iloc[:-1] == 256).all() and (cut.first_token == cut.piece * 256).all()
     again = pack(df.repartition(7), capacity=256, windows_per_block=16).toPandas()
     assert {tuple(x) for x in got.values} == {tuple(x) for x in again[got.columns].values}
-    assert pack_fill(df, capacity=256).first().fill > 0.93
+    assert pack_fill(df, capacity=1024).first().fill > 0.95
     assert pack(df.limit(0), capacity=256).count() == 0 and pack_fill(df.limit(0), capacity=256).first().containers == 0
 
 
