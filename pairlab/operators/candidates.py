@@ -16,7 +16,7 @@ from ..functions.collections import parse_codes, parse_references
 from ..functions.dates import choose_date, parse_date
 from ..functions.text import base_id, component, normalize_text
 from ..plans.cut import cut
-from .joins import last_values
+from .joins import last_values, salted
 from .ranking import first_appearance
 from .schema import resolve_ids
 
@@ -65,15 +65,20 @@ def pool(target: DataFrame, cands: DataFrame, prep: DataFrame) -> DataFrame:
     The join on shared codes carries the date and the other comparisons as residuals, so it gives eligible
     pairs only; citations are taken away by one anti join.
     """
-    t = target.where("known and size(target_codes) > 0 and target is not null").select("claim_id", "app", "hard_doc", "q", "passage", "target", "target_component", "target_refs", F.explode("target_codes").alias("code"))
-    c = cands.select("cand", "base", "cpassage", "pub", "components", F.explode("codes").alias("code"))
-    ok = (F.col("pub") < F.col("target")) & (F.col("base") != F.col("app")) & (F.col("base") != F.col("hard_doc")) & (F.col("cpassage") != F.col("passage")) & ~F.coalesce(F.array_contains("components", F.col("target_component")), F.lit(False)) & ~F.coalesce(F.array_contains("target_refs", F.col("base")), F.lit(False))
-    pairs = t.join(c, "code").where(ok).select("claim_id", "app", "q", "cand", "base", "cpassage").dropDuplicates(["claim_id", "cand"])
+    usable = target.where("known and size(target_codes) > 0 and target is not null")
+    t = usable.select("claim_id", "app", "hard_doc", F.md5("passage").alias("own"), "target", "target_component", "target_refs", "target_codes", F.explode("target_codes").alias("code"))
+    c = cands.select("cand", "base", F.md5("cpassage").alias("text_key"), "pub", "components", "codes", F.explode("codes").alias("ccode"))
+    t, c = salted(t, "code", F.col("claim_id"), c, "ccode")
+    ok = (F.col("pub") < F.col("target")) & (F.col("base") != F.col("app")) & (F.col("base") != F.col("hard_doc")) & (F.col("text_key") != F.col("own")) & ~F.coalesce(F.array_contains("components", F.col("target_component")), F.lit(False)) & ~F.coalesce(F.array_contains("target_refs", F.col("base")), F.lit(False))
+    # A pair that shares several codes comes out for the least of them only, so no shuffle has to make pairs distinct.
+    once = F.col("code") == F.array_min(F.array_intersect("codes", "target_codes"))
+    pairs = t.join(c, (F.col("code") == F.col("ccode")) & (F.col("__s") == F.col("__t"))).where(ok & once).select("claim_id", "cand", "base", "text_key")
     cited = prep.where("label <> 2")
-    by_app = cited.select("app", F.col("doc").alias("base")).distinct()
-    by_query = cited.select("q", F.col("doc").alias("base")).distinct()
-    used = prep.select("q", F.col("passage").alias("cpassage")).distinct()
-    left = pairs.join(by_app, ["app", "base"], "left_anti").join(by_query, ["q", "base"], "left_anti").join(used, ["q", "cpassage"], "left_anti")
+    named = usable.select("claim_id", "app", "q")
+    by_app = named.join(cited.select("app", F.col("doc").alias("base")).distinct(), "app").select("claim_id", "base")
+    by_query = named.join(cited.select("q", F.col("doc").alias("base")).distinct(), "q").select("claim_id", "base")
+    used = named.join(prep.select("q", F.md5("passage").alias("text_key")).distinct(), "q").select("claim_id", "text_key")
+    left = pairs.join(by_app.union(by_query).distinct(), ["claim_id", "base"], "left_anti").join(used.distinct(), ["claim_id", "text_key"], "left_anti")
     return left.select("claim_id", "cand")
 
 

@@ -57,17 +57,31 @@ def owners(df: DataFrame, query: str, wanted: Column) -> DataFrame:
     return df.join(df.where(wanted).select(query).distinct(), query, "left_semi")
 
 
-def sharing(left: DataFrame, left_id: str, left_set: str, right: DataFrame, right_id: str, right_set: str, residual: Column | None = None) -> DataFrame:
+def salted(left: DataFrame, left_key: str, spread: Column, right: DataFrame, right_key: str, salts: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join that makes many rows from few keys, partitioned by key and salt: ``__s`` and ``__t``.
+
+    The left side takes a salt from ``spread``, the right side is repeated for each. The number of partitions is
+    stated, so that they aren't merged for being small: the work lies in what they make."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = left.withColumn("__s", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).repartition(n, left_key, "__s")
+    b = right.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(n, right_key, "__t")
+    return a, b
+
+
+def sharing(left: DataFrame, left_id: str, left_set: str, right: DataFrame, right_id: str, right_set: str, residual: Column | None = None, unique_ids: bool = False) -> DataFrame:
     """Distinct pairs of ids whose sets have an element in common and that pass ``residual``.
 
-    Sets are exploded and joined on the element, with the residual inside the join; an element that
-    very many sets hold is split by AQE's skew handling. Null and empty sets share nothing.
+    Sets are exploded and joined on the element, with the residual inside the join; elements are
+    salted, as few of them may hold most sets. Null and empty sets share nothing. A pair comes
+    out for the least common element only; with ``unique_ids`` that makes pairs distinct without a shuffle.
     """
     # The other columns stay for the residual; names must differ between the sides.
     a = left.where(F.size(left_set) > 0).withColumn("__e", F.explode(F.array_distinct(left_set)))
     b = right.where(F.size(right_set) > 0).withColumn("__f", F.explode(F.array_distinct(right_set)))
-    on = F.col("__e") == F.col("__f")
-    return a.join(b, on if residual is None else on & residual).select(left_id, right_id).distinct()
+    a, b = salted(a, "__e", F.col(left_id), b, "__f")
+    on = (F.col("__e") == F.col("__f")) & (F.col("__s") == F.col("__t")) & (F.col("__e") == F.array_min(F.array_intersect(left_set, right_set)))
+    pairs = a.join(b, on if residual is None else on & residual).select(left_id, right_id)
+    return pairs if unique_ids else pairs.distinct()
 
 
 def excluding(pairs: DataFrame, relations: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

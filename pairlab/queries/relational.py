@@ -97,7 +97,7 @@ def j09_set_overlap_before_date(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that share a code with an application and were published strictly before its date (j10's residual)."""
     d = _documents(spark, folder)
     apps = _applications(spark, folder).join(d.select(F.col("base").alias("app"), F.col("codes").alias("own_codes")), "app")
-    pairs = joins.sharing(apps, "app", "own_codes", d, "base", "codes", F.col("pub") < F.col("target"))
+    pairs = joins.sharing(apps, "app", "own_codes", d, "base", "codes", F.col("pub") < F.col("target"), unique_ids=True)
     return pairs.groupBy("app").agg(F.count("*").alias("candidates"))
 
 
