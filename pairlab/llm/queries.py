@@ -76,7 +76,7 @@ def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     found = _overlaps(spark, folder).where("eval_id <> train_id")
-    return found.select("field", F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b"))
+    return found.select("field", F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
 
 
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
