@@ -155,7 +155,7 @@ def leaks(
     width: int = 13,
     mask_count: int = 4,
     max_substitutions: int = 1,
-    max_shared_words: int = 5_000_000,
+    max_shared_words: int = 500_000,
 ) -> DataFrame:
     """Documents that hold all or part of an item, with the items they hold.
 
@@ -166,8 +166,8 @@ def leaks(
     One row per item and document: ``item``, ``doc``, ``equal_words`` of the best window,
     ``window_words``, ``windows`` found, ``first_word`` and ``last_word`` of the document that
     they span (from 0). Null and empty texts take part in nothing, nor do rows with a null id;
-    repeated rows give one result. Items of more than ``max_shared_words`` words in all are
-    joined by shuffle instead of being sent to every worker.
+    repeated rows give one result. Items of more than ``max_shared_words`` words in all (about
+    100 bytes of seeds a word) are joined by shuffle instead of being sent to every worker.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).where("doc is not null and text <> ''")
