@@ -22,6 +22,10 @@ from .schema import resolve_ids
 
 _META = ("input_id", "base_id", "row_pos")
 
+#: The reasons for an empty pool, in the order in which they apply, and the names of the rules checked.
+REASONS = ("missing_target_metadata", "missing_target_cpc", "missing_target_date", "no_remaining_candidate")
+CHECKS = ("duplicate_queries", "duplicate_query_passage_pairs", "same_as_hard_u_passage", "same_as_hard_u_document", "existing_citation_or_reference", "time_violation", "cpc_violation", "same_component_violation")
+
 
 def metadata(meta: DataFrame) -> DataFrame:
     """``base``, ``pub``, ``codes``, ``refs`` of each document; the last of its rows counts."""
@@ -85,7 +89,8 @@ def pool(target: DataFrame, cands: DataFrame, prep: DataFrame) -> DataFrame:
 def failures(target: DataFrame, eligible: DataFrame) -> DataFrame:
     """``claim_id``, ``reason``: why a target has no pool, the first that applies; null where it has one."""
     some = eligible.select("claim_id").distinct().withColumn("has", F.lit(True))
-    reason = F.when(F.col("known").isNull(), "missing_target_metadata").when(F.size("target_codes") == 0, "missing_target_cpc").when(F.col("target").isNull(), "missing_target_date").when(F.col("has").isNull(), "no_remaining_candidate")
+    empty = (F.col("known").isNull(), F.size("target_codes") == 0, F.col("target").isNull(), F.col("has").isNull())
+    reason = F.coalesce(*[F.when(c, name) for c, name in zip(empty, REASONS)])
     return target.join(some, "claim_id", "left").select("claim_id", reason.alias("reason"))
 
 
@@ -112,17 +117,18 @@ def violations(random: DataFrame, target: DataFrame, prep: DataFrame, docs: Data
     cited_app = prep.where("label <> 2").select("app", F.col("doc").alias("candidate_base"), F.lit(True).alias("cited_app")).distinct()
     r = random.select("claim_id", "candidate_base", "text_b").join(t, "claim_id").join(d, "candidate_base", "left").join(comps, ["candidate_base", "text_b"], "left").join(cited, ["claim_id", "candidate_base"], "left").join(cited_app, ["app", "candidate_base"], "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    agg = r.agg(
-        (F.count("*") - F.countDistinct("q")).alias("duplicate_queries"),
-        (F.count("*") - F.countDistinct("q", "text_b")).alias("duplicate_query_passage_pairs"),
-        F.count_if(F.col("text_b") == F.col("passage")).alias("same_as_hard_u_passage"),
-        F.count_if(F.col("candidate_base") == F.col("hard_doc")).alias("same_as_hard_u_document"),
-        F.count_if(yes(F.col("cited")) | yes(F.col("cited_app")) | yes(F.array_contains("target_refs", F.col("candidate_base")))).alias("existing_citation_or_reference"),
-        F.count_if(~yes(F.col("pub") < F.col("target"))).alias("time_violation"),
-        F.count_if(~yes(F.arrays_overlap("codes", "target_codes"))).alias("cpc_violation"),
-        F.count_if(yes(F.array_contains("components", F.col("target_component")))).alias("same_component_violation"),
+    counts = (
+        F.count("*") - F.countDistinct("q"),
+        F.count("*") - F.countDistinct("q", "text_b"),
+        F.count_if(F.col("text_b") == F.col("passage")),
+        F.count_if(F.col("candidate_base") == F.col("hard_doc")),
+        F.count_if(yes(F.col("cited")) | yes(F.col("cited_app")) | yes(F.array_contains("target_refs", F.col("candidate_base")))),
+        F.count_if(~yes(F.col("pub") < F.col("target"))),
+        F.count_if(~yes(F.arrays_overlap("codes", "target_codes"))),
+        F.count_if(yes(F.array_contains("components", F.col("target_component")))),
     )
-    return agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("count")) for c in agg.columns])).alias("x")).select("x.check", "x.count")
+    agg = r.agg(*[c.alias(n) for n, c in zip(CHECKS, counts)])
+    return agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("count")) for c in CHECKS])).alias("x")).select("x.check", "x.count")
 
 
 def pool_summary(target: DataFrame, eligible: DataFrame) -> DataFrame:

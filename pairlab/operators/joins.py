@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..plans.cut import cut
+from ..plans.sequence import global_running
 from .schema import require_unique
 
 
@@ -84,6 +84,17 @@ def sharing(left: DataFrame, left_id: str, left_set: str, right: DataFrame, righ
     return pairs if unique_ids else pairs.distinct()
 
 
+def count_before(left: DataFrame, day: str, right: DataFrame, right_day: str, name: str) -> DataFrame:
+    """``left`` with ``name``: the number of right rows strictly before its ``day``; null without a day.
+
+    No pairs are compared: the rights' counts by day and the lefts' days are put in one order with running totals."""
+    days = left.select(F.col(day).alias("__d")).where("__d is not null").distinct()
+    n = right.groupBy(F.col(right_day).alias("__d")).agg(F.count("*").alias("__n")).where("__d is not null")
+    both = n.unionByName(days.select("__d", F.lit(0).cast("long").alias("__n"))).groupBy("__d").agg(F.sum("__n").alias("__n"))
+    run = global_running(both, ["__d"], {name: "__n"}).select(F.col("__d").alias(day), name)
+    return left.join(run, day, "left")
+
+
 def excluding(pairs: DataFrame, relations: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Pairs that are in none of the relations; one anti join, as the relations are put together first."""
     all_of = relations[0].select(*keys)
@@ -103,9 +114,10 @@ def bridged_flags(flags: DataFrame, keys: Sequence[str], flag: str) -> DataFrame
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key in ``order``; a null is a key like any other."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """The first row of each key in ``order``; a null is a key like any other. Combined map-side."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__v"))
+    return first.select(*[F.col(c) if c in keys else F.col("__v")[c].alias(c) for c in df.columns])
 
 
 def last_values(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: str) -> DataFrame:

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..plans.sequence import running
 
@@ -51,25 +50,26 @@ def _by_score(df: DataFrame, by: Sequence[str], positive: Column, score: Column
     return kept.groupBy(*by, s.alias("__s")).agg(F.sum(F.when(positive, w).otherwise(0)).alias("__p"), F.sum(F.when(positive, 0).otherwise(w)).alias("__q"))
 
 
-def roc_auc(df: DataFrame, by: Sequence[str], positive: Column, score: Column | str, weight: Column | str | None = None, name: str = "roc_auc", split_groups: bool = False) -> DataFrame:
+def roc_auc(df: DataFrame, by: Sequence[str], positive: Column, score: Column | str, weight: Column | str | None = None, name: str = "roc_auc") -> DataFrame:
     """Area under the ROC curve, ties half; null where a class is missing. ``weight``: a row's multiplicity."""
     scores = _by_score(df, by, positive, score, weight)
-    run = running(scores, by, [F.col("__s")], {"__below": "__q"}, split_groups)
+    run = running(scores, by, [F.col("__s")], {"__below": "__q"})
     agg = run.groupBy(*by).agg(F.sum(F.col("__p") * (F.col("__below") + 0.5 * F.col("__q"))).alias("__a"), F.sum("__p").alias("__np"), F.sum("__q").alias("__nq"))
     return _named(agg, by, **{name: _div(F.col("__a"), F.col("__np") * F.col("__nq"))})
 
 
 def macro_roc_auc(df: DataFrame, by: Sequence[str], query: str, positive: Column, score: Column | str, weight: Column | str | None = None) -> DataFrame:
     """ROC-AUC in which the positives of a query weigh 1 together, and each negative 1."""
-    counted = df.withColumn("__n", F.count(F.when(positive, 1)).over(W.partitionBy(*by, query)))
+    sizes = df.groupBy(*by, query).agg(F.count_if(positive).alias("__n"))
+    counted = df.join(sizes, [*by, query])
     share = F.when(positive, F.lit(1.0) / F.col("__n")).otherwise(1.0)
     return roc_auc(counted, by, positive, score, share if weight is None else share * _c(weight), "macro_roc_auc")
 
 
-def average_precision(df: DataFrame, by: Sequence[str], positive: Column, score: Column | str, weight: Column | str | None = None, split_groups: bool = False) -> DataFrame:
+def average_precision(df: DataFrame, by: Sequence[str], positive: Column, score: Column | str, weight: Column | str | None = None) -> DataFrame:
     """Average precision by steps: rows with the same score are one step. Null without positives."""
     scores = _by_score(df, by, positive, score, weight)
-    run = running(scores, by, [-F.col("__s")], {"__tp": "__p", "__fp": "__q"}, split_groups)
+    run = running(scores, by, [-F.col("__s")], {"__tp": "__p", "__fp": "__q"})
     tp, seen = F.col("__tp") + F.col("__p"), F.col("__tp") + F.col("__p") + F.col("__fp") + F.col("__q")
     agg = run.groupBy(*by).agg(F.sum(F.col("__p") * _div(tp * 1.0, seen)).alias("__a"), F.sum("__p").alias("__np"))
     return _named(agg, by, average_precision=_div(F.col("__a"), F.col("__np")))
@@ -77,9 +77,9 @@ def average_precision(df: DataFrame, by: Sequence[str], positive: Column, score:
 
 def average_precision_rowwise(df: DataFrame, by: Sequence[str], positive: Column, score: str, order: str) -> DataFrame:
     """Average precision row by row; rows with the same score come in ``order``. Null without positives."""
-    w = W.partitionBy(*by).orderBy(F.col(score).desc(), order)
-    ranked = df.where(F.col(score).isNotNull()).select(*by, positive.cast("int").alias("__y"), F.row_number().over(w).alias("__r"), F.sum(positive.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("__tp"))
-    agg = ranked.groupBy(*by).agg(F.sum(F.when(F.col("__y") == 1, F.col("__tp") / F.col("__r"))).alias("__a"), F.sum("__y").alias("__np"))
+    rows = df.where(F.col(score).isNotNull()).select(*by, positive.cast("int").alias("__y"), (-F.col(score)).alias("__s"), F.col(order).alias("__o"))
+    ranked = running(rows, by, ["__s", "__o"], {"__r": None, "__tp": "__y"})
+    agg = ranked.groupBy(*by).agg(F.sum(F.when(F.col("__y") == 1, (F.col("__tp") + 1) / (F.col("__r") + 1))).alias("__a"), F.sum("__y").alias("__np"))
     return _named(agg, by, average_precision_rowwise=_div(F.col("__a"), F.col("__np")))
 
 
@@ -104,18 +104,18 @@ def single_pairwise(df: DataFrame, by: Sequence[str], query: str, better: Column
 
 def reciprocal_rank_by_query(df: DataFrame, by: Sequence[str], query: str, relevant: Column, score: str, order: str) -> DataFrame:
     """``by``, ``query``, ``value``: 1 / rank of the first relevant row; equal scores come in ``order``."""
-    w = W.partitionBy(*by, query).orderBy(F.col(score).desc(), order)
-    ranked = df.where(F.col(score).isNotNull()).select(*by, query, relevant.alias("__y"), F.row_number().over(w).alias("__r"))
-    return ranked.where("__y").groupBy(*by, query).agg((F.lit(1.0) / F.min("__r")).alias("value"))
+    rows = df.where(F.col(score).isNotNull()).select(*by, query, relevant.alias("__y"), (-F.col(score)).alias("__s"), F.col(order).alias("__o"))
+    ranked = running(rows, [*by, query], ["__s", "__o"], {"__r": None})
+    return ranked.where("__y").groupBy(*by, query).agg((F.lit(1.0) / (F.min("__r") + 1)).alias("value"))
 
 
 def ndcg_by_query(df: DataFrame, by: Sequence[str], query: str, grade: Column, score: str, order: str) -> DataFrame:
     """``by``, ``query``, ``value``: NDCG with gain 2 ** grade - 1; equal scores come in ``order``. Queries without a gain are left out."""
     keys = [*by, query]
-    rows = df.where(F.col(score).isNotNull()).select(*keys, (F.pow(F.lit(2.0), grade) - 1).alias("__g"), F.col(score).alias("__s"), F.col(order).alias("__o"))
-    at = lambda *o: F.log2(F.row_number().over(W.partitionBy(*keys).orderBy(*o)) + 1.0)
-    parts = rows.select(*keys, (F.col("__g") / at(F.desc("__s"), "__o")).alias("__d"), (F.col("__g") / at(F.desc("__g"), "__o")).alias("__i"))
-    return parts.groupBy(*keys).agg(F.sum("__d").alias("__d"), F.sum("__i").alias("__i")).where("__i > 0").select(*keys, (F.col("__d") / F.col("__i")).alias("value"))
+    rows = df.where(F.col(score).isNotNull()).select(*keys, (F.pow(F.lit(2.0), grade) - 1).alias("__g"), (-F.col(score)).alias("__s"), F.col(order).alias("__o"))
+    given = running(rows, keys, ["__s", "__o"], {"__r": None}).groupBy(*keys).agg(F.sum(F.col("__g") / F.log2(F.col("__r") + 2.0)).alias("__d"))
+    ideal = running(rows.withColumn("__s", -F.col("__g")), keys, ["__s", "__o"], {"__r": None}).groupBy(*keys).agg(F.sum(F.col("__g") / F.log2(F.col("__r") + 2.0)).alias("__i"))
+    return given.join(ideal, keys).where("__i > 0").select(*keys, (F.col("__d") / F.col("__i")).alias("value"))
 
 
 def ndcg_linear_by_query(df: DataFrame, by: Sequence[str], query: str, grade: Column, score: str) -> DataFrame:
@@ -125,7 +125,7 @@ def ndcg_linear_by_query(df: DataFrame, by: Sequence[str], query: str, grade: Co
 
     def gain(value: Column) -> DataFrame:
         groups = rows.groupBy(*keys, value.alias("__v")).agg(F.avg("__g").alias("__m"), F.count("*").alias("__n"))
-        run = running(groups, keys, [F.desc("__v")], {"__before": "__n"})
+        run = running(groups, keys, [("__v", "desc")], {"__before": "__n"})
         places = F.sequence(F.col("__before") + 1, F.col("__before") + F.col("__n"))
         discount = F.aggregate(F.transform(places, lambda r: F.lit(1.0) / F.log2(r + 1.0)), F.lit(0.0), lambda a, x: a + x)
         return run.groupBy(*keys).agg(F.sum(F.col("__m") * discount).alias("__t"))
@@ -161,7 +161,7 @@ def ks_statistic(df: DataFrame, by: Sequence[str], first: Column, value: str) ->
     totals = rows.groupBy(*by).agg(
         F.count_if(first).alias("__np"), F.count_if(~first).alias("__nq"), F.avg(F.when(first, v)).alias("__mp"), F.avg(F.when(~first, v)).alias("__mq"), F.var_samp(F.when(first, v)).alias("__vp"), F.var_samp(F.when(~first, v)).alias("__vq")
     )
-    joined = run.crossJoin(totals) if not by else run.join(totals, list(by))
+    joined = run.crossJoin(F.broadcast(totals)) if not by else run.join(totals, list(by))
     gap = F.abs(_div((F.col("__cp") + F.col("__p")) * 1.0, F.col("__np")) - _div((F.col("__cq") + F.col("__q")) * 1.0, F.col("__nq")))
     agg = joined.groupBy(*by).agg(F.max(gap).alias("__ks"), *[F.first(c).alias(c) for c in ("__mp", "__mq", "__vp", "__vq")])
     return _named(agg, by, ks=F.col("__ks"), smd=_div(F.col("__mp") - F.col("__mq"), F.sqrt((F.col("__vp") + F.col("__vq")) / 2)))

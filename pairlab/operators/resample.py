@@ -7,10 +7,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.hashing import hex_number
-from ..plans.sequence import global_sequence
+from ..plans.sequence import global_sequence, running
 
 
 def numbered_queries(df: DataFrame, query: str, within: str | None = None) -> DataFrame:
@@ -19,7 +18,7 @@ def numbered_queries(df: DataFrame, query: str, within: str | None = None) -> Da
         q = df.select(query).where(F.col(query).isNotNull()).distinct()
         return global_sequence(q, [query], "i").crossJoin(F.broadcast(q.agg(F.count("*").alias("n"))))
     q = df.select(within, query).where(F.col(query).isNotNull()).distinct()
-    return q.withColumn("i", F.row_number().over(W.partitionBy(within).orderBy(query)) - 1).withColumn("n", F.count("*").over(W.partitionBy(within)))
+    return running(q, [within], [query], {"i": None}).join(q.groupBy(within).agg(F.count("*").alias("n")), within)
 
 
 def weights(queries: DataFrame, query: str, replicates: int, seed: int, within: str | None = None) -> DataFrame:

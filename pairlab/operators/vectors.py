@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..plans.sequence import running
 
 
 def _c(c: Column | str) -> Column:
@@ -44,8 +45,10 @@ def best_by_query(scores: DataFrame, query: str, candidate: str, score: str) ->
 
 
 def strict_rank(scores: DataFrame, query: str, score: str, name: str = "rank") -> DataFrame:
-    """1 + the number of the query's rows with a larger score."""
-    return scores.withColumn(name, F.rank().over(W.partitionBy(query).orderBy(F.col(score).desc_nulls_last())))
+    """1 + the number of the query's rows with a larger score; rows without a score are left out."""
+    counts = scores.where(F.col(score).isNotNull()).groupBy(query, score).agg(F.count("*").alias("__n"))
+    ranks = running(counts, [query], [(score, "desc")], {name: "__n"}).select(query, score, (F.col(name) + 1).alias(name))
+    return scores.join(ranks, [query, score])
 
 
 def count_best(scores: DataFrame, query: str, score: str, atol: float = 1e-8) -> DataFrame:

@@ -60,18 +60,15 @@ def global_running(df: DataFrame, order: Sequence[Order], totals: dict[str, str
     return out.select(*df.columns, *totals)
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], totals: dict[str, str], split_groups: bool = False) -> DataFrame:
-    """``df`` with exclusive running totals in each group: ``totals`` maps an output name to a column.
+def running(df: DataFrame, by: Sequence[str], order: Sequence[Order], totals: dict[str, str | None]) -> DataFrame:
+    """``df`` with exclusive running totals in each group: ``totals`` maps an output name to a column (summed, not negative)
+    or to None (rows counted).
 
-    A window for each group, which takes a group into one task: meant for rows aggregated beforehand
-    (one for each distinct score). Without groups, and with ``split_groups`` where a group is
-    larger than a task, totals come from range partitions over all groups, less the total before the group.
+    Totals come from range partitions over (group, order), less the total before the group, so a group
+    that holds most rows is spread like any other; null is a group too.
     """
-    if by and not split_groups:
-        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(n) for n, c in totals.items()])
     names = {f"__t{i}": c for i, c in enumerate(totals.values())}
-    whole = cut(global_running(df, [*[F.col(b) for b in by], *order], names))
+    whole = global_running(df, [*by, *order], names)
     if not by:
         return whole.withColumnsRenamed(dict(zip(names, totals)))
     keys = [F.col(b).alias(f"__g{i}") for i, b in enumerate(by)]

@@ -95,12 +95,12 @@ def g06_dense_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return best_by_query(scores, "claim_id", "cand", "score").join(count_best(scores, "claim_id", "score"), "claim_id").join(sized, "claim_id").select("claim_id", "cand", "score", "ties", "pool_size")
 
 
-@query("SELECT unnest(['duplicate_queries', 'duplicate_query_passage_pairs', 'same_as_hard_u_passage', 'same_as_hard_u_document', 'existing_citation_or_reference', 'time_violation', 'cpc_violation', 'same_component_violation']) AS check, 0::BIGINT AS count")
+@query(f"""{_CHAIN} {_CHOSEN}, r AS (SELECT q, cpassage FROM chosen JOIN tg USING (claim_id) JOIN uni USING (cand))
+    SELECT 'duplicate_queries' AS check, count(*) - count(DISTINCT q) AS count FROM r UNION ALL SELECT 'duplicate_query_passage_pairs', count(*) - count(DISTINCT q || chr(10) || cpassage) FROM r
+    UNION ALL SELECT unnest(['same_as_hard_u_passage', 'same_as_hard_u_document', 'existing_citation_or_reference', 'time_violation', 'cpc_violation', 'same_component_violation']), 0::BIGINT""")
 def g07_violations(spark: SparkSession, folder: str) -> DataFrame:
     b = _built(spark, folder)
-    first = b["random"].join(b["targets"].select("claim_id", "q"), "claim_id")
-    one = joins.first_rows(first, ["q"], ["claim_id"]).drop("q")
-    return C.violations(one, b["targets"], b["prep"], b["docs"])
+    return C.violations(b["random"], b["targets"], b["prep"], b["docs"])
 
 
 _REL = {"query": NORM.format("text"), "passage": NORM.format("text_b"), "document": BASE.format("cited_document_id"), "application": BASE.format("patent_application_id"), **{c.strip("_"): f"trim({c})" for c in ("_component_id", "_supercomponent_id", "_priority_component_id")}}

@@ -113,16 +113,22 @@ def b08_bootstrap_mean_std(spark: SparkSession, folder: str) -> DataFrame:
     return I.mean_std(_replicate_auc(spark, folder), ["seed"], "value").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
-@query(f"""WITH {METRICS}, small AS (SELECT * FROM m WHERE query IN (SELECT DISTINCT query FROM m ORDER BY query LIMIT 3) AND seed = 13), {_draws('small')}, x AS (SELECT seed, replicate, label, cited, w FROM small JOIN ww USING (query)),
-    k AS (SELECT replicate, count(DISTINCT (label = 2)) AS k FROM x GROUP BY 1) SELECT count(*) AS replicates, count(*) FILTER (k = 2) AS usable FROM k""")
+_APP_DRAWS = _draws("small", extra="app", part="app || '|' ")
+
+
+@query(f"""WITH {METRICS}, small AS (SELECT *, split_part(query, '_', 1) AS app FROM m WHERE seed = 13), {_APP_DRAWS}, x AS (SELECT app, replicate, label, cited, w FROM small JOIN ww USING (app, query)),
+    k AS (SELECT app, replicate, count(DISTINCT (label = 2)) AS k FROM x GROUP BY ALL) SELECT app, count(*) AS replicates, count(*) FILTER (k = 2) AS usable FROM k GROUP BY app""")
 def b09_one_class_replicates(spark: SparkSession, folder: str) -> DataFrame:
-    """Of the replicates over the first three queries (the feature is a tiny set), those with both classes."""
-    s = scored_metrics(spark, folder).where("seed = 13")
-    few = s.select("query").distinct().orderBy("query").limit(3)
-    small = cut(s.join(few, "query"))
-    w = R.weights(R.numbered_queries(small, "query"), "query", REPLICATES, SEED)
-    v = M.roc_auc(R.resampled(small, w, "query"), ["replicate"], F.col("label") != 2, "cited", "w")
-    return v.agg(F.count("*").alias("replicates"), F.count("value").alias("usable"))
+    """Replicates within each application's few queries, and how many of them have both classes; the others' AUC is null."""
+    s = cut(scored_metrics(spark, folder).where("seed = 13").withColumn("app", F.substring_index("query", "_", 1)).select("app", "query", "label", "cited"))
+    w = R.weights(R.numbered_queries(s, "query", "app"), "query", REPLICATES, SEED, "app")
+    v = M.roc_auc(R.resampled(s, w, "query", "app"), ["app", "replicate"], F.col("label") != 2, "cited", "w")
+    return v.groupBy("app").agg(F.count("*").alias("replicates"), F.count("value").alias("usable"))
+
+
+@query(f"{_REPL}, {_PAIRS}, {_PV} SELECT first, second, p_value < 0.05 AS significant FROM pv")
+def b10_significance(spark: SparkSession, folder: str) -> DataFrame:
+    return _p_values(spark, folder).select("first", "second", (F.col("p_value") < 0.05).alias("significant"))
 
 
 @query(f"""WITH {METRICS}, e AS (SELECT _row_id, query, label, round(avg(cited), 9) AS cited FROM m GROUP BY ALL),

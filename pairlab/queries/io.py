@@ -101,3 +101,43 @@ def s16_cached_scores(spark: SparkSession, folder: str) -> DataFrame:
 def s18_file_hashes(spark: SparkSession, folder: str) -> DataFrame:
     paths = glob.glob(f"{folder}/nation.parquet*")
     return S.file_hashes(spark, paths[0]).select(F.substring_index("path", "/", -1).alias("name"), "bytes", "sha256")
+
+
+@query("SELECT 'nation.parquet' AS name")
+def s07_unique_file(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.createDataFrame([(os.path.basename(S.find_file(folder, "nation")),)], "name string")
+
+
+@query("SELECT label::VARCHAR AS label, count(*)::VARCHAR AS rows FROM test GROUP BY label")
+def s12_csv_sink(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "csv")
+    S.write_csv(table(spark, folder, "test").groupBy("label").agg(F.count("*").alias("rows")), path)
+    return S.read_csv(spark, path, ["label", "rows"])
+
+
+@query(f"WITH {METRICS} SELECT seed AS replicate, 'accuracy' AS metric, round(avg((label = predicted)::INT), 6) AS value FROM m GROUP BY seed")
+def s14_array_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Arrays of replicates as a long Parquet table (replicate, metric, value)."""
+    from ..operators.metrics import accuracy_f1
+
+    path = scratch(spark, "replicates")
+    v = accuracy_f1(scored_metrics(spark, folder), ["seed"], "label", "predicted").where("metric = 'accuracy'")
+    S.write_parquet(v.select(F.col("seed").alias("replicate"), "metric", F.round("value", 6).alias("value")), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT count(*) AS rows FROM validation")
+def s15_atomic_write(spark: SparkSession, folder: str) -> DataFrame:
+    """A table that replaces an older one at the same path, whole."""
+    path = scratch(spark, "atomic")
+    S.write_parquet(spark.range(3), path)
+    S.write_parquet(table(spark, folder, "validation").select("_row_id"), path)
+    return spark.read.parquet(path).agg(F.count("*").alias("rows"))
+
+
+@query("SELECT label, count(*) AS rows FROM validation GROUP BY label")
+def s17_resume(spark: SparkSession, folder: str) -> DataFrame:
+    """A step whose output is there whole is skipped: the second call's maker would fail."""
+    path = scratch(spark, "resume")
+    S.cached(lambda: table(spark, folder, "validation").groupBy("label").agg(F.count("*").alias("rows")), spark, path)
+    return S.cached(lambda: 1 / 0, spark, path)

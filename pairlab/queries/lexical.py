@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hashing as H
+from ..functions import probs as P
 from ..functions import text as T
 from ..operators import adapters, joins, vectors
 from ..operators import lexical as X
-from .fragments import NORM, TOKENS
+from .fixtures import SCORED, scored
+from .fragments import TOKENS, UNIFORM
 from .registry import columns, query, table
 
+_YES, _NO = (f"({UNIFORM.format(f'_row_id || {chr(39)}|13|{k}{chr(39)}')} * 4.0::DOUBLE - 2.0::DOUBLE)" for k in (0, 1))
 _BIGRAMS = "list_concat({0}, list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
 
 columns("t01_tokens", "test", "_row_id", {"tokens": (lambda: T.tokens("text_b"), TOKENS.format("text_b"))})
@@ -91,6 +95,27 @@ def t10_pair_scorer(spark: SparkSession, folder: str) -> DataFrame:
     return adapters.score_pairs(table(spark, folder, "test"), "_row_id", "text", "text_b", adapters.overlap_model).withColumn("score", F.round("score", 6))
 
 
+@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS pooled FROM e")
+def t11_unit_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Pooled vectors (a model's first-token states) brought to unit length."""
+    return table(spark, folder, "embeddings").select("vec_id", F.transform(vectors.unit("embedding"), lambda x: F.round(x, 6)).alias("pooled"))
+
+
+@query(f"SELECT _row_id, round(exp({_YES}) / (exp({_YES}) + exp({_NO})), 6) AS p_yes FROM test")
+def t12_yes_no(spark: SparkSession, folder: str) -> DataFrame:
+    """The probability of 'yes' from the next-token logits of 'yes' and 'no' (fixture logits)."""
+    yes, no = (H.uniform("_row_id", F.lit(13), F.lit(k)) * 4.0 - 2.0 for k in (0, 1))
+    return table(spark, folder, "test").select("_row_id", F.round(P.softmax([yes, no])[0], 6).alias("p_yes"))
+
+
+@query(f"WITH {SCORED} SELECT _row_id, round(avg(p_a / (p_a + p_x + p_u)), 6) AS p_a, round(avg(p_x / (p_a + p_x + p_u)), 6) AS p_x, round(avg(p_u / (p_a + p_x + p_u)), 6) AS p_u FROM scored WHERE p_a + p_x + p_u > 0 GROUP BY 1")
+def t13_verbalizers(spark: SparkSession, folder: str) -> DataFrame:
+    """Class probabilities from the label words' scores under three prompts (the seeds, here), averaged."""
+    s = scored(spark, folder).where("p_a + p_x + p_u > 0")
+    p = P.renormalized(["p_a", "p_x", "p_u"])
+    return s.groupBy("_row_id").agg(*[F.round(F.avg(c), 6).alias(n) for c, n in zip(p, ("p_a", "p_x", "p_u"))])
+
+
 @query()
 def t14_supervised(spark: SparkSession, folder: str) -> DataFrame:
     """A cited-or-not classifier trained on all train rows' lexical features, scored on test."""
@@ -99,6 +124,24 @@ def t14_supervised(spark: SparkSession, folder: str) -> DataFrame:
     return adapters.train_and_score(make("train"), make("test"), names, "y", "_row_id").withColumn("score", F.round("score", 4))
 
 
+@query()
+def t15_controlled_training(spark: SparkSession, folder: str) -> DataFrame:
+    """Two training conditions on the same cited rows, hard uncited rows alone or with random ones, and mean scores by kind of test row.
+
+    A linear model on lexical features stands in for the fine-tuned ones."""
+    make = lambda df: df.select("_row_id", (F.col("label") != 2).cast("double").alias("y"), *[c.alias(n) for n, c in X.pair_features("text", "text_b").items()])
+    names = list(X.pair_features("text", "text_b"))
+    cols = ["_row_id", "label", "text", "text_b"]
+    train, random = table(spark, folder, "train").select(cols), table(spark, folder, "generate_random_u").select(cols)
+    test = make(table(spark, folder, "test").select(cols))
+    out = None
+    for condition, rows in (("hard_only", train), ("mixed", train.unionByName(random))):
+        scores = adapters.train_and_score(make(rows), test, names, "y", "_row_id").join(test.select("_row_id", "y"), "_row_id")
+        one = scores.groupBy("y").agg(F.round(F.avg("score"), 3).alias("mean_score")).select(F.lit(condition).alias("condition"), F.col("y").cast("int").alias("cited"), "mean_score")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _A, _B = (f"list_distinct({TOKENS.format(c)})" for c in ("text", "text_b"))
 _NA, _NB = (f"len({TOKENS.format(c)})" for c in ("text", "text_b"))
 _BOTH = f"len(list_intersect({_A}, {_B}))"

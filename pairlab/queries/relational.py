@@ -9,8 +9,9 @@ from ..functions import hashing as H
 from ..functions.collections import parse_codes
 from ..functions.dates import parse_date
 from ..functions.text import base_id, normalize_text
-from ..operators import audits, joins, ranking, vectors
+from ..operators import audits, joins, ranking, resample, vectors
 from ..operators.inference import holm
+from ..plans.sequence import global_sequence, running
 from ..sources.tables import load_splits
 from .fixtures import ENSEMBLE, METRICS, ensemble, scored_metrics
 from .fragments import BASE, CODES, DATE, NORM
@@ -101,28 +102,25 @@ def j09_set_overlap_before_date(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy("app").agg(F.count("*").alias("candidates"))
 
 
-@query(f"WITH {_META}, {_QUERIES} SELECT app, base, pub, target FROM q2 JOIN dd ON substr(base, 3, 4) = substr(app, 3, 4) AND pub < target")
+@query(f"WITH {_META}, {_QUERIES} SELECT app, target, (SELECT count(*) FROM dd WHERE pub < target) AS earlier FROM q2")
 def j10_strictly_before(spark: SparkSession, folder: str) -> DataFrame:
-    near = F.substring("base", 3, 4) == F.substring("app", 3, 4)
-    return _applications(spark, folder).join(_documents(spark, folder), near & (F.col("pub") < F.col("target"))).select("app", "base", "pub", "target")
+    """How many documents were published strictly before each application's date: a range join as running counts."""
+    return joins.count_before(_applications(spark, folder), "target", _documents(spark, folder), "pub", "earlier")
 
 
-@query(f"""WITH q AS (SELECT DISTINCT claim_id, {BASE.format('patent_application_id')} AS app FROM test WHERE label = 2),
-    c AS (SELECT DISTINCT claim_id, {BASE.format('cited_document_id')} AS base FROM test WHERE label <> 2), a AS (SELECT DISTINCT {BASE.format('patent_application_id')} AS app, {BASE.format('cited_document_id')} AS base FROM test WHERE label <> 2),
-    all_c AS (SELECT DISTINCT q.claim_id, u.base FROM q, (SELECT DISTINCT _u_candidate_base AS base FROM test WHERE label = 2 AND length(_u_candidate_base) % 2 = 0) u WHERE substr(u.base, 3, 3) = substr(q.app, 3, 3)),
-    ex AS (SELECT claim_id, base FROM c UNION SELECT q.claim_id, a.base FROM q JOIN a USING (app))
-    SELECT claim_id, base FROM all_c WHERE (claim_id, base) NOT IN (SELECT claim_id, base FROM ex)""")
+_SHARED = f"""u AS (SELECT app, target, unnest(codes) AS code FROM q2 JOIN dd ON base = app), c AS (SELECT DISTINCT base, pub, unnest(codes) AS code FROM dd), sh AS (SELECT DISTINCT app, base FROM u JOIN c USING (code) WHERE pub < target)"""
+
+
+@query(f"""WITH {_META}, {_QUERIES}, {_SHARED}, cited AS (SELECT {BASE.format('patent_application_id')} AS app, {BASE.format('cited_document_id')} AS base FROM test WHERE label <> 2 UNION SELECT {BASE.format('patent_application_id')}, _u_candidate_base FROM test WHERE label = 2)
+    SELECT app, count(*) AS candidates FROM sh WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE c.app = sh.app AND c.base = sh.base) GROUP BY app""")
 def j11_exclusion_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs that neither the query nor its application cites."""
-    t = table(spark, folder, "test")
-    keyed = t.select("claim_id", "label", F.coalesce(base_id("patent_application_id"), F.lit("")).alias("app"), F.coalesce(base_id("cited_document_id"), F.lit("")).alias("doc"), F.col("_u_candidate_base").alias("u"))
-    q = keyed.where("label = 2").select("claim_id", "app").distinct()
-    u = keyed.where("label = 2 and length(u) % 2 = 0").select(F.col("u").alias("base")).distinct()
-    near = q.withColumn("k", F.substring("app", 3, 3)).join(u.withColumn("k", F.substring("base", 3, 3)), "k").select("claim_id", "base").distinct()
-    cited = keyed.where("label <> 2")
-    by_query = cited.select("claim_id", F.col("doc").alias("base"))
-    by_application = q.join(cited.select("app", F.col("doc").alias("base")).distinct(), "app")
-    return joins.excluding(near, [by_query, by_application], ["claim_id", "base"])
+    """j09's pairs without what the application cites or was given as uncited."""
+    d = _documents(spark, folder)
+    apps = _applications(spark, folder).join(d.select(F.col("base").alias("app"), F.col("codes").alias("own_codes")), "app")
+    pairs = joins.sharing(apps, "app", "own_codes", d, "base", "codes", F.col("pub") < F.col("target"), unique_ids=True)
+    rows = table(spark, folder, "test").select("label", base_id("patent_application_id").alias("app"), base_id("cited_document_id").alias("doc"), F.col("_u_candidate_base").alias("u"))
+    cited, given = rows.where("label <> 2").select("app", F.col("doc").alias("base")), rows.where("label = 2").select("app", F.col("u").alias("base"))
+    return joins.excluding(pairs, [cited, given], ["app", "base"]).groupBy("app").agg(F.count("*").alias("candidates"))
 
 
 @query(f"""SELECT h._row_id AS hard_id, r._row_id AS random_id FROM test h JOIN generate_random_u r ON h.claim_id = r.claim_id AND h.label = 2
@@ -184,24 +182,18 @@ def w02_tertiles(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {METRICS} SELECT seed, _row_id, rank() OVER (PARTITION BY seed ORDER BY cited) + (count(*) OVER (PARTITION BY seed, cited) - 1) / 2.0::DOUBLE AS mid_rank FROM m")
 def w03_mid_rank(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    from ..plans.sequence import running
-
     s = scored_metrics(spark, folder).select("seed", "_row_id", "cited")
-    g = running(s.groupBy("seed", "cited").agg(F.count("*").alias("n")), ["seed"], [F.col("cited")], {"below": "n"})
+    g = running(s.groupBy("seed", "cited").agg(F.count("*").alias("n")), ["seed"], ["cited"], {"below": "n"})
     return s.join(g, ["seed", "cited"]).select("seed", "_row_id", (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).alias("mid_rank"))
 
 
 @query(f"WITH {METRICS} SELECT seed, _row_id, sum((label <> 2)::INT) OVER (PARTITION BY seed ORDER BY cited DESC, _row_id ROWS UNBOUNDED PRECEDING)::BIGINT AS hits FROM m")
 def w04_cumulative_hits(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("seed").orderBy(F.desc("cited"), "_row_id").rowsBetween(W.unboundedPreceding, 0)
-    return scored_metrics(spark, folder).select("seed", "_row_id", F.sum((F.col("label") != 2).cast("int")).over(w).alias("hits"))
+    s = scored_metrics(spark, folder).select("seed", "_row_id", "cited", (F.col("label") != 2).cast("int").alias("y"))
+    return running(s, ["seed"], [("cited", "desc"), "_row_id"], {"before": "y"}).select("seed", "_row_id", (F.col("before") + F.col("y")).alias("hits"))
 
 
-@query(f"WITH {METRICS} SELECT seed, query, _row_id, rank() OVER (PARTITION BY seed, query ORDER BY p_a DESC)::INT AS rank FROM m WHERE seed = 13")
+@query(f"WITH {METRICS} SELECT seed, query, _row_id, rank() OVER (PARTITION BY seed, query ORDER BY p_a DESC) AS rank FROM m WHERE seed = 13")
 def w05_strict_rank(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.strict_rank(scored_metrics(spark, folder).where("seed = 13"), "query", "p_a").select("seed", "query", "_row_id", "rank")
 
@@ -254,8 +246,6 @@ def k02_deterministic_choice(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT row_number() OVER (ORDER BY label, claim_id DESC NULLS LAST, _row_id) - 1 AS place, _row_id FROM test")
 def k03_stable_sort(spark: SparkSession, folder: str) -> DataFrame:
-    from ..plans.sequence import global_sequence
-
     rows = table(spark, folder, "test").select("label", "claim_id", "_row_id")
     return global_sequence(rows, ["label", ("claim_id", "desc"), "_row_id"], "place").select("place", "_row_id")
 
@@ -265,6 +255,13 @@ def k04_seeded_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.seeded_scores(table(spark, folder, "test"), "_row_id", 42).select("_row_id", F.round("score", 9).alias("score"))
 
 
+@query(f"WITH q AS (SELECT claim_id AS query, row_number() OVER (ORDER BY claim_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT claim_id FROM test)), d AS (SELECT replicate, (('0x' || substr(md5('42|' || replicate || '|' || i), 1, 12))::UBIGINT % n)::BIGINT AS i FROM q, (SELECT unnest(range(20))::INT AS replicate)) SELECT replicate, query, count(*) AS w FROM d JOIN q USING (i) GROUP BY ALL")
+def k05_bootstrap_draw(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each query is drawn in each of 20 replicates."""
+    q = table(spark, folder, "test").select(F.col("claim_id").alias("query"))
+    return resample.weights(resample.numbered_queries(q, "query"), "query", 20, 42)
+
+
 @query("WITH k AS (SELECT DISTINCT claim_id FROM test), n AS (SELECT claim_id, row_number() OVER (ORDER BY md5('42|' || claim_id), claim_id) - 1 AS n, count(*) OVER () AS t FROM k) SELECT claim_id, CASE WHEN n < t // 2 THEN 1 ELSE 2 END AS half FROM n")
 def k06_half_assignment(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.half_assignment(table(spark, folder, "test"), "claim_id", 42)

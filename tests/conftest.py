@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pairlab.session import local_session
 
-    return local_session(4, shuffle_partitions=4, memory="4g")
+    return local_session(8, shuffle_partitions=4, memory="6g")
 
 
 @pytest.fixture(scope="session")

@@ -38,8 +38,8 @@ def test_auc_brute_force(spark, rows):
     pos, neg = [(s, w) for y, s, w in rows if y], [(s, w) for y, s, w in rows if not y]
     total = sum(w * v for _, w in pos for _, v in neg)
     expected = sum(w * v * ((s > t) + 0.5 * (s == t)) for s, w in pos for t, v in neg) / total if total else None
-    for by, split in ((["g"], False), ([], False), (["g"], True)):
-        got = one(metrics.roc_auc(df, by, F.col("y") == 1, "s", "w", split_groups=split))
+    for by in (["g"], []):
+        got = one(metrics.roc_auc(df, by, F.col("y") == 1, "s", "w"))
         assert got == expected or abs(got - expected) < 1e-9
 
 
@@ -90,8 +90,10 @@ def test_sequence_and_running(spark):
     for i, v in rows:
         assert before[i] == total
         total += v
-    a = rows_of(running(df.withColumn("g", F.col("i") % 3), ["g"], [F.col("i")], {"t": "v"}))
-    assert a == rows_of(running(df.withColumn("g", F.col("i") % 3), ["g"], [F.col("i")], {"t": "v"}, split_groups=True))
+    got = running(df.withColumn("g", F.when(F.col("i") % 3 > 0, F.col("i") % 3)), ["g"], ["i"], {"t": "v", "n": None}).collect()
+    for r in got:
+        before = [v for i, v in rows if i % 3 == (r.g or 0) and i < r.i]
+        assert (r.t, r.n) == (sum(before), len(before))
     assert global_sequence(df.limit(0), ["v", "i"]).count() == 0
 
 
@@ -146,6 +148,7 @@ def test_joins(spark):
     assert schema.resolve_columns(a, {"key": ["K "]}) == {"key": "k"}
     l = spark.createDataFrame([("x", ["a", "b"], 1), ("y", None, 2), ("z", [], 3)], "l string, s array<string>, d int")
     r = spark.createDataFrame([("p", ["b", "a"], 2), ("q", ["a"], 0)], "r string, t array<string>, e int")
+    assert {r.k: r.n for r in joins.count_before(a.union(spark.createDataFrame([(None, 5)], "k int, y int")), "k", a.union(a), "k", "n").collect()} == {1: 0, 2: 2, None: None}
     assert rows_of(joins.sharing(l, "l", "s", r, "r", "t", F.col("e") > F.col("d")), ["l", "r"]) == [("x", "p")]
     f = spark.createDataFrame([("q", "u", True, 1.0), ("q", "b", False, 3.0), ("q", "a", False, 3.0), ("q", "c", False, None)], "q string, i string, t boolean, f double")
     assert [tuple(x) for x in joins.caliper_match(f, "q", F.col("t"), "i", {"f": (0.0, 2.0)}, 1.0).collect()] == [("q", "u", "a", 1.0)]
