@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.text import ngrams_1_2, tokens
 
 
+def text_key(c: Column | str) -> Column:
+    """What names a text in term statistics: its MD5, which is shorter than most texts."""
+    return F.md5(F.col(c) if isinstance(c, str) else c)
+
+
 def corpus(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``text``: the distinct texts of several columns; null and empty ones are left out."""
+    """``doc`` (its key), ``text``: the distinct texts of several columns; null and empty ones are left out."""
     out = None
     for c in columns:
         one = df.select(F.col(c).alias("text"))
         out = one if out is None else out.union(one)
-    return out.where("text <> ''").distinct()
+    return out.where("text <> ''").distinct().select(text_key("text").alias("doc"), "text")
 
 
 def term_counts(df: DataFrame, doc: str, text: str, bigrams: bool = False) -> DataFrame:

@@ -30,14 +30,14 @@ _TEST_W = f"""test_tf AS (SELECT d AS doc, term, count(*) AS tf FROM (SELECT d,
 
 def _fit(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int]:
     texts = X.corpus(table(spark, folder, "train"), ["text", "text_b"])
-    counts = X.term_counts(texts, "text", "text")
+    counts = X.term_counts(texts, "doc", "text")
     return texts, X.vocabulary(counts), texts.count()
 
 
 def _weights(spark: SparkSession, folder: str) -> DataFrame:
     _, vocab, n = _fit(spark, folder)
     docs = X.corpus(table(spark, folder, "test"), ["text", "text_b"])
-    return X.tfidf(X.term_counts(docs, "text", "text"), vocab, n)
+    return X.tfidf(X.term_counts(docs, "doc", "text"), vocab, n)
 
 
 @query(f"WITH {_CORPUS}, {_TERMS} SELECT term, df FROM vocab")
@@ -47,18 +47,19 @@ def t03_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {_CORPUS}, {_TERMS}, {_TEST_W} SELECT md5(doc) AS doc, term, round(w, 6) AS w FROM w")
 def t04_tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    return _weights(spark, folder).select(F.md5("doc").alias("doc"), "term", F.round("w", 6).alias("w"))
+    return _weights(spark, folder).select("doc", "term", F.round("w", 6).alias("w"))
 
 
 @query(f"WITH {_CORPUS}, {_TERMS}, {_TEST_W}, s AS (SELECT _row_id, sum(a.w * b.w) AS score FROM test JOIN w a ON a.doc = text JOIN w b ON b.doc = text_b AND a.term = b.term GROUP BY 1) SELECT t._row_id, round(coalesce(score, 0), 6) AS score FROM test t LEFT JOIN s USING (_row_id)")
 def t05_tfidf_pairs(spark: SparkSession, folder: str) -> DataFrame:
     w = _weights(spark, folder)
-    return X.pair_dot(table(spark, folder, "test").select("_row_id", "text", "text_b"), "_row_id", "text", "text_b", w, w).withColumn("score", F.round("score", 6))
+    pairs = table(spark, folder, "test").select("_row_id", X.text_key("text").alias("q"), X.text_key("text_b").alias("d"))
+    return X.pair_dot(pairs, "_row_id", "q", "d", w, w).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_CORPUS} SELECT t AS text FROM corpus")
 def t06_fit_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return X.corpus(table(spark, folder, "train"), ["text", "text_b"])
+    return X.corpus(table(spark, folder, "train"), ["text", "text_b"]).select("text")
 
 
 @query(f"""WITH p AS (SELECT DISTINCT text_b AS d FROM train WHERE text_b <> ''), tt AS (SELECT d, unnest({TOKENS.format('d')}) AS term FROM p), tf AS (SELECT d, term, count(*) AS tf FROM tt GROUP BY ALL),
@@ -71,7 +72,7 @@ def t07_bm25(spark: SparkSession, folder: str) -> DataFrame:
     test = table(spark, folder, "test").select("_row_id", "text", "text_b")
     passages = X.corpus(table(spark, folder, "train"), ["text_b"])
     count = lambda c: X.term_counts(test, "_row_id", c).withColumnRenamed("doc", "_row_id")
-    return X.bm25(test, "_row_id", count("text").select("_row_id", "term"), count("text_b"), X.term_counts(passages, "text", "text"), passages.count()).withColumn("score", F.round("score", 6))
+    return X.bm25(test, "_row_id", count("text").select("_row_id", "term"), count("text_b"), X.term_counts(passages, "doc", "text"), passages.count()).withColumn("score", F.round("score", 6))
 
 
 @query()
