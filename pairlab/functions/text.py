@@ -65,8 +65,9 @@ def tokens(c: Column | str) -> Column:
 
 def ngrams_1_2(toks: Column) -> Column:
     """The tokens, followed by each two neighbours with a blank between them."""
-    pairs = F.when(F.size(toks) > 1, F.transform(F.sequence(F.lit(1), F.size(toks) - 1), lambda i: F.concat_ws(" ", F.element_at(toks, i), F.element_at(toks, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(toks, pairs)
+    # Neighbours by shifting the array: inside a lambda the tokens would be made again for each element.
+    n = F.greatest(F.size(toks) - 1, F.lit(0))
+    return F.concat(toks, F.zip_with(F.slice(toks, F.lit(1), n), F.slice(toks, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def mask_numbers(c: Column | str) -> Column:

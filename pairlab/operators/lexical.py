@@ -14,12 +14,12 @@ def text_key(c: Column | str) -> Column:
 
 
 def corpus(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``doc`` (its key), ``text``: the distinct texts of several columns; null and empty ones are left out."""
+    """``doc`` (its key), ``text``: the distinct texts of several columns; null counts as '', which is a document without terms."""
     out = None
     for c in columns:
-        one = df.select(F.col(c).alias("text"))
+        one = df.select(F.coalesce(F.col(c), F.lit("")).alias("text"))
         out = one if out is None else out.union(one)
-    return out.where("text <> ''").distinct().select(text_key("text").alias("doc"), "text")
+    return out.distinct().select(text_key("text").alias("doc"), "text")
 
 
 def term_counts(df: DataFrame, doc: str, text: str, bigrams: bool = False) -> DataFrame:
@@ -37,11 +37,13 @@ def vocabulary(counts: DataFrame, min_df: int = 2, size: int = 200_000) -> DataF
 
 def tfidf(counts: DataFrame, vocab: DataFrame, documents: Column | int) -> DataFrame:
     """``doc``, ``term``, ``w``: (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each document to unit length.
+    ``vocab`` is of vocabulary(), whose size bounds what is broadcast.
 
     The norm comes from an aggregation by document, joined back, rather than a window.
     """
     n = F.lit(documents) if isinstance(documents, int) else documents
-    raw = counts.join(vocab, "term").select("doc", "term", ((1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("w"))
+    # A vocabulary has a stated size, and its frequent terms are in every document: broadcast, no shuffle by term.
+    raw = counts.join(F.broadcast(vocab), "term").select("doc", "term", ((1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("w"))
     size = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__z"))
     return raw.join(size, "doc").select("doc", "term", (F.col("w") / F.col("__z")).alias("w"))
 
@@ -54,15 +56,16 @@ def pair_dot(pairs: DataFrame, pair: str, a: str, b: str, weights_a: DataFrame,
     return pairs.select(pair).join(common, pair, "left").select(pair, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def bm25(pairs: DataFrame, pair: str, query_terms: DataFrame, doc_terms: DataFrame, train_terms: DataFrame, documents: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(pairs: DataFrame, pair: str, query_terms: DataFrame, doc_terms: DataFrame, train_terms: DataFrame, documents: int, k1: float = 1.5, b: float = 0.75, min_df: int = 2, size: int = 200_000) -> DataFrame:
     """``pair``, ``score``: BM25 with binary query terms.
 
-    ``query_terms``: pair, term. ``doc_terms``: pair, term, tf. ``train_terms``: doc, term, tf of the passages whose
-    document frequencies, vocabulary and mean length count; ``documents`` is their number. Lengths count terms
-    of the vocabulary only; idf is ln(1 + (n - df + 0.5) / (df + 0.5)). Pairs without a common term score 0.
+    ``query_terms``: pair, term. ``doc_terms``: pair, term, tf. ``train_terms``: doc, term, tf of the passages that give
+    vocabulary (as in vocabulary()), document frequencies and mean length; ``documents`` is their number, empty ones
+    included. Lengths count terms of the vocabulary only; idf is ln(1 + (n - df + 0.5) / (df + 0.5)). Pairs
+    without a common term score 0.
     """
-    stats = train_terms.groupBy("term").agg(F.count("*").alias("df"))
-    mean = train_terms.agg((F.sum("tf") / F.lit(documents)).alias("__avg"))
+    stats = F.broadcast(vocabulary(train_terms, min_df, size))
+    mean = train_terms.join(stats, "term").agg(F.greatest(F.sum("tf") / F.lit(documents), F.lit(1e-12)).alias("__avg"))
     known = doc_terms.join(stats, "term")
     length = known.groupBy(pair).agg(F.sum("tf").alias("__len"))
     idf = F.log(1 + (F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_id
+from ..operators import joins
 from ..operators import metrics as M
 from .fixtures import ENSEMBLE, METRICS, ensemble, scored_metrics
 from .fragments import BASE
@@ -95,6 +96,17 @@ def a12_roc_auc(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(M.roc_auc(scored_metrics(spark, folder), ["seed"], F.expr(CITED), "cited"))
 
 
+@query(f"WITH {METRICS}, n AS (SELECT * FROM m WHERE query IN (SELECT query FROM m WHERE {U})) {_auc('n', 'seed', 'cited', CITED)}")
+def a12_roc_auc_eligible(spark: SparkSession, folder: str) -> DataFrame:
+    """Cited against uncited within the queries that own an uncited row; a12_roc_auc takes all rows."""
+    return _rounded(M.roc_auc(joins.owners(scored_metrics(spark, folder), "query", F.expr(U)), ["seed"], F.expr(CITED), "cited"))
+
+
+@query(f"WITH {METRICS}, n AS (SELECT * FROM m WHERE {CITED}) {_auc('n', 'seed', 'xs', IS_X)}")
+def a12_roc_auc_x_vs_a(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(M.roc_auc(scored_metrics(spark, folder).where(CITED), ["seed"], F.expr(IS_X), "xs"))
+
+
 @query(f"WITH {METRICS}, n AS (SELECT *, length(query) % 3 + seed % 2 AS w0 FROM m) {_auc('n', 'seed', 'cited', CITED, 'w0')}")
 def a13_roc_auc_weighted(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(M.roc_auc(scored_metrics(spark, folder), ["seed"], F.expr(CITED), "cited", F.expr("length(query) % 3 + seed % 2")))

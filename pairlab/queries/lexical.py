@@ -21,23 +21,24 @@ columns("t01_tokens", "test", "_row_id", {"tokens": (lambda: T.tokens("text_b"),
 columns("t02_ngrams", "test", "_row_id", {"terms": (lambda: T.ngrams_1_2(T.tokens("text_b")), _BIGRAMS.format(TOKENS.format("text_b")))})
 columns("t17_text_variants", "test", "_row_id", {"masked": (lambda: T.mask_numbers("text"), "regexp_replace(text, '[0-9]+', '<num>', 'g')"), "content": (lambda: T.content_only("text"), r"trim(regexp_replace(regexp_replace(lower(text), '\([0-9]+[a-z]?\)|[0-9]+', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g'))")})
 
-_CORPUS = "corpus AS (SELECT DISTINCT text AS t FROM train WHERE text <> '' UNION SELECT DISTINCT text_b FROM train WHERE text_b <> '')"
-_TERMS = f"terms AS (SELECT t AS doc, unnest({TOKENS.format('t')}) AS term FROM corpus), tf AS (SELECT doc, term, count(*) AS tf FROM terms GROUP BY ALL), vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 200000)"
-_TEST_W = f"""test_tf AS (SELECT d AS doc, term, count(*) AS tf FROM (SELECT d, unnest({TOKENS.format('d')}) AS term FROM (SELECT DISTINCT text AS d FROM test WHERE text <> '' UNION SELECT DISTINCT text_b FROM test WHERE text_b <> '')) GROUP BY ALL),
+_CORPUS = "corpus AS (SELECT coalesce(text, '') AS t FROM train UNION SELECT coalesce(text_b, '') FROM train)"
+_BOTH_GRAMS = "unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]))) AS term"
+_TERMS = f"toks AS (SELECT t AS doc, {TOKENS.format('t')} AS k FROM corpus), terms AS (SELECT doc, {_BOTH_GRAMS} FROM toks), tf AS (SELECT doc, term, count(*) AS tf FROM terms GROUP BY ALL), vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 200000)"
+_TEST_W = f"""ttoks AS (SELECT d, {TOKENS.format('d')} AS k FROM (SELECT coalesce(text, '') AS d FROM test UNION SELECT coalesce(text_b, '') FROM test)), test_tf AS (SELECT d AS doc, term, count(*) AS tf FROM (SELECT d, {_BOTH_GRAMS} FROM ttoks) GROUP BY ALL),
     raw AS (SELECT doc, term, (1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM corpus)) / (1 + df)) + 1) AS w FROM test_tf JOIN vocab USING (term)),
     w AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM raw)"""
 
 
 def _fit(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int]:
     texts = X.corpus(table(spark, folder, "train"), ["text", "text_b"])
-    counts = X.term_counts(texts, "doc", "text")
+    counts = X.term_counts(texts, "doc", "text", bigrams=True)
     return texts, X.vocabulary(counts), texts.count()
 
 
 def _weights(spark: SparkSession, folder: str) -> DataFrame:
     _, vocab, n = _fit(spark, folder)
     docs = X.corpus(table(spark, folder, "test"), ["text", "text_b"])
-    return X.tfidf(X.term_counts(docs, "doc", "text"), vocab, n)
+    return X.tfidf(X.term_counts(docs, "doc", "text", bigrams=True), vocab, n)
 
 
 @query(f"WITH {_CORPUS}, {_TERMS} SELECT term, df FROM vocab")
@@ -50,10 +51,10 @@ def t04_tfidf(spark: SparkSession, folder: str) -> DataFrame:
     return _weights(spark, folder).select("doc", "term", F.round("w", 6).alias("w"))
 
 
-@query(f"WITH {_CORPUS}, {_TERMS}, {_TEST_W}, s AS (SELECT _row_id, sum(a.w * b.w) AS score FROM test JOIN w a ON a.doc = text JOIN w b ON b.doc = text_b AND a.term = b.term GROUP BY 1) SELECT t._row_id, round(coalesce(score, 0), 6) AS score FROM test t LEFT JOIN s USING (_row_id)")
+@query(f"WITH {_CORPUS}, {_TERMS}, {_TEST_W}, s AS (SELECT _row_id, sum(a.w * b.w) AS score FROM test JOIN w a ON a.doc = coalesce(text, '') JOIN w b ON b.doc = coalesce(text_b, '') AND a.term = b.term GROUP BY 1) SELECT t._row_id, round(coalesce(score, 0), 6) AS score FROM test t LEFT JOIN s USING (_row_id)")
 def t05_tfidf_pairs(spark: SparkSession, folder: str) -> DataFrame:
     w = _weights(spark, folder)
-    pairs = table(spark, folder, "test").select("_row_id", X.text_key("text").alias("q"), X.text_key("text_b").alias("d"))
+    pairs = table(spark, folder, "test").select("_row_id", X.text_key(F.coalesce("text", F.lit(""))).alias("q"), X.text_key(F.coalesce("text_b", F.lit(""))).alias("d"))
     return X.pair_dot(pairs, "_row_id", "q", "d", w, w).withColumn("score", F.round("score", 6))
 
 
@@ -62,17 +63,17 @@ def t06_fit_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return X.corpus(table(spark, folder, "train"), ["text", "text_b"]).select("text")
 
 
-@query(f"""WITH p AS (SELECT DISTINCT text_b AS d FROM train WHERE text_b <> ''), tt AS (SELECT d, unnest({TOKENS.format('d')}) AS term FROM p), tf AS (SELECT d, term, count(*) AS tf FROM tt GROUP BY ALL),
-    st AS (SELECT term, count(*) AS df FROM tf GROUP BY term), av AS (SELECT sum(tf) / (SELECT count(*) FROM p) AS avg, (SELECT count(*) FROM p) AS n FROM tf),
+@query(f"""WITH tt AS (SELECT _row_id AS d, unnest({TOKENS.format('text_b')}) AS term FROM train), tf AS (SELECT d, term, count(*) AS tf FROM tt GROUP BY ALL),
+    st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 200000), av AS (SELECT (SELECT sum(total) FROM st) / (SELECT count(*) FROM train) AS avg, (SELECT count(*) FROM train) AS n),
     dt AS (SELECT _row_id, term, count(*) AS tf FROM (SELECT _row_id, unnest({TOKENS.format('text_b')}) AS term FROM test) GROUP BY ALL), kd AS (SELECT * FROM dt JOIN st USING (term)), le AS (SELECT _row_id, sum(tf) AS len FROM kd GROUP BY 1),
     qt AS (SELECT DISTINCT _row_id, unnest({TOKENS.format('text')}) AS term FROM test),
     s AS (SELECT _row_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))) AS score FROM kd JOIN qt USING (_row_id, term) JOIN le USING (_row_id), av GROUP BY 1)
     SELECT t._row_id, round(coalesce(score, 0), 6) AS score FROM test t LEFT JOIN s USING (_row_id)""")
 def t07_bm25(spark: SparkSession, folder: str) -> DataFrame:
     test = table(spark, folder, "test").select("_row_id", "text", "text_b")
-    passages = X.corpus(table(spark, folder, "train"), ["text_b"])
+    train = table(spark, folder, "train").select("_row_id", "text_b")
     count = lambda c: X.term_counts(test, "_row_id", c).withColumnRenamed("doc", "_row_id")
-    return X.bm25(test, "_row_id", count("text").select("_row_id", "term"), count("text_b"), X.term_counts(passages, "doc", "text"), passages.count()).withColumn("score", F.round("score", 6))
+    return X.bm25(test, "_row_id", count("text").select("_row_id", "term"), count("text_b"), X.term_counts(train, "_row_id", "text_b"), train.count()).withColumn("score", F.round("score", 6))
 
 
 @query()
