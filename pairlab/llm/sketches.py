@@ -37,6 +37,8 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word (longest run of letters and digits of the lower-cased text), and its text's number."""
     joined = "\x00".join(texts).lower()
+    if joined.count("\x00") >= len(texts):  # a text has the separator itself
+        joined = "\x00".join(t.replace("\x00", " ") for t in texts).lower()
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     inside = np.r_[False, _alnum()[chars], False]
     start = np.flatnonzero(inside[1:] & ~inside[:-1])
