@@ -19,7 +19,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="pairlab-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
