@@ -42,18 +42,20 @@ def accuracy_f1(df: DataFrame, by: Sequence[str], label: str, predicted: str, cl
     return _named(agg.where("__n > 0"), by, accuracy=F.col("__ok") / F.col("__n"), **{f"f1_{c}": v for c, v in f1.items()}, macro_f1=total / len(classes))
 
 
-def _by_score(df: DataFrame, by: Sequence[str], positive: Column, score: Column | str, weight: Column | str | None) -> DataFrame:
-    """Weight of positives and negatives for each distinct score of a group."""
+def _by_score(df: DataFrame, by: Sequence[str], positive: Column, score: Column | str, weight: Column | str | None, even: bool = False) -> DataFrame:
+    """Weight of positives and negatives for each distinct score of a group; ``even`` groups move once, whole."""
     w = _c(weight) if weight is not None else F.lit(1)
     s = _c(score)
     kept = df.where(s.isNotNull() & ~F.isnan(s) & positive.isNotNull())
+    kept = kept.repartition(*by) if even and by else kept
     return kept.groupBy(*by, s.alias("__s")).agg(F.sum(F.when(positive, w).otherwise(0)).alias("__p"), F.sum(F.when(positive, 0).otherwise(w)).alias("__q"))
 
 
-def roc_auc(df: DataFrame, by: Sequence[str], positive: Column, score: Column | str, weight: Column | str | None = None, name: str = "roc_auc") -> DataFrame:
-    """Area under the ROC curve, ties half; null where a class is missing. ``weight``: a row's multiplicity."""
-    scores = _by_score(df, by, positive, score, weight)
-    run = running(scores, by, [F.col("__s")], {"__below": "__q"})
+def roc_auc(df: DataFrame, by: Sequence[str], positive: Column, score: Column | str, weight: Column | str | None = None, name: str = "roc_auc", even: bool = False) -> DataFrame:
+    """Area under the ROC curve, ties half; null where a class is missing. ``weight``: a row's multiplicity.
+    ``even``: the groups are many and alike, such as replicates (see plans.sequence.running)."""
+    scores = _by_score(df, by, positive, score, weight, even)
+    run = running(scores, by, [F.col("__s")], {"__below": "__q"}, even)
     agg = run.groupBy(*by).agg(F.sum(F.col("__p") * (F.col("__below") + 0.5 * F.col("__q"))).alias("__a"), F.sum("__p").alias("__np"), F.sum("__q").alias("__nq"))
     return _named(agg, by, **{name: _div(F.col("__a"), F.col("__np") * F.col("__nq"))})
 
@@ -66,10 +68,10 @@ def macro_roc_auc(df: DataFrame, by: Sequence[str], query: str, positive: Column
     return roc_auc(counted, by, positive, score, share if weight is None else share * _c(weight), "macro_roc_auc")
 
 
-def average_precision(df: DataFrame, by: Sequence[str], positive: Column, score: Column | str, weight: Column | str | None = None) -> DataFrame:
-    """Average precision by steps: rows with the same score are one step. Null without positives."""
-    scores = _by_score(df, by, positive, score, weight)
-    run = running(scores, by, [-F.col("__s")], {"__tp": "__p", "__fp": "__q"})
+def average_precision(df: DataFrame, by: Sequence[str], positive: Column, score: Column | str, weight: Column | str | None = None, even: bool = False) -> DataFrame:
+    """Average precision by steps: rows with the same score are one step. Null without positives. ``even`` as in roc_auc."""
+    scores = _by_score(df, by, positive, score, weight, even)
+    run = running(scores, by, [-F.col("__s")], {"__tp": "__p", "__fp": "__q"}, even)
     tp, seen = F.col("__tp") + F.col("__p"), F.col("__tp") + F.col("__p") + F.col("__fp") + F.col("__q")
     agg = run.groupBy(*by).agg(F.sum(F.col("__p") * _div(tp * 1.0, seen)).alias("__a"), F.sum("__p").alias("__np"))
     return _named(agg, by, average_precision=_div(F.col("__a"), F.col("__np")))

@@ -60,13 +60,18 @@ def global_running(df: DataFrame, order: Sequence[Order], totals: dict[str, str
     return out.select(*df.columns, *totals)
 
 
-def running(df: DataFrame, by: Sequence[str], order: Sequence[Order], totals: dict[str, str | None]) -> DataFrame:
+def running(df: DataFrame, by: Sequence[str], order: Sequence[Order], totals: dict[str, str | None], even: bool = False) -> DataFrame:
     """``df`` with exclusive running totals in each group: ``totals`` maps an output name to a column (summed, not negative)
     or to None (rows counted).
 
     Totals come from range partitions over (group, order), less the total before the group, so a group
-    that holds most rows is spread like any other; null is a group too.
+    that holds most rows is spread like any other; null is a group too. ``even`` states that the groups are many and
+    none is large (bootstrap replicates, which are copies of one another): then a window in each group does.
     """
+    if even and by:
+        sorts = [(F.col(c[0]) if isinstance(c[0], str) else c[0]).desc_nulls_last() if isinstance(c, tuple) else c for c in order]
+        w = W.partitionBy(*by).orderBy(*sorts).rowsBetween(W.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c if c else F.lit(1)).over(w), F.lit(0)).alias(n) for n, c in totals.items()])
     names = {f"__t{i}": c for i, c in enumerate(totals.values())}
     whole = global_running(df, [*by, *order], names)
     if not by:

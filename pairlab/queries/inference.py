@@ -35,7 +35,7 @@ def _replicate_auc(spark: SparkSession, folder: str) -> DataFrame:
     s = cut(scored_metrics(spark, folder).select("seed", "query", "label", "cited"))
     w = cut(R.weights(R.numbered_queries(s, "query"), "query", REPLICATES, SEED))
     x = R.resampled(s, w, "query")
-    return M.roc_auc(x, ["seed", "replicate"], F.col("label") != 2, "cited", "w").drop("metric")
+    return M.roc_auc(x, ["seed", "replicate"], F.col("label") != 2, "cited", "w", even=True).drop("metric")
 
 
 _REPL = f"WITH {METRICS}, {_draws('m')}, x AS (SELECT seed, replicate, label, cited, w FROM m JOIN ww USING (query)), v AS {_AUC.format(by='seed, replicate')}"
@@ -57,7 +57,7 @@ def _bin_auc(spark: SparkSession, folder: str) -> DataFrame:
     bins = temporal.with_bins(_dated(spark, folder), "day").where("bin is not null").select(F.col("claim_id").alias("query"), "bin")
     b = cut(scored_metrics(spark, folder).where("seed = 13").join(bins, "query").select("bin", "query", "label", "cited"))
     w = R.weights(R.numbered_queries(b, "query", "bin"), "query", REPLICATES, SEED, "bin")
-    return M.roc_auc(R.resampled(b, w, "query", "bin"), ["bin", "replicate"], F.col("label") != 2, "cited", "w").drop("metric")
+    return M.roc_auc(R.resampled(b, w, "query", "bin"), ["bin", "replicate"], F.col("label") != 2, "cited", "w", even=True).drop("metric")
 
 
 @query(f"{_BIN_REPL} SELECT l.replicate, round(l.value - e.value, 6) AS delta FROM v l JOIN v e ON l.replicate = e.replicate AND l.bin = 'late' AND e.bin = 'early'")
@@ -122,7 +122,7 @@ def b09_one_class_replicates(spark: SparkSession, folder: str) -> DataFrame:
     """Replicates within each application's few queries, and how many of them have both classes; the others' AUC is null."""
     s = cut(scored_metrics(spark, folder).where("seed = 13").withColumn("app", F.substring_index("query", "_", 1)).select("app", "query", "label", "cited"))
     w = R.weights(R.numbered_queries(s, "query", "app"), "query", REPLICATES, SEED, "app")
-    v = M.roc_auc(R.resampled(s, w, "query", "app"), ["app", "replicate"], F.col("label") != 2, "cited", "w")
+    v = M.roc_auc(R.resampled(s, w, "query", "app"), ["app", "replicate"], F.col("label") != 2, "cited", "w", even=True)
     return v.groupBy("app").agg(F.count("*").alias("replicates"), F.count("value").alias("usable"))
 
 

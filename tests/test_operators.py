@@ -38,8 +38,8 @@ def test_auc_brute_force(spark, rows):
     pos, neg = [(s, w) for y, s, w in rows if y], [(s, w) for y, s, w in rows if not y]
     total = sum(w * v for _, w in pos for _, v in neg)
     expected = sum(w * v * ((s > t) + 0.5 * (s == t)) for s, w in pos for t, v in neg) / total if total else None
-    for by in (["g"], []):
-        got = one(metrics.roc_auc(df, by, F.col("y") == 1, "s", "w"))
+    for by, even in ((["g"], False), ([], False), (["g"], True)):
+        got = one(metrics.roc_auc(df, by, F.col("y") == 1, "s", "w", even=even))
         assert got == expected or abs(got - expected) < 1e-9
 
 
