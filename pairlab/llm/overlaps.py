@@ -2,8 +2,8 @@
 
 Evaluation texts lie in shards of bounded size, each with a full-text index over words: the
 Burrows-Wheeler transform of the shard with sorted occurrence lists, searched backwards. Training
-texts are streamed through the shards; maximal matches give spans, the index intervals of
-word shingles give the exact similarity to every text of the shard.
+texts are streamed through the shards; the index intervals of word shingles give the exact similarity
+to every text of the shard, and the maximal matches of each similar pair are merged into spans.
 
 The index of all evaluation texts grows with the data, so it isn't sent to every worker, and
 streaming all training text through every shard would cost training x shards. Sketch bands say
@@ -25,8 +25,8 @@ from .sketches import CHARS_AT_ONCE, band_rows, word_hashes
 
 #: Characters of evaluation text in a shard, about, and training texts that one task streams through it.
 SHARD_CHARS, STREAM_TEXTS = 1_000_000, 20_000
-#: Occurrences looked at at once by a worker.
-_OCCURRENCES = 2_000_000
+#: Occurrences, and words of matched pairs, looked at at once by a worker.
+_OCCURRENCES, _PAIR_WORDS = 2_000_000, 200_000
 
 
 class WordIndex:
@@ -39,6 +39,7 @@ class WordIndex:
         symbols = np.insert(coded.astype(np.int64), ends, len(self.vocabulary) + np.arange(texts))
         owner = np.insert(text.astype(np.int64), ends, np.arange(texts))
         n = self.n = len(symbols)
+        self.symbols, self.bounds = symbols, np.r_[0, ends + np.arange(texts) + 1]
         order = self._suffixes(symbols)
         bwt = symbols[order - 1]
         # Occurrences by symbol, then place: one search gives the start of a symbol plus its rank.
@@ -94,37 +95,66 @@ class WordIndex:
             lo, hi = self.step(coded[at + k], lo, hi)
         return at, lo, np.maximum(lo, hi)
 
-    def matches(self, coded: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """From the end of each text to its start, matches that can't be made longer to the left: text, first word, end.
-
-        All texts take a step at once; a match that ends starts the next one at the same word."""
-        out: list = []
-        live = np.flatnonzero(end > start)
-        at, stop = end[live] - 1, end[live]
-        lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
-        while len(live):
-            a, b = self.step(coded[at], lo, hi)
-            fails = a >= b
-            fresh = fails & (at + 1 == stop)  # a word that the shard lacks
-            done = fails & ~fresh
-            if done.any():
-                out.append((live[done], at[done] + 1, stop[done]))
-            lo, hi = np.where(fails, 0, a), np.where(fails, self.n, b)
-            stop = np.where(done, at + 1, np.where(fresh, at, stop))
-            at = np.where(done, at, at - 1)
-            over = at < start[live]
-            last = over & (stop > start[live])
-            if last.any():
-                out.append((live[last], start[live][last], stop[last]))
-            keep = ~over
-            live, at, stop, lo, hi = live[keep], at[keep], stop[keep], lo[keep], hi[keep]
-        if not out:
+    def matches(self, coded: np.ndarray, start: np.ndarray, end: np.ndarray, evals: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All maximal matches of each stretch of words with its own text ``evals`` (without it, with any text of the
+        shard): stretch, first word, end, in order. Those of one stretch may overlap, none lies in another.
+
+        The pairs lie one after another with symbols of their own. Ranks by doubled length give the order of their
+        suffixes; the longest match at a word is with the nearest suffix of the evaluation text before or after it."""
+        if not len(start):
             return (np.empty(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*out))
+        lo = np.zeros(len(start), np.int64) if evals is None else self.bounds[evals]
+        hi = np.full(len(start), self.n) if evals is None else self.bounds[evals + 1]
+        own, other = hi - lo, end - start
+        begin = np.cumsum(own + other + 1) - (own + other + 1)
+        pair = np.repeat(np.arange(len(start)), own + other + 1)
+        at = np.arange(len(pair)) - begin[pair]
+        left = at < own[pair]
+        inside = ~left & (at < (own + other)[pair])
+        # Words that the shard lacks and the end of a stretch: a symbol that no evaluation text has.
+        symbols = np.full(len(pair), len(self.vocabulary) + len(self.bounds), dtype=np.int64)
+        symbols[left] = self.symbols[(lo[pair] + at)[left]]
+        place = (start[pair] + at - own[pair])[inside]
+        symbols[inside] = np.where(coded[place] < 0, symbols[inside], coded[place])
+        ranks = [np.unique(pair * (len(self.vocabulary) + len(self.bounds) + 1) + symbols, return_inverse=True)[1]]
+        while True:
+            rank, length = ranks[-1], 1 << (len(ranks) - 1)
+            known = np.zeros(int(rank.max()) + 1, dtype=bool)
+            known[rank[left]] = True
+            if not known[rank[inside]].any():
+                break
+            after = np.zeros(len(rank), dtype=np.int64)
+            after[: len(rank) - length] = rank[length:] + 1
+            ranks.append(np.unique(rank * (len(rank) + 2) + after, return_inverse=True)[1])
+        order = np.argsort(ranks[-1], kind="stable")
+        n, mine = len(order), left[order]
+        before = np.maximum.accumulate(np.where(mine, np.arange(n), -1))
+        behind = np.minimum.accumulate(np.where(mine, np.arange(n), n)[::-1])[::-1]
+        longest = np.zeros(n, dtype=np.int64)
+        for near in (before, behind):
+            some = np.flatnonzero(~mine & (near >= 0) & (near < n))
+            i, j = order[some], order[near[some]]
+            same = np.zeros(len(some), dtype=np.int64)
+            for k in reversed(range(len(ranks) - 1)):
+                same += (ranks[k][i + same] == ranks[k][j + same]).astype(np.int64) << k
+            longest[i] = np.maximum(longest[i], same)
+        # A match lies in the one that starts a word earlier if that is longer by a word.
+        first = np.flatnonzero((longest > 0) & (np.r_[0, longest[:-1]] <= longest))
+        word = start[pair[first]] + at[first] - own[pair[first]]
+        return pair[first], word, word + longest[first]
+
+
+def merged(pair: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches, in order, with those that share words put together."""
+    if not len(pair):
+        return pair, first, stop
+    new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (first[1:] >= stop[:-1])])
+    return pair[new], first[new], stop[np.r_[new[1:], len(pair)] - 1]
 
 
 def _stream(shingle: int, least: float, span_words: int):
-    names = ["e", "t", "shared", "total", "longest_span", "span_words"]
+    names = ["e", "t", "shared", "total", "longest_span", "span_words", "spans"]
+    part = pa.struct([("first", pa.int32()), ("stop", pa.int32())])
 
     def compare(index: WordIndex, tids: np.ndarray, stream: list[tuple[int, str]]) -> pa.RecordBatch | None:
         words, text = word_hashes([t for _, t in stream])
@@ -146,7 +176,7 @@ def _stream(shingle: int, least: float, span_words: int):
         f, g = np.searchsorted(index.first, lo[once]), np.searchsorted(index.first, hi[once])
         found = []
         total = np.cumsum(g - f)
-        for a, b in _slices(total):
+        for a, b in _slices(total, _OCCURRENCES):
             n = (g - f)[a:b]
             entry = np.repeat(f[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
             found.append(np.unique(np.repeat(text[at][once][a:b], n) * len(tids) + index.owner[index.first[entry]], return_counts=True))
@@ -159,21 +189,27 @@ def _stream(shingle: int, least: float, span_words: int):
         keep = np.flatnonzero(shared >= least * either - 1e-9)
         if not len(keep):
             return None
-        spans = np.zeros((2, count), dtype=np.int64)
-        some = np.unique(t[keep])
-        start, end = np.searchsorted(text, some), np.searchsorted(text, some, "right")
-        which, first, stop = index.matches(coded, start, end)
-        long = stop - first >= span_words
-        np.maximum.at(spans[0], some[which], stop - first)
-        np.add.at(spans[1], some[which[long]], (stop - first)[long])
+        t, e = t[keep], e[keep]
+        start, end = np.searchsorted(text, t), np.searchsorted(text, t, "right")
+        longest, covered, spans = np.zeros(len(keep), np.int64), np.zeros(len(keep), np.int64), []
+        for a, b in _slices(np.cumsum(end - start + index.bounds[e + 1] - index.bounds[e]), _PAIR_WORDS):
+            which, first, stop = index.matches(coded, start[a:b], end[a:b], e[a:b])
+            np.maximum.at(longest, which + a, stop - first)
+            long = stop - first >= span_words
+            which, first, stop = merged(which[long] + a, first[long], stop[long])
+            np.add.at(covered, which, stop - first)
+            spans.append((which, first - start[which], stop - start[which]))
+        which, first, stop = (np.concatenate(x) for x in zip(*spans))
+        offsets = np.r_[0, np.cumsum(np.bincount(which, minlength=len(keep)))].astype(np.int32)
+        places = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (first, stop)], fields=list(part))
         ids = np.array([i for i, _ in stream], dtype=np.int64)
-        columns = [tids[e[keep]], ids[t[keep]], *(x.astype(np.int32) for x in (shared[keep], either[keep], spans[0][t[keep]], spans[1][t[keep]]))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        columns = [tids[e], ids[t], *(x.astype(np.int32) for x in (shared[keep], either[keep], longest, covered))]
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.ListArray.from_arrays(pa.array(offsets), places)], names=names)
 
-    def _slices(total: np.ndarray) -> Iterator[tuple[int, int]]:
+    def _slices(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         a = 0
         while a < len(total):
-            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + _OCCURRENCES, "right")))
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
             yield a, b
             a = b
 
@@ -210,9 +246,10 @@ def _stream(shingle: int, least: float, span_words: int):
 
 
 def overlapping_texts(evaluation: DataFrame, training: DataFrame, least: float, shingle: int, bands: int, rows: int, span_words: int = 8) -> DataFrame:
-    """``e``, ``t``, ``shared``, ``total``, ``longest_span``, ``span_words`` for the pairs of an evaluation and a training
-    tid (inputs as from texts_of) with a similarity of ``least`` or more: shingles in both and in either, the longest
-    run of words that the training text has from the shard, and its words in such runs of ``span_words`` or more."""
+    """``e``, ``t``, ``shared``, ``total``, ``longest_span``, ``span_words``, ``spans`` for the pairs of an evaluation and a
+    training tid (inputs as from texts_of) with a similarity of ``least`` or more: shingles in both and in either, the longest
+    run of words that both texts have, the training text's words in such runs of ``span_words`` or more, and these runs, put
+    together where they share words (first word, and the one behind the last, of the training text's words from 0)."""
     eb = band_rows(evaluation, bands, rows, shingle).repartition("band").dropDuplicates(["band", "tid"]).withColumnRenamed("tid", "e")
     tb = band_rows(training, bands, rows, shingle).repartition("band").dropDuplicates(["band", "tid"]).withColumnRenamed("tid", "t")
     routes = cut(eb.join(tb, "band").select("e", "t").distinct())
@@ -230,11 +267,11 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame, least: float,
     indexed = held.withColumn("shard", shard("tid")).join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), "tid", "text")
     both = indexed.unionByName(streamed.select("shard", "salt", "side", "tid", "text"))
     placed = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side", "tid")
-    return placed.mapInArrow(_stream(shingle, least, span_words), "e long, t long, shared int, total int, longest_span int, span_words int").dropDuplicates(["e", "t"])
+    return placed.mapInArrow(_stream(shingle, least, span_words), "e long, t long, shared int, total int, longest_span int, span_words int, spans array<struct<first:int,stop:int>>").dropDuplicates(["e", "t"])
 
 
 def overlaps(evaluation: DataFrame, training: DataFrame, fields: dict[str, tuple[str, str]], least: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
-    """``field``, ``eval_id``, ``train_id``, ``similarity``, ``longest_span``, ``span_words``: each record of ``evaluation`` with
+    """``field``, ``eval_id``, ``train_id``, ``similarity``, ``longest_span``, ``span_words``, ``spans``: each record of ``evaluation`` with
     each record of ``training`` whose text has a similarity of ``least`` or more.
 
     ``fields``: name -> (id column, text column), in both tables; like fields are compared with like.
@@ -245,4 +282,4 @@ def overlaps(evaluation: DataFrame, training: DataFrame, fields: dict[str, tuple
     pairs = cut(overlapping_texts(e, t, least, shingle, bands, rows))
     ids = lambda df, name, key: df.select("field", F.col("id").alias(name), F.col("tid").alias(key)).distinct()
     named = pairs.join(ids(e, "eval_id", "e"), "e").join(ids(t, "train_id", "t").drop("field"), "t")
-    return named.select("field", "eval_id", "train_id", F.round(F.col("shared") / F.col("total"), 6).alias("similarity"), "longest_span", "span_words")
+    return named.select("field", "eval_id", "train_id", F.round(F.col("shared") / F.col("total"), 6).alias("similarity"), "longest_span", "span_words", "spans")

@@ -79,6 +79,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("field", F.least("eval_id", "train_id").alias("id_a"), F.greatest("eval_id", "train_id").alias("id_b")).distinct()
 
 
+def p4_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Each pair's longest match, its words in matches of eight words or more, and these merged into spans."""
+    return _overlaps(spark, folder)
+
+
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     """Claims and passages of each split and cited document that train holds too, with the same shingles or almost."""
     best = _overlaps(spark, folder).groupBy("field", F.col("eval_id").alias("id")).agg(F.max("similarity").alias("s"))
@@ -127,4 +132,4 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(_read(spark, folder, "documents"), "doc_id", "text", 200)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_collapsed, p3_found, p3_groups, p4_found, p4_report, p5_sample_rows, p5_sample_documents, p6_pack, p6_fill, p7_found, p7_leaks, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_collapsed, p3_found, p3_groups, p4_found, p4_spans, p4_report, p5_sample_rows, p5_sample_documents, p6_pack, p6_fill, p7_found, p7_leaks, p8_found, p8_share)}
