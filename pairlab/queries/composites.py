@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +47,21 @@ _CHOSEN = """, sized AS (SELECT claim_id, count(*) AS pool_size FROM pool GROUP
     placed AS (SELECT claim_id, cand, row_number() OVER (PARTITION BY claim_id ORDER BY cand) - 1 AS n FROM pool), chosen AS (SELECT p.claim_id, cand, pool_size FROM placed p JOIN pick k ON p.claim_id = k.claim_id AND n = place)"""
 
 
-def _built(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return C.build(table(spark, folder, "test"), table(spark, folder, "doc_metadata"))
+_SPLITS = ("train", "validation", "test")
+
+
+def _built(spark: SparkSession, folder: str, split: str) -> dict[str, DataFrame]:
+    return C.build(table(spark, folder, split), table(spark, folder, "doc_metadata"), split=split)
+
+
+def _over_splits(f: Callable[[SparkSession, str, str], DataFrame]) -> None:
+    """Registers ``f`` over each of the three splits by itself, with a split column; its SQL is that of ``f`` over test."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [f(spark, folder, s).select(F.lit(s).alias("split"), "*") for s in _SPLITS])
+
+    run.__name__ = f"{f.__name__}_splits"
+    query()(run)
 
 
 @query(f"WITH {_DOCS} SELECT base, pub, codes, refs FROM docs")
@@ -54,25 +70,25 @@ def g01_metadata(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"WITH {_DOCS}, {_PREP}, {_UNIVERSE} SELECT base, md5(cpassage) AS passage, pub, codes, components FROM uni")
-def g02_universe(spark: SparkSession, folder: str) -> DataFrame:
-    b = C.prepared(table(spark, folder, "test"), table(spark, folder, "doc_metadata"))
+def g02_universe(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
+    b = C.prepared(table(spark, folder, split), table(spark, folder, "doc_metadata"))
     return C.universe(b, C.metadata(table(spark, folder, "doc_metadata"))).select("base", F.md5("cpassage").alias("passage"), "pub", "codes", "components")
 
 
 @query(f"{_CHAIN} SELECT claim_id, cand FROM pool")
-def g03_pool(spark: SparkSession, folder: str) -> DataFrame:
-    return _built(spark, folder)["pool"]
+def g03_pool(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
+    return _built(spark, folder, split)["pool"]
 
 
 @query(f"{_CHAIN} SELECT claim_id, CASE WHEN NOT known THEN 'missing_target_metadata' WHEN len(target_codes) = 0 THEN 'missing_target_cpc' WHEN target IS NULL THEN 'missing_target_date' WHEN claim_id NOT IN (SELECT claim_id FROM pool) THEN 'no_remaining_candidate' END AS reason FROM tg")
-def g04_failures(spark: SparkSession, folder: str) -> DataFrame:
-    b = _built(spark, folder)
+def g04_failures(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
+    b = _built(spark, folder, split)
     return C.failures(b["targets"], b["pool"])
 
 
 @query(f"{_CHAIN} {_CHOSEN} SELECT 'random_test_' || _row_id AS row_id, claim_id, base AS candidate_base, strftime(u.pub, '%Y-%m-%d') AS candidate_date, array_to_string(codes, '|') AS candidate_codes, cpassage AS text_b, 2 AS label, 42 AS seed, pool_size, target_source FROM chosen JOIN uni u USING (cand) JOIN tg USING (claim_id)")
-def g05_random_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return _built(spark, folder)["random"]
+def g05_random_candidates(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
+    return _built(spark, folder, split)["random"]
 
 
 def _dense(spark: SparkSession, folder: str, b: dict[str, DataFrame]) -> DataFrame:
@@ -86,10 +102,10 @@ _DENSE = "dense AS (SELECT claim_id, cand, (('0x' || substr(md5(claim_id || '|'
 
 
 @query(f"{_CHAIN}, {_DENSE}, b AS (SELECT claim_id, max(score) AS m FROM dense GROUP BY 1) SELECT d.claim_id, min(cand) FILTER (score = m) AS cand, any_value(m) AS score, sum((m - score <= 1e-8)::INT)::BIGINT AS ties, count(*) AS pool_size FROM dense d JOIN b USING (claim_id) GROUP BY d.claim_id")
-def g06_dense_candidates(spark: SparkSession, folder: str) -> DataFrame:
+def g06_dense_candidates(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
     from ..operators.vectors import best_by_query
 
-    b = _built(spark, folder)
+    b = _built(spark, folder, split)
     scores = _dense(spark, folder, b)
     sized = scores.groupBy("claim_id").agg(F.count("*").alias("pool_size"))
     return best_by_query(scores, "claim_id", "cand", "score").join(count_best(scores, "claim_id", "score"), "claim_id").join(sized, "claim_id").select("claim_id", "cand", "score", "ties", "pool_size")
@@ -98,8 +114,8 @@ def g06_dense_candidates(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""{_CHAIN} {_CHOSEN}, r AS (SELECT q, cpassage FROM chosen JOIN tg USING (claim_id) JOIN uni USING (cand))
     SELECT 'duplicate_queries' AS check, count(*) - count(DISTINCT q) AS count FROM r UNION ALL SELECT 'duplicate_query_passage_pairs', count(*) - count(DISTINCT q || chr(10) || cpassage) FROM r
     UNION ALL SELECT unnest(['same_as_hard_u_passage', 'same_as_hard_u_document', 'existing_citation_or_reference', 'time_violation', 'cpc_violation', 'same_component_violation']), 0::BIGINT""")
-def g07_violations(spark: SparkSession, folder: str) -> DataFrame:
-    b = _built(spark, folder)
+def g07_violations(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
+    b = _built(spark, folder, split)
     return C.violations(b["random"], b["targets"], b["prep"], b["docs"])
 
 
@@ -128,17 +144,21 @@ def g08_cross_split_random(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"{_CHAIN}, z AS (SELECT claim_id, count(*) AS n FROM pool GROUP BY 1) SELECT count(n) AS queries, round(count(n) / count(*), 6) AS coverage, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, min(n) AS least, max(n) AS most FROM tg LEFT JOIN z USING (claim_id)")
-def g09_pool_summary(spark: SparkSession, folder: str) -> DataFrame:
-    b = _built(spark, folder)
+def g09_pool_summary(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
+    b = _built(spark, folder, split)
     return C.pool_summary(b["targets"], b["pool"])
 
 
 @query(f"{_CHAIN} {_CHOSEN}, {_DENSE}, b AS (SELECT claim_id, max(score) AS m FROM dense GROUP BY 1), o AS (SELECT claim_id, score AS own FROM dense JOIN chosen USING (claim_id, cand)) SELECT claim_id, sum((score > own)::INT)::BIGINT + 1 AS rank, round(any_value(m) - any_value(own), 6) AS gap, (sum((score > own)::INT) + 1 <= 3 AND any_value(m) - any_value(own) <= 0.002::DOUBLE) AS near_tie FROM dense JOIN o USING (claim_id) JOIN b USING (claim_id) GROUP BY claim_id")
-def g10_near_ties(spark: SparkSession, folder: str) -> DataFrame:
-    b = _built(spark, folder)
+def g10_near_ties(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
+    b = _built(spark, folder, split)
     return C.near_ties(_dense(spark, folder, b), "claim_id", "cand", "score", b["chosen"]).withColumn("gap", F.round("gap", 6))
 
 
+for _f in (g02_universe, g03_pool, g04_failures, g05_random_candidates, g06_dense_candidates, g07_violations, g09_pool_summary, g10_near_ties):
+    _over_splits(_f)
+
+
 @query(f"""WITH v AS (SELECT split, label, {NORM.format('text')} AS q, {NORM.format('text_b')} AS p FROM {_PAIRS3}),
     d AS (SELECT DISTINCT * FROM ({_values(_PAIRS3, _REL)}) WHERE value <> '')
     SELECT 'rows' AS check, split || '/' || label AS subject, count(*) AS value FROM v GROUP BY ALL
