@@ -262,6 +262,22 @@ def g20_components(spark: SparkSession, folder: str) -> DataFrame:
     return components(rows.select(F.concat(F.lit("a"), "a").alias("u"), F.concat(F.lit("d"), "d").alias("v")), "u", "v")
 
 
+_IDS = ("document", "application", "component_id", "supercomponent_id", "priority_component_id")
+
+
+@query()
+def g20_components_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all ids that rows of the three splits share, cited or not; a node is a relation and an id.
+
+    A row ties its first id to each other one; a row with one id gives a node of its own."""
+    rel = _relations()
+    cols = ["cited_document_id", "patent_application_id", "_component_id", "_supercomponent_id", "_priority_component_id"]
+    ids = F.filter(F.array(*[F.when(rel[n] != "", F.concat(F.lit(f"{n}|"), rel[n])) for n in _IDS]), lambda x: x.isNotNull())
+    rows = load_splits(spark, folder, list(_SPLITS), cols).select(ids.alias("ids")).where("size(ids) > 0")
+    others = F.when(F.size("ids") == 1, F.col("ids")).otherwise(F.slice("ids", 2, len(_IDS)))
+    return components(rows.select(F.col("ids")[0].alias("u"), F.explode(others).alias("v")), "u", "v")
+
+
 def _dated(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "test").select("claim_id", "label", F.coalesce(parse_date("_date"), F.col("_parsed_date").cast("date")).alias("day"))
     return temporal.query_table(rows, "claim_id", F.col("label") == 2, "day", T1, strict=False)

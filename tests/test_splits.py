@@ -22,3 +22,49 @@ def test_candidate_chain_covers_each_split(name, spark, sf):
         sql = SQL[name].replace("'42|test|'", f"'42|{split}|'").replace("'random_test_'", f"'random_{split}_'")
         assert_same(found.where(f"split = '{split}'").drop("split"), con, sql)
     found.unpersist()
+
+
+def tied(rows):
+    """Union-find: (node, least node of its component)."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for ids in rows:
+        for x in ids:
+            a, b = find(ids[0]), find(x)
+            root[max(a, b)] = min(a, b)
+    return {(x, find(x)) for x in list(root)}
+
+
+IDS = {"document": "cited_document_id", "application": "patent_application_id", "component_id": "_component_id", "supercomponent_id": "_supercomponent_id", "priority_component_id": "_priority_component_id"}
+
+
+def test_components_tie_splits(spark, tmp_path):
+    """A document of many train rows, a test row tied to it by a validation row, an uncited row, and a row with one id."""
+    rows = {
+        "train": [(f"EP{i}", "US1", 0, None, None, None) for i in range(30)] + [("EP90", "US90", 2, None, None, None), (None, "US91", 1, "", " ", None)],
+        "validation": [("EP5", "US2", 0, None, None, None), ("EP40", "US3", 1, "c1", None, None)],
+        "test": [("EP41", "US2", 0, None, "s1", "p1"), ("EP42", "US4", 2, "c1", None, None), ("EP43", "US5", 1, None, None, "p1")],
+    }
+    for name, r in rows.items():
+        spark.createDataFrame(r, "patent_application_id string, cited_document_id string, label int, _component_id string, _supercomponent_id string, _priority_component_id string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.node, r.component) for r in QUERIES["g20_components_splits"](spark, str(tmp_path)).collect()}
+    names = ("application|", "document|", None, "component_id|", "supercomponent_id|", "priority_component_id|")
+    assert got == tied([[n + x.strip() for n, x in zip(names, r) if n and x and x.strip()] for rs in rows.values() for r in rs])
+    of = dict(got)
+    assert of["document|US1"] == of["application|EP41"] == of["document|US5"] and of["document|US3"] == of["document|US4"] != of["document|US1"]
+
+
+def test_components_of_smallest_tables(spark, sf):
+    from pairlab.queries.composites import _REL
+
+    con = duckdb.connect()
+    some = ", ".join(f"CASE WHEN {_REL[n]} <> '' THEN '{n}|' || {_REL[n]} END" for n in IDS)
+    rows = [r for s in SPLITS for r in con.execute(f"SELECT {some} FROM read_parquet('{sf}/{s}.parquet')").fetchall()]
+    got = [(r.node, r.component) for r in QUERIES["g20_components_splits"](spark, sf).collect()]
+    expected = tied([ids for r in rows if (ids := [x for x in r if x is not None])])
+    assert set(got) == expected and len(got) == len(expected)
