@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,18 @@ from .composites import _BINS, _FLAGS, _dated, g23_subsets
 from .fixtures import METRICS, scored_metrics
 from .registry import query, table
 
-REPLICATES, SEED = 200, 42
+#: Replicates of the queries with SQL, which compares all pairs of scores, and of the whole job.
+REPLICATES, WHOLE, SEED = 200, 2000, 42
+
+
+def _whole(f: Callable[..., DataFrame]) -> None:
+    """Registers ``f`` with all replicates; its SQL is that of ``f`` but for their number."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return f(spark, folder, WHOLE)
+
+    run.__name__ = f"{f.__name__}_{WHOLE}"
+    query()(run)
 
 
 def _draws(source: str, key: str = "query", extra: str = "", part: str = "''") -> str:
@@ -30,10 +43,10 @@ _AUC = """(SELECT {by}, sum(w * v * CASE WHEN s > t THEN 1.0 WHEN s = t THEN 0.5
     (SELECT {by}, cited AS s, sum(w) AS w FROM x WHERE label <> 2 GROUP BY ALL) JOIN (SELECT {by}, cited AS t, sum(w) AS v FROM x WHERE label = 2 GROUP BY ALL) USING ({by}) GROUP BY {by})"""
 
 
-def _replicate_auc(spark: SparkSession, folder: str) -> DataFrame:
+def _replicate_auc(spark: SparkSession, folder: str, replicates: int) -> DataFrame:
     """ROC-AUC of each seed (the systems, here) in each replicate; systems share the draws."""
     s = cut(scored_metrics(spark, folder).select("seed", "query", "label", "cited"))
-    w = cut(R.weights(R.numbered_queries(s, "query"), "query", REPLICATES, SEED))
+    w = cut(R.weights(R.numbered_queries(s, "query"), "query", replicates, SEED))
     x = R.resampled(s, w, "query")
     return M.roc_auc(x, ["seed", "replicate"], F.col("label") != 2, "cited", "w", even=True).drop("metric")
 
@@ -42,8 +55,8 @@ _REPL = f"WITH {METRICS}, {_draws('m')}, x AS (SELECT seed, replicate, label, ci
 
 
 @query(f"{_REPL} SELECT seed, round(quantile_cont(value, 0.025), 6) AS ci_lower, round(quantile_cont(value, 0.975), 6) AS ci_upper, count(value) AS replicates FROM v GROUP BY seed")
-def b01_bootstrap_auc(spark: SparkSession, folder: str) -> DataFrame:
-    ci = I.percentile_interval(_replicate_auc(spark, folder), ["seed"], "value")
+def b01_bootstrap_auc(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
+    ci = I.percentile_interval(_replicate_auc(spark, folder, replicates), ["seed"], "value")
     return ci.withColumns({c: F.round(c, 6) for c in ("ci_lower", "ci_upper")})
 
 
@@ -51,26 +64,26 @@ _BIN_DRAWS = _draws("b", extra="bin", part="bin || '|' ")
 _BIN_REPL = f"WITH {METRICS}, {_BINS}, b AS (SELECT m.*, bins.bin FROM m JOIN bins ON m.query = bins.claim_id WHERE seed = 13), {_BIN_DRAWS}, x AS (SELECT b.bin, replicate, label, cited, w FROM b JOIN ww USING (bin, query)), v AS {_AUC.format(by='bin, replicate')}"
 
 
-def _bin_auc(spark: SparkSession, folder: str) -> DataFrame:
+def _bin_auc(spark: SparkSession, folder: str, replicates: int) -> DataFrame:
     from ..operators import temporal
 
     bins = temporal.with_bins(_dated(spark, folder), "day").where("bin is not null").select(F.col("claim_id").alias("query"), "bin")
     b = cut(scored_metrics(spark, folder).where("seed = 13").join(bins, "query").select("bin", "query", "label", "cited"))
-    w = R.weights(R.numbered_queries(b, "query", "bin"), "query", REPLICATES, SEED, "bin")
+    w = R.weights(R.numbered_queries(b, "query", "bin"), "query", replicates, SEED, "bin")
     return M.roc_auc(R.resampled(b, w, "query", "bin"), ["bin", "replicate"], F.col("label") != 2, "cited", "w", even=True).drop("metric")
 
 
 @query(f"{_BIN_REPL} SELECT l.replicate, round(l.value - e.value, 6) AS delta FROM v l JOIN v e ON l.replicate = e.replicate AND l.bin = 'late' AND e.bin = 'early'")
-def b02_bin_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
+def b02_bin_bootstrap(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
     """Late less early, each bin drawing its own queries."""
-    v = cut(_bin_auc(spark, folder))
+    v = cut(_bin_auc(spark, folder, replicates))
     late, early = v.where("bin = 'late'").select("replicate", F.col("value").alias("l")), v.where("bin = 'early'").select("replicate", F.col("value").alias("e"))
     return late.join(early, "replicate").select("replicate", F.round(F.col("l") - F.col("e"), 6).alias("delta"))
 
 
 @query(f"{_BIN_REPL} SELECT bin, round(quantile_cont(value, 0.025), 6) AS ci_lower, round(quantile_cont(value, 0.975), 6) AS ci_upper, count(value) AS replicates FROM v GROUP BY bin")
-def b03_percentile_interval(spark: SparkSession, folder: str) -> DataFrame:
-    return I.percentile_interval(_bin_auc(spark, folder), ["bin"], "value").withColumns({c: F.round(c, 6) for c in ("ci_lower", "ci_upper")})
+def b03_percentile_interval(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
+    return I.percentile_interval(_bin_auc(spark, folder, replicates), ["bin"], "value").withColumns({c: F.round(c, 6) for c in ("ci_lower", "ci_upper")})
 
 
 _PAIRS = "pr AS (SELECT * FROM (VALUES (13, 42), (13, 77), (42, 77)) t(first, second)), de AS (SELECT a.replicate, first, second, b.value - a.value AS delta FROM pr JOIN v a ON a.seed = first JOIN v b ON b.seed = second AND a.replicate = b.replicate)"
@@ -78,39 +91,39 @@ _PV = "pv AS (SELECT first, second, least(1.0, 2 * least((count(*) FILTER (delta
 _HOLM = "hs AS (SELECT *, row_number() OVER (PARTITION BY {f} ORDER BY p_value, second, first) AS k, count(*) OVER (PARTITION BY {f}) AS n FROM pv), ho AS (SELECT *, least(1.0, max((n - k + 1) * p_value) OVER (PARTITION BY {f} ORDER BY p_value, second, first ROWS UNBOUNDED PRECEDING)) AS p_adjusted FROM hs)"
 
 
-def _deltas(spark: SparkSession, folder: str) -> DataFrame:
+def _deltas(spark: SparkSession, folder: str, replicates: int) -> DataFrame:
     pairs = spark.createDataFrame([(13, 42), (13, 77), (42, 77)], "first int, second int")
-    return I.contrasts(cut(_replicate_auc(spark, folder)), ["replicate"], "seed", pairs)
+    return I.contrasts(cut(_replicate_auc(spark, folder, replicates)), ["replicate"], "seed", pairs)
 
 
-def _p_values(spark: SparkSession, folder: str) -> DataFrame:
-    return I.tail_p(_deltas(spark, folder), ["first", "second"], "delta").withColumn("pair", F.expr("second * 1000 + first"))
+def _p_values(spark: SparkSession, folder: str, replicates: int) -> DataFrame:
+    return I.tail_p(_deltas(spark, folder, replicates), ["first", "second"], "delta").withColumn("pair", F.expr("second * 1000 + first"))
 
 
 @query(f"{_REPL}, {_PAIRS}, {_PV} SELECT first, second, round(p_value, 9) AS p_value FROM pv")
-def b04_tail_p(spark: SparkSession, folder: str) -> DataFrame:
-    return _p_values(spark, folder).select("first", "second", F.round("p_value", 9).alias("p_value"))
+def b04_tail_p(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
+    return _p_values(spark, folder, replicates).select("first", "second", F.round("p_value", 9).alias("p_value"))
 
 
 @query(f"{_REPL}, {_PAIRS}, {_PV}, {_HOLM.format(f='1')} SELECT first, second, round(p_adjusted, 9) AS p_adjusted, p_adjusted < 0.05 AS significant FROM ho")
-def b05_holm(spark: SparkSession, folder: str) -> DataFrame:
+def b05_holm(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
     """b10's flag is ``significant``."""
-    return I.holm(_p_values(spark, folder), [], "p_value", "pair").select("first", "second", F.round("p_adjusted", 9).alias("p_adjusted"), "significant")
+    return I.holm(_p_values(spark, folder, replicates), [], "p_value", "pair").select("first", "second", F.round("p_adjusted", 9).alias("p_adjusted"), "significant")
 
 
 @query(f"{_REPL}, {_PAIRS}, {_PV}, {_HOLM.format(f='first')} SELECT first, second, round(p_adjusted, 9) AS p_adjusted FROM ho")
-def b06_family_holm(spark: SparkSession, folder: str) -> DataFrame:
-    return I.holm(_p_values(spark, folder), ["first"], "p_value", "pair").select("first", "second", F.round("p_adjusted", 9).alias("p_adjusted"))
+def b06_family_holm(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
+    return I.holm(_p_values(spark, folder, replicates), ["first"], "p_value", "pair").select("first", "second", F.round("p_adjusted", 9).alias("p_adjusted"))
 
 
 @query(f"{_REPL}, {_PAIRS} SELECT replicate, first, second, round(delta, 6) AS delta FROM de")
-def b07_contrasts(spark: SparkSession, folder: str) -> DataFrame:
-    return _deltas(spark, folder).withColumn("delta", F.round("delta", 6))
+def b07_contrasts(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
+    return _deltas(spark, folder, replicates).withColumn("delta", F.round("delta", 6))
 
 
 @query(f"{_REPL} SELECT seed, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM v GROUP BY seed")
-def b08_bootstrap_mean_std(spark: SparkSession, folder: str) -> DataFrame:
-    return I.mean_std(_replicate_auc(spark, folder), ["seed"], "value").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+def b08_bootstrap_mean_std(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
+    return I.mean_std(_replicate_auc(spark, folder, replicates), ["seed"], "value").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
 _APP_DRAWS = _draws("small", extra="app", part="app || '|' ")
@@ -118,17 +131,21 @@ _APP_DRAWS = _draws("small", extra="app", part="app || '|' ")
 
 @query(f"""WITH {METRICS}, small AS (SELECT *, split_part(query, '_', 1) AS app FROM m WHERE seed = 13), {_APP_DRAWS}, x AS (SELECT app, replicate, label, cited, w FROM small JOIN ww USING (app, query)),
     k AS (SELECT app, replicate, count(DISTINCT (label = 2)) AS k FROM x GROUP BY ALL) SELECT app, count(*) AS replicates, count(*) FILTER (k = 2) AS usable FROM k GROUP BY app""")
-def b09_one_class_replicates(spark: SparkSession, folder: str) -> DataFrame:
+def b09_one_class_replicates(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
     """Replicates within each application's few queries, and how many of them have both classes; the others' AUC is null."""
     s = cut(scored_metrics(spark, folder).where("seed = 13").withColumn("app", F.substring_index("query", "_", 1)).select("app", "query", "label", "cited"))
-    w = R.weights(R.numbered_queries(s, "query", "app"), "query", REPLICATES, SEED, "app")
+    w = R.weights(R.numbered_queries(s, "query", "app"), "query", replicates, SEED, "app")
     v = M.roc_auc(R.resampled(s, w, "query", "app"), ["app", "replicate"], F.col("label") != 2, "cited", "w", even=True)
     return v.groupBy("app").agg(F.count("*").alias("replicates"), F.count("value").alias("usable"))
 
 
 @query(f"{_REPL}, {_PAIRS}, {_PV} SELECT first, second, p_value < 0.05 AS significant FROM pv")
-def b10_significance(spark: SparkSession, folder: str) -> DataFrame:
-    return _p_values(spark, folder).select("first", "second", (F.col("p_value") < 0.05).alias("significant"))
+def b10_significance(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
+    return _p_values(spark, folder, replicates).select("first", "second", (F.col("p_value") < 0.05).alias("significant"))
+
+
+for _f in (b01_bootstrap_auc, b02_bin_bootstrap, b03_percentile_interval, b04_tail_p, b05_holm, b06_family_holm, b07_contrasts, b08_bootstrap_mean_std, b09_one_class_replicates, b10_significance):
+    _whole(_f)
 
 
 @query(f"""WITH {METRICS}, e AS (SELECT _row_id, query, label, round(avg(cited), 9) AS cited FROM m GROUP BY ALL),

@@ -256,10 +256,16 @@ def k04_seeded_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"WITH q AS (SELECT claim_id AS query, row_number() OVER (ORDER BY claim_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT claim_id FROM test)), d AS (SELECT replicate, (('0x' || substr(md5('42|' || replicate || '|' || i), 1, 12))::UBIGINT % n)::BIGINT AS i FROM q, (SELECT unnest(range(20))::INT AS replicate)) SELECT replicate, query, count(*) AS w FROM d JOIN q USING (i) GROUP BY ALL")
-def k05_bootstrap_draw(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each query is drawn in each of 20 replicates."""
+def k05_bootstrap_draw(spark: SparkSession, folder: str, replicates: int = 20) -> DataFrame:
+    """How often each query is drawn in each replicate: 20, as in the SQL."""
     q = table(spark, folder, "test").select(F.col("claim_id").alias("query"))
-    return resample.weights(resample.numbered_queries(q, "query"), "query", 20, 42)
+    return resample.weights(resample.numbered_queries(q, "query"), "query", replicates, 42)
+
+
+@query()
+def k05_bootstrap_draw_2000(spark: SparkSession, folder: str) -> DataFrame:
+    """All replicates."""
+    return k05_bootstrap_draw(spark, folder, 2000)
 
 
 @query("WITH k AS (SELECT DISTINCT claim_id FROM test), n AS (SELECT claim_id, row_number() OVER (ORDER BY md5('42|' || claim_id), claim_id) - 1 AS n, count(*) OVER () AS t FROM k) SELECT claim_id, CASE WHEN n < t // 2 THEN 1 ELSE 2 END AS half FROM n")

@@ -1,0 +1,20 @@
+"""The bootstrap with all 2,000 replicates against its SQL with as many, on the smallest tables."""
+
+import pytest
+
+from pairlab.queries import QUERIES, SQL
+
+from .compare import assert_same
+
+WHOLE = sorted(n.removesuffix("_2000") for n in QUERIES if n.endswith("_2000"))
+
+
+def test_every_bootstrap_query_has_all_replicates():
+    assert [n.split("_")[0] for n in WHOLE] == [f"b{i:02d}" for i in range(1, 11)] + ["k05"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_matches_sql_with_all_replicates(name, spark, sf, duck):
+    few = "range(20)" if name.startswith("k05") else "range(200)"
+    assert SQL[name].count(few) == 1
+    assert_same(QUERIES[f"{name}_2000"](spark, sf), duck, SQL[name].replace(few, "range(2000)"))
