@@ -14,7 +14,7 @@ from ..operators import audits, joins, temporal
 from ..operators import candidates as C
 from ..operators.components import components
 from ..operators.metrics import mean_of_queries, pairwise_by_query
-from ..operators.schema import best_overlap_column
+from ..operators.schema import best_overlap_column, resolve_ids
 from ..operators.vectors import count_best, strict_rank
 from ..sources.tables import load_splits
 from .fixtures import ENSEMBLE, ensemble
@@ -143,6 +143,17 @@ def g08_cross_split_random(spark: SparkSession, folder: str) -> DataFrame:
     return audits.cross_split_overlaps(rows, "split", {k: rel[k] for k in _REL3})
 
 
+@query()
+def g08_cross_split_random_all(spark: SparkSession, folder: str) -> DataFrame:
+    """With validation, and by resolved documents: the candidate's for random rows, the cited one for others."""
+    cols = ["text", "text_b"]
+    rows = load_splits(spark, folder, list(_SPLITS), [*cols, F.col("cited_document_id").alias("id")])
+    rand = table(spark, folder, "generate_random_u").select(*cols, F.col("_u_candidate_base").alias("id"), F.lit("random").alias("split"))
+    both = resolve_ids(rows.unionByName(rand), "id", table(spark, folder, "doc_metadata"), "input_id", "base_id", "row_pos", "doc")
+    rel = _relations()
+    return audits.cross_split_overlaps(both, "split", {"query": rel["query"], "passage": rel["passage"], "document": F.col("doc")})
+
+
 @query(f"{_CHAIN}, z AS (SELECT claim_id, count(*) AS n FROM pool GROUP BY 1) SELECT count(n) AS queries, round(count(n) / count(*), 6) AS coverage, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, min(n) AS least, max(n) AS most FROM tg LEFT JOIN z USING (claim_id)")
 def g09_pool_summary(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
     b = _built(spark, folder, split)

@@ -68,3 +68,14 @@ def test_components_of_smallest_tables(spark, sf):
     got = [(r.node, r.component) for r in QUERIES["g20_components_splits"](spark, sf).collect()]
     expected = tied([ids for r in rows if (ids := [x for x in r if x is not None])])
     assert set(got) == expected and len(got) == len(expected)
+
+
+def test_random_rows_are_compared_with_all_splits_by_candidate(spark, tmp_path):
+    row = "text string, text_b string, cited_document_id string"
+    for name in SPLITS:
+        spark.createDataFrame([(f"q {name}", f"p {name}", f"US1{len(name)}")] + [("q both", "p v", "EP7A1")] * (name == "validation"), row).write.parquet(f"{tmp_path}/{name}.parquet")
+    # The candidate is an alias of validation's document; the cited document is another one.
+    spark.createDataFrame([("Q both", "p r", "XX9", "WO8")], row + ", _u_candidate_base string").write.parquet(f"{tmp_path}/generate_random_u.parquet")
+    spark.createDataFrame([("WO8", "EP7", 1)], "input_id string, base_id string, row_pos long").write.parquet(f"{tmp_path}/doc_metadata.parquet")
+    got = {(r["relation"], r["first"], r["second"], r["shared"]) for r in QUERIES["g08_cross_split_random_all"](spark, str(tmp_path)).collect()}
+    assert got == {("query", "random", "validation", 1), ("document", "random", "validation", 1)}
