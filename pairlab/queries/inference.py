@@ -64,13 +64,16 @@ _BIN_DRAWS = _draws("b", extra="bin", part="bin || '|' ")
 _BIN_REPL = f"WITH {METRICS}, {_BINS}, b AS (SELECT m.*, bins.bin FROM m JOIN bins ON m.query = bins.claim_id WHERE seed = 13), {_BIN_DRAWS}, x AS (SELECT b.bin, replicate, label, cited, w FROM b JOIN ww USING (bin, query)), v AS {_AUC.format(by='bin, replicate')}"
 
 
-def _bin_auc(spark: SparkSession, folder: str, replicates: int) -> DataFrame:
+def _bin_auc(spark: SparkSession, folder: str, replicates: int, all_seeds: bool = False) -> DataFrame:
+    """By seed too if ``all_seeds``, else of seed 13; seeds share the draws."""
     from ..operators import temporal
 
     bins = temporal.with_bins(_dated(spark, folder), "day").where("bin is not null").select(F.col("claim_id").alias("query"), "bin")
-    b = cut(scored_metrics(spark, folder).where("seed = 13").join(bins, "query").select("bin", "query", "label", "cited"))
+    s = scored_metrics(spark, folder)
+    b = cut((s if all_seeds else s.where("seed = 13")).join(bins, "query").select("seed", "bin", "query", "label", "cited"))
     w = R.weights(R.numbered_queries(b, "query", "bin"), "query", replicates, SEED, "bin")
-    return M.roc_auc(R.resampled(b, w, "query", "bin"), ["bin", "replicate"], F.col("label") != 2, "cited", "w", even=True).drop("metric")
+    by = ["seed", "bin", "replicate"] if all_seeds else ["bin", "replicate"]
+    return M.roc_auc(R.resampled(b, w, "query", "bin"), by, F.col("label") != 2, "cited", "w", even=True).drop("metric")
 
 
 @query(f"{_BIN_REPL} SELECT l.replicate, round(l.value - e.value, 6) AS delta FROM v l JOIN v e ON l.replicate = e.replicate AND l.bin = 'late' AND e.bin = 'early'")
@@ -148,6 +151,29 @@ for _f in (b01_bootstrap_auc, b02_bin_bootstrap, b03_percentile_interval, b04_ta
     _whole(_f)
 
 
+@query()
+def b02_bin_bootstrap_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Each seed's, with all replicates."""
+    v = cut(_bin_auc(spark, folder, WHOLE, all_seeds=True))
+    late, early = v.where("bin = 'late'").select("seed", "replicate", F.col("value").alias("l")), v.where("bin = 'early'").select("seed", "replicate", F.col("value").alias("e"))
+    return late.join(early, ["seed", "replicate"]).select("seed", "replicate", F.round(F.col("l") - F.col("e"), 6).alias("delta"))
+
+
+@query()
+def b03_percentile_interval_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Each seed's, with all replicates."""
+    return I.percentile_interval(_bin_auc(spark, folder, WHOLE, all_seeds=True), ["seed", "bin"], "value").withColumns({c: F.round(c, 6) for c in ("ci_lower", "ci_upper")})
+
+
+@query()
+def b09_one_class_replicates_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Each seed's, with all replicates."""
+    s = cut(scored_metrics(spark, folder).withColumn("app", F.substring_index("query", "_", 1)).select("seed", "app", "query", "label", "cited"))
+    w = R.weights(R.numbered_queries(s, "query", "app"), "query", WHOLE, SEED, "app")
+    v = M.roc_auc(R.resampled(s, w, "query", "app"), ["seed", "app", "replicate"], F.col("label") != 2, "cited", "w", even=True)
+    return v.groupBy("seed", "app").agg(F.count("*").alias("replicates"), F.count("value").alias("usable"))
+
+
 @query(f"""WITH {METRICS}, e AS (SELECT _row_id, query, label, round(avg(cited), 9) AS cited FROM m GROUP BY ALL),
     s AS (SELECT seed::VARCHAR AS system, query, label, cited FROM m UNION ALL SELECT 'ensemble', query, label, cited FROM e), x AS (SELECT system, label, cited, 1 AS w FROM s) SELECT system, round(value, 6) AS value FROM {_AUC.format(by='system')}""")
 def b11_seeds_and_ensemble(spark: SparkSession, folder: str) -> DataFrame:

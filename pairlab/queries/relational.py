@@ -198,6 +198,13 @@ def w05_strict_rank(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.strict_rank(scored_metrics(spark, folder).where("seed = 13"), "query", "p_a").select("seed", "query", "_row_id", "rank")
 
 
+@query()
+def w05_strict_rank_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Each seed's."""
+    scores = scored_metrics(spark, folder).select("seed", "query", "_row_id", "p_a", F.struct("seed", "query").alias("of"))
+    return vectors.strict_rank(scores, "of", "p_a").select("seed", "query", "_row_id", "rank")
+
+
 @query(f"WITH {METRICS}, b AS (SELECT query, max(p_a) AS best FROM m GROUP BY 1) SELECT query, sum((abs(best - p_a) <= 0.01)::INT)::BIGINT AS ties FROM m JOIN b USING (query) GROUP BY query")
 def w06_count_best(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.count_best(scored_metrics(spark, folder), "query", "p_a", 0.01)

@@ -1,0 +1,19 @@
+"""Queries over all seeds: each seed's rows against the SQL over that seed, on the smallest tables."""
+
+import pytest
+
+from pairlab.queries import QUERIES, SQL
+
+from .compare import assert_same
+
+
+@pytest.mark.parametrize("name", ["w05_strict_rank", "b02_bin_bootstrap", "b03_percentile_interval", "b09_one_class_replicates"])
+def test_each_seed_matches_sql(name, spark, sf, duck):
+    found = QUERIES[f"{name}_seeds"](spark, sf).cache()
+    assert {r.seed for r in found.select("seed").distinct().collect()} == {13, 42, 77}
+    for seed in (13, 42, 77):
+        assert SQL[name].count("seed = 13") == 1
+        sql = SQL[name].replace("seed = 13", f"seed = {seed}").replace("range(200)", "range(2000)")
+        rows = found.where(f"seed = {seed}")
+        assert_same(rows if name.startswith("w05") else rows.drop("seed"), duck, sql)
+    found.unpersist()
