@@ -310,6 +310,13 @@ def o04_intersect3(spark: SparkSession, folder: str) -> DataFrame:
     return key("train").intersect(key("test")).intersect(key("validation"))
 
 
+@query("SELECT claim_id FROM test WHERE label <> 2 INTERSECT SELECT claim_id FROM test WHERE label = 2 INTERSECT SELECT claim_id FROM generate_random_u")
+def o04_intersect3_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole keys: claims with cited, hard and random rows."""
+    t = table(spark, folder, "test")
+    return t.where("label <> 2").select("claim_id").intersect(t.where("label = 2").select("claim_id")).intersect(table(spark, folder, "generate_random_u").select("claim_id"))
+
+
 @query("SELECT claim_id FROM test EXCEPT SELECT claim_id FROM generate_random_u")
 def o05_except(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "test").select("claim_id").subtract(table(spark, folder, "generate_random_u").select("claim_id"))
