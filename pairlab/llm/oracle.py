@@ -50,6 +50,9 @@ for _r in range(6):
     _P5 += f", r{_r + 1} AS (SELECT unit, seq, blk, b AS a, (a + ('0x' || substr(md5('7|' || blk || '|{_r}|' || b), 1, 8))::UBIGINT::BIGINT) % 32 AS b FROM r{_r})\n"
 _P5 += ", chosen AS (SELECT unit, seq FROM r6 WHERE a * 32 + b < 128)\n"
 
+#: The words of a window that a mask looks at.
+_SEED = "array_to_string(list_filter(list_transform(g, lambda x, i: CASE WHEN z = 1 OR (i - 1) % 4 <> m THEN x END), lambda x: x IS NOT NULL), ' ')"
+
 SQL = {
     "p1_found": f"WITH RECURSIVE {_TIES} SELECT a AS row_id, min(b) AS group_row_id FROM reach GROUP BY a HAVING count(*) > 1",
     "p2_found": f"{_COPIES} SELECT r AS row_id, min(r) OVER (PARTITION BY source, a, b) AS kept_row_id FROM k2 QUALIFY count(*) OVER (PARTITION BY source, a, b) > 1",
@@ -70,6 +73,16 @@ SQL = {
         z AS (SELECT DISTINCT z FROM iw),
         dw AS (SELECT DISTINCT doc_id, z, unnest(list_transform(range(1, len(w) - z + 2), lambda k: array_to_string(w[k:k + z - 1], ' '))) AS g FROM d, z WHERE len(w) >= z)
         SELECT DISTINCT item_id, doc_id FROM iw JOIN dw USING (z, g)""",
+    "p7_leaks": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text <> ''),
+        i AS (SELECT DISTINCT item_id, {_WORDS.format('text')} AS w FROM heldout_items WHERE text <> ''),
+        iw AS (SELECT item_id, least(13, len(w)) AS z, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k, w FROM i WHERE len(w) > 0),
+        im AS (SELECT item_id, z, w[k:k + z - 1] AS g, unnest(range(least(4, z))) AS m FROM iw),
+        dw AS (SELECT doc_id, z, unnest(range(1, len(w) - z + 2)) AS k, w FROM d, (SELECT DISTINCT z FROM iw) WHERE len(w) >= z),
+        dm AS (SELECT doc_id, z, k - 1 AS pos, w[k:k + z - 1] AS g, unnest(range(least(4, z))) AS m FROM dw),
+        a AS (SELECT *, {_SEED} AS s FROM im), b AS (SELECT *, {_SEED} AS s FROM dm),
+        h AS (SELECT DISTINCT item_id, doc_id, z, pos, len(list_filter(list_zip(a.g, b.g), lambda x: x[1] = x[2])) AS equal FROM a JOIN b USING (z, m, s)),
+        q AS (SELECT item_id, doc_id, z, pos, max(equal) AS equal FROM h WHERE equal >= z - 1 GROUP BY ALL)
+        SELECT item_id, doc_id, max(equal)::INT AS equal_words, max(z)::INT AS window_words, count(*)::INT AS windows, min(pos)::BIGINT AS first_word, (max(pos) + max(z) - 1)::BIGINT AS last_word FROM q GROUP BY item_id, doc_id""",
     "p8_found": """WITH d AS (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS p FROM documents WHERE length(text) >= 200),
         w AS (SELECT doc_id, p, hash(substring(text, p + 1, 200)) AS h1, md5(substring(text, p + 1, 200)) AS h2 FROM d),
         m AS (SELECT h1, h2 FROM w GROUP BY h1, h2 HAVING min(doc_id) < max(doc_id)),

@@ -114,8 +114,8 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = leaks(_read(spark, folder, "documents"), _read(spark, folder, "heldout_items"), max_substitutions=0)
-    return found.select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"))
+    """Parts without a replaced word, of those found with one replaced word allowed."""
+    return p7_leaks(spark, folder).where("equal_words = window_words").select("item_id", "doc_id")
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
