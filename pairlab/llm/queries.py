@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.text import base_id, component, field_key
+from ..plans.cut import cut
 from .grouped_splits import grouped_splits, groups
 from .hidden_copies import collapsed, copies
 from .leaks import leaks
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from .overlaps import overlaps
-from .packing import pack, pack_fill
+from .packing import pack, pack_audit, pack_fill
 from .shared_spans import shared_share, shared_spans
 from .stable_sample import stable_sample
 
@@ -109,6 +110,12 @@ def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_read(spark, folder, "documents"), "doc_id", "text", CAPACITY)
 
 
+def p6_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in containers, whole or in order, and none of these above the capacity."""
+    documents = _read(spark, folder, "documents")
+    return pack_audit(cut(pack(documents, "doc_id", "text", CAPACITY)), documents, "doc_id", "text", CAPACITY)
+
+
 def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return pack_fill(_read(spark, folder, "documents"), "doc_id", "text", CAPACITY)
 
@@ -132,4 +139,4 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(_read(spark, folder, "documents"), "doc_id", "text", 200)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_collapsed, p3_found, p3_groups, p4_found, p4_spans, p4_report, p5_sample_rows, p5_sample_documents, p6_pack, p6_fill, p7_found, p7_leaks, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_collapsed, p3_found, p3_groups, p4_found, p4_spans, p4_report, p5_sample_rows, p5_sample_documents, p6_pack, p6_audit, p6_fill, p7_found, p7_leaks, p8_found, p8_share)}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlab.llm.leaks import leaks
-from pairlab.llm.packing import difference, fill, pack, pack_fill
+from pairlab.llm.packing import difference, fill, pack, pack_audit, pack_fill
 from pairlab.llm.shared_spans import merge_ranges, shared_share, shared_spans
 from pairlab.llm.stable_sample import stable_sample
 
@@ -175,6 +175,19 @@ def test_pack(spark):
     assert pack(df.limit(0), capacity=256).count() == 0 and pack_fill(df.limit(0), capacity=256).first().containers == 0
 
 
+def test_pack_repeated_ids(spark):
+    """Rows with one id, of the same and of other texts, are items of their own; the copies of one row fill several runs."""
+    long, other = "alpha " * 100, "beta gamma " * 90
+    rows = [(1, long), (1, long), (1, other), (2, "short")] + [(7, "the same few words")] * 25_000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pack(df, capacity=64, windows_per_block=16).toPandas()
+    assert got.groupby("container_id").n_tokens.sum().max() <= 64
+    assert (got.groupby("container_id").n_tokens.transform("sum") == got.container_tokens).all()
+    assert (got.doc_id == 7).sum() == 25_000 and not got[["doc_id", "text_key", "copy", "piece"]].duplicated().any()
+    audit = pack_audit(pack(df, capacity=64), df, capacity=64).first()
+    assert (audit.items, audit.rows, audit.overfull, audit.wrong_totals, audit.gap, audit.cut) == (len(rows), len(rows), 0, 0, 0, 0)
+
+
 def sample(df, rate=0.2):
     return {r.unit for r in stable_sample(df, F.col("id"), "at", rate).collect()}
 
