@@ -42,8 +42,8 @@ def _shingled(name: str, tables: tuple[str, ...]) -> str:
 
 
 _P5 = """
-WITH units AS (SELECT {unit} AS unit, min(_loaded_at) AS arrived FROM test WHERE {unit} <> '' AND _loaded_at IS NOT NULL GROUP BY 1),
-numbered AS (SELECT unit, row_number() OVER (ORDER BY arrived, md5(unit), unit) - 1 AS seq FROM units),
+WITH units AS (SELECT {unit} AS unit, CASE WHEN count(_loaded_at) = count(*) THEN min(_loaded_at) END AS arrived FROM test WHERE {unit} <> '' GROUP BY 1),
+numbered AS (SELECT unit, row_number() OVER (ORDER BY arrived NULLS FIRST, md5(unit), unit) - 1 AS seq FROM units),
 r0 AS (SELECT unit, seq, seq // 1024 AS blk, (seq % 1024) // 32 AS a, seq % 32 AS b FROM numbered)
 """
 for _r in range(6):

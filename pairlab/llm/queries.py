@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.text import base_id, component, field_key
-from ..plans.cut import cut
+from ..plans.cut import cut, scratch
 from .grouped_splits import grouped_splits, groups
 from .hidden_copies import collapsed, copies
 from .leaks import leaks
@@ -96,13 +96,15 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_sample_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return stable_sample(_read(spark, folder, "test"), F.col("_row_id"), "_loaded_at", SAMPLE_RATE).select(F.col("unit").alias("row_id"), "seq")
+    """With stored numbers, here of a first load."""
+    rows = _read(spark, folder, "test")
+    return stable_sample(rows, F.col("_row_id"), "_loaded_at", SAMPLE_RATE, numbers=scratch(spark, "numbers")).select(F.col("unit").alias("row_id"), "seq")
 
 
 def p5_sample_documents(spark: SparkSession, folder: str) -> DataFrame:
     """All rows of the sampled cited documents; the spellings of a document count as one."""
     rows = _read(spark, folder, "test").select("_row_id", "cited_document_id", "_loaded_at").withColumn("document", base_id("cited_document_id"))
-    chosen = stable_sample(rows, F.col("document"), "_loaded_at", SAMPLE_RATE).select(F.col("unit").alias("document"), "seq")
+    chosen = stable_sample(rows, F.col("document"), "_loaded_at", SAMPLE_RATE, numbers=scratch(spark, "numbers")).select(F.col("unit").alias("document"), "seq")
     return rows.join(chosen, "document").select(F.col("_row_id").alias("row_id"), "document", "seq")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairlab.llm.leaks import leaks
 from pairlab.llm.packing import difference, fill, pack, pack_audit, pack_fill
 from pairlab.llm.shared_spans import merge_ranges, shared_share, shared_spans
-from pairlab.llm.stable_sample import stable_sample
+from pairlab.llm.stable_sample import stable_sample, stored_numbers
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -203,6 +203,26 @@ def test_sample_keeps_what_it_held(spark):
     assert len(sample(base, 1.0)) == 3000 and not sample(base, 0.0)
 
 
-def test_sample_edges(spark):
+def test_sample_with_stored_numbers(spark, tmp_path):
+    """Tied, late and undated rows and deletions take nothing from the sample; a load that failed leaves no trace."""
+    base = spark.range(3000).select(F.concat(F.lit("r"), "id").alias("id"), (F.lit("2026-01-01").cast("timestamp") + F.make_interval(days=F.floor(F.col("id") / 700).cast("int"))).alias("at"))
+    path = str(tmp_path / "numbers")
+    kept = lambda df: {r.unit for r in stable_sample(df, F.col("id"), "at", 0.2, numbers=path).collect()}
+    first = kept(base)
+    assert first == sample(base) and abs(len(first) - 600) < 90
+    (tmp_path / "numbers" / "load-00000001").mkdir()
+    late = spark.range(50).select(F.concat(F.lit("t"), "id").alias("id"), F.when(F.col("id") > 9, F.lit("2026-01-02")).cast("timestamp").alias("at"))
+    both = kept(base.unionByName(late))
+    assert first <= both and len(both) > len(first)
+    assert kept(base.unionByName(late).repartition(9)) == both
+    gone = kept(base.unionByName(late).where("id <> 'r3'"))
+    assert gone == both - {"r3"}
+    numbers = stored_numbers(spark, path).toPandas()
+    assert sorted(numbers.seq) == list(range(3050)) and numbers.unit.is_unique
+
+
+def test_sample_edges(spark, tmp_path):
     df = spark.createDataFrame([("a", None), (None, "2026-01-01"), ("", "2026-01-01")], "id string, at string").withColumn("at", F.col("at").cast("timestamp"))
-    assert sample(df, 1.0) == set() and sample(df.limit(0), 1.0) == set()
+    assert sample(df, 1.0) == {"a"} and sample(df.limit(0), 1.0) == set()
+    assert stable_sample(df.limit(0), F.col("id"), "at", 1.0, numbers=str(tmp_path / "n")).count() == 0
+    assert [tuple(r) for r in stable_sample(df, F.col("id"), "at", 1.0, numbers=str(tmp_path / "n")).collect()] == [("a", 0)]
