@@ -16,26 +16,122 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..plans.cut import cut
-from .sketches import CHARS_AT_ONCE, band_rows, shingles, word_hashes
+from .sketches import CHARS_AT_ONCE, band_partitions, band_rows, shingles, word_hashes
+
+#: Texts of one band that meet in one task, and pairs made at once by a worker.
+BAND_BLOCK, PAIRS_AT_ONCE = 1_000, 1_000_000
 
 
 def texts_of(df: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
-    """``field``, ``part`` (its number), ``id``, ``text``, ``tid`` (a hash of field and text): one row for each row and field.
+    """``field``, ``part`` (its number), ``id``, ``text``, ``tid`` and ``tid2`` (hashes of field and text that name it
+    together): one row for each row and field.
 
     ``fields``: name -> (id column, text column). Rows with a null id and null or empty texts are left out."""
     out = None
     for part, (name, (id_col, text_col)) in enumerate(sorted(fields.items())):
         one = df.select(F.lit(name).alias("field"), F.lit(part).alias("part"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text <> ''")
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("tid", F.xxhash64("part", "text"))
-
-
-def candidates(bands: DataFrame) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` of texts with a common band."""
-    # One shuffle: rows of a band meet, lose repeats there and are joined without moving again.
-    met = bands.repartition("band").dropDuplicates(["band", "tid"])
-    other = met.select("band", F.col("tid").alias("b"))
-    return met.withColumnRenamed("tid", "a").join(other, "band").where("a < b").select("a", "b").distinct()
+    return out.withColumn("tid", F.xxhash64("part", "text")).withColumn("tid2", F.xxhash64(F.lit("2"), "text", "part"))
+
+
+def _meet(cross: bool, most: int):
+    """Pairs of the texts in each band, from rows in the order of band (then ``side`` if ``cross``, 0 with 1 only) and tid.
+
+    A band of more than ``most`` texts comes out as these with the numbers of their blocks, and their number, instead."""
+
+    def batch(a=(), b=(), band=None, block=0, side=0) -> pa.RecordBatch:
+        n = len(a)
+        bands = pa.nulls(n, pa.int64()) if band is None else pa.array(np.full(n, band, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), bands, pa.array(np.broadcast_to(np.asarray(block, np.int32), n)), pa.array(np.broadcast_to(np.asarray(side, np.int8), n))], names=["a", "b", "band", "block", "side"])
+
+    def pairs(band: np.ndarray, side: np.ndarray, tid: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        stop = np.r_[new[1:], len(band)]
+        run = np.repeat(np.arange(len(new)), stop - new)
+        if cross:
+            left = np.flatnonzero(side == 0)
+            ones = np.r_[0, np.cumsum(side)]
+            begin = (stop - (ones[stop] - ones[new]))[run[left]]
+        else:
+            left = np.arange(len(band))
+            begin = left + 1
+        n = stop[run[left]] - begin
+        left, begin, n = left[n > 0], begin[n > 0], n[n > 0]
+        total, i = np.cumsum(n), 0
+        while i < len(left):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS_AT_ONCE, "right")))
+            k = n[i:j]
+            a, b = tid[np.repeat(left[i:j], k)], tid[np.repeat(begin[i:j] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+            # A pair has many bands in common; those of one slice are put together here.
+            both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) < PAIRS_AT_ONCE else np.stack([a, b], axis=1)
+            yield batch(both[:, 0], both[:, 1])
+            i = j
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, big = [np.empty(0, np.int64), np.empty(0, np.int8), np.empty(0, np.int64)], None
+        for rows in batches:
+            new = [rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int8), rows.column(2).to_numpy()]
+            band, side, tid = (np.concatenate(x) for x in zip(held, new))
+            # Repeats of a text in a band come one after another.
+            once = np.r_[True, (band[1:] != band[:-1]) | (tid[1:] != tid[:-1]) | (side[1:] != side[:-1])] if len(band) else np.empty(0, bool)
+            band, side, tid = band[once], side[once], tid[once]
+            if not len(band):
+                continue
+            if big is not None:
+                # The rows of a large band that is still open: ``big`` is its band, the rows passed on and its last row.
+                end = int(np.searchsorted(band != big[0], True)) if (band != big[0]).any() else len(band)
+                first = 1 if end and (int(tid[0]), int(side[0])) == big[2] else 0
+                if end > first:
+                    yield batch(tid[first:end], tid[first:end], big[0], (big[1] + np.arange(end - first)) // most, side[first:end])
+                    big = (big[0], big[1] + end - first, (int(tid[end - 1]), int(side[end - 1])))
+                if end == len(band):
+                    held = [x[:0] for x in held]
+                    continue
+                yield batch([0], [0], big[0], -(-big[1] // most), 2)
+                big, band, side, tid = None, band[end:], side[end:], tid[end:]
+            starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+            lengths = np.diff(np.r_[starts, len(band)])
+            last = starts[-1]
+            small = np.repeat(lengths <= most, lengths)
+            small[last:] = False
+            yield from pairs(band[small], side[small], tid[small])
+            for s, n in zip(starts[:-1][lengths[:-1] > most], lengths[:-1][lengths[:-1] > most]):
+                yield batch(tid[s : s + n], tid[s : s + n], band[s], np.arange(n) // most, side[s : s + n])
+                yield batch([0], [0], band[s], -(-int(n) // most), 2)
+            held = [band[last:], side[last:], tid[last:]]
+            if len(held[0]) > most:
+                n = len(held[0])
+                yield batch(held[2], held[2], held[0][0], np.arange(n) // most, held[1])
+                big = (held[0][0], n, (int(held[2][-1]), int(held[1][-1])))
+                held = [x[:0] for x in held]
+        if big is not None:
+            yield batch([0], [0], big[0], -(-big[1] // most), 2)
+        elif len(held[0]):
+            yield from pairs(*held)
+
+    return meet
+
+
+def candidates(bands: DataFrame, partitions: int, cross: bool = False, block: int = BAND_BLOCK) -> DataFrame:
+    """Distinct pairs ``a``, ``b`` of texts with a common band: ``a`` < ``b``, or with ``cross`` a of side 0 and b of side 1.
+
+    Rows of a band meet in one shuffle, in order. A band of more than ``block`` texts is cut into blocks; its
+    pairs of blocks are tasks of their own. Repeated rows count once."""
+    side = F.col("side") if cross else F.lit(0)
+    rows = bands.select("band", side.cast("byte").alias("side"), "tid").repartition(partitions, "band").sortWithinPartitions("band", "side", "tid")
+    met = cut(rows.mapInArrow(_meet(cross, block), "a long, b long, band long, block int, side byte"))
+    count = met.where("side = 2").select("band", F.col("block").alias("blocks"))
+    parts = met.where("band is not null and side < 2").select("band", "side", F.col("a").alias("tid"), "block").join(count, "band")
+    lead, follow = (parts.where("side = 0"), parts.where("side = 1")) if cross else (parts, parts)
+    # Without sides each pair of blocks meets once.
+    i = F.explode(F.sequence(F.lit(0) if cross else F.col("block"), F.col("blocks") - 1))
+    j = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1 if cross else F.col("block")))
+    x = lead.select("band", F.col("block").alias("i"), i.alias("j"), F.col("tid").alias("a"))
+    y = follow.select("band", j.alias("i"), F.col("block").alias("j"), F.col("tid").alias("b"))
+    keys = ["band", "i", "j"]
+    large = x.repartition(partitions, *keys).join(y.repartition(partitions, *keys), keys)
+    large = large if cross else large.where("i < j or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.where("band is null").select("a", "b").union(large.select("a", "b")).distinct()
 
 
 def verify(shingle: int, least: float):
@@ -46,34 +142,39 @@ def verify(shingle: int, least: float):
             ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
             lo = 0
             while lo < len(ta):
-                hi, held = lo, 0
+                hi, held, number = lo, 0, {}
+                # A text of several pairs is cut up once.
                 while hi < len(ta) and held < CHARS_AT_ONCE:
-                    held += len(ta[hi]) + len(tb[hi])
+                    for t in (ta[hi], tb[hi]):
+                        if t not in number:
+                            number[t] = len(number)
+                            held += len(t)
                     hi += 1
-                both = [t for pair in zip(ta[lo:hi], tb[lo:hi]) for t in pair]
-                items, text = shingles(*word_hashes(both), shingle)
-                cuts = np.searchsorted(text, np.arange(len(both) + 1))
+                items, text = shingles(*word_hashes(list(number)), shingle)
+                cuts = np.searchsorted(text, np.arange(len(number) + 1))
                 sets = [set(items[x:y].tolist()) for x, y in zip(cuts[:-1], cuts[1:])]
-                shared = [len(x & y) for x, y in zip(sets[::2], sets[1::2])]
-                total = [len(x) + len(y) - s for x, y, s in zip(sets[::2], sets[1::2], shared)]
+                both = [(sets[number[x]], sets[number[y]]) for x, y in zip(ta[lo:hi], tb[lo:hi])]
+                shared = [len(x & y) for x, y in both]
+                total = [len(x) + len(y) - s for (x, y), s in zip(both, shared)]
                 keep = [i for i, (s, n) in enumerate(zip(shared, total)) if n and s >= least * n - 1e-9]
                 if keep:
-                    part = batch.slice(lo, hi - lo).select(["a", "b"]).take(pa.array(keep))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([shared[i] for i in keep], pa.int32()), pa.array([total[i] for i in keep], pa.int32())], names=["a", "b", "shared", "total"])
+                    part = batch.slice(lo, hi - lo).select(["a", "a2", "b", "b2"]).take(pa.array(keep))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([shared[i] for i in keep], pa.int32()), pa.array([total[i] for i in keep], pa.int32())], names=["a", "a2", "b", "b2", "shared", "total"])
                 lo = hi
 
     return check
 
 
-def similar_texts(texts: DataFrame, least: float, shingle: int, bands: int, rows: int) -> DataFrame:
-    """``a``, ``b``, ``shared``, ``total``: pairs of different tids with a similarity of ``least`` or more."""
+def similar_texts(texts: DataFrame, least: float, shingle: int, bands: int, rows: int, partitions: int) -> DataFrame:
+    """``a``, ``a2``, ``b``, ``b2``, ``shared``, ``total``: pairs of different texts with a similarity of ``least`` or more."""
     # Formatting may differ where the words don't: such texts are pairs with similarity 1.
-    pairs = cut(candidates(band_rows(texts, bands, rows, shingle)))
-    plain = texts.select("tid", "text")
+    pairs = cut(candidates(band_rows(texts, bands, rows, shingle), partitions))
+    plain = texts.select("tid", "tid2", "text")
     wanted = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
-    few = cut(plain.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.min("text").alias("text")))
-    held = pairs.join(few.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a").join(few.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
-    return held.select("a", "b", "ta", "tb").mapInArrow(verify(shingle, least), "a long, b long, shared int, total int")
+    few = cut(plain.join(wanted, "tid", "left_semi").groupBy("tid", "tid2").agg(F.min("text").alias("text")))
+    named = lambda k: few.select(F.col("tid").alias(k), F.col("tid2").alias(f"{k}2"), F.col("text").alias(f"t{k}"))
+    held = pairs.join(named("a"), "a").join(named("b"), "b")
+    return held.select("a", "a2", "b", "b2", "ta", "tb").mapInArrow(verify(shingle, least), "a long, a2 long, b long, b2 long, shared int, total int")
 
 
 def near_duplicate_pairs(df: DataFrame, fields: dict[str, tuple[str, str]], least: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -86,12 +187,12 @@ def near_duplicate_pairs(df: DataFrame, fields: dict[str, tuple[str, str]], leas
     result is one row a pair; near_duplicate_groups doesn't.
     """
     texts = texts_of(df, fields)
-    pairs = cut(similar_texts(texts, least, shingle, bands, rows).select("a", "b"))
+    pairs = cut(similar_texts(texts, least, shingle, bands, rows, band_partitions(df, len(fields) * bands)).select("a", "a2", "b", "b2"))
     long_enough = F.expr(f"size(filter(split(lower(text), '[^\\\\p{{L}}\\\\p{{N}}]+'), w -> w <> '')) >= {shingle}")
-    members = cut(texts.select("field", "id", "tid", "text").where(long_enough).select("field", "id", "tid").distinct())
-    repeated = members.groupBy("tid").agg(F.count("*").alias("c")).where("c > 1").select(F.col("tid").alias("a"), F.col("tid").alias("b"))
-    left, right = members.select("field", F.col("id").alias("x"), F.col("tid").alias("a")), members.select(F.col("id").alias("y"), F.col("tid").alias("b"))
-    tied = pairs.union(repeated).join(left, "a").join(right, "b").where("x <> y")
+    members = cut(texts.where(long_enough).select("field", "id", "tid", "tid2").distinct())
+    repeated = members.groupBy("tid", "tid2").agg(F.count("*").alias("c")).where("c > 1").selectExpr("tid a", "tid2 a2", "tid b", "tid2 b2")
+    left, right = members.selectExpr("field", "id x", "tid a", "tid2 a2"), members.selectExpr("id y", "tid b", "tid2 b2")
+    tied = pairs.union(repeated).join(left, ["a", "a2"]).join(right, ["b", "b2"]).where("x <> y")
     return tied.select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
@@ -102,10 +203,12 @@ def near_duplicate_groups(df: DataFrame, fields: dict[str, tuple[str, str]], lea
     Records whose text is null, empty or too short for a shingle are groups of their own copies.
     """
     texts = texts_of(df, fields)
-    members = cut(texts.select("field", "id", "tid").distinct())
-    pairs = cut(similar_texts(texts, least, shingle, bands, rows).select("a", "b"))
-    links = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).groupBy("tid").agg(F.count("*").alias("links"))
-    classes = components(pairs, "a", "b").select(F.col("node").alias("tid"), "component")
-    named = members.join(classes, "tid", "left").join(links, "tid", "left").select("field", "id", F.coalesce("component", "tid").alias("comp"), F.coalesce("links", F.lit(0)).alias("links"))
+    key = F.concat_ws(":", F.hex("tid"), F.hex("tid2")).alias("text_key")
+    members = cut(texts.select("field", "id", key).distinct())
+    found = similar_texts(texts, least, shingle, bands, rows, band_partitions(df, len(fields) * bands))
+    pairs = cut(found.select(F.concat_ws(":", F.hex("a"), F.hex("a2")).alias("a"), F.concat_ws(":", F.hex("b"), F.hex("b2")).alias("b")))
+    links = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).groupBy("text_key").agg(F.count("*").alias("links"))
+    classes = components(pairs, "a", "b").select(F.col("node").alias("text_key"), "component")
+    named = members.join(classes, "text_key", "left").join(links, "text_key", "left").select("field", "id", F.coalesce("component", "text_key").alias("comp"), F.coalesce("links", F.lit(0)).alias("links"))
     least_id = named.groupBy("field", "comp").agg(F.min("id").alias("group_id"))
     return named.join(least_id, ["field", "comp"]).groupBy("field", "id").agg(F.min("group_id").alias("group_id"), F.sum("links").alias("links"))

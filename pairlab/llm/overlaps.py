@@ -1,7 +1,7 @@
 """Evaluation texts that also occur in training data, exactly or almost.
 
 Evaluation texts lie in shards of bounded size, each with a full-text index over words: the
-Burrows-Wheeler transform of the shard with sorted occurrence lists, searched backwards. Training
+Burrows-Wheeler transform of the shard, compressed by runs, searched backwards. Training
 texts are streamed through the shards; the index intervals of word shingles give the exact similarity
 to every text of the shard, and the maximal matches of each similar pair are merged into spans.
 
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut
-from .near_duplicates import texts_of
-from .sketches import CHARS_AT_ONCE, band_rows, word_hashes
+from .near_duplicates import candidates, texts_of
+from .sketches import CHARS_AT_ONCE, band_partitions, band_rows, word_hashes
 
 #: Characters of evaluation text in a shard, about, and training texts that one task streams through it.
 SHARD_CHARS, STREAM_TEXTS = 1_000_000, 20_000
@@ -42,8 +42,13 @@ class WordIndex:
         self.symbols, self.bounds = symbols, np.r_[0, ends + np.arange(texts) + 1]
         order = self._suffixes(symbols)
         bwt = symbols[order - 1]
-        # Occurrences by symbol, then place: one search gives the start of a symbol plus its rank.
-        self.occurrences = np.sort(bwt * (n + 1) + np.arange(n))
+        # The transform is kept as runs of equal symbols, by symbol, then place; texts alike make long runs.
+        start = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
+        length = np.diff(np.r_[start, n])
+        key = bwt[start] * (n + 1) + start
+        by_symbol = np.argsort(key)
+        self.runs, self.run_length = key[by_symbol], length[by_symbol]
+        self.before = np.cumsum(self.run_length) - self.run_length
         self.shingle, self.owner = shingle, owner[order]
         # Suffixes that start a shingle, and of those the first of each shingle in each text.
         heads = np.stack([symbols[np.minimum(order + k, n - 1)] for k in range(shingle)])
@@ -81,9 +86,15 @@ class WordIndex:
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals one word further to the left; unknown words give empty ones."""
         base = symbol * (self.n + 1)
-        lo, hi = np.searchsorted(self.occurrences, base + lo), np.searchsorted(self.occurrences, base + hi)
+        lo, hi = self._rank(base + lo), self._rank(base + hi)
         return lo, np.where(symbol < 0, lo, hi)
 
+    def _rank(self, key: np.ndarray) -> np.ndarray:
+        """How many symbols of the transform are smaller, or are the same and come before the place; ``key`` is symbol and place."""
+        at = np.searchsorted(self.runs, key) - 1
+        # The run before a key may be of a smaller symbol: then it counts whole, as the key is beyond its end.
+        return np.where(at < 0, 0, self.before[at] + np.minimum(self.run_length[at], key - self.runs[at]))
+
     def shingle_intervals(self, coded: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each shingle of the texts: first word's position and its interval."""
         n = len(coded) - self.shingle + 1
@@ -153,10 +164,10 @@ def merged(pair: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.nd
 
 
 def _stream(shingle: int, least: float, span_words: int):
-    names = ["e", "t", "shared", "total", "longest_span", "span_words", "spans"]
+    names = ["e", "e2", "t", "t2", "shared", "total", "longest_span", "span_words", "spans"]
     part = pa.struct([("first", pa.int32()), ("stop", pa.int32())])
 
-    def compare(index: WordIndex, tids: np.ndarray, stream: list[tuple[int, str]]) -> pa.RecordBatch | None:
+    def compare(index: WordIndex, tids: np.ndarray, stream: list[tuple[tuple[int, int], str]]) -> pa.RecordBatch | None:
         words, text = word_hashes([t for _, t in stream])
         count = len(stream)
         coded = index.code(words)
@@ -202,9 +213,9 @@ def _stream(shingle: int, least: float, span_words: int):
         which, first, stop = (np.concatenate(x) for x in zip(*spans))
         offsets = np.r_[0, np.cumsum(np.bincount(which, minlength=len(keep)))].astype(np.int32)
         places = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (first, stop)], fields=list(part))
-        ids = np.array([i for i, _ in stream], dtype=np.int64)
-        columns = [tids[e], ids[t], *(x.astype(np.int32) for x in (shared[keep], either[keep], longest, covered))]
-        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.ListArray.from_arrays(pa.array(offsets), places)], names=names)
+        ids = np.array([i for i, _ in stream], dtype=np.int64).reshape(-1, 2)
+        columns = [*tids[e].T, *ids[t].T, *(x.astype(np.int32) for x in (shared[keep], either[keep], longest, covered))]
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.ListArray.from_arrays(pa.array(offsets), places)], names=names)
 
     def _slices(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         a = 0
@@ -216,8 +227,9 @@ def _stream(shingle: int, least: float, span_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, index, tids, evals, stream, held, last = None, None, None, [], [], 0, None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("shard", "salt", "side", "tid", "text")]
-            for key0, key1, side, tid, text in zip(*cols):
+            cols = [batch.column(c).to_pylist() for c in ("shard", "salt", "side", "tid", "tid2", "text")]
+            for key0, key1, side, tid, tid2, text in zip(*cols):
+                tid = (tid, tid2)
                 if (key0, key1) != shard:
                     if stream and (out := compare(index, tids, stream)) is not None:
                         yield out
@@ -231,7 +243,7 @@ def _stream(shingle: int, least: float, span_words: int):
                 if index is None:
                     if not evals:
                         continue
-                    tids = np.array([i for i, _ in evals], dtype=np.int64)
+                    tids = np.array([i for i, _ in evals], dtype=np.int64).reshape(-1, 2)
                     index = WordIndex(*word_hashes([t for _, t in evals]), len(evals), shingle)
                 stream.append((tid, text))
                 held += len(text)
@@ -245,17 +257,15 @@ def _stream(shingle: int, least: float, span_words: int):
     return run
 
 
-def overlapping_texts(evaluation: DataFrame, training: DataFrame, least: float, shingle: int, bands: int, rows: int, span_words: int = 8) -> DataFrame:
-    """``e``, ``t``, ``shared``, ``total``, ``longest_span``, ``span_words``, ``spans`` for the pairs of an evaluation and a
-    training tid (inputs as from texts_of) with a similarity of ``least`` or more: shingles in both and in either, the longest
-    run of words that both texts have, the training text's words in such runs of ``span_words`` or more, and these runs, put
-    together where they share words (first word, and the one behind the last, of the training text's words from 0)."""
-    eb = band_rows(evaluation, bands, rows, shingle).repartition("band").dropDuplicates(["band", "tid"]).withColumnRenamed("tid", "e")
-    tb = band_rows(training, bands, rows, shingle).repartition("band").dropDuplicates(["band", "tid"]).withColumnRenamed("tid", "t")
-    routes = cut(eb.join(tb, "band").select("e", "t").distinct())
+def overlapping_texts(evaluation: DataFrame, training: DataFrame, least: float, shingle: int, bands: int, rows: int, partitions: int, span_words: int = 8) -> DataFrame:
+    """``e``, ``e2``, ``t``, ``t2``, ``shared``, ``total``, ``longest_span``, ``span_words``, ``spans`` for the pairs of an evaluation
+    and a training text (inputs and their two keys as from texts_of) with a similarity of ``least`` or more: shingles in both
+    and in either, the longest run of words that both texts have, the training text's words in such runs of ``span_words`` or
+    more, and these runs, put together where they share words (first word, and the one behind the last, of the training text's words from 0)."""
+    sides = [band_rows(df, bands, rows, shingle).withColumn("side", F.lit(side)) for side, df in enumerate((evaluation, training))]
+    routes = cut(candidates(sides[0].unionByName(sides[1]), partitions, cross=True).select(F.col("a").alias("e"), F.col("b").alias("t")))
     wanted = routes.select(F.col("e").alias("tid")).distinct()
-    texts = evaluation.select("tid", "text")
-    held = cut(texts.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.min("text").alias("text")))
+    held = cut(evaluation.select("tid", "tid2", "text").join(wanted, "tid", "left_semi").groupBy("tid", "tid2").agg(F.min("text").alias("text")))
     chars = held.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     shards = max(1, -(-chars // SHARD_CHARS))
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
@@ -263,11 +273,12 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame, least: float,
     # A shard that many training texts visit is copied, so that no task streams more than its share.
     salts = visits.groupBy("shard").agg(F.ceil(F.count("*") / STREAM_TEXTS).cast("int").alias("salts"))
     visits = visits.join(salts, "shard").select("shard", F.pmod(F.xxhash64("tid"), "salts").cast("int").alias("salt"), F.lit(1).alias("side"), "tid")
-    streamed = visits.join(training.select("tid", "text"), "tid")
-    indexed = held.withColumn("shard", shard("tid")).join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), "tid", "text")
-    both = indexed.unionByName(streamed.select("shard", "salt", "side", "tid", "text"))
-    placed = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side", "tid")
-    return placed.mapInArrow(_stream(shingle, least, span_words), "e long, t long, shared int, total int, longest_span int, span_words int, spans array<struct<first:int,stop:int>>").dropDuplicates(["e", "t"])
+    streamed = visits.join(training.select("tid", "tid2", "text"), "tid")
+    indexed = held.withColumn("shard", shard("tid")).join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), "tid", "tid2", "text")
+    both = indexed.unionByName(streamed.select("shard", "salt", "side", "tid", "tid2", "text"))
+    placed = both.repartition(max(shards, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", "salt").sortWithinPartitions("shard", "salt", "side", "tid", "tid2")
+    schema = "e long, e2 long, t long, t2 long, shared int, total int, longest_span int, span_words int, spans array<struct<first:int,stop:int>>"
+    return placed.mapInArrow(_stream(shingle, least, span_words), schema).dropDuplicates(["e", "e2", "t", "t2"])
 
 
 def overlaps(evaluation: DataFrame, training: DataFrame, fields: dict[str, tuple[str, str]], least: float = 0.8, shingle: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -279,7 +290,8 @@ def overlaps(evaluation: DataFrame, training: DataFrame, fields: dict[str, tuple
     once. A pair of similarity s is missed with probability (1 - s ** rows) ** bands.
     """
     e, t = texts_of(evaluation, fields), texts_of(training, fields)
-    pairs = cut(overlapping_texts(e, t, least, shingle, bands, rows))
-    ids = lambda df, name, key: df.select("field", F.col("id").alias(name), F.col("tid").alias(key)).distinct()
-    named = pairs.join(ids(e, "eval_id", "e"), "e").join(ids(t, "train_id", "t").drop("field"), "t")
+    partitions = band_partitions(evaluation, len(fields) * bands) + band_partitions(training, len(fields) * bands)
+    pairs = cut(overlapping_texts(e, t, least, shingle, bands, rows, partitions))
+    ids = lambda df, name, key: df.select("field", F.col("id").alias(name), F.col("tid").alias(key), F.col("tid2").alias(f"{key}2")).distinct()
+    named = pairs.join(ids(e, "eval_id", "e"), ["e", "e2"]).join(ids(t, "train_id", "t").drop("field"), ["t", "t2"])
     return named.select("field", "eval_id", "train_id", F.round(F.col("shared") / F.col("total"), 6).alias("similarity"), "longest_span", "span_words", "spans")

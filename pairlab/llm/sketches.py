@@ -85,6 +85,12 @@ def similarity_sketch(items: np.ndarray, text: np.ndarray, texts: int, size: int
     return sketch.reshape(texts, size)
 
 
+def band_partitions(df: DataFrame, rows_each: int, bytes_each: int = 16_000_000, most: int = 50_000) -> int:
+    """Partitions for ``rows_each`` band rows (about 24 bytes) of each row of ``df``, from its size instead of the session's default."""
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(default, -(-df.count() * rows_each * 24 // bytes_each)))
+
+
 def band_rows(df: DataFrame, bands: int, rows: int, shingle: int = 3) -> DataFrame:
     """``band``, ``tid`` of each text of ``df`` (``tid`` long, ``part`` int, ``text``) for each band of its sketch.
 

@@ -1,10 +1,12 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pairlab.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from pairlab.llm.near_duplicates import _meet, candidates, near_duplicate_groups, near_duplicate_pairs
 from pairlab.llm.overlaps import WordIndex, overlaps
 from pairlab.llm.sketches import shingles, similarity_sketch, word_hashes
 
@@ -50,6 +52,53 @@ def test_pairs_against_brute_force(spark):
         assert groups[a][0] == groups[b][0] <= a
 
 
+def band_pairs(rows, cross):
+    return {(a, b) for x, s, a in rows for y, t, b in rows if x == y and ((s, t) == (0, 1) if cross else a < b)}
+
+
+def test_bands_in_batches_against_brute_force():
+    """Rows cut into batches anywhere; bands above the bound come out as blocks with their number."""
+    r = random.Random(8)
+    for cross in (False, True):
+        for trial in range(60):
+            rows = sorted((r.choice([1, 2, 3, 9]), r.randint(0, 1) if cross else 0, r.randint(0, 12)) for _ in range(r.randint(0, 60)))
+            cuts = sorted(r.randint(0, len(rows)) for _ in range(r.randint(0, 6)))
+            parts = [rows[i:j] for i, j in zip([0, *cuts], [*cuts, len(rows)])]
+            batches = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in p], t) for k, t in enumerate((pa.int64(), pa.int8(), pa.int64()))], names=["band", "side", "tid"]) for p in parts]
+            got, blocks, told = set(), {}, {}
+            for out in _meet(cross, 5)(iter(batches)):
+                for x in out.to_pylist():
+                    if x["band"] is None:
+                        got.add((x["a"], x["b"]))
+                    elif x["side"] == 2:
+                        told[x["band"]] = x["block"]
+                    else:
+                        blocks.setdefault(x["band"], []).append((x["block"], x["side"], x["a"]))
+            distinct = set(rows)
+            assert told == {b: -(-n // 5) for b, n in Counter(x[0] for x in distinct).items() if n > 5} and set(told) == set(blocks)
+            for b, members in blocks.items():
+                assert sorted((b, s, t) for _, s, t in members) == sorted(x for x in distinct if x[0] == b) and [m[0] for m in members] == [i // 5 for i in range(len(members))]
+            assert got == band_pairs([x for x in distinct if x[0] not in told], cross)
+
+
+def test_large_bands_are_split(spark):
+    r = random.Random(9)
+    for cross in (False, True):
+        rows = [(r.choice([1, 1, 2, 3]), r.randint(0, 1) if cross else 0, r.randint(0, 70)) for _ in range(300)]
+        df = spark.createDataFrame(rows, "band long, side byte, tid long")
+        got = [tuple(x) for x in candidates(df, 3, cross, block=7).collect()]
+        assert set(got) == band_pairs(set(rows), cross) and len(got) == len(set(got))
+
+
+def test_many_variants_of_one_template(spark):
+    """A third of the records are variants of one template; each pair of them is a link."""
+    words = " ".join(VOCABULARY[:60])
+    df = spark.range(3600).select(F.concat(F.lit("r"), "id").alias("id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit(words + " v"), F.col("id").cast("string"))).otherwise(F.concat_ws(" ", *[F.concat(F.lit("u"), (F.col("id") * (k + 7) % 100_003).cast("string")) for k in range(12)])).alias("text"))
+    groups = near_duplicate_groups(df, FIELDS, 0.8, 5, 8, 4).toPandas()
+    family = groups[groups.links > 0]
+    assert len(groups) == 3600 and len(family) == 1200 and family.group_id.nunique() == 1 and (family.links == 1199).all()
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id string, text string")
     assert near_duplicate_pairs(df, FIELDS).count() == 0 and near_duplicate_groups(df, FIELDS).count() == 0
