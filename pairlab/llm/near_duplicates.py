@@ -7,6 +7,7 @@ start: sketches, candidates and checks are of distinct texts, and copies are att
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ def texts_of(df: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
 
 
 def _meet(cross: bool, most: int):
-    """Pairs of the texts in each band, from rows in the order of band (then ``side`` if ``cross``, 0 with 1 only) and tid.
+    """Pairs of the texts in each band, from rows in the order of their band, whose last bit is the side (with ``cross``, 0 meets 1 only).
 
     A band of more than ``most`` texts comes out as these with the numbers of their blocks, and their number, instead."""
 
@@ -67,58 +68,67 @@ def _meet(cross: bool, most: int):
             yield batch(both[:, 0], both[:, 1])
             i = j
 
+    def large(band: int, at: int, side: np.ndarray, tid: np.ndarray) -> tuple[pa.RecordBatch, int]:
+        return batch(tid, tid, band, (at + np.arange(len(tid))) // most, side), at + len(tid)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, big = [np.empty(0, np.int64), np.empty(0, np.int8), np.empty(0, np.int64)], None
-        for rows in batches:
-            new = [rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(np.int8), rows.column(2).to_numpy()]
-            band, side, tid = (np.concatenate(x) for x in zip(held, new))
-            # Repeats of a text in a band come one after another.
-            once = np.r_[True, (band[1:] != band[:-1]) | (tid[1:] != tid[:-1]) | (side[1:] != side[:-1])] if len(band) else np.empty(0, bool)
-            band, side, tid = band[once], side[once], tid[once]
-            if not len(band):
+        keys, tids, open_, passed = np.empty(0, np.int64), np.empty(0, np.int64), None, 0
+        for rows in itertools.chain(batches, [None]):
+            if rows is not None:
+                keys, tids = np.r_[keys, rows.column(0).to_numpy()], np.r_[tids, rows.column(1).to_numpy()]
+            if not len(keys):
                 continue
-            if big is not None:
-                # The rows of a large band that is still open: ``big`` is its band, the rows passed on and its last row.
-                end = int(np.searchsorted(band != big[0], True)) if (band != big[0]).any() else len(band)
-                first = 1 if end and (int(tid[0]), int(side[0])) == big[2] else 0
-                if end > first:
-                    yield batch(tid[first:end], tid[first:end], big[0], (big[1] + np.arange(end - first)) // most, side[first:end])
-                    big = (big[0], big[1] + end - first, (int(tid[end - 1]), int(side[end - 1])))
-                if end == len(band):
-                    held = [x[:0] for x in held]
-                    continue
-                yield batch([0], [0], big[0], -(-big[1] // most), 2)
-                big, band, side, tid = None, band[end:], side[end:], tid[end:]
-            starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+            bands = keys >> 1
+            # The last band may go on in the next batch.
+            whole = int(np.searchsorted(bands, bands[-1])) if rows is not None else len(bands)
+            # A band alone has no pairs; of the others, a text counts once.
+            near = bands[1:whole] == bands[: whole - 1] if whole else np.empty(0, bool)
+            some = np.flatnonzero(np.r_[near, False] | np.r_[False, near]) if whole else np.empty(0, np.int64)
+            if open_ is not None and whole and bands[0] == open_:
+                some = np.union1d(some, [0])
+            k, t = keys[some], tids[some]
+            order = np.lexsort((t, k))
+            k, t = k[order], t[order]
+            once = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])] if len(k) else np.empty(0, bool)
+            k, t = k[once], t[once]
+            band, side = k >> 1, (k & 1).astype(np.int8)
+            starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]]) if len(band) else np.empty(0, np.int64)
             lengths = np.diff(np.r_[starts, len(band)])
-            last = starts[-1]
-            small = np.repeat(lengths <= most, lengths)
-            small[last:] = False
-            yield from pairs(band[small], side[small], tid[small])
-            for s, n in zip(starts[:-1][lengths[:-1] > most], lengths[:-1][lengths[:-1] > most]):
-                yield batch(tid[s : s + n], tid[s : s + n], band[s], np.arange(n) // most, side[s : s + n])
-                yield batch([0], [0], band[s], -(-int(n) // most), 2)
-            held = [band[last:], side[last:], tid[last:]]
-            if len(held[0]) > most:
-                n = len(held[0])
-                yield batch(held[2], held[2], held[0][0], np.arange(n) // most, held[1])
-                big = (held[0][0], n, (int(held[2][-1]), int(held[1][-1])))
-                held = [x[:0] for x in held]
-        if big is not None:
-            yield batch([0], [0], big[0], -(-big[1] // most), 2)
-        elif len(held[0]):
-            yield from pairs(*held)
+            split = (lengths > most) | (band[starts] == open_ if open_ is not None else False)
+            small = np.repeat(~split, lengths)
+            if small.any():
+                yield from pairs(band[small], side[small], t[small])
+            for s, n in zip(starts[split], lengths[split]):
+                more, at = large(band[s], passed if band[s] == open_ else 0, side[s : s + n], t[s : s + n])
+                yield more
+                yield batch([0], [0], band[s], -(-at // most), 2)
+            if open_ is not None and bands[-1] != open_ and not (len(band) and band[0] == open_):
+                yield batch([0], [0], open_, -(-passed // most), 2)
+            if bands[-1] != open_:
+                open_, passed = None, 0
+            keys, tids = keys[whole:], tids[whole:]
+            # An open band with many texts is passed on as it comes.
+            if len(keys) > most or (open_ is not None and len(keys)):
+                order = np.unique(np.stack([keys & 1, tids], axis=1), axis=0)
+                if open_ is None:
+                    open_, passed = int(bands[-1]), 0
+                more, passed = large(open_, passed, order[:, 0].astype(np.int8), order[:, 1])
+                yield more
+                keys, tids = keys[:0], tids[:0]
+        if open_ is not None:
+            yield batch([0], [0], open_, -(-passed // most), 2)
 
     return meet
 
 
 def candidates(bands: DataFrame, partitions: int, cross: bool = False, block: int = BAND_BLOCK) -> DataFrame:
-    """Distinct pairs ``a``, ``b`` of texts with a common band: ``a`` < ``b``, or with ``cross`` a of side 0 and b of side 1.
+    """Distinct pairs ``a``, ``b`` of texts with a common band: ``a`` < ``b``, or with ``cross`` a of side 0 and b of side 1
+    (the band's last bit).
 
     Rows of a band meet in one shuffle, in order. A band of more than ``block`` texts is cut into blocks; its
     pairs of blocks are tasks of their own. Repeated rows count once."""
-    side = F.col("side") if cross else F.lit(0)
-    rows = bands.select("band", side.cast("byte").alias("side"), "tid").repartition(partitions, "band").sortWithinPartitions("band", "side", "tid")
+    # Sorted by one number, so by its bytes.
+    rows = bands.select("band", "tid").repartition(partitions, F.shiftright("band", 1)).sortWithinPartitions("band")
     met = cut(rows.mapInArrow(_meet(cross, block), "a long, b long, band long, block int, side byte"))
     count = met.where("side = 2").select("band", F.col("block").alias("blocks"))
     parts = met.where("band is not null and side < 2").select("band", "side", F.col("a").alias("tid"), "block").join(count, "band")
@@ -130,7 +140,7 @@ def candidates(bands: DataFrame, partitions: int, cross: bool = False, block: in
     y = follow.select("band", j.alias("i"), F.col("block").alias("j"), F.col("tid").alias("b"))
     keys = ["band", "i", "j"]
     large = x.repartition(partitions, *keys).join(y.repartition(partitions, *keys), keys)
-    large = large if cross else large.where("i < j or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    large = large if cross else large.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return met.where("band is null").select("a", "b").union(large.select("a", "b")).distinct()
 
 

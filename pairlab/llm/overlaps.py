@@ -262,7 +262,7 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame, least: float,
     and a training text (inputs and their two keys as from texts_of) with a similarity of ``least`` or more: shingles in both
     and in either, the longest run of words that both texts have, the training text's words in such runs of ``span_words`` or
     more, and these runs, put together where they share words (first word, and the one behind the last, of the training text's words from 0)."""
-    sides = [band_rows(df, bands, rows, shingle).withColumn("side", F.lit(side)) for side, df in enumerate((evaluation, training))]
+    sides = [band_rows(df, bands, rows, shingle, side) for side, df in enumerate((evaluation, training))]
     routes = cut(candidates(sides[0].unionByName(sides[1]), partitions, cross=True).select(F.col("a").alias("e"), F.col("b").alias("t")))
     wanted = routes.select(F.col("e").alias("tid")).distinct()
     held = cut(evaluation.select("tid", "tid2", "text").join(wanted, "tid", "left_semi").groupBy("tid", "tid2").agg(F.min("text").alias("text")))

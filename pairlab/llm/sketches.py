@@ -91,10 +91,10 @@ def band_partitions(df: DataFrame, rows_each: int, bytes_each: int = 16_000_000,
     return min(most, max(default, -(-df.count() * rows_each * 24 // bytes_each)))
 
 
-def band_rows(df: DataFrame, bands: int, rows: int, shingle: int = 3) -> DataFrame:
+def band_rows(df: DataFrame, bands: int, rows: int, shingle: int = 3, side: int = 0) -> DataFrame:
     """``band``, ``tid`` of each text of ``df`` (``tid`` long, ``part`` int, ``text``) for each band of its sketch.
 
-    Texts of different ``part`` never share a band. Texts without a shingle have none. A tid that comes again in
+    The band's last bit is ``side``. Texts of different ``part`` never share a band. Texts without a shingle have none. A tid that comes again in
     one task is passed over.
     """
 
@@ -123,6 +123,6 @@ def band_rows(df: DataFrame, bands: int, rows: int, shingle: int = 3) -> DataFra
                 key = salt
                 for r in range(rows):
                     key = mix(key) + sketch.reshape(len(some), bands, rows)[:, :, r]
-                yield pa.RecordBatch.from_arrays([pa.array(mix(key).view(np.int64).reshape(-1)), pa.array(np.repeat(tids[first + some], bands))], names=["band", "tid"])
+                yield pa.RecordBatch.from_arrays([pa.array((mix(key) & ~U64(1) | U64(side)).view(np.int64).reshape(-1)), pa.array(np.repeat(tids[first + some], bands))], names=["band", "tid"])
 
     return df.select("tid", "part", "text").mapInArrow(make, "band long, tid long")
