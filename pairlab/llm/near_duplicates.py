@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import NOT_ALNUM
 from ..operators.components import components
 from ..plans.cut import cut
 from .sketches import CHARS_AT_ONCE, band_partitions, band_rows, shingles, word_hashes
 
+ALNUM = NOT_ALNUM.replace("^", "")
 #: Texts of one band that meet in one task, and pairs made at once by a worker.
 BAND_BLOCK, PAIRS_AT_ONCE = 1_000, 1_000_000
 
@@ -181,7 +183,8 @@ def similar_texts(texts: DataFrame, least: float, shingle: int, bands: int, rows
     pairs = cut(candidates(band_rows(texts, bands, rows, shingle), partitions))
     plain = texts.select("tid", "tid2", "text")
     wanted = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
-    few = cut(plain.join(wanted, "tid", "left_semi").groupBy("tid", "tid2").agg(F.min("text").alias("text")))
+    # A row's text is no larger than its bands, about, so as many partitions do for both.
+    few = cut(plain.repartition(partitions, "tid").join(wanted, "tid", "left_semi").groupBy("tid", "tid2").agg(F.min("text").alias("text")))
     named = lambda k: few.select(F.col("tid").alias(k), F.col("tid2").alias(f"{k}2"), F.col("text").alias(f"t{k}"))
     held = pairs.join(named("a"), "a").join(named("b"), "b")
     return held.select("a", "a2", "b", "b2", "ta", "tb").mapInArrow(verify(shingle, least), "a long, a2 long, b long, b2 long, shared int, total int")
@@ -198,7 +201,8 @@ def near_duplicate_pairs(df: DataFrame, fields: dict[str, tuple[str, str]], leas
     """
     texts = texts_of(df, fields)
     pairs = cut(similar_texts(texts, least, shingle, bands, rows, band_partitions(df, len(fields) * bands)).select("a", "a2", "b", "b2"))
-    long_enough = F.expr(f"size(filter(split(lower(text), '[^\\\\p{{L}}\\\\p{{N}}]+'), w -> w <> '')) >= {shingle}")
+    # A text with so many words; the search ends at the last of them.
+    long_enough = F.lower("text").rlike(f"(?:{ALNUM}+{NOT_ALNUM}+){{{shingle - 1}}}{ALNUM}")
     members = cut(texts.where(long_enough).select("field", "id", "tid", "tid2").distinct())
     repeated = members.groupBy("tid", "tid2").agg(F.count("*").alias("c")).where("c > 1").selectExpr("tid a", "tid2 a2", "tid b", "tid2 b2")
     left, right = members.selectExpr("field", "id x", "tid a", "tid2 a2"), members.selectExpr("id y", "tid b", "tid2 b2")

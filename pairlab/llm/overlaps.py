@@ -265,7 +265,9 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame, least: float,
     sides = [band_rows(df, bands, rows, shingle, side) for side, df in enumerate((evaluation, training))]
     routes = cut(candidates(sides[0].unionByName(sides[1]), partitions, cross=True).select(F.col("a").alias("e"), F.col("b").alias("t")))
     wanted = routes.select(F.col("e").alias("tid")).distinct()
-    held = cut(evaluation.select("tid", "tid2", "text").join(wanted, "tid", "left_semi").groupBy("tid", "tid2").agg(F.min("text").alias("text")))
+    # A row's text is no larger than its bands, about, so as many partitions do for both.
+    moved = lambda df: df.select("tid", "tid2", "text").repartition(partitions, "tid")
+    held = cut(moved(evaluation).join(wanted, "tid", "left_semi").groupBy("tid", "tid2").agg(F.min("text").alias("text")))
     chars = held.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     shards = max(1, -(-chars // SHARD_CHARS))
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))
@@ -273,7 +275,7 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame, least: float,
     # A shard that many training texts visit is copied, so that no task streams more than its share.
     salts = visits.groupBy("shard").agg(F.ceil(F.count("*") / STREAM_TEXTS).cast("int").alias("salts"))
     visits = visits.join(salts, "shard").select("shard", F.pmod(F.xxhash64("tid"), "salts").cast("int").alias("salt"), F.lit(1).alias("side"), "tid")
-    streamed = visits.join(training.select("tid", "tid2", "text"), "tid")
+    streamed = visits.join(moved(training), "tid")
     indexed = held.withColumn("shard", shard("tid")).join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), "tid", "tid2", "text")
     both = indexed.unionByName(streamed.select("shard", "salt", "side", "tid", "tid2", "text"))
     placed = both.repartition(max(shards, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", "salt").sortWithinPartitions("shard", "salt", "side", "tid", "tid2")
