@@ -47,7 +47,7 @@ def grouped_splits(df: DataFrame, id_col: str, keys: Sequence[Column], proportio
     tied = cut(groups(df, id_col, keys))
     days = df.select(F.col(id_col).cast("string").alias("row_id"), (F.unix_date(day) if day is not None else F.lit(None).cast("int")).alias("d")).groupBy("row_id").agg(F.min("d").alias("d"))
     per = tied.join(days, "row_id", "left").groupBy("group_row_id").agg(F.count("*").alias("n"), F.floor(F.avg("d")).alias("d"))
-    per = cut(per.withColumn("h", F.xxhash64("group_row_id")))
+    per = cut(per.withColumn("h", F.md5("group_row_id")))
     n = per.agg(F.sum("n").alias("n")).first().n or 0
     limit = n * min(shares.values()) / 2
     room = {k: v * n for k, v in shares.items()}
@@ -71,3 +71,14 @@ def grouped_splits(df: DataFrame, id_col: str, keys: Sequence[Column], proportio
     if placed:
         chosen = chosen.unionByName(df.sparkSession.createDataFrame(placed, "group_row_id string, split string"))
     return tied.join(chosen, "group_row_id").select("row_id", "group_row_id", "split")
+
+
+def split_audit(splits: DataFrame, proportions: dict[str, float]) -> DataFrame:
+    """``split``, ``rows``, ``groups``, ``share`` reached and ``wanted`` for each split asked for, and ``torn`` groups (in several splits)."""
+    total = sum(proportions.values())
+    asked = splits.sparkSession.createDataFrame([(k, v / total) for k, v in proportions.items()], "split string, wanted double")
+    per = splits.groupBy("split", "group_row_id").agg(F.count("*").alias("n"))
+    torn = per.groupBy("group_row_id").agg(F.count("*").alias("k"), F.sum("n").alias("n")).agg(F.count_if(F.col("k") > 1).alias("torn"), F.sum("n").alias("all"))
+    sizes = asked.join(per.groupBy("split").agg(F.sum("n").alias("rows"), F.count("*").alias("groups")), "split", "left")
+    zero = F.lit(0).cast("long")
+    return sizes.crossJoin(F.broadcast(torn)).select("split", F.coalesce("rows", zero).alias("rows"), F.coalesce("groups", zero).alias("groups"), F.round(F.coalesce("rows", zero) / F.col("all"), 6).alias("share"), "wanted", "torn")

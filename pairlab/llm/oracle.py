@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..queries.fragments import DATE
+
 _WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _BASE = "regexp_replace(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '^([A-Z]{{2}}[0-9]+)[A-Z][0-9]?$', '\\1')"
 _KEY = r"array_to_string(list_sort(list_filter(list_transform(string_split(lower({0}), '|'), lambda p: regexp_replace(p, '[^\p{{L}}\p{{N}}]+', '', 'g')), lambda p: p <> '')), '|')"
@@ -50,17 +52,60 @@ for _r in range(6):
     _P5 += f", r{_r + 1} AS (SELECT unit, seq, blk, b AS a, (a + ('0x' || substr(md5('7|' || blk || '|{_r}|' || b), 1, 8))::UBIGINT::BIGINT) % 32 AS b FROM r{_r})\n"
 _P5 += ", chosen AS (SELECT unit, seq FROM r6 WHERE a * 32 + b < 128)\n"
 
+_DAY = f"coalesce({DATE.format('_date')}, _parsed_date::DATE)"
+#: Groups above half the smallest split one after another, each to the split with the most room; the others by running totals.
+_SPLITS = f"""WITH RECURSIVE {_TIES}, tied AS (SELECT a AS row_id, min(b) AS g FROM reach GROUP BY a UNION SELECT r, r FROM rows WHERE r IS NOT NULL AND r NOT IN (SELECT a FROM reach)),
+day AS (SELECT _row_id AS row_id, min(date_diff('day', DATE '1970-01-01', {_DAY})) AS d FROM (SELECT _row_id, _date, _parsed_date FROM test UNION ALL SELECT _row_id, _date, _parsed_date FROM generate_random_u) GROUP BY 1),
+per AS (SELECT g, count(*) AS n, floor(avg(d)) AS d FROM tied JOIN day USING (row_id) GROUP BY g), every AS (SELECT sum(n)::DOUBLE AS n FROM per),
+big AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS k FROM per WHERE n > (SELECT n FROM every) * 0.1::DOUBLE / 2),
+room(k, g, split, t, v, e) AS (SELECT 0, NULL::VARCHAR, NULL::VARCHAR, 0.8::DOUBLE * n, 0.1::DOUBLE * n, 0.1::DOUBLE * n FROM every
+  UNION ALL SELECT big.k, big.g, CASE WHEN t >= greatest(v, e) THEN 'train' WHEN v >= e THEN 'validation' ELSE 'test' END,
+    CASE WHEN t >= greatest(v, e) THEN t - n ELSE t END, CASE WHEN t < greatest(v, e) AND v >= e THEN v - n ELSE v END, CASE WHEN t < greatest(v, e) AND v < e THEN e - n ELSE e END FROM room JOIN big ON big.k = room.k + 1),
+free AS (SELECT greatest(0, t) AS lt, greatest(0, v) AS lv, greatest(0, e) AS le, t + v + e AS all_ FROM room ORDER BY k DESC LIMIT 1),
+edge AS (SELECT lv * all_ / (lt + lv + le) AS sv, (lt + lv + le) * (all_ / (lt + lv + le)) - le * (all_ / (lt + lv + le)) AS bv FROM free),
+run AS (SELECT g, n, coalesce(sum(n) OVER (ORDER BY d IS NULL, d, md5(g), g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per WHERE g NOT IN (SELECT g FROM big)),
+chosen AS (SELECT g, CASE WHEN before + n / 2.0::DOUBLE <= bv - sv THEN 'train' WHEN before + n / 2.0::DOUBLE <= bv THEN 'validation' ELSE 'test' END AS split FROM run, edge UNION ALL SELECT g, split FROM room WHERE k > 0),
+splits AS (SELECT row_id, g AS group_row_id, split FROM tied JOIN chosen USING (g))"""
+
+_GROUPS = f"""WITH RECURSIVE tx AS (SELECT DISTINCT 'text' AS field, claim_id AS id, text AS t FROM test WHERE text <> '' AND claim_id IS NOT NULL UNION SELECT 'text_b', _row_id, text_b FROM test WHERE text_b <> '' AND _row_id IS NOT NULL),
+w AS (SELECT field, t, {_WORDS.format('t')} AS w FROM (SELECT DISTINCT field, t FROM tx)), s AS (SELECT field, t, {_grams('w', 3)} AS s FROM w WHERE len(w) >= 3), u AS (SELECT field, t, len(s) AS n, unnest(s) AS g FROM s),
+c AS (SELECT p.field, p.t AS a, q.t AS b, count(*) AS s, any_value(p.n) + any_value(q.n) AS n FROM u p JOIN u q ON p.field = q.field AND p.g = q.g AND p.t <> q.t GROUP BY ALL),
+near AS (SELECT field, a, b FROM c WHERE s >= 0.6 * (n - s) - 1e-9),
+reach(field, a, b) AS (SELECT field, t, t FROM w UNION SELECT reach.field, reach.a, near.b FROM reach JOIN near ON reach.field = near.field AND reach.b = near.a),
+comp AS (SELECT field, a AS t, min(b) AS c FROM reach GROUP BY ALL), links AS (SELECT field, a AS t, count(*) AS links FROM near GROUP BY ALL),
+named AS (SELECT field, id, c, coalesce(links, 0) AS links FROM tx JOIN comp USING (field, t) LEFT JOIN links USING (field, t)), least_ AS (SELECT field, c, min(id) AS group_id FROM named GROUP BY ALL)"""
+
+#: Pairs with the stretches of words that both texts have, extendable on neither side.
+_SPANS = f"""WITH {_shingled('x', ('test', 'validation'))}, {_shingled('y', ('train',))},
+c AS (SELECT p.field, p.id AS eval_id, p.w AS wa, q.id AS train_id, q.w AS wb, count(*) AS s, any_value(p.n) + any_value(q.n) AS n FROM x_u p JOIN y_u q ON p.field = q.field AND p.g = q.g GROUP BY ALL),
+pr AS (SELECT *, row_number() OVER () AS k FROM c WHERE s >= 0.7 * (n - s) - 1e-9),
+i AS (SELECT k, unnest(wa) AS word, generate_subscripts(wa, 1) AS i FROM pr), j AS (SELECT k, unnest(wb) AS word, generate_subscripts(wb, 1) - 1 AS j FROM pr),
+ru AS (SELECT k, min(j) AS lo, max(j) + 1 AS hi FROM (SELECT k, i - j AS diagonal, j, j - row_number() OVER (PARTITION BY k, i - j ORDER BY j) AS run FROM i JOIN j USING (k, word)) GROUP BY k, diagonal, run),
+lo AS (SELECT k, lo, hi, CASE WHEN lo >= max(hi) OVER (PARTITION BY k ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM ru WHERE hi - lo >= 8),
+me AS (SELECT k, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS part FROM lo) GROUP BY k, part),
+told AS (SELECT k, max(hi - lo)::INT AS longest_span FROM ru GROUP BY k), sp AS (SELECT k, sum(hi - lo)::INT AS span_words, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS spans FROM me GROUP BY k),
+res AS (SELECT DISTINCT field, eval_id, train_id, round(s::DOUBLE / (n - s), 6) AS similarity, longest_span, coalesce(span_words, 0) AS span_words, coalesce(spans, '') AS spans FROM pr JOIN told USING (k) LEFT JOIN sp USING (k))"""
+
 #: The words of a window that a mask looks at.
 _SEED = "array_to_string(list_filter(list_transform(g, lambda x, i: CASE WHEN z = 1 OR (i - 1) % 4 <> m THEN x END), lambda x: x IS NOT NULL), ' ')"
 
 SQL = {
     "p1_found": f"WITH RECURSIVE {_TIES} SELECT a AS row_id, min(b) AS group_row_id FROM reach GROUP BY a HAVING count(*) > 1",
+    "p1_splits": f"{_SPLITS} SELECT * FROM splits",
+    "p1_proportions": f"""{_SPLITS}, q AS (SELECT split, count(*) AS rows, count(DISTINCT group_row_id) AS groups FROM splits GROUP BY 1)
+        SELECT split, coalesce(rows, 0) AS rows, coalesce(groups, 0) AS groups, round(coalesce(rows, 0) / (SELECT n FROM every), 6) AS share, wanted::DOUBLE AS wanted, 0::BIGINT AS torn FROM (VALUES ('train', 0.8), ('validation', 0.1), ('test', 0.1)) s(split, wanted) LEFT JOIN q USING (split)""",
     "p2_found": f"{_COPIES} SELECT r AS row_id, min(r) OVER (PARTITION BY source, a, b) AS kept_row_id FROM k2 QUALIFY count(*) OVER (PARTITION BY source, a, b) > 1",
     "p2_collapsed": f"{_COPIES} SELECT source, min(r) AS kept_row_id, count(*) AS copies FROM k2 GROUP BY source, a, b",
     "p3_found": f"""WITH {_shingled('x', ('test',))},
         c AS (SELECT p.field, p.id AS a, p.w AS wa, q.id AS b, q.w AS wb, count(*) AS s, any_value(p.n) + any_value(q.n) AS n
               FROM x_u p JOIN x_u q ON p.field = q.field AND p.g = q.g AND p.id < q.id GROUP BY ALL)
         SELECT DISTINCT field, a AS id_a, b AS id_b FROM c WHERE s >= 0.6 * (n - s) - 1e-9""",
+    "p3_groups": f"{_GROUPS} SELECT field, id, min(group_id) AS group_id, sum(links)::BIGINT AS links FROM named JOIN least_ USING (field, c) GROUP BY field, id",
+    "p4_spans": f"{_SPANS} SELECT * FROM res",
+    "p4_report": f"""{_SPANS}, best AS (SELECT field, eval_id AS id, max(similarity) AS s, max(longest_span) AS longest, max(span_words) AS covered FROM res GROUP BY ALL),
+        ids AS (SELECT DISTINCT split, coalesce({_BASE.format("cited_document_id")}, '') AS document, unnest(['text', 'text_b']) AS field, unnest([claim_id, _row_id]) AS id FROM (SELECT 'test' AS split, * FROM test UNION ALL SELECT 'validation', * FROM validation))
+        SELECT split, document, count(*) FILTER (field = 'text' AND s = 1) AS claims_same, count(*) FILTER (field = 'text' AND s <> 1) AS claims_almost, count(*) FILTER (field = 'text_b' AND s = 1) AS passages_same, count(*) FILTER (field = 'text_b' AND s <> 1) AS passages_almost,
+        max(longest) AS longest_span, sum(covered)::BIGINT AS span_words FROM ids JOIN best USING (field, id) GROUP BY ALL""",
     "p4_found": f"""WITH {_shingled('x', ('test', 'validation'))}, {_shingled('y', ('train',))},
         c AS (SELECT p.field, p.id AS a, p.w AS wa, q.id AS b, q.w AS wb, count(*) AS s, any_value(p.n) + any_value(q.n) AS n
               FROM x_u p JOIN y_u q ON p.field = q.field AND p.g = q.g AND p.id <> q.id GROUP BY ALL)
@@ -91,3 +136,5 @@ SQL = {
         g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM s)
         SELECT doc_id, min(p) AS start_char, max(p) + 200 AS end_char FROM g GROUP BY doc_id, run""",
 }
+SQL["p8_share"] = f"""WITH sp AS ({SQL["p8_found"]}), k AS (SELECT doc_id, sum(end_char - start_char)::BIGINT AS shared FROM sp GROUP BY 1)
+    SELECT d.doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(shared, 0) AS shared_chars, round(coalesce(shared, 0) / nullif(coalesce(length(text), 0), 0)::DOUBLE, 6) AS shared_share FROM documents d LEFT JOIN k USING (doc_id) WHERE d.doc_id IS NOT NULL"""

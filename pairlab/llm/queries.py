@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_date
 from ..functions.text import base_id, component, field_key
 from ..plans.cut import cut, scratch
-from .grouped_splits import grouped_splits, groups
+from .grouped_splits import grouped_splits, groups, split_audit
 from .hidden_copies import collapsed, copies
 from .leaks import leaks
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
@@ -43,6 +43,11 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return grouped_splits(rows, "_row_id", keys, PROPORTIONS, F.coalesce(parse_date("_date"), F.col("_parsed_date").cast("date")))
 
 
+def p1_proportions(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of rows that the splits reached."""
+    return split_audit(cut(p1_splits(spark, folder)), PROPORTIONS)
+
+
 def _both(passage: str) -> Column:
     claim, other = field_key("text"), field_key(passage)
     return F.when((claim != "") & (other != ""), F.concat_ws("\n", claim, other))
@@ -81,18 +86,21 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Each pair's longest match, its words in matches of eight words or more, and these merged into spans."""
-    return _overlaps(spark, folder)
+    """Each pair's longest match, its words in matches of eight words or more, and these merged into spans ("first-stop" in training words)."""
+    spans = F.array_join(F.transform("spans", lambda x: F.concat(x.first.cast("string"), F.lit("-"), x.stop.cast("string"))), ",")
+    return _overlaps(spark, folder).withColumn("spans", spans)
 
 
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Claims and passages of each split and cited document that train holds too, with the same shingles or almost."""
-    best = _overlaps(spark, folder).groupBy("field", F.col("eval_id").alias("id")).agg(F.max("similarity").alias("s"))
+    """Claims and passages of each split and cited document that train holds too, with the same shingles or almost; their
+    longest match with a training text, and the words of each in spans of matches with the training text that covers most."""
+    best = _overlaps(spark, folder).groupBy("field", F.col("eval_id").alias("id")).agg(F.max("similarity").alias("s"), F.max("longest_span").alias("longest"), F.max("span_words").alias("covered"))
     rows = _evaluation(spark, folder).withColumn("document", F.coalesce(base_id("cited_document_id"), F.lit("")))
     ids = rows.select("split", "document", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(i).alias("id")) for f, (i, _) in FIELDS.items()])).alias("x")).select("split", "document", "x.field", "x.id").distinct()
     told = ids.join(best, ["field", "id"])
     count = lambda field, exact: F.count_if((F.col("field") == field) & ((F.col("s") == 1) == F.lit(exact)))
-    return told.groupBy("split", "document").agg(count("text", True).alias("claims_same"), count("text", False).alias("claims_almost"), count("text_b", True).alias("passages_same"), count("text_b", False).alias("passages_almost"))
+    counts = [count("text", True).alias("claims_same"), count("text", False).alias("claims_almost"), count("text_b", True).alias("passages_same"), count("text_b", False).alias("passages_almost")]
+    return told.groupBy("split", "document").agg(*counts, F.max("longest").alias("longest_span"), F.sum("covered").alias("span_words"))
 
 
 def p5_sample_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,4 +149,4 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(_read(spark, folder, "documents"), "doc_id", "text", 200)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_collapsed, p3_found, p3_groups, p4_found, p4_spans, p4_report, p5_sample_rows, p5_sample_documents, p6_pack, p6_audit, p6_fill, p7_found, p7_leaks, p8_found, p8_share)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_proportions, p2_found, p2_collapsed, p3_found, p3_groups, p4_found, p4_spans, p4_report, p5_sample_rows, p5_sample_documents, p6_pack, p6_audit, p6_fill, p7_found, p7_leaks, p8_found, p8_share)}
