@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,42 +25,50 @@ _COPY, _EDGE_ROW, _EDGE_RUN, _RUN = range(4)
 def _scan(kind: pa.DataType):
     fields = pa.schema([("what", pa.int32()), ("run", pa.int32()), ("row_id", kind), ("head", kind), ("key", pa.string()), ("n", pa.int64())])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, head, n, run, out = None, None, 0, 0, []
-
-        def end(last: bool):
-            edge = run == 0 or last
-            out.append((_EDGE_RUN if edge else _RUN, 0 if run == 0 else 1, None, head, key if edge else None, n))
-            if last and run > 0 and n == 1:
-                out.append((_EDGE_ROW, 1, head, head, None, 1))
-
-        def batch() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), fields)], schema=fields)
-            out.clear()
-            return rows
+    def rows(what, run, row_id, head, key, n) -> pa.RecordBatch:
+        size = len(head)
+        spread = lambda v, t: pa.array(np.broadcast_to(np.asarray(v), size).astype(t))
+        return pa.RecordBatch.from_arrays([spread(what, np.int32), spread(run, np.int32), pa.nulls(size, kind) if row_id is None else row_id, head, pa.nulls(size, pa.string()) if key is None else key, spread(n, np.int64)], schema=fields)
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The run that goes on: its number, key, head and records so far.
+        run, key, head, n = -1, None, None, 0
         for b in batches:
-            for k, row in zip(b.column("key").to_pylist(), b.column("row_id").to_pylist()):
-                if k != key:
-                    if key is not None:
-                        end(False)
-                        run += 1
-                    key, head, n = k, row, 0
-                n += 1
-                if run == 0:
-                    out.append((_EDGE_ROW, 0, row, head, None, 1))
-                else:
-                    # Whether this run is the partition's last shows later: its rows name their head either way.
-                    if n == 2:
-                        out.append((_COPY, 1, head, head, None, 1))
-                    if n > 1:
-                        out.append((_COPY, 1, row, head, None, 1))
-                if len(out) > 50_000:
-                    yield batch()
-        if key is not None:
-            end(True)
-        if out:
-            yield batch()
+            keys, ids, size = b.column("key"), b.column("row_id"), b.num_rows
+            if not size:
+                continue
+            new = np.ones(size, dtype=bool)
+            new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = run < 0 or keys[0].as_py() != key
+            at, starts = np.arange(size), np.flatnonzero(new)
+            begin = np.maximum.accumulate(np.where(new, at, -1))
+            number = run + np.cumsum(new)
+            count = np.where(begin < 0, n + at + 1, at - begin + 1)
+            heads = pa.concat_arrays([pa.array([head], kind), ids])
+            # Rows of the first run may go on from the partition before; of other runs a lone row has no copy yet.
+            edge, copy, second = number == 0, (number > 0) & (count > 1), (number > 0) & (count == 2)
+            for some, what in ((edge, _EDGE_ROW), (copy, _COPY)):
+                if some.any():
+                    yield rows(what, np.minimum(number[some], 1), ids.filter(pa.array(some)), heads.take(pa.array(begin[some] + 1)), None, 1)
+            if second.any():
+                first = heads.take(pa.array(begin[second] + 1))
+                yield rows(_COPY, 1, first, first, None, 1)
+            # Runs that end before one of these starts.
+            ended = starts if run >= 0 else starts[1:]
+            if len(ended):
+                last = ended - 1
+                before = np.where(last < 0, -1, begin[np.maximum(last, 0)])
+                numbers = np.where(last < 0, run, number[np.maximum(last, 0)])
+                counts = np.where(last < 0, n, count[np.maximum(last, 0)])
+                names = pa.concat_arrays([pa.array([key], pa.string()), keys]).take(pa.array(np.where(numbers == 0, last + 1, 0)))
+                told = pc.if_else(pa.array(numbers == 0), names, pa.scalar(None, pa.string()))
+                yield rows(np.where(numbers == 0, _EDGE_RUN, _RUN), np.minimum(numbers, 1), None, heads.take(pa.array(before + 1)), told, counts)
+            run, key, n = int(number[-1]), keys[size - 1].as_py(), int(count[-1])
+            head = heads[int(begin[-1]) + 1].as_py()
+        if run >= 0:
+            yield rows(_EDGE_RUN, min(run, 1), None, pa.array([head], kind), pa.array([key], pa.string()), n)
+            if run > 0 and n == 1:
+                yield rows(_EDGE_ROW, 1, pa.array([head], kind), pa.array([head], kind), None, 1)
 
     return scan
 

@@ -1,10 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pairlab.functions.text import field_key
-from pairlab.llm.hidden_copies import collapsed, copies
+from pairlab.llm.hidden_copies import _scan, collapsed, copies
 
 
 def key():
@@ -37,6 +38,21 @@ def test_against_brute_force(spark, partitions):
     assert sorted(got) == sorted((min(g), len(g)) for g in groups.values())
 
 
+def test_batches_may_end_anywhere():
+    r = random.Random(4)
+    for _ in range(80):
+        keys = sorted(r.choice("abcdef") for _ in range(r.randint(1, 25)))
+        rows = [(k, i) for i, k in enumerate(keys)]
+        cuts = sorted(r.randint(0, len(rows)) for _ in range(r.randint(0, 6)))
+        told = []
+        for parts in ([rows], [rows[i:j] for i, j in zip([0, *cuts], [*cuts, len(rows)])]):
+            batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in p], pa.string()), pa.array([i for _, i in p], pa.int64())], names=["key", "row_id"]) for p in parts]
+            told.append(sorted((str(sorted(x.items())) for out in _scan(pa.int64())(iter(batches)) for x in out.to_pylist())))
+        assert told[0] == told[1]
+        sizes = {k: keys.count(k) for k in keys}
+        assert told[0].count("") == 0 and sum("'what', 2" in x for x in told[0]) == min(2, len(sizes))
+
+
 def test_all_the_same_and_number_ids(spark):
     df = spark.range(50).select(F.col("id"), F.lit("x").alias("text"))
     assert {tuple(r) for r in copies(df, "id", key(), 4).collect()} == {(i, 0) for i in range(50)}
