@@ -67,13 +67,22 @@ run AS (SELECT g, n, coalesce(sum(n) OVER (ORDER BY d IS NULL, d, md5(g), g ROWS
 chosen AS (SELECT g, CASE WHEN before + n / 2.0::DOUBLE <= bv - sv THEN 'train' WHEN before + n / 2.0::DOUBLE <= bv THEN 'validation' ELSE 'test' END AS split FROM run, edge UNION ALL SELECT g, split FROM room WHERE k > 0),
 splits AS (SELECT row_id, g AS group_row_id, split FROM tied JOIN chosen USING (g))"""
 
-_GROUPS = f"""WITH RECURSIVE tx AS (SELECT DISTINCT 'text' AS field, claim_id AS id, text AS t FROM test WHERE text <> '' AND claim_id IS NOT NULL UNION SELECT 'text_b', _row_id, text_b FROM test WHERE text_b <> '' AND _row_id IS NOT NULL),
-w AS (SELECT field, t, {_WORDS.format('t')} AS w FROM (SELECT DISTINCT field, t FROM tx)), s AS (SELECT field, t, {_grams('w', 3)} AS s FROM w WHERE len(w) >= 3), u AS (SELECT field, t, len(s) AS n, unnest(s) AS g FROM s),
+def _groups(texts: str, n: int, least: float) -> str:
+    """Groups of the ids of ``texts`` (field, id, t) whose texts are alike, through others too, and their links."""
+    return f"""WITH RECURSIVE {texts},
+w AS (SELECT field, t, {_WORDS.format('t')} AS w FROM (SELECT DISTINCT field, t FROM tx)), s AS (SELECT field, t, {_grams('w', n)} AS s FROM w WHERE len(w) >= {n}), u AS (SELECT field, t, len(s) AS n, unnest(s) AS g FROM s),
 c AS (SELECT p.field, p.t AS a, q.t AS b, count(*) AS s, any_value(p.n) + any_value(q.n) AS n FROM u p JOIN u q ON p.field = q.field AND p.g = q.g AND p.t <> q.t GROUP BY ALL),
-near AS (SELECT field, a, b FROM c WHERE s >= 0.6 * (n - s) - 1e-9),
+near AS (SELECT field, a, b FROM c WHERE s >= {least} * (n - s) - 1e-9),
 reach(field, a, b) AS (SELECT field, t, t FROM w UNION SELECT reach.field, reach.a, near.b FROM reach JOIN near ON reach.field = near.field AND reach.b = near.a),
 comp AS (SELECT field, a AS t, min(b) AS c FROM reach GROUP BY ALL), links AS (SELECT field, a AS t, count(*) AS links FROM near GROUP BY ALL),
-named AS (SELECT field, id, c, coalesce(links, 0) AS links FROM tx JOIN comp USING (field, t) LEFT JOIN links USING (field, t)), least_ AS (SELECT field, c, min(id) AS group_id FROM named GROUP BY ALL)"""
+named AS (SELECT field, id, c, coalesce(links, 0) AS links FROM tx JOIN comp USING (field, t) LEFT JOIN links USING (field, t)), least_ AS (SELECT field, c, min(id) AS group_id FROM named GROUP BY ALL),
+gr AS (SELECT field, id, min(group_id) AS group_id, sum(links)::BIGINT AS links FROM named JOIN least_ USING (field, c) GROUP BY field, id)"""
+
+
+_GROUPS = _groups("tx AS (SELECT DISTINCT 'text' AS field, claim_id AS id, text AS t FROM test WHERE text <> '' AND claim_id IS NOT NULL UNION SELECT 'text_b', _row_id, text_b FROM test WHERE text_b <> '' AND _row_id IS NOT NULL)", 3, 0.6)
+_PARAGRAPHS = _groups("""li AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> '' AND doc_id IS NOT NULL), pa AS (SELECT doc_id, p, unnest(range(len(p)))::INT AS paragraph FROM li),
+pl AS (SELECT doc_id, paragraph, doc_id || ':' || paragraph AS id, p[paragraph + 1] AS t, coalesce(list_sum(list_transform(p[1:paragraph], lambda x: length(x) + 1)), 0)::BIGINT AS start_char FROM pa WHERE p[paragraph + 1] <> ''),
+tx AS (SELECT DISTINCT 'text' AS field, id, t FROM pl)""", 5, 0.8)
 
 #: Pairs with the stretches of words that both texts have, extendable on neither side.
 _SPANS = f"""WITH {_shingled('x', ('test', 'validation'))}, {_shingled('y', ('train',))},
@@ -100,7 +109,9 @@ SQL = {
         c AS (SELECT p.field, p.id AS a, p.w AS wa, q.id AS b, q.w AS wb, count(*) AS s, any_value(p.n) + any_value(q.n) AS n
               FROM x_u p JOIN x_u q ON p.field = q.field AND p.g = q.g AND p.id < q.id GROUP BY ALL)
         SELECT DISTINCT field, a AS id_a, b AS id_b FROM c WHERE s >= 0.6 * (n - s) - 1e-9""",
-    "p3_groups": f"{_GROUPS} SELECT field, id, min(group_id) AS group_id, sum(links)::BIGINT AS links FROM named JOIN least_ USING (field, c) GROUP BY field, id",
+    "p3_groups": f"{_GROUPS} SELECT * FROM gr",
+    "p8_paragraphs": f"""{_PARAGRAPHS} SELECT doc_id, paragraph, start_char, start_char + length(t) AS end_char, group_id AS cluster_id, links, id <> group_id AS removed
+        FROM gr JOIN pl USING (id) WHERE group_id IN (SELECT group_id FROM gr GROUP BY 1 HAVING count(*) > 1)""",
     "p4_spans": f"{_SPANS} SELECT * FROM res",
     "p4_report": f"""{_SPANS}, best AS (SELECT field, eval_id AS id, max(similarity) AS s, max(longest_span) AS longest, max(span_words) AS covered FROM res GROUP BY ALL),
         ids AS (SELECT DISTINCT split, coalesce({_BASE.format("cited_document_id")}, '') AS document, unnest(['text', 'text_b']) AS field, unnest([claim_id, _row_id]) AS id FROM (SELECT 'test' AS split, * FROM test UNION ALL SELECT 'validation', * FROM validation))

@@ -14,6 +14,7 @@ from .leaks import leaks
 from .near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from .overlaps import overlaps
 from .packing import pack, pack_audit, pack_fill
+from .paragraphs import paragraph_clusters
 from .shared_spans import shared_share, shared_spans
 from .stable_sample import stable_sample
 
@@ -149,4 +150,9 @@ def p8_share(spark: SparkSession, folder: str) -> DataFrame:
     return shared_share(_read(spark, folder, "documents"), "doc_id", "text", 200)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_proportions, p2_found, p2_collapsed, p3_found, p3_groups, p4_found, p4_spans, p4_report, p5_sample_rows, p5_sample_documents, p6_pack, p6_audit, p6_fill, p7_found, p7_leaks, p8_found, p8_share)}
+def p8_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of paragraphs alike as wholes, by sketches and bands: not the shared stretches of p8_found."""
+    return paragraph_clusters(_read(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_proportions, p2_found, p2_collapsed, p3_found, p3_groups, p4_found, p4_spans, p4_report, p5_sample_rows, p5_sample_documents, p6_pack, p6_audit, p6_fill, p7_found, p7_leaks, p8_found, p8_share, p8_paragraphs)}

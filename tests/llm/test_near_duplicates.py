@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pairlab.llm.near_duplicates import _meet, candidates, near_duplicate_groups, near_duplicate_pairs
 from pairlab.llm.overlaps import WordIndex, overlaps
+from pairlab.llm.paragraphs import paragraph_clusters
 from pairlab.llm.sketches import shingles, similarity_sketch, word_hashes
 
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -162,3 +163,14 @@ def test_hot_text(spark):
     t = spark.range(300).select(F.concat(F.lit("t"), "id").alias("id"), F.when(F.col("id") % 3 == 0, hot).otherwise(F.concat(F.lit("other text number "), F.col("id").cast("string"), F.lit(" of its own"))).alias("text"))
     e = spark.createDataFrame([("e", hot + " end")], "id string, text string")
     assert overlaps(e, t, FIELDS).count() == 100
+
+
+def test_paragraph_clusters(spark):
+    r = random.Random(11)
+    part = " ".join(r.choices(VOCABULARY, k=40))
+    near = part.replace(part.split(" ")[39], "changed")
+    docs = [(1, f"Title\n{part}\n\nend of one"), (2, f"{near}"), (3, None), (4, ""), (5, f"é\n{part.upper()}"), (6, "alone with a text of its own"), (None, part)]
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, pid string")
+    got = {tuple(x) for x in paragraph_clusters(df).collect()}
+    assert got == {(1, 1, 6, 6 + len(part), "1:1", 2, False), (2, 0, 0, len(near), "1:1", 2, True), (5, 1, 2, 2 + len(part), "1:1", 2, True)}
+    assert paragraph_clusters(df.limit(0)).count() == 0
