@@ -7,6 +7,8 @@ cites nor references its document, and document, passage and component differ fr
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,10 +18,11 @@ from ..functions.collections import parse_codes, parse_references
 from ..functions.dates import choose_date, parse_date
 from ..functions.text import base_id, component, normalize_text
 from ..plans.cut import cut
-from .joins import last_values, salted
-from .ranking import first_appearance
+from ..plans.sequence import global_sequence, running
+from .joins import last_values
 from .schema import resolve_ids
 
+_BLOCK_BITS = 24
 _META = ("input_id", "base_id", "row_pos")
 
 #: The reasons for an empty pool, in the order in which they apply, and the names of the rules checked.
@@ -35,106 +38,153 @@ def metadata(meta: DataFrame) -> DataFrame:
 
 
 def prepared(pairs: DataFrame, meta: DataFrame) -> DataFrame:
-    """The pairs with normalized texts and resolved application and document."""
+    """The pairs, of one or several splits (``split``), with normalized texts and resolved application and document."""
     p = resolve_ids(pairs, "patent_application_id", meta, *_META, "app")
     p = resolve_ids(p, "cited_document_id", meta, *_META, "doc")
     p = resolve_ids(p.withColumn("__u", F.coalesce("_u_candidate_base", "cited_document_id")), "__u", meta, *_META, "hard_doc")
     day, source = choose_date(["_date", "_parsed_date", "date"])
     comp = F.coalesce(component("_u_target_component"), component("_priority_component_id"))
-    return p.select("_row_id", "claim_id", "label", "app", "doc", "hard_doc", normalize_text("text").alias("q"), normalize_text("text_b").alias("passage"), day.alias("target"), source.alias("target_source"), comp.alias("target_component"), component("_priority_component_id").alias("own_component"))
+    return p.select("split", "_row_id", "claim_id", "label", "app", "doc", "hard_doc", normalize_text("text").alias("q"), normalize_text("text_b").alias("passage"), day.alias("target"), source.alias("target_source"), comp.alias("target_component"), component("_priority_component_id").alias("own_component"))
 
 
 def universe(prep: DataFrame, docs: DataFrame) -> DataFrame:
-    """``cand``, ``base``, ``cpassage``, ``pub``, ``codes``, ``components``: distinct cited passages with a date and codes.
+    """``split``, ``cand``, ``base``, ``cpassage``, ``text_key``, ``pub``, ``codes``, ``components``: each split's distinct cited passages with
+    a date and codes.
 
-    ``cand`` numbers them by first appearance (row id, then document and passage)."""
+    ``cand`` numbers them within the split by first appearance (row id, then document and the passage's digest)."""
     rows = prep.where("label <> 2 and doc <> '' and passage <> ''")
-    comps = rows.groupBy("doc", "passage").agg(F.array_sort(F.collect_set("own_component")).alias("components"))
-    kept = comps.join(docs.where("pub is not null and size(codes) > 0"), F.col("doc") == F.col("base"))
-    firsts = rows.join(kept.select("doc", "passage"), ["doc", "passage"], "left_semi").select("doc", "passage", "_row_id")
-    numbers = first_appearance(firsts, ["doc", "passage"], "_row_id", "cand").drop("first")
-    return kept.join(numbers, ["doc", "passage"]).select("cand", "base", F.col("passage").alias("cpassage"), "pub", "codes", "components")
+    found = rows.groupBy("split", F.col("doc").alias("base"), F.md5("passage").alias("text_key")).agg(F.min("passage").alias("cpassage"), F.min("_row_id").alias("first"), F.array_sort(F.collect_set("own_component")).alias("components"))
+    kept = cut(found.join(docs.where("pub is not null and size(codes) > 0").select("base", "pub", "codes"), "base"))
+    # Passages don't move again to be numbered.
+    numbers = running(kept.select("split", "first", "base", "text_key"), ["split"], ["first", "base", "text_key"], {"cand": None})
+    return kept.join(numbers.drop("first"), ["split", "base", "text_key"]).select("split", "cand", "base", "cpassage", "text_key", "pub", "codes", "components")
 
 
 def targets(prep: DataFrame, docs: DataFrame) -> DataFrame:
-    """The uncited rows, one for each claim, with their application's codes and references."""
-    one = prep.where("label = 2").groupBy("claim_id").agg(F.min(F.struct("_row_id", "app", "hard_doc", "q", "passage", "target", "target_source", "target_component")).alias("v")).select("claim_id", "v.*")
+    """The uncited rows, one for each split and claim, with their application's codes and references."""
+    one = prep.where("label = 2").groupBy("split", "claim_id").agg(F.min(F.struct("_row_id", "app", "hard_doc", "q", "passage", "target", "target_source", "target_component")).alias("v")).select("split", "claim_id", "v.*")
     own = docs.select(F.col("base").alias("app"), F.col("codes").alias("target_codes"), F.col("refs").alias("target_refs"), F.lit(True).alias("known"))
     return one.join(own, "app", "left")
 
 
-def pool(target: DataFrame, cands: DataFrame, prep: DataFrame) -> DataFrame:
-    """``claim_id``, ``cand`` for every eligible candidate.
-
-    The join on shared codes carries the date and the other comparisons as residuals, so it gives eligible
-    pairs only; citations are taken away by one anti join.
-    """
-    usable = target.where("known and size(target_codes) > 0 and target is not null")
-    t = usable.select("claim_id", "app", "hard_doc", F.md5("passage").alias("own"), "target", "target_component", "target_refs", "target_codes", F.explode("target_codes").alias("code"))
-    c = cands.select("cand", "base", F.md5("cpassage").alias("text_key"), "pub", "components", "codes", F.explode("codes").alias("ccode"))
-    t, c = salted(t, "code", F.col("claim_id"), c, "ccode")
-    ok = (F.col("pub") < F.col("target")) & (F.col("base") != F.col("app")) & (F.col("base") != F.col("hard_doc")) & (F.col("text_key") != F.col("own")) & ~F.coalesce(F.array_contains("components", F.col("target_component")), F.lit(False)) & ~F.coalesce(F.array_contains("target_refs", F.col("base")), F.lit(False))
-    # A pair that shares several codes comes out for the least of them only, so no shuffle has to make pairs distinct.
-    once = F.col("code") == F.array_min(F.array_intersect("codes", "target_codes"))
-    pairs = t.join(c, (F.col("code") == F.col("ccode")) & (F.col("__s") == F.col("__t"))).where(ok & once).select("claim_id", "cand", "base", "text_key")
-    cited = prep.where("label <> 2")
-    named = usable.select("claim_id", "app", "q")
-    by_app = named.join(cited.select("app", F.col("doc").alias("base")).distinct(), "app").select("claim_id", "base")
-    by_query = named.join(cited.select("q", F.col("doc").alias("base")).distinct(), "q").select("claim_id", "base")
-    used = named.join(prep.select("q", F.md5("passage").alias("text_key")).distinct(), "q").select("claim_id", "text_key")
-    left = pairs.join(by_app.union(by_query).distinct(), ["claim_id", "base"], "left_anti").join(used.distinct(), ["claim_id", "text_key"], "left_anti")
-    return left.select("claim_id", "cand")
-
-
-def failures(target: DataFrame, eligible: DataFrame) -> DataFrame:
-    """``claim_id``, ``reason``: why a target has no pool, the first that applies; null where it has one."""
-    some = eligible.select("claim_id").distinct().withColumn("has", F.lit(True))
+def _usable(target: DataFrame) -> DataFrame:
+    return target.where("known and size(target_codes) > 0 and target is not null")
+
+
+def code_lists(target: DataFrame, cands: DataFrame, block: int) -> DataFrame:
+    """``split``, ``target_codes``, ``block``, ``entries``: for each set of codes that a target has, the candidates (number and date,
+    in order) that share a code, in lists by blocks of ``block`` numbers. Sets of codes are few, so these are far fewer than pairs."""
+    sets = global_sequence(_usable(target).select("split", "target_codes").distinct(), ["split", "target_codes"], "set")
+    theirs = cands.select("split", "codes").distinct()
+    met = sets.withColumn("code", F.explode("target_codes")).join(theirs.withColumn("code", F.explode("codes")), ["split", "code"]).select("split", "set", "codes").distinct()
+    # Lists are collected by one number, so that they are sorted by its bytes.
+    pairs = met.join(cands.select("split", "codes", "cand", "pub"), ["split", "codes"]).select((F.shiftleft("set", _BLOCK_BITS) + F.floor(F.col("cand") / block)).alias("list"), "cand", "pub")
+    lists = pairs.groupBy("list").agg(F.sort_array(F.collect_list(F.struct("cand", "pub"))).alias("entries"))
+    told = lists.select(F.shiftright("list", _BLOCK_BITS).alias("set"), F.col("list").bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).cast("int").alias("block"), "entries")
+    return told.join(sets, "set").select("split", "target_codes", "block", "entries")
+
+
+def _open(target: DataFrame, lists: DataFrame, *also: str) -> DataFrame:
+    """``split``, ``claim_id``, ``block``, ``open``: candidates of each block that share a code and are dated before the target."""
+    t = _usable(target).select("split", "claim_id", "target", "target_codes", *also)
+    earlier = F.transform(F.filter("entries", lambda x: x["pub"] < F.col("target")), lambda x: x["cand"])
+    return t.join(lists, ["split", "target_codes", *[c for c in also if c in lists.columns]]).select("split", "claim_id", "block", earlier.alias("open"), *[c for c in also if c != "block"]).where("size(open) > 0")
+
+
+def barred_pairs(target: DataFrame, cands: DataFrame, prep: DataFrame) -> DataFrame:
+    """``split``, ``claim_id``, ``cand`` of the pairs that share a code and have the dates in order, but may not be: the candidate's document is
+    the target's application, its uncited document, a reference, or cited by the claim's text or its application; the passage is the
+    target's or in a row of its claim; the target's component is one of the candidate's. Found from these, not from the pool."""
+    t, cited = _usable(target), prep.where("label <> 2")
+    docs = cited.select("split", "app", "q", F.col("doc").alias("base"))
+    own = t.select("split", "claim_id", F.explode(F.array_union(F.array("app", "hard_doc"), F.coalesce("target_refs", F.array().cast("array<string>")))).alias("base"))
+    by_app = t.select("split", "claim_id", "app").join(docs.select("split", "app", "base").distinct(), ["split", "app"]).select("split", "claim_id", "base")
+    by_query = t.select("split", "claim_id", "q").join(docs.select("split", "q", "base").distinct(), ["split", "q"]).select("split", "claim_id", "base")
+    passages = t.select("split", "claim_id", F.md5("passage").alias("text_key")).union(t.select("split", "claim_id", "q").join(prep.select("split", "q", F.md5("passage").alias("text_key")).distinct(), ["split", "q"]).select("split", "claim_id", "text_key"))
+    c = cands.select("split", "cand", "base", "text_key", "pub", "codes")
+    kept = ["split", "claim_id", "cand", "pub", "codes"]
+    found = own.union(by_app).union(by_query).distinct().join(c, ["split", "base"]).select(kept)
+    found = found.union(passages.distinct().join(c, ["split", "text_key"]).select(kept))
+    same = cands.select("split", "cand", "pub", "codes", F.explode("components").alias("target_component"))
+    found = found.union(t.select("split", "claim_id", "target_component").join(same, ["split", "target_component"]).select(kept))
+    ok = (F.col("pub") < F.col("target")) & F.arrays_overlap("codes", "target_codes")
+    return found.join(t.select("split", "claim_id", "target", "target_codes"), ["split", "claim_id"]).where(ok).select("split", "claim_id", "cand").distinct()
+
+
+def pool(target: DataFrame, lists: DataFrame, barred: DataFrame) -> DataFrame:
+    """``split``, ``claim_id``, ``cand`` for every eligible candidate."""
+    pairs = _open(target, lists).select("split", "claim_id", F.explode("open").alias("cand"))
+    return pairs.join(barred, ["split", "claim_id", "cand"], "left_anti")
+
+
+def counted(target: DataFrame, lists: DataFrame, barred: DataFrame, block: int) -> DataFrame:
+    """``split``, ``claim_id``, ``block``, ``n`` > 0: how many eligible candidates a claim has in each block of candidate numbers.
+
+    Lists are counted and the barred pairs taken off, so no pool is made."""
+    off = barred.select("split", "claim_id", F.floor(F.col("cand") / block).cast("int").alias("block"), F.lit(-1).alias("n"))
+    signed = _open(target, lists).select("split", "claim_id", "block", F.size("open").alias("n")).union(off)
+    return signed.groupBy("split", "claim_id", "block").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def failures(target: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``split``, ``claim_id``, ``reason``: why a target has no pool, the first that applies; null where it has one."""
+    some = sizes.select("split", "claim_id", F.lit(True).alias("has"))
     empty = (F.col("known").isNull(), F.size("target_codes") == 0, F.col("target").isNull(), F.col("has").isNull())
     reason = F.coalesce(*[F.when(c, name) for c, name in zip(empty, REASONS)])
-    return target.join(some, "claim_id", "left").select("claim_id", reason.alias("reason"))
+    return target.join(some, ["split", "claim_id"], "left").select("split", "claim_id", reason.alias("reason"))
+
 
+def choose(target: DataFrame, lists: DataFrame, barred: DataFrame, counts: DataFrame, block: int, seed: int) -> DataFrame:
+    """``split``, ``claim_id``, ``cand``, ``pool_size``: one eligible candidate for each target, its place in the pool (by number) taken from a hash.
 
-def choose(target: DataFrame, eligible: DataFrame, seed: int, split: str) -> DataFrame:
-    """``claim_id``, ``cand``, ``pool_size``: one eligible candidate for each target, its place in the pool (by number) taken from a hash."""
-    sized = eligible.groupBy("claim_id").agg(F.count("*").alias("pool_size"))
-    t = target.join(sized, "claim_id").select("claim_id", "pool_size", H.choice("pool_size", F.lit(str(seed)), F.lit(split), F.col("app"), F.col("q")).alias("__at"))
-    placed = eligible.withColumn("__n", F.row_number().over(W.partitionBy("claim_id").orderBy("cand")) - 1)
-    return placed.join(t, "claim_id").where(F.col("__n") == F.col("__at")).select("claim_id", "cand", "pool_size")
+    The counts by block tell in which block the place is; only that block is looked at."""
+    sizes = counts.groupBy("split", "claim_id").agg(F.sum("n").alias("pool_size"))
+    # A claim's blocks are about as many as a block's candidates.
+    before = F.coalesce(F.sum("n").over(W.partitionBy("split", "claim_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = H.choice("pool_size", F.lit(str(seed)), F.col("split"), F.col("app"), F.col("q"))
+    placed = target.join(sizes, ["split", "claim_id"]).select("split", "claim_id", "pool_size", at.alias("at"))
+    chosen = counts.withColumn("before", before).join(placed, ["split", "claim_id"]).where("before <= at and at < before + n").select("split", "claim_id", "block", "pool_size", (F.col("at") - F.col("before")).cast("int").alias("k"))
+    # At most ``block`` of them for a claim.
+    off = barred.withColumn("block", F.floor(F.col("cand") / block).cast("int")).join(chosen.select("split", "claim_id", "block"), ["split", "claim_id", "block"]).groupBy("split", "claim_id").agg(F.collect_list("cand").alias("off"))
+    looked = _open(target.join(chosen, ["split", "claim_id"]), lists, "block", "pool_size", "k").join(off, ["split", "claim_id"], "left")
+    left = F.array_except("open", F.coalesce("off", F.array().cast("array<bigint>")))
+    return looked.select("split", "claim_id", F.get(left, "k").alias("cand"), "pool_size")
 
 
-def random_candidates(target: DataFrame, cands: DataFrame, chosen: DataFrame, seed: int, split: str) -> DataFrame:
+def random_candidates(target: DataFrame, cands: DataFrame, chosen: DataFrame, seed: int) -> DataFrame:
     """The chosen candidates as rows like the uncited ones, with their pool size and the source of the date."""
-    picked = chosen.join(cands, "cand").join(target.drop("pub"), "claim_id")
-    return picked.select(F.concat(F.lit(f"random_{split}_"), "_row_id").alias("row_id"), "claim_id", F.col("base").alias("candidate_base"), F.date_format("pub", "yyyy-MM-dd").alias("candidate_date"), F.array_join("codes", "|").alias("candidate_codes"), F.col("cpassage").alias("text_b"), F.lit(2).alias("label"), F.lit(seed).alias("seed"), "pool_size", "target_source")
+    picked = chosen.join(cands, ["split", "cand"]).join(target.drop("pub"), ["split", "claim_id"])
+    return picked.select("split", F.concat(F.lit("random_"), "split", F.lit("_"), "_row_id").alias("row_id"), "claim_id", F.col("base").alias("candidate_base"), F.date_format("pub", "yyyy-MM-dd").alias("candidate_date"), F.array_join("codes", "|").alias("candidate_codes"), F.col("cpassage").alias("text_b"), F.lit(2).alias("label"), F.lit(seed).alias("seed"), "pool_size", "target_source")
 
 
 def violations(random: DataFrame, target: DataFrame, prep: DataFrame, docs: DataFrame) -> DataFrame:
-    """``check``, ``count``: eight rules, derived again from the output rows."""
-    t = target.select("claim_id", "app", "hard_doc", "q", "passage", "target", "target_codes", "target_refs", "target_component")
+    """``split``, ``check``, ``count``: eight rules, derived again from output rows (``split``, ``claim_id``, ``candidate_base``, ``text_b``)."""
+    t = target.select("split", "claim_id", "app", "hard_doc", F.md5("q").alias("q"), F.md5("passage").alias("passage"), "target", "target_codes", "target_refs", "target_component")
     d = docs.select(F.col("base").alias("candidate_base"), "pub", "codes")
-    comps = prep.where("label <> 2").groupBy(F.col("doc").alias("candidate_base"), F.col("passage").alias("text_b")).agg(F.collect_set("own_component").alias("components"))
-    cited = prep.where("label <> 2").select("claim_id", F.col("doc").alias("candidate_base"), F.lit(True).alias("cited")).distinct()
-    cited_app = prep.where("label <> 2").select("app", F.col("doc").alias("candidate_base"), F.lit(True).alias("cited_app")).distinct()
-    r = random.select("claim_id", "candidate_base", "text_b").join(t, "claim_id").join(d, "candidate_base", "left").join(comps, ["candidate_base", "text_b"], "left").join(cited, ["claim_id", "candidate_base"], "left").join(cited_app, ["app", "candidate_base"], "left")
+    cited = prep.where("label <> 2").select("split", "claim_id", "app", F.col("doc").alias("candidate_base"), F.md5("passage").alias("key"), "own_component")
+    comps = cited.groupBy("split", "candidate_base", "key").agg(F.collect_set("own_component").alias("components"))
+    by_claim = cited.select("split", "claim_id", "candidate_base", F.lit(True).alias("cited")).distinct()
+    by_app = cited.select("split", "app", "candidate_base", F.lit(True).alias("cited_app")).distinct()
+    r = random.select("split", "claim_id", "candidate_base", F.md5("text_b").alias("key")).join(t, ["split", "claim_id"]).join(d, "candidate_base", "left").join(comps, ["split", "candidate_base", "key"], "left").join(by_claim, ["split", "claim_id", "candidate_base"], "left").join(by_app, ["split", "app", "candidate_base"], "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     counts = (
         F.count("*") - F.countDistinct("q"),
-        F.count("*") - F.countDistinct("q", "text_b"),
-        F.count_if(F.col("text_b") == F.col("passage")),
+        F.count("*") - F.countDistinct("q", "key"),
+        F.count_if(F.col("key") == F.col("passage")),
         F.count_if(F.col("candidate_base") == F.col("hard_doc")),
         F.count_if(yes(F.col("cited")) | yes(F.col("cited_app")) | yes(F.array_contains("target_refs", F.col("candidate_base")))),
         F.count_if(~yes(F.col("pub") < F.col("target"))),
         F.count_if(~yes(F.arrays_overlap("codes", "target_codes"))),
         F.count_if(yes(F.array_contains("components", F.col("target_component")))),
     )
-    agg = r.agg(*[c.alias(n) for n, c in zip(CHECKS, counts)])
-    return agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("count")) for c in CHECKS])).alias("x")).select("x.check", "x.count")
+    agg = r.groupBy("split").agg(*[c.alias(n) for n, c in zip(CHECKS, counts)])
+    return agg.select("split", F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("count")) for c in CHECKS])).alias("x")).select("split", "x.check", "x.count")
 
 
-def pool_summary(target: DataFrame, eligible: DataFrame) -> DataFrame:
-    """Targets with a pool, coverage, and mean, median, least and largest pool."""
-    sized = eligible.groupBy("claim_id").agg(F.count("*").alias("n"))
-    return target.join(sized, "claim_id", "left").agg(F.count("n").alias("queries"), F.round(F.count("n") / F.count("*"), 6).alias("coverage"), F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", 0.5).alias("median"), F.min("n").alias("least"), F.max("n").alias("most"))
+def pool_summary(target: DataFrame, sizes: DataFrame) -> DataFrame:
+    """For each split: targets with a pool, coverage, and mean, median, least and largest pool."""
+    both = target.join(sizes, ["split", "claim_id"], "left").groupBy("split")
+    return both.agg(F.count("n").alias("queries"), F.round(F.count("n") / F.count("*"), 6).alias("coverage"), F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", 0.5).alias("median"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
 def near_ties(scores: DataFrame, query: str, candidate: str, score: str, canonical: DataFrame, max_rank: int = 3, max_gap: float = 0.002) -> DataFrame:
@@ -146,10 +196,37 @@ def near_ties(scores: DataFrame, query: str, candidate: str, score: str, canonic
     return ranked.join(best, query).select(query, "rank", gap.alias("gap"), ((F.col("rank") <= max_rank) & (gap <= max_gap)).alias("near_tie"))
 
 
-def build(pairs: DataFrame, meta: DataFrame, seed: int = 42, split: str = "test") -> dict[str, DataFrame]:
-    """All stages over one split; shared intermediate tables are written once."""
-    prep, docs = cut(prepared(pairs, meta)), cut(metadata(meta))
-    cands, target = cut(universe(prep, docs)), cut(targets(prep, docs))
-    eligible = cut(pool(target, cands, prep))
-    chosen = choose(target, eligible, seed, split)
-    return {"prep": prep, "docs": docs, "cands": cands, "targets": target, "pool": eligible, "chosen": chosen, "random": random_candidates(target, cands, chosen, seed, split)}
+class Chain:
+    """The stages over the rows of several splits (``split``); what several stages use is written once, when first asked for. No pool is."""
+
+    def __init__(self, pairs: DataFrame, meta: DataFrame, seed: int = 42):
+        self.seed, self.prep, self.docs = seed, cut(prepared(pairs, meta)), cut(metadata(meta))
+        self.cands, self.targets = cut(universe(self.prep, self.docs)), cut(targets(self.prep, self.docs))
+        # About the square root of the candidates: as many blocks as candidates in a block.
+        self.block = 1 << max(6, (max(1, self.cands.count()).bit_length() + 1) // 2)
+
+    @cached_property
+    def lists(self) -> DataFrame:
+        return cut(code_lists(self.targets, self.cands, self.block))
+
+    @cached_property
+    def barred(self) -> DataFrame:
+        return cut(barred_pairs(self.targets, self.cands, self.prep))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return cut(counted(self.targets, self.lists, self.barred, self.block))
+
+    @property
+    def sizes(self) -> DataFrame:
+        return self.counts.groupBy("split", "claim_id").agg(F.sum("n").alias("n"))
+
+    def pool(self) -> DataFrame:
+        return pool(self.targets, self.lists, self.barred)
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return choose(self.targets, self.lists, self.barred, self.counts, self.block, self.seed)
+
+    def random(self) -> DataFrame:
+        return random_candidates(self.targets, self.cands, self.chosen, self.seed)

@@ -57,15 +57,17 @@ def owners(df: DataFrame, query: str, wanted: Column) -> DataFrame:
     return df.join(df.where(wanted).select(query).distinct(), query, "left_semi")
 
 
-def salted(left: DataFrame, left_key: str, spread: Column, right: DataFrame, right_key: str, salts: int = 8) -> tuple[DataFrame, DataFrame]:
+def salted(left: DataFrame, left_key: str, spread: Column, right: DataFrame, right_key: str, rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
     """Both sides of a join that makes many rows from few keys, partitioned by key and salt: ``__s`` and ``__t``.
 
-    The left side takes a salt from ``spread``, the right side is repeated for each. The number of partitions is
-    stated, so that they aren't merged for being small: the work lies in what they make."""
+    A key gets a salt for each ``rows`` of its left rows, taken from ``spread``; the right side's rows are repeated for each. The
+    number of partitions is stated, so that they aren't merged for being small: the work lies in what they make."""
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = left.withColumn("__s", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).repartition(n, left_key, "__s")
-    b = right.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(n, right_key, "__t")
-    return a, b
+    salts = left.groupBy(F.col(left_key).alias("__key")).agg(F.ceil(F.count("*") / rows).cast("int").alias("__salts"))
+    a = left.join(salts, F.col(left_key) == F.col("__key")).withColumn("__s", F.pmod(F.xxhash64(spread), F.col("__salts")).cast("int"))
+    b = right.join(salts, F.col(right_key) == F.col("__key")).withColumn("__t", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)))
+    drop = ("__key", "__salts")
+    return a.drop(*drop).repartition(n, left_key, "__s"), b.drop(*drop).repartition(n, right_key, "__t")
 
 
 def sharing(left: DataFrame, left_id: str, left_set: str, right: DataFrame, right_id: str, right_set: str, residual: Column | None = None, unique_ids: bool = False) -> DataFrame:

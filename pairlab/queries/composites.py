@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_split, parse_date
+from ..functions.hashing import hex_number
 from ..functions.text import base_id, component, normalize_text
 from ..operators import audits, joins, temporal
 from ..operators import candidates as C
 from ..operators.components import components
-from ..operators.metrics import mean_of_queries, pairwise_by_query
 from ..operators.schema import best_overlap_column, resolve_ids
-from ..operators.vectors import count_best, strict_rank
+from ..operators.vectors import count_best, dot, unit
 from ..sources.tables import load_splits
-from .fixtures import ENSEMBLE, ensemble
 from .fragments import BASE, CODES, COMPONENT, DATE, IDENT, NORM, REFERENCES
 from .registry import query, table
 from .relational import _PAIRS3
@@ -33,35 +29,28 @@ def _resolved(c: str) -> str:
     return f"coalesce((SELECT target FROM alias WHERE alias = {IDENT.format(c)}), (SELECT target FROM alias WHERE alias = {BASE.format(c)}), {BASE.format(c)})"
 
 
-_PREP = f"""prep AS (SELECT _row_id, claim_id, label, {_resolved('t.patent_application_id')} AS app, {_resolved('t.cited_document_id')} AS doc, {_resolved('coalesce(t._u_candidate_base, t.cited_document_id)')} AS hard_doc,
+_SPLIT_ROWS = "(" + " UNION ALL BY NAME ".join(f"SELECT '{n}' AS split, * FROM {n}" for n in ("train", "validation", "test")) + ")"
+_PREP = f"""prep AS (SELECT split, _row_id, claim_id, label, {_resolved('t.patent_application_id')} AS app, {_resolved('t.cited_document_id')} AS doc, {_resolved('coalesce(t._u_candidate_base, t.cited_document_id)')} AS hard_doc,
     {NORM.format('text')} AS q, {NORM.format('text_b')} AS passage, coalesce({DATE.format('_date')}, _parsed_date::DATE, {DATE.format('date')}) AS target, CASE WHEN {DATE.format('_date')} IS NOT NULL THEN '_date' WHEN _parsed_date IS NOT NULL THEN '_parsed_date' WHEN {DATE.format('date')} IS NOT NULL THEN 'date' END AS target_source,
-    coalesce({COMPONENT.format('_u_target_component')}, {COMPONENT.format('_priority_component_id')}) AS target_component, {COMPONENT.format('_priority_component_id')} AS own_component FROM test t)"""
-_UNIVERSE = """uni0 AS (SELECT doc, passage, min(_row_id) AS first, list_sort(list(DISTINCT own_component) FILTER (own_component IS NOT NULL)) AS components FROM prep WHERE label <> 2 AND doc <> '' AND passage <> '' GROUP BY ALL),
-    uni AS (SELECT row_number() OVER (ORDER BY first, doc, passage) - 1 AS cand, doc AS base, passage AS cpassage, pub, codes, coalesce(components, []) AS components FROM uni0 JOIN docs ON base = doc WHERE pub IS NOT NULL AND len(codes) > 0)"""
-_TARGETS = "tg AS (SELECT p.*, d.codes AS target_codes, d.refs AS target_refs, d.base IS NOT NULL AS known FROM prep p LEFT JOIN docs d ON d.base = p.app WHERE label = 2 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY _row_id) = 1)"
-_POOL = """pool AS (SELECT t.claim_id, u.cand FROM tg t JOIN uni u ON len(list_intersect(t.target_codes, u.codes)) > 0 AND u.pub < t.target AND u.base <> t.app AND u.base <> t.hard_doc AND u.cpassage <> t.passage
-    AND NOT coalesce(list_contains(u.components, t.target_component), false) AND NOT list_contains(t.target_refs, u.base)
-    AND NOT EXISTS (SELECT 1 FROM prep p WHERE p.label <> 2 AND p.app = t.app AND p.doc = u.base) AND NOT EXISTS (SELECT 1 FROM prep p WHERE p.label <> 2 AND p.q = t.q AND p.doc = u.base) AND NOT EXISTS (SELECT 1 FROM prep p WHERE p.q = t.q AND p.passage = u.cpassage))"""
+    coalesce({COMPONENT.format('_u_target_component')}, {COMPONENT.format('_priority_component_id')}) AS target_component, {COMPONENT.format('_priority_component_id')} AS own_component FROM {_SPLIT_ROWS} t)"""
+_UNIVERSE = """uni0 AS (SELECT split, doc, passage, min(_row_id) AS first, coalesce(list_sort(list(DISTINCT own_component) FILTER (own_component IS NOT NULL)), []) AS components FROM prep WHERE label <> 2 AND doc <> '' AND passage <> '' GROUP BY ALL),
+    uni AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY first, doc, md5(passage)) - 1 AS cand, doc AS base, passage AS cpassage, pub, codes, components FROM uni0 JOIN docs ON base = doc WHERE pub IS NOT NULL AND len(codes) > 0)"""
+_TARGETS = "tg AS (SELECT p.*, d.codes AS target_codes, d.refs AS target_refs, d.base IS NOT NULL AS known FROM prep p LEFT JOIN docs d ON d.base = p.app WHERE label = 2 QUALIFY row_number() OVER (PARTITION BY split, claim_id ORDER BY _row_id) = 1)"
+_POOL = """pool0 AS (SELECT t.split, t.claim_id, t.app, t.q, u.cand, u.base, u.cpassage FROM tg t JOIN uni u ON t.split = u.split AND len(list_intersect(t.target_codes, u.codes)) > 0 AND u.pub < t.target AND u.base <> t.app AND u.base <> t.hard_doc AND u.cpassage <> t.passage
+    AND NOT coalesce(list_contains(u.components, t.target_component), false) AND NOT list_contains(t.target_refs, u.base)),
+    pool AS (SELECT split, claim_id, cand FROM pool0 t WHERE NOT EXISTS (SELECT 1 FROM prep p WHERE p.label <> 2 AND p.split = t.split AND p.app = t.app AND p.doc = t.base) AND NOT EXISTS (SELECT 1 FROM prep p WHERE p.label <> 2 AND p.split = t.split AND p.q = t.q AND p.doc = t.base)
+    AND NOT EXISTS (SELECT 1 FROM prep p WHERE p.split = t.split AND p.q = t.q AND p.passage = t.cpassage))"""
 _CHAIN = f"WITH {_DOCS}, {_PREP}, {_UNIVERSE}, {_TARGETS}, {_POOL}"
-_CHOSEN = """, sized AS (SELECT claim_id, count(*) AS pool_size FROM pool GROUP BY 1), pick AS (SELECT claim_id, pool_size, (('0x' || substr(sha256('42|test|' || app || '|' || q), 1, 16))::UBIGINT % pool_size)::BIGINT AS place FROM tg JOIN sized USING (claim_id)),
-    placed AS (SELECT claim_id, cand, row_number() OVER (PARTITION BY claim_id ORDER BY cand) - 1 AS n FROM pool), chosen AS (SELECT p.claim_id, cand, pool_size FROM placed p JOIN pick k ON p.claim_id = k.claim_id AND n = place)"""
+_CHOSEN = """, sized AS (SELECT split, claim_id, count(*) AS pool_size FROM pool GROUP BY ALL), pick AS (SELECT split, claim_id, pool_size, (('0x' || substr(sha256('42|' || split || '|' || app || '|' || q), 1, 16))::UBIGINT % pool_size)::BIGINT AS place FROM tg JOIN sized USING (split, claim_id)),
+    placed AS (SELECT split, claim_id, cand, row_number() OVER (PARTITION BY split, claim_id ORDER BY cand) - 1 AS n FROM pool), chosen AS (SELECT p.split, p.claim_id, cand, pool_size FROM placed p JOIN pick k ON p.split = k.split AND p.claim_id = k.claim_id AND n = place)"""
 
 
 _SPLITS = ("train", "validation", "test")
+_CHAIN_COLUMNS = ["_row_id", "claim_id", "patent_application_id", "cited_document_id", "text", "text_b", "label", "date", "_date", "_parsed_date", "_priority_component_id", "_u_target_component", "_u_candidate_base"]
 
 
-def _built(spark: SparkSession, folder: str, split: str) -> dict[str, DataFrame]:
-    return C.build(table(spark, folder, split), table(spark, folder, "doc_metadata"), split=split)
-
-
-def _over_splits(f: Callable[[SparkSession, str, str], DataFrame]) -> None:
-    """Registers ``f`` over each of the three splits by itself, with a split column; its SQL is that of ``f`` over test."""
-
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return reduce(DataFrame.unionByName, [f(spark, folder, s).select(F.lit(s).alias("split"), "*") for s in _SPLITS])
-
-    run.__name__ = f"{f.__name__}_splits"
-    query()(run)
+def _chain(spark: SparkSession, folder: str, splits: tuple[str, ...] = _SPLITS) -> C.Chain:
+    return C.Chain(load_splits(spark, folder, list(splits), _CHAIN_COLUMNS), table(spark, folder, "doc_metadata"))
 
 
 @query(f"WITH {_DOCS} SELECT base, pub, codes, refs FROM docs")
@@ -69,54 +58,74 @@ def g01_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return C.metadata(table(spark, folder, "doc_metadata"))
 
 
-@query(f"WITH {_DOCS}, {_PREP}, {_UNIVERSE} SELECT base, md5(cpassage) AS passage, pub, codes, components FROM uni")
-def g02_universe(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
-    b = C.prepared(table(spark, folder, split), table(spark, folder, "doc_metadata"))
-    return C.universe(b, C.metadata(table(spark, folder, "doc_metadata"))).select("base", F.md5("cpassage").alias("passage"), "pub", "codes", "components")
+@query(f"WITH {_DOCS}, {_PREP}, {_UNIVERSE} SELECT split, cand, base, md5(cpassage) AS passage, pub, codes, components FROM uni")
+def g02_universe(spark: SparkSession, folder: str) -> DataFrame:
+    return _chain(spark, folder).cands.select("split", "cand", "base", F.col("text_key").alias("passage"), "pub", "codes", "components")
+
 
+@query(f"{_CHAIN} SELECT split, claim_id, cand FROM pool")
+def g03_pool(spark: SparkSession, folder: str) -> DataFrame:
+    return _chain(spark, folder).pool()
 
-@query(f"{_CHAIN} SELECT claim_id, cand FROM pool")
-def g03_pool(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
-    return _built(spark, folder, split)["pool"]
 
+@query(f"{_CHAIN} SELECT split, claim_id, CASE WHEN NOT known THEN 'missing_target_metadata' WHEN len(target_codes) = 0 THEN 'missing_target_cpc' WHEN target IS NULL THEN 'missing_target_date' WHEN (split, claim_id) NOT IN (SELECT (split, claim_id) FROM pool) THEN 'no_remaining_candidate' END AS reason FROM tg")
+def g04_failures(spark: SparkSession, folder: str) -> DataFrame:
+    c = _chain(spark, folder)
+    return C.failures(c.targets, c.sizes)
 
-@query(f"{_CHAIN} SELECT claim_id, CASE WHEN NOT known THEN 'missing_target_metadata' WHEN len(target_codes) = 0 THEN 'missing_target_cpc' WHEN target IS NULL THEN 'missing_target_date' WHEN claim_id NOT IN (SELECT claim_id FROM pool) THEN 'no_remaining_candidate' END AS reason FROM tg")
-def g04_failures(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
-    b = _built(spark, folder, split)
-    return C.failures(b["targets"], b["pool"])
 
+@query(f"{_CHAIN} {_CHOSEN} SELECT split, 'random_' || split || '_' || _row_id AS row_id, claim_id, base AS candidate_base, strftime(u.pub, '%Y-%m-%d') AS candidate_date, array_to_string(codes, '|') AS candidate_codes, cpassage AS text_b, 2 AS label, 42 AS seed, pool_size, target_source FROM chosen JOIN uni u USING (split, cand) JOIN tg USING (split, claim_id)")
+def g05_random_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return _chain(spark, folder).random()
 
-@query(f"{_CHAIN} {_CHOSEN} SELECT 'random_test_' || _row_id AS row_id, claim_id, base AS candidate_base, strftime(u.pub, '%Y-%m-%d') AS candidate_date, array_to_string(codes, '|') AS candidate_codes, cpassage AS text_b, 2 AS label, 42 AS seed, pool_size, target_source FROM chosen JOIN uni u USING (cand) JOIN tg USING (claim_id)")
-def g05_random_candidates(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
-    return _built(spark, folder, split)["random"]
 
+def _vectors(spark: SparkSession, folder: str, df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with a vector of the table of embeddings for each text, drawn by its digest: stands in for the texts' own."""
+    vectors = table(spark, folder, "embeddings")
+    of = df.crossJoin(F.broadcast(vectors.agg(F.count("*").alias("__n")))).withColumn("__v", hex_number(F.md5(key)) % F.col("__n")).drop("__n")
+    return of.join(vectors.select(F.col("vec_id").alias("__v"), unit("embedding").alias(name)), "__v", "left").drop("__v")
 
-def _dense(spark: SparkSession, folder: str, b: dict[str, DataFrame]) -> DataFrame:
-    """A score for each eligible pair from the vector of a hash: stands in for an encoder's output."""
-    from ..functions.hashing import uniform
 
-    return b["pool"].withColumn("score", uniform("claim_id", "cand", grid=500))
+def _dense(spark: SparkSession, folder: str, c: C.Chain) -> DataFrame:
+    """``key`` (split and claim), ``cand``, ``score``: the cosine of claim and passage for each eligible pair."""
+    t, u = _vectors(spark, folder, c.targets, "q", "qv"), _vectors(spark, folder, c.cands, "cpassage", "cv")
+    pairs = c.pool().join(t.select("split", "claim_id", "qv"), ["split", "claim_id"]).join(u.select("split", "cand", "cv"), ["split", "cand"])
+    scored = pairs.select(F.concat_ws("|", "split", "claim_id").alias("key"), "cand", F.round(dot("qv", "cv"), 6).alias("score"))
+    return scored.where("score is not null")
 
 
-_DENSE = "dense AS (SELECT claim_id, cand, (('0x' || substr(md5(claim_id || '|' || cand), 1, 8))::UBIGINT % 500) / 500.0::DOUBLE AS score FROM pool)"
+_VECTOR = "(SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id = ('0x' || substr(md5({0}), 1, 8))::UBIGINT % (SELECT count(*) FROM embeddings))"
+_DENSE = f"""tv AS (SELECT split, claim_id, {_VECTOR.format('q')} AS qv FROM tg), cv AS (SELECT split, cand, {_VECTOR.format('cpassage')} AS cv FROM uni),
+    dense AS (SELECT split || '|' || claim_id AS key, split, claim_id, cand, round(list_cosine_similarity(qv, cv), 6) AS score FROM pool JOIN tv USING (split, claim_id) JOIN cv USING (split, cand) WHERE split = 'test' AND qv IS NOT NULL AND cv IS NOT NULL)"""
 
 
-@query(f"{_CHAIN}, {_DENSE}, b AS (SELECT claim_id, max(score) AS m FROM dense GROUP BY 1) SELECT d.claim_id, min(cand) FILTER (score = m) AS cand, any_value(m) AS score, sum((m - score <= 1e-8)::INT)::BIGINT AS ties, count(*) AS pool_size FROM dense d JOIN b USING (claim_id) GROUP BY d.claim_id")
-def g06_dense_candidates(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
-    from ..operators.vectors import best_by_query
+@query(f"""{_CHAIN}, {_DENSE}, b AS (SELECT key, max(score) AS m FROM dense GROUP BY 1), o AS (SELECT split, claim_id, min(cand) FILTER (score = m) AS cand, any_value(m) AS similarity, sum((m - score <= 1e-8)::INT)::BIGINT AS ties, count(*) AS pool_size FROM dense d JOIN b USING (key) GROUP BY ALL)
+    SELECT split, claim_id, base AS candidate_base, md5(cpassage) AS passage, strftime(pub, '%Y-%m-%d') AS candidate_date, similarity, ties, pool_size, 'cosine' AS method FROM o JOIN uni USING (split, cand)""")
+def g06_dense_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """For test, the evaluation split: the eligible candidate with the largest cosine (the least number on ties), how many tie, the pool's size and where it is from."""
+    c = _chain(spark, folder, ("test",))
+    scores = _dense(spark, folder, c)
+    best = scores.groupBy("key").agg(F.max(F.struct("score", (-F.col("cand")).alias("c"))).alias("b"), F.count("*").alias("pool_size"))
+    ties = count_best(scores, "key", "score")
+    told = best.join(ties, "key").select(F.substring_index("key", "|", 1).alias("split"), F.expr("substring(key, instr(key, '|') + 1)").alias("claim_id"), (-F.col("b.c")).alias("cand"), F.col("b.score").alias("similarity"), "ties", "pool_size")
+    return told.join(c.cands, ["split", "cand"]).select("split", "claim_id", F.col("base").alias("candidate_base"), F.col("text_key").alias("passage"), F.date_format("pub", "yyyy-MM-dd").alias("candidate_date"), "similarity", "ties", "pool_size", F.lit("cosine").alias("method"))
 
-    b = _built(spark, folder, split)
-    scores = _dense(spark, folder, b)
-    sized = scores.groupBy("claim_id").agg(F.count("*").alias("pool_size"))
-    return best_by_query(scores, "claim_id", "cand", "score").join(count_best(scores, "claim_id", "score"), "claim_id").join(sized, "claim_id").select("claim_id", "cand", "score", "ties", "pool_size")
 
+_AUDIT = f"""r AS (SELECT 'generated' AS source, split, claim_id, base AS cb, cpassage AS tb FROM chosen JOIN uni USING (split, cand) UNION ALL SELECT 'table', 'test', claim_id, {_resolved('coalesce(t._u_candidate_base, t.cited_document_id)')}, {NORM.format('text_b')} FROM generate_random_u t),
+    j AS (SELECT r.source, t.split, t.q, r.tb, r.tb = t.passage AS v3, r.cb = t.hard_doc AS v4, coalesce(list_contains(t.target_refs, r.cb), false) OR EXISTS (SELECT 1 FROM prep p WHERE p.label <> 2 AND p.split = t.split AND p.claim_id = t.claim_id AND p.doc = r.cb) OR EXISTS (SELECT 1 FROM prep p WHERE p.label <> 2 AND p.split = t.split AND p.app = t.app AND p.doc = r.cb) AS v5,
+      NOT coalesce(d.pub < t.target, false) AS v6, NOT coalesce(len(list_intersect(d.codes, t.target_codes)) > 0, false) AS v7, coalesce(list_contains(c.components, t.target_component), false) AS v8
+      FROM r JOIN tg t ON t.split = r.split AND t.claim_id = r.claim_id LEFT JOIN docs d ON d.base = r.cb LEFT JOIN uni0 c ON c.split = r.split AND c.doc = r.cb AND c.passage = r.tb)"""
 
-@query(f"""{_CHAIN} {_CHOSEN}, r AS (SELECT q, cpassage FROM chosen JOIN tg USING (claim_id) JOIN uni USING (cand))
-    SELECT 'duplicate_queries' AS check, count(*) - count(DISTINCT q) AS count FROM r UNION ALL SELECT 'duplicate_query_passage_pairs', count(*) - count(DISTINCT q || chr(10) || cpassage) FROM r
-    UNION ALL SELECT unnest(['same_as_hard_u_passage', 'same_as_hard_u_document', 'existing_citation_or_reference', 'time_violation', 'cpc_violation', 'same_component_violation']), 0::BIGINT""")
-def g07_violations(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
-    b = _built(spark, folder, split)
-    return C.violations(b["random"], b["targets"], b["prep"], b["docs"])
+
+@query(f"""{_CHAIN} {_CHOSEN}, {_AUDIT} SELECT source, split, unnest(['duplicate_queries', 'duplicate_query_passage_pairs', 'same_as_hard_u_passage', 'same_as_hard_u_document', 'existing_citation_or_reference', 'time_violation', 'cpc_violation', 'same_component_violation']) AS check,
+    unnest([count(*) - count(DISTINCT q), count(*) - count(DISTINCT (q, tb)), count(*) FILTER (v3), count(*) FILTER (v4), count(*) FILTER (v5), count(*) FILTER (v6), count(*) FILTER (v7), count(*) FILTER (v8)]) AS count FROM j GROUP BY source, split""")
+def g07_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the candidates made here, and of those of the table, which weren't made by these rules."""
+    c = _chain(spark, folder)
+    given = table(spark, folder, "generate_random_u").select("claim_id", F.coalesce("_u_candidate_base", "cited_document_id").alias("id"), normalize_text("text_b").alias("text_b"), F.lit("test").alias("split"))
+    given = resolve_ids(given, "id", table(spark, folder, "doc_metadata"), "input_id", "base_id", "row_pos", "candidate_base")
+    audit = lambda rows, name: C.violations(rows, c.targets, c.prep, c.docs).select(F.lit(name).alias("source"), "*")
+    return audit(c.random(), "generated").unionByName(audit(given, "table"))
 
 
 _REL = {"query": NORM.format("text"), "passage": NORM.format("text_b"), "document": BASE.format("cited_document_id"), "application": BASE.format("patent_application_id"), **{c.strip("_"): f"trim({c})" for c in ("_component_id", "_supercomponent_id", "_priority_component_id")}}
@@ -131,21 +140,14 @@ def _values(source: str, relations: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT split, '{n}' AS relation, {s} AS value FROM {source}" for n, s in relations.items())
 
 
-_RANDOM3 = "(SELECT 'train' AS split, text, text_b, cited_document_id FROM train UNION ALL SELECT 'test', text, text_b, cited_document_id FROM test UNION ALL SELECT 'random', text, text_b, cited_document_id FROM generate_random_u)"
 _REL3 = {k: _REL[k] for k in ("query", "passage", "document")}
+_RANDOM4 = "(" + " UNION ALL ".join(f"SELECT '{n}' AS split, text, text_b, cited_document_id AS id FROM {n}" for n in ("train", "validation", "test")) + " UNION ALL SELECT 'random', text, text_b, _u_candidate_base FROM generate_random_u)"
 
 
-@query(f"WITH d AS (SELECT DISTINCT * FROM ({_values(_RANDOM3, _REL3)}) WHERE value <> '') SELECT a.relation, a.split AS first, b.split AS second, count(*) AS shared FROM d a JOIN d b ON a.relation = b.relation AND a.value = b.value AND a.split < b.split GROUP BY ALL")
+@query(f"""WITH {_DOCS}, v AS (SELECT split, text, text_b, {_resolved('t.id')} AS doc FROM {_RANDOM4} t), d AS (SELECT DISTINCT * FROM ({_values('v', _REL3 | {'document': 'doc'})}) WHERE value <> '')
+    SELECT a.relation, a.split AS first, b.split AS second, count(*) AS shared FROM d a JOIN d b ON a.relation = b.relation AND a.value = b.value AND a.split < b.split GROUP BY ALL""")
 def g08_cross_split_random(spark: SparkSession, folder: str) -> DataFrame:
-    cols = ["text", "text_b", "cited_document_id"]
-    rows = load_splits(spark, folder, ["train", "test"], cols).unionByName(table(spark, folder, "generate_random_u").select(*cols, F.lit("random").alias("split")))
-    rel = _relations()
-    return audits.cross_split_overlaps(rows, "split", {k: rel[k] for k in _REL3})
-
-
-@query()
-def g08_cross_split_random_all(spark: SparkSession, folder: str) -> DataFrame:
-    """With validation, and by resolved documents: the candidate's for random rows, the cited one for others."""
+    """All pairs of splits and the random rows, by resolved documents: the candidate's for random rows, the cited one for others."""
     cols = ["text", "text_b"]
     rows = load_splits(spark, folder, list(_SPLITS), [*cols, F.col("cited_document_id").alias("id")])
     rand = table(spark, folder, "generate_random_u").select(*cols, F.col("_u_candidate_base").alias("id"), F.lit("random").alias("split"))
@@ -154,20 +156,18 @@ def g08_cross_split_random_all(spark: SparkSession, folder: str) -> DataFrame:
     return audits.cross_split_overlaps(both, "split", {"query": rel["query"], "passage": rel["passage"], "document": F.col("doc")})
 
 
-@query(f"{_CHAIN}, z AS (SELECT claim_id, count(*) AS n FROM pool GROUP BY 1) SELECT count(n) AS queries, round(count(n) / count(*), 6) AS coverage, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, min(n) AS least, max(n) AS most FROM tg LEFT JOIN z USING (claim_id)")
-def g09_pool_summary(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
-    b = _built(spark, folder, split)
-    return C.pool_summary(b["targets"], b["pool"])
-
-
-@query(f"{_CHAIN} {_CHOSEN}, {_DENSE}, b AS (SELECT claim_id, max(score) AS m FROM dense GROUP BY 1), o AS (SELECT claim_id, score AS own FROM dense JOIN chosen USING (claim_id, cand)) SELECT claim_id, sum((score > own)::INT)::BIGINT + 1 AS rank, round(any_value(m) - any_value(own), 6) AS gap, (sum((score > own)::INT) + 1 <= 3 AND any_value(m) - any_value(own) <= 0.002::DOUBLE) AS near_tie FROM dense JOIN o USING (claim_id) JOIN b USING (claim_id) GROUP BY claim_id")
-def g10_near_ties(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
-    b = _built(spark, folder, split)
-    return C.near_ties(_dense(spark, folder, b), "claim_id", "cand", "score", b["chosen"]).withColumn("gap", F.round("gap", 6))
+@query(f"{_CHAIN}, z AS (SELECT split, claim_id, count(*) AS n FROM pool GROUP BY ALL) SELECT split, count(n) AS queries, round(count(n) / count(*), 6) AS coverage, round(avg(n), 6) AS mean, median(n)::DOUBLE AS median, min(n) AS least, max(n) AS most FROM tg LEFT JOIN z USING (split, claim_id) GROUP BY split")
+def g09_pool_summary(spark: SparkSession, folder: str) -> DataFrame:
+    c = _chain(spark, folder)
+    return C.pool_summary(c.targets, c.sizes)
 
 
-for _f in (g02_universe, g03_pool, g04_failures, g05_random_candidates, g06_dense_candidates, g07_violations, g09_pool_summary, g10_near_ties):
-    _over_splits(_f)
+@query(f"{_CHAIN} {_CHOSEN}, {_DENSE}, b AS (SELECT key, max(score) AS m FROM dense GROUP BY 1), o AS (SELECT key, score AS own FROM dense JOIN chosen USING (split, claim_id, cand)) SELECT key, sum((score > own)::INT)::BIGINT + 1 AS rank, round(any_value(m) - any_value(own), 6) AS gap, (sum((score > own)::INT) + 1 <= 3 AND round(any_value(m) - any_value(own), 6) <= 0.002::DOUBLE) AS near_tie FROM dense JOIN o USING (key) JOIN b USING (key) GROUP BY key")
+def g10_near_ties(spark: SparkSession, folder: str) -> DataFrame:
+    c = _chain(spark, folder, ("test",))
+    canonical = c.chosen.select(F.concat_ws("|", "split", "claim_id").alias("key"), "cand")
+    ties = C.near_ties(_dense(spark, folder, c), "key", "cand", "score", canonical)
+    return ties.withColumn("gap", F.round("gap", 6)).withColumn("near_tie", (F.col("rank") <= 3) & (F.col("gap") <= 0.002))
 
 
 @query(f"""WITH v AS (SELECT split, label, {NORM.format('text')} AS q, {NORM.format('text_b')} AS p FROM {_PAIRS3}),
@@ -266,18 +266,13 @@ def g19_source_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return audits.clean_pairs(table(spark, folder, "train").select("_row_id", "label", "text", "text_b"), "text", "text_b", "label", ["_row_id"]).select("_row_id", "pair", "reason")
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT 'a' || {BASE.format('patent_application_id')} AS u, 'd' || {BASE.format('cited_document_id')} AS v FROM validation WHERE label <> 2 AND {BASE.format('patent_application_id')} <> '' AND {BASE.format('cited_document_id')} <> ''),
-    s AS (SELECT u AS x, v AS y FROM e UNION SELECT v, u FROM e), r(x, y) AS (SELECT x, x FROM s UNION SELECT r.x, s.y FROM r JOIN s ON r.y = s.x) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
-def g20_components(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "validation").where("label <> 2").select(base_id("patent_application_id").alias("a"), base_id("cited_document_id").alias("d")).where("a <> '' and d <> ''")
-    return components(rows.select(F.concat(F.lit("a"), "a").alias("u"), F.concat(F.lit("d"), "d").alias("v")), "u", "v")
-
-
 _IDS = ("document", "application", "component_id", "supercomponent_id", "priority_component_id")
 
 
-@query()
-def g20_components_splits(spark: SparkSession, folder: str) -> DataFrame:
+@query(f"""WITH RECURSIVE rows AS (SELECT list_filter([{", ".join(f"CASE WHEN {_REL[n]} <> '' THEN '{n}|' || {_REL[n]} END" for n in _IDS)}], lambda x: x IS NOT NULL) AS ids FROM {_PAIRS3}),
+    e AS (SELECT DISTINCT ids[1] AS u, unnest(ids) AS v FROM rows WHERE len(ids) > 0), s AS (SELECT u AS x, v AS y FROM e UNION SELECT v, u FROM e),
+    least_(x, y, k) AS (SELECT x, min(y), 0 FROM s GROUP BY x UNION ALL SELECT s.x, min(l.y), l.k + 1 FROM s JOIN least_ l ON l.x = s.y WHERE l.k < 40 GROUP BY s.x, l.k) SELECT x AS node, min(y) AS component FROM least_ GROUP BY x""")
+def g20_components(spark: SparkSession, folder: str) -> DataFrame:
     """Components of all ids that rows of the three splits share, cited or not; a node is a relation and an id.
 
     A row ties its first id to each other one; a row with one id gives a node of its own."""

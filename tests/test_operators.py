@@ -171,9 +171,28 @@ def test_bootstrap_weights(spark):
     assert n.agg(F.sum("w")).first()[0] == 14
 
 
-def test_no_violations(spark, sf):
-    b = candidates.build(spark.read.parquet(f"{sf}/test.parquet"), spark.read.parquet(f"{sf}/doc_metadata.parquet"))
-    assert b["random"].count() == b["pool"].select("claim_id").distinct().count()
-    counts = {r.check: r["count"] for r in candidates.violations(b["random"], b["targets"], b["prep"], b["docs"]).collect()}
-    counts.pop("duplicate_queries"), counts.pop("duplicate_query_passage_pairs")  # claims may repeat a text
-    assert set(counts.values()) == {0}
+def chain_tables(spark):
+    """One claim, its application, and documents of which each breaks one rule; D9 breaks none."""
+    pairs = [("r1", "c1", "APP1", "D1", "claim", "own passage", 2, "2020-01-01", "t"), ("r2", "c1", "APP1", "D2", "claim", "cited passage", 0, "2020-01-01", "t")]
+    pairs += [(f"s{i}", f"x{i}", f"APPX{i}", f"D{i}", f"text {i}", f"passage {i}", 1, "2020-01-01", f"k{i}") for i in (1, 3, 4, 5, 6, 9)]
+    pairs += [("s7", "x7", "APPX7", "D7", "text 7", "passage 7", 1, "2020-01-01", "t"), ("s8", "x8", "APPX8", "D8", "text 8", "own passage", 1, "2020-01-01", "k8"), ("s0", "x0", "APPX0", "D2", "text 0", "passage 0", 1, "2020-01-01", "k0")]
+    columns = ["_row_id", "claim_id", "patent_application_id", "cited_document_id", "text", "text_b", "label", "_date", "_u_target_component"]
+    df = spark.createDataFrame(pairs, columns).withColumns({"label": F.col("label").cast("int"), "split": F.lit("test"), "date": F.lit(None).cast("string"), "_parsed_date": F.lit(None).cast("timestamp"), "_u_candidate_base": F.lit(None).cast("string"), "_priority_component_id": F.col("_u_target_component")})
+    meta = [(0, "APP1", "20190101", "A01B, B02C", "D3"), *[(i, f"D{i}", "20180101", "A01B", "") for i in (1, 2, 3, 6, 7, 8, 9)], (14, "D4", "20210101", "A01B", ""), (15, "D5", "20180101", "C03D", ""), *[(20 + i, f"APPX{i}", None, "", "") for i in range(10)]]
+    return df, spark.createDataFrame([(p, i, i, d, c, r) for p, i, d, c, r in meta], "row_pos long, input_id string, base_id string, publication_date string, cpc_subclasses string, reference_bases string")
+
+
+def test_pool_and_planted_violations(spark):
+    chain = candidates.Chain(*chain_tables(spark))
+    told = {r.cand: r.base for r in chain.cands.collect()}
+    assert sorted(told[r.cand] for r in chain.pool().where("claim_id = 'c1'").collect()) == ["D6", "D9"]
+    assert {r.claim_id: r.n for r in chain.sizes.collect()} == {"c1": 2}
+    chosen = chain.random().collect()
+    assert len(chosen) == 1 and chosen[0].candidate_base in ("D6", "D9") and chosen[0].pool_size == 2
+    clean = {r["check"]: r["count"] for r in candidates.violations(chain.random(), chain.targets, chain.prep, chain.docs).collect()}
+    assert set(clean.values()) == {0} and set(clean) == set(candidates.CHECKS)
+    planted = spark.createDataFrame([("test", "c1", d, t) for d, t in (("D9", "passage 9"), ("D8", "own passage"), ("D1", "passage 1"), ("D2", "passage 0"), ("D3", "passage 3"), ("D4", "passage 4"), ("D5", "passage 5"), ("D7", "passage 7"), ("D9", "passage 9"))], "split string, claim_id string, candidate_base string, text_b string")
+    got = {r["check"]: r["count"] for r in candidates.violations(planted, chain.targets, chain.prep, chain.docs).collect()}
+    assert got == {"duplicate_queries": 8, "duplicate_query_passage_pairs": 1, "same_as_hard_u_passage": 1, "same_as_hard_u_document": 1, "existing_citation_or_reference": 2, "time_violation": 1, "cpc_violation": 1, "same_component_violation": 1}
+    df, meta = chain_tables(spark)
+    assert candidates.Chain(df.limit(0), meta).random().count() == 0 and candidates.Chain(df, meta.limit(0)).pool().count() == 0

@@ -1,28 +1,9 @@
-"""Queries over all three splits: each split's rows against the SQL over that split alone, on the smallest tables."""
+"""Components and shared values over all three splits, by hand and against union-find."""
 
 import duckdb
-import pytest
-
-from pairlab.queries import QUERIES, SQL
-
-from .compare import assert_same
+from pairlab.queries import QUERIES
 
 SPLITS = ("train", "validation", "test")
-CHAIN = ["g02_universe", "g03_pool", "g04_failures", "g05_random_candidates", "g06_dense_candidates", "g07_violations", "g09_pool_summary", "g10_near_ties"]
-
-
-@pytest.mark.parametrize("name", CHAIN)
-def test_candidate_chain_covers_each_split(name, spark, sf):
-    found = QUERIES[f"{name}_splits"](spark, sf).cache()
-    assert {r.split for r in found.select("split").distinct().collect()} == set(SPLITS)
-    for split in SPLITS:
-        con = duckdb.connect()
-        con.execute(f"CREATE VIEW test AS SELECT * FROM read_parquet('{sf}/{split}.parquet')")
-        con.execute(f"CREATE VIEW doc_metadata AS SELECT * FROM read_parquet('{sf}/doc_metadata.parquet')")
-        sql = SQL[name].replace("'42|test|'", f"'42|{split}|'").replace("'random_test_'", f"'random_{split}_'")
-        assert_same(found.where(f"split = '{split}'").drop("split"), con, sql)
-    found.unpersist()
-
 
 def tied(rows):
     """Union-find: (node, least node of its component)."""
@@ -52,7 +33,7 @@ def test_components_tie_splits(spark, tmp_path):
     }
     for name, r in rows.items():
         spark.createDataFrame(r, "patent_application_id string, cited_document_id string, label int, _component_id string, _supercomponent_id string, _priority_component_id string").write.parquet(f"{tmp_path}/{name}.parquet")
-    got = {(r.node, r.component) for r in QUERIES["g20_components_splits"](spark, str(tmp_path)).collect()}
+    got = {(r.node, r.component) for r in QUERIES["g20_components"](spark, str(tmp_path)).collect()}
     names = ("application|", "document|", None, "component_id|", "supercomponent_id|", "priority_component_id|")
     assert got == tied([[n + x.strip() for n, x in zip(names, r) if n and x and x.strip()] for rs in rows.values() for r in rs])
     of = dict(got)
@@ -65,7 +46,7 @@ def test_components_of_smallest_tables(spark, sf):
     con = duckdb.connect()
     some = ", ".join(f"CASE WHEN {_REL[n]} <> '' THEN '{n}|' || {_REL[n]} END" for n in IDS)
     rows = [r for s in SPLITS for r in con.execute(f"SELECT {some} FROM read_parquet('{sf}/{s}.parquet')").fetchall()]
-    got = [(r.node, r.component) for r in QUERIES["g20_components_splits"](spark, sf).collect()]
+    got = [(r.node, r.component) for r in QUERIES["g20_components"](spark, sf).collect()]
     expected = tied([ids for r in rows if (ids := [x for x in r if x is not None])])
     assert set(got) == expected and len(got) == len(expected)
 
@@ -77,5 +58,5 @@ def test_random_rows_are_compared_with_all_splits_by_candidate(spark, tmp_path):
     # The candidate is an alias of validation's document; the cited document is another one.
     spark.createDataFrame([("Q both", "p r", "XX9", "WO8")], row + ", _u_candidate_base string").write.parquet(f"{tmp_path}/generate_random_u.parquet")
     spark.createDataFrame([("WO8", "EP7", 1)], "input_id string, base_id string, row_pos long").write.parquet(f"{tmp_path}/doc_metadata.parquet")
-    got = {(r["relation"], r["first"], r["second"], r["shared"]) for r in QUERIES["g08_cross_split_random_all"](spark, str(tmp_path)).collect()}
+    got = {(r["relation"], r["first"], r["second"], r["shared"]) for r in QUERIES["g08_cross_split_random"](spark, str(tmp_path)).collect()}
     assert got == {("query", "random", "validation", 1), ("document", "random", "validation", 1)}
