@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import bootstrap
 from ..operators import inference as I
 from ..operators import metrics as M
 from ..operators import resample as R
@@ -15,18 +14,7 @@ from .composites import _BINS, _FLAGS, _dated, g23_subsets
 from .fixtures import METRICS, scored_metrics
 from .registry import query, table
 
-#: Replicates of the queries with SQL, which compares all pairs of scores, and of the whole job.
-REPLICATES, WHOLE, SEED = 200, 2000, 42
-
-
-def _whole(f: Callable[..., DataFrame]) -> None:
-    """Registers ``f`` with all replicates; its SQL is that of ``f`` but for their number."""
-
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return f(spark, folder, WHOLE)
-
-    run.__name__ = f"{f.__name__}_{WHOLE}"
-    query()(run)
+REPLICATES, SEED = 2000, 42
 
 
 def _draws(source: str, key: str = "query", extra: str = "", part: str = "''") -> str:
@@ -39,54 +27,52 @@ def _draws(source: str, key: str = "query", extra: str = "", part: str = "''") -
     ww AS (SELECT {by}replicate, {key}, count(*) AS w FROM dr JOIN qn USING ({by}i) GROUP BY ALL)"""
 
 
-_AUC = """(SELECT {by}, sum(w * v * CASE WHEN s > t THEN 1.0 WHEN s = t THEN 0.5 ELSE 0 END) / sum(w * v) AS value FROM
-    (SELECT {by}, cited AS s, sum(w) AS w FROM x WHERE label <> 2 GROUP BY ALL) JOIN (SELECT {by}, cited AS t, sum(w) AS v FROM x WHERE label = 2 GROUP BY ALL) USING ({by}) GROUP BY {by})"""
+_AUC = """(SELECT {by}, sum(p * (below + q / 2.0::DOUBLE)) / nullif(sum(p) * sum(q), 0) AS value FROM
+    (SELECT *, coalesce(sum(q) OVER (PARTITION BY {by} ORDER BY cited ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM
+    (SELECT {by}, cited, sum(CASE WHEN label <> 2 THEN w ELSE 0 END)::DOUBLE AS p, sum(CASE WHEN label = 2 THEN w ELSE 0 END)::DOUBLE AS q FROM x GROUP BY ALL)) GROUP BY {by})"""
 
 
-def _replicate_auc(spark: SparkSession, folder: str, replicates: int) -> DataFrame:
+def _replicate_auc(spark: SparkSession, folder: str) -> DataFrame:
     """ROC-AUC of each seed (the systems, here) in each replicate; systems share the draws."""
     s = cut(scored_metrics(spark, folder).select("seed", "query", "label", "cited"))
-    w = cut(R.weights(R.numbered_queries(s, "query"), "query", replicates, SEED))
-    x = R.resampled(s, w, "query")
-    return M.roc_auc(x, ["seed", "replicate"], F.col("label") != 2, "cited", "w", even=True).drop("metric")
+    w = bootstrap.weight_vectors(R.numbered_queries(s, "query"), "query", REPLICATES, SEED)
+    return bootstrap.replicate_auc(s, ["seed"], "query", F.col("label") != 2, "cited", w, REPLICATES)
 
 
 _REPL = f"WITH {METRICS}, {_draws('m')}, x AS (SELECT seed, replicate, label, cited, w FROM m JOIN ww USING (query)), v AS {_AUC.format(by='seed, replicate')}"
 
 
 @query(f"{_REPL} SELECT seed, round(quantile_cont(value, 0.025), 6) AS ci_lower, round(quantile_cont(value, 0.975), 6) AS ci_upper, count(value) AS replicates FROM v GROUP BY seed")
-def b01_bootstrap_auc(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
-    ci = I.percentile_interval(_replicate_auc(spark, folder, replicates), ["seed"], "value")
+def b01_bootstrap_auc(spark: SparkSession, folder: str) -> DataFrame:
+    ci = I.percentile_interval(_replicate_auc(spark, folder), ["seed"], "value")
     return ci.withColumns({c: F.round(c, 6) for c in ("ci_lower", "ci_upper")})
 
 
 _BIN_DRAWS = _draws("b", extra="bin", part="bin || '|' ")
-_BIN_REPL = f"WITH {METRICS}, {_BINS}, b AS (SELECT m.*, bins.bin FROM m JOIN bins ON m.query = bins.claim_id WHERE seed = 13), {_BIN_DRAWS}, x AS (SELECT b.bin, replicate, label, cited, w FROM b JOIN ww USING (bin, query)), v AS {_AUC.format(by='bin, replicate')}"
+_BIN_REPL = f"WITH {METRICS}, {_BINS}, b AS (SELECT m.*, bins.bin FROM m JOIN bins ON m.query = bins.claim_id ), {_BIN_DRAWS}, x AS (SELECT b.seed, b.bin, replicate, label, cited, w FROM b JOIN ww USING (bin, query)), v AS {_AUC.format(by='seed, bin, replicate')}"
 
 
-def _bin_auc(spark: SparkSession, folder: str, replicates: int, all_seeds: bool = False) -> DataFrame:
-    """By seed too if ``all_seeds``, else of seed 13; seeds share the draws."""
+def _bin_auc(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each seed and bin; seeds share the draws."""
     from ..operators import temporal
 
     bins = temporal.with_bins(_dated(spark, folder), "day").where("bin is not null").select(F.col("claim_id").alias("query"), "bin")
-    s = scored_metrics(spark, folder)
-    b = cut((s if all_seeds else s.where("seed = 13")).join(bins, "query").select("seed", "bin", "query", "label", "cited"))
-    w = R.weights(R.numbered_queries(b, "query", "bin"), "query", replicates, SEED, "bin")
-    by = ["seed", "bin", "replicate"] if all_seeds else ["bin", "replicate"]
-    return M.roc_auc(R.resampled(b, w, "query", "bin"), by, F.col("label") != 2, "cited", "w", even=True).drop("metric")
+    b = cut(scored_metrics(spark, folder).join(bins, "query").select("seed", "bin", "query", "label", "cited"))
+    w = bootstrap.weight_vectors(R.numbered_queries(b, "query", "bin"), "query", REPLICATES, SEED, "bin")
+    return bootstrap.replicate_auc(b, ["seed", "bin"], "query", F.col("label") != 2, "cited", w, REPLICATES, "bin")
 
 
-@query(f"{_BIN_REPL} SELECT l.replicate, round(l.value - e.value, 6) AS delta FROM v l JOIN v e ON l.replicate = e.replicate AND l.bin = 'late' AND e.bin = 'early'")
-def b02_bin_bootstrap(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
+@query(f"{_BIN_REPL} SELECT l.seed, l.replicate, round(l.value - e.value, 6) AS delta FROM v l JOIN v e ON l.seed = e.seed AND l.replicate = e.replicate AND l.bin = 'late' AND e.bin = 'early'")
+def b02_bin_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """Late less early, each bin drawing its own queries."""
-    v = cut(_bin_auc(spark, folder, replicates))
-    late, early = v.where("bin = 'late'").select("replicate", F.col("value").alias("l")), v.where("bin = 'early'").select("replicate", F.col("value").alias("e"))
-    return late.join(early, "replicate").select("replicate", F.round(F.col("l") - F.col("e"), 6).alias("delta"))
+    v = cut(_bin_auc(spark, folder))
+    late, early = v.where("bin = 'late'").select("seed", "replicate", F.col("value").alias("l")), v.where("bin = 'early'").select("seed", "replicate", F.col("value").alias("e"))
+    return late.join(early, ["seed", "replicate"]).select("seed", "replicate", F.round(F.col("l") - F.col("e"), 6).alias("delta"))
 
 
-@query(f"{_BIN_REPL} SELECT bin, round(quantile_cont(value, 0.025), 6) AS ci_lower, round(quantile_cont(value, 0.975), 6) AS ci_upper, count(value) AS replicates FROM v GROUP BY bin")
-def b03_percentile_interval(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
-    return I.percentile_interval(_bin_auc(spark, folder, replicates), ["bin"], "value").withColumns({c: F.round(c, 6) for c in ("ci_lower", "ci_upper")})
+@query(f"{_BIN_REPL} SELECT seed, bin, round(quantile_cont(value, 0.025), 6) AS ci_lower, round(quantile_cont(value, 0.975), 6) AS ci_upper, count(value) AS replicates FROM v GROUP BY seed, bin")
+def b03_percentile_interval(spark: SparkSession, folder: str) -> DataFrame:
+    return I.percentile_interval(_bin_auc(spark, folder), ["seed", "bin"], "value").withColumns({c: F.round(c, 6) for c in ("ci_lower", "ci_upper")})
 
 
 _PAIRS = "pr AS (SELECT * FROM (VALUES (13, 42), (13, 77), (42, 77)) t(first, second)), de AS (SELECT a.replicate, first, second, b.value - a.value AS delta FROM pr JOIN v a ON a.seed = first JOIN v b ON b.seed = second AND a.replicate = b.replicate)"
@@ -94,84 +80,57 @@ _PV = "pv AS (SELECT first, second, least(1.0, 2 * least((count(*) FILTER (delta
 _HOLM = "hs AS (SELECT *, row_number() OVER (PARTITION BY {f} ORDER BY p_value, second, first) AS k, count(*) OVER (PARTITION BY {f}) AS n FROM pv), ho AS (SELECT *, least(1.0, max((n - k + 1) * p_value) OVER (PARTITION BY {f} ORDER BY p_value, second, first ROWS UNBOUNDED PRECEDING)) AS p_adjusted FROM hs)"
 
 
-def _deltas(spark: SparkSession, folder: str, replicates: int) -> DataFrame:
+def _deltas(spark: SparkSession, folder: str) -> DataFrame:
     pairs = spark.createDataFrame([(13, 42), (13, 77), (42, 77)], "first int, second int")
-    return I.contrasts(cut(_replicate_auc(spark, folder, replicates)), ["replicate"], "seed", pairs)
+    return I.contrasts(cut(_replicate_auc(spark, folder)), ["replicate"], "seed", pairs)
 
 
-def _p_values(spark: SparkSession, folder: str, replicates: int) -> DataFrame:
-    return I.tail_p(_deltas(spark, folder, replicates), ["first", "second"], "delta").withColumn("pair", F.expr("second * 1000 + first"))
+def _p_values(spark: SparkSession, folder: str) -> DataFrame:
+    return I.tail_p(_deltas(spark, folder), ["first", "second"], "delta").withColumn("pair", F.expr("second * 1000 + first"))
 
 
 @query(f"{_REPL}, {_PAIRS}, {_PV} SELECT first, second, round(p_value, 9) AS p_value FROM pv")
-def b04_tail_p(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
-    return _p_values(spark, folder, replicates).select("first", "second", F.round("p_value", 9).alias("p_value"))
+def b04_tail_p(spark: SparkSession, folder: str) -> DataFrame:
+    return _p_values(spark, folder).select("first", "second", F.round("p_value", 9).alias("p_value"))
 
 
 @query(f"{_REPL}, {_PAIRS}, {_PV}, {_HOLM.format(f='1')} SELECT first, second, round(p_adjusted, 9) AS p_adjusted, p_adjusted < 0.05 AS significant FROM ho")
-def b05_holm(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
+def b05_holm(spark: SparkSession, folder: str) -> DataFrame:
     """b10's flag is ``significant``."""
-    return I.holm(_p_values(spark, folder, replicates), [], "p_value", "pair").select("first", "second", F.round("p_adjusted", 9).alias("p_adjusted"), "significant")
+    return I.holm(_p_values(spark, folder), [], "p_value", "pair").select("first", "second", F.round("p_adjusted", 9).alias("p_adjusted"), "significant")
 
 
 @query(f"{_REPL}, {_PAIRS}, {_PV}, {_HOLM.format(f='first')} SELECT first, second, round(p_adjusted, 9) AS p_adjusted FROM ho")
-def b06_family_holm(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
-    return I.holm(_p_values(spark, folder, replicates), ["first"], "p_value", "pair").select("first", "second", F.round("p_adjusted", 9).alias("p_adjusted"))
+def b06_family_holm(spark: SparkSession, folder: str) -> DataFrame:
+    return I.holm(_p_values(spark, folder), ["first"], "p_value", "pair").select("first", "second", F.round("p_adjusted", 9).alias("p_adjusted"))
 
 
 @query(f"{_REPL}, {_PAIRS} SELECT replicate, first, second, round(delta, 6) AS delta FROM de")
-def b07_contrasts(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
-    return _deltas(spark, folder, replicates).withColumn("delta", F.round("delta", 6))
+def b07_contrasts(spark: SparkSession, folder: str) -> DataFrame:
+    return _deltas(spark, folder).withColumn("delta", F.round("delta", 6))
 
 
 @query(f"{_REPL} SELECT seed, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM v GROUP BY seed")
-def b08_bootstrap_mean_std(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
-    return I.mean_std(_replicate_auc(spark, folder, replicates), ["seed"], "value").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+def b08_bootstrap_mean_std(spark: SparkSession, folder: str) -> DataFrame:
+    return I.mean_std(_replicate_auc(spark, folder), ["seed"], "value").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
 _APP_DRAWS = _draws("small", extra="app", part="app || '|' ")
 
 
-@query(f"""WITH {METRICS}, small AS (SELECT *, split_part(query, '_', 1) AS app FROM m WHERE seed = 13), {_APP_DRAWS}, x AS (SELECT app, replicate, label, cited, w FROM small JOIN ww USING (app, query)),
-    k AS (SELECT app, replicate, count(DISTINCT (label = 2)) AS k FROM x GROUP BY ALL) SELECT app, count(*) AS replicates, count(*) FILTER (k = 2) AS usable FROM k GROUP BY app""")
-def b09_one_class_replicates(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
+@query(f"""WITH {METRICS}, small AS (SELECT *, split_part(query, '_', 1) AS app FROM m), {_APP_DRAWS}, x AS (SELECT seed, app, replicate, label FROM small JOIN ww USING (app, query)),
+    k AS (SELECT seed, app, replicate, count(DISTINCT (label = 2)) AS k FROM x GROUP BY ALL) SELECT seed, app, count(*) AS replicates, count(*) FILTER (k = 2) AS usable FROM k GROUP BY seed, app""")
+def b09_one_class_replicates(spark: SparkSession, folder: str) -> DataFrame:
     """Replicates within each application's few queries, and how many of them have both classes; the others' AUC is null."""
-    s = cut(scored_metrics(spark, folder).where("seed = 13").withColumn("app", F.substring_index("query", "_", 1)).select("app", "query", "label", "cited"))
-    w = R.weights(R.numbered_queries(s, "query", "app"), "query", replicates, SEED, "app")
-    v = M.roc_auc(R.resampled(s, w, "query", "app"), ["app", "replicate"], F.col("label") != 2, "cited", "w", even=True)
-    return v.groupBy("app").agg(F.count("*").alias("replicates"), F.count("value").alias("usable"))
+    s = cut(scored_metrics(spark, folder).withColumn("app", F.substring_index("query", "_", 1)).select("seed", "app", "query", "label", "cited"))
+    w = bootstrap.weight_vectors(R.numbered_queries(s, "query", "app"), "query", REPLICATES, SEED, "app")
+    v = bootstrap.replicate_auc(s, ["seed", "app"], "query", F.col("label") != 2, "cited", w, REPLICATES, "app")
+    return v.groupBy("seed", "app").agg(F.count("*").alias("replicates"), F.count("value").alias("usable"))
 
 
 @query(f"{_REPL}, {_PAIRS}, {_PV} SELECT first, second, p_value < 0.05 AS significant FROM pv")
-def b10_significance(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
-    return _p_values(spark, folder, replicates).select("first", "second", (F.col("p_value") < 0.05).alias("significant"))
-
-
-for _f in (b01_bootstrap_auc, b02_bin_bootstrap, b03_percentile_interval, b04_tail_p, b05_holm, b06_family_holm, b07_contrasts, b08_bootstrap_mean_std, b09_one_class_replicates, b10_significance):
-    _whole(_f)
-
-
-@query()
-def b02_bin_bootstrap_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    """Each seed's, with all replicates."""
-    v = cut(_bin_auc(spark, folder, WHOLE, all_seeds=True))
-    late, early = v.where("bin = 'late'").select("seed", "replicate", F.col("value").alias("l")), v.where("bin = 'early'").select("seed", "replicate", F.col("value").alias("e"))
-    return late.join(early, ["seed", "replicate"]).select("seed", "replicate", F.round(F.col("l") - F.col("e"), 6).alias("delta"))
-
-
-@query()
-def b03_percentile_interval_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    """Each seed's, with all replicates."""
-    return I.percentile_interval(_bin_auc(spark, folder, WHOLE, all_seeds=True), ["seed", "bin"], "value").withColumns({c: F.round(c, 6) for c in ("ci_lower", "ci_upper")})
-
-
-@query()
-def b09_one_class_replicates_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    """Each seed's, with all replicates."""
-    s = cut(scored_metrics(spark, folder).withColumn("app", F.substring_index("query", "_", 1)).select("seed", "app", "query", "label", "cited"))
-    w = R.weights(R.numbered_queries(s, "query", "app"), "query", WHOLE, SEED, "app")
-    v = M.roc_auc(R.resampled(s, w, "query", "app"), ["seed", "app", "replicate"], F.col("label") != 2, "cited", "w", even=True)
-    return v.groupBy("seed", "app").agg(F.count("*").alias("replicates"), F.count("value").alias("usable"))
+def b10_significance(spark: SparkSession, folder: str) -> DataFrame:
+    return _p_values(spark, folder).select("first", "second", (F.col("p_value") < 0.05).alias("significant"))
 
 
 @query(f"""WITH {METRICS}, e AS (SELECT _row_id, query, label, round(avg(cited), 9) AS cited FROM m GROUP BY ALL),
@@ -183,12 +142,22 @@ def b11_seeds_and_ensemble(spark: SparkSession, folder: str) -> DataFrame:
     return M.roc_auc(both, ["system"], F.col("label") != 2, "cited").select("system", F.round("value", 6).alias("value"))
 
 
-@query(f"""WITH {METRICS}, {_FLAGS}, sub AS (SELECT claim_id AS query, unnest(list_filter(['all', CASE WHEN NOT same_passage THEN 'passage_different' END, CASE WHEN NOT same_document THEN 'document_different' END], lambda x: x IS NOT NULL)) AS subset FROM fl),
-    t AS (SELECT subset, m.* FROM m JOIN sub USING (query)), x0 AS (SELECT subset, seed, label, cited, 1 AS w FROM t), x AS (SELECT * FROM x0), a AS {_AUC.format(by='subset, seed')},
-    pv AS (SELECT subset AS first, seed AS second, least(1.0, 2 * abs(value - 0.5)) AS p_value FROM a), {_HOLM.format(f='1')} SELECT first AS subset, second AS seed, round(p_adjusted, 6) AS p_adjusted FROM ho""")
+_FAMILY = f"""WITH {METRICS}, {_FLAGS}, {_draws('m')}, sub AS (SELECT claim_id AS query, unnest(list_filter(['all', CASE WHEN NOT same_passage THEN 'passage_different' END, CASE WHEN NOT same_document THEN 'document_different' END], lambda x: x IS NOT NULL)) AS subset FROM fl),
+    t AS (SELECT subset, m.* FROM m JOIN sub USING (query)), x AS (SELECT 'cited' AS model, subset, seed, replicate, label, cited, w FROM t JOIN ww USING (query) UNION ALL SELECT 'graded', subset, seed, replicate, label, graded, w FROM t JOIN ww USING (query)), v AS {_AUC.format(by='model, subset, seed, replicate')},
+    de AS (SELECT a.model, a.subset, b.seed AS second, b.value - a.value AS delta FROM v a JOIN v b USING (model, subset, replicate) WHERE a.seed = 13 AND b.seed <> 13),
+    pv AS (SELECT model, subset, second, least(1.0, 2 * least((count(*) FILTER (delta <= 0) + 1) / (count(delta) + 1), (count(*) FILTER (delta >= 0) + 1) / (count(delta) + 1))) AS p_value FROM de GROUP BY ALL),
+    hs AS (SELECT *, row_number() OVER (ORDER BY p_value) AS k, count(*) OVER () AS n FROM pv), ho AS (SELECT *, least(1.0, max((n - k + 1) * p_value) OVER (ORDER BY p_value, k ROWS UNBOUNDED PRECEDING)) AS p_adjusted FROM hs)"""
+
+
+@query(f"{_FAMILY} SELECT model, subset, second, round(p_value, 9) AS p_value, round(p_adjusted, 9) AS p_adjusted, p_adjusted < 0.05 AS significant FROM ho")
 def b12_global_family(spark: SparkSession, folder: str) -> DataFrame:
-    """One family over subsets and systems put together."""
-    t = scored_metrics(spark, folder).join(g23_subsets(spark, folder).withColumnRenamed("claim_id", "query"), "query")
-    a = M.roc_auc(t, ["subset", "seed"], F.col("label") != 2, "cited").withColumn("p", F.least(F.lit(1.0), 2 * F.abs(F.col("value") - 0.5)))
-    ordered = a.withColumn("o", F.concat(F.format_string("%03d", "seed"), "subset"))
-    return I.holm(ordered, [], "p", "o").select("subset", "seed", F.round("p_adjusted", 6).alias("p_adjusted"))
+    """One family of twelve tests: two models' scores, three subsets, two contrasts (seeds 42 and 77 against 13), p from the replicates."""
+    s = scored_metrics(spark, folder)
+    w = bootstrap.weight_vectors(R.numbered_queries(s, "query"), "query", REPLICATES, SEED)
+    t = s.join(g23_subsets(spark, folder).withColumnRenamed("claim_id", "query"), "query")
+    models = [t.select(F.lit(m).alias("model"), "subset", "seed", "query", "label", F.col(m).alias("score")) for m in ("cited", "graded")]
+    v = bootstrap.replicate_auc(cut(models[0].unionByName(models[1])), ["model", "subset", "seed"], "query", F.col("label") != 2, "score", w, REPLICATES)
+    pairs = spark.createDataFrame([(13, 42), (13, 77)], "first int, second int")
+    p = I.tail_p(I.contrasts(cut(v), ["model", "subset", "replicate"], "seed", pairs), ["model", "subset", "second"], "delta")
+    ordered = p.withColumn("o", F.concat_ws("|", "model", "subset", "second"))
+    return I.holm(ordered, [], "p_value", "o").select("model", "subset", "second", F.round("p_value", 9).alias("p_value"), F.round("p_adjusted", 9).alias("p_adjusted"), "significant")

@@ -193,14 +193,8 @@ def w04_cumulative_hits(spark: SparkSession, folder: str) -> DataFrame:
     return running(s, ["seed"], [("cited", "desc"), "_row_id"], {"before": "y"}).select("seed", "_row_id", (F.col("before") + F.col("y")).alias("hits"))
 
 
-@query(f"WITH {METRICS} SELECT seed, query, _row_id, rank() OVER (PARTITION BY seed, query ORDER BY p_a DESC) AS rank FROM m WHERE seed = 13")
+@query(f"WITH {METRICS} SELECT seed, query, _row_id, rank() OVER (PARTITION BY seed, query ORDER BY p_a DESC) AS rank FROM m")
 def w05_strict_rank(spark: SparkSession, folder: str) -> DataFrame:
-    return vectors.strict_rank(scored_metrics(spark, folder).where("seed = 13"), "query", "p_a").select("seed", "query", "_row_id", "rank")
-
-
-@query()
-def w05_strict_rank_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    """Each seed's."""
     scores = scored_metrics(spark, folder).select("seed", "query", "_row_id", "p_a", F.struct("seed", "query").alias("of"))
     return vectors.strict_rank(scores, "of", "p_a").select("seed", "query", "_row_id", "rank")
 
@@ -262,17 +256,11 @@ def k04_seeded_scores(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.seeded_scores(table(spark, folder, "test"), "_row_id", 42).select("_row_id", F.round("score", 9).alias("score"))
 
 
-@query(f"WITH q AS (SELECT claim_id AS query, row_number() OVER (ORDER BY claim_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT claim_id FROM test)), d AS (SELECT replicate, (('0x' || substr(md5('42|' || replicate || '|' || i), 1, 12))::UBIGINT % n)::BIGINT AS i FROM q, (SELECT unnest(range(20))::INT AS replicate)) SELECT replicate, query, count(*) AS w FROM d JOIN q USING (i) GROUP BY ALL")
-def k05_bootstrap_draw(spark: SparkSession, folder: str, replicates: int = 20) -> DataFrame:
-    """How often each query is drawn in each replicate: 20, as in the SQL."""
+@query(f"WITH q AS (SELECT claim_id AS query, row_number() OVER (ORDER BY claim_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT claim_id FROM test)), d AS (SELECT replicate, (('0x' || substr(md5('42|' || replicate || '|' || i), 1, 12))::UBIGINT % n)::BIGINT AS i FROM q, (SELECT unnest(range(2000))::INT AS replicate)) SELECT replicate, query, count(*) AS w FROM d JOIN q USING (i) GROUP BY ALL")
+def k05_bootstrap_draw(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each query is drawn in each of 2,000 replicates."""
     q = table(spark, folder, "test").select(F.col("claim_id").alias("query"))
-    return resample.weights(resample.numbered_queries(q, "query"), "query", replicates, 42)
-
-
-@query()
-def k05_bootstrap_draw_2000(spark: SparkSession, folder: str) -> DataFrame:
-    """All replicates."""
-    return k05_bootstrap_draw(spark, folder, 2000)
+    return resample.weights(resample.numbered_queries(q, "query"), "query", 2000, 42)
 
 
 @query("WITH k AS (SELECT DISTINCT claim_id FROM test), n AS (SELECT claim_id, row_number() OVER (ORDER BY md5('42|' || claim_id), claim_id) - 1 AS n, count(*) OVER () AS t FROM k) SELECT claim_id, CASE WHEN n < t // 2 THEN 1 ELSE 2 END AS half FROM n")
@@ -304,14 +292,8 @@ def o03_distinct_of_two(spark: SparkSession, folder: str) -> DataFrame:
 _PREFIX = f"substr({BASE.format('cited_document_id')}, 1, 5) AS prefix"
 
 
-@query(f"SELECT {_PREFIX} FROM train INTERSECT SELECT {_PREFIX} FROM test INTERSECT SELECT {_PREFIX} FROM validation")
-def o04_intersect3(spark: SparkSession, folder: str) -> DataFrame:
-    key = lambda t: table(spark, folder, t).select(F.substring(F.coalesce(base_id("cited_document_id"), F.lit("")), 1, 5).alias("prefix"))
-    return key("train").intersect(key("test")).intersect(key("validation"))
-
-
 @query("SELECT claim_id FROM test WHERE label <> 2 INTERSECT SELECT claim_id FROM test WHERE label = 2 INTERSECT SELECT claim_id FROM generate_random_u")
-def o04_intersect3_claims(spark: SparkSession, folder: str) -> DataFrame:
+def o04_intersect3(spark: SparkSession, folder: str) -> DataFrame:
     """Whole keys: claims with cited, hard and random rows."""
     t = table(spark, folder, "test")
     return t.where("label <> 2").select("claim_id").intersect(t.where("label = 2").select("claim_id")).intersect(table(spark, folder, "generate_random_u").select("claim_id"))

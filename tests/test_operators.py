@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pairlab.operators import audits, candidates, inference, joins, metrics, ranking, resample, schema, vectors
+from pairlab.operators import audits, bootstrap, candidates, inference, joins, metrics, ranking, resample, schema, vectors
 from pairlab.operators.components import components
 from pairlab.plans.sequence import global_running, global_sequence, running
 
@@ -171,6 +171,28 @@ def test_bootstrap_weights(spark):
     assert n.agg(F.sum("w")).first()[0] == 14
 
 
+def test_replicates_by_weight_vectors(spark):
+    """As the relation of resampled rows gives them, with ties over partitions, nulls, and a group with one class."""
+    rows = spark.range(600).select((F.col("id") % 3).cast("int").alias("seed"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("g"), F.col("id") % 2)).alias("bin"), F.concat(F.lit("q"), F.col("id") % 37).alias("query"), F.when(F.col("id") % 101 > 0, F.col("id") % 4).cast("int").alias("label"), F.when(F.col("id") % 97 > 0, F.pmod(F.xxhash64("id"), F.lit(9)) / F.lit(10.0)).alias("score"), F.when(F.col("id") % 2 == 0, 2).otherwise(1).alias("predicted"))
+    rows = rows.unionByName(rows.where("seed = 0 and label <> 2").withColumn("seed", F.lit(7)))
+    numbered = resample.numbered_queries(rows, "query")
+    relation = resample.resampled(rows, resample.weights(numbered, "query", 30, 5), "query")
+    w = bootstrap.weight_vectors(numbered, "query", 30, 5)
+    known = F.col("label").isNotNull()
+    expected = metrics.roc_auc(relation.where(known), ["seed", "bin", "replicate"], F.col("label") != 2, "score", "w").drop("metric")
+    got = bootstrap.replicate_auc(rows, ["seed", "bin"], "query", F.col("label") != 2, "score", w, 30)
+    assert rows_of(got, ["seed", "bin", "replicate", "value"]) == rows_of(expected, ["seed", "bin", "replicate", "value"])
+    f1 = bootstrap.replicate_f1(rows, ["seed"], "query", "label", "predicted", w, 30).select("seed", "replicate", "accuracy", "macro_f1")
+    plain = metrics.accuracy_f1(relation, ["seed", "replicate"], "label", "predicted", weight="w").where("metric in ('accuracy', 'macro_f1')").groupBy("seed", "replicate").pivot("metric").agg(F.first("value"))
+    assert rows_of(f1, ["seed", "replicate", "accuracy", "macro_f1"]) == rows_of(plain, ["seed", "replicate", "accuracy", "macro_f1"])
+    per = rows.groupBy("seed", "query").agg(F.avg("score").alias("v"))
+    mean = bootstrap.replicate_mean(per, ["seed"], "query", "v", w, 30)
+    both = resample.resampled(per, resample.weights(numbered, "query", 30, 5), "query").groupBy("seed", "replicate").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("value"))
+    assert rows_of(mean, ["seed", "replicate", "value"]) == rows_of(both, ["seed", "replicate", "value"])
+    none = rows.limit(0)
+    assert bootstrap.replicate_auc(none, ["seed"], "query", F.col("label") != 2, "score", bootstrap.weight_vectors(resample.numbered_queries(none, "query"), "query", 30, 5), 30).count() == 0
+
+
 def chain_tables(spark):
     """One claim, its application, and documents of which each breaks one rule; D9 breaks none."""
     pairs = [("r1", "c1", "APP1", "D1", "claim", "own passage", 2, "2020-01-01", "t"), ("r2", "c1", "APP1", "D2", "claim", "cited passage", 0, "2020-01-01", "t")]
