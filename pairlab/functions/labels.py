@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .text import normalize_text
 
-#: Class numbers, and words for cited and uncited rows.
-CLASSES = {"a": 0, "x": 1, "u": 2, "0": 0, "1": 1, "2": 2}
+#: Words for cited and uncited rows in a label column, and for uncited ones in a column of candidate types.
 CITED = ("1", "true", "cited", "citation", "positive", "x", "a", "examiner_cited")
-UNCITED = ("0", "false", "u", "hard_u", "random_u", "dense_hard_u", "uncited", "negative")
+UNCITED = ("0", "false", "u", "hard_u", "random_u", "uncited", "negative")
+UNCITED_TYPES = ("u", "hard_u", "random_u", "dense_hard_u", "uncited", "negative")
 TRUE = ("1", "true", "t", "yes", "y")
 
 
@@ -30,12 +30,17 @@ def decode_label(c: Column | str, strict: bool = True) -> Column:
 
 
 def cited(c: Column | str, strict: bool = True) -> Column:
-    """1 for cited, 0 for uncited labels or candidate types; unknown ones are an error, or null."""
+    """1 for cited, 0 for uncited words of a label column; unknown ones are an error, or null if not ``strict``."""
     t = normalize_text(_c(c).cast("string"))
     out = F.when(t.isin(*CITED), 1).when(t.isin(*UNCITED), 0)
     return out.otherwise(_unknown(_c(c)).cast("int")) if strict else out
 
 
+def cited_type(c: Column | str) -> Column:
+    """0 for the candidate types of uncited rows, 1 for all else, null too."""
+    return F.when(normalize_text(_c(c).cast("string")).isin(*UNCITED_TYPES), 0).otherwise(1)
+
+
 def cited_of_class(c: Column | str) -> Column:
     """1 for the classes 0 and 1, 0 for class 2."""
     return (_c(c) != 2).cast("int")

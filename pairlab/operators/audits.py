@@ -93,3 +93,22 @@ def one_anchor(df: DataFrame, query: str, wanted: Column, values: Sequence[str])
     w = F.when(wanted, F.struct(*values))
     agg = df.groupBy(query).agg(F.count_if(wanted).alias("__u"), F.count("*").alias("rows"), F.min(w).alias("__v"))
     return agg.where("__u > 0").select(query, *[F.col(f"__v.{v}").alias(v) for v in values], "rows", (F.col("__u") > 1).alias("several"))
+
+
+def manifest_report(df: DataFrame, by: Sequence[str], query: str, cited: Column, texts: Sequence[str], expected: DataFrame | None = None) -> DataFrame:
+    """For each group of a manifest: ``rows``, ``queries``, ``cited_rows``, ``u_rows`` and ``no_<text>``, rows without a text.
+
+    With ``expected`` (``by`` and the first four columns) also ``valid``: the counts are as expected and no text is missing; a group
+    that only one side has isn't."""
+    q = F.trim(F.col(query).cast("string"))
+    told = df.groupBy(*by).agg(F.count("*").alias("rows"), F.countDistinct(q).alias("queries"), F.count_if(cited == 1).alias("cited_rows"), F.count_if(cited == 0).alias("u_rows"), *[F.count_if(F.col(t).isNull()).alias(f"no_{t}") for t in texts])
+    if expected is None:
+        return told
+    names = ("rows", "queries", "cited_rows", "u_rows")
+    both = told.join(expected.select(*by, *[F.col(c).alias(f"__{c}") for c in names]), list(by), "full")
+    ok = F.lit(True)
+    for c in names:
+        ok = ok & F.coalesce(F.col(c) == F.col(f"__{c}"), F.lit(False))
+    for t in texts:
+        ok = ok & (F.coalesce(F.col(f"no_{t}"), F.lit(1)) == 0)
+    return both.select(*told.columns, ok.alias("valid"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_split, parse_date
 from ..functions.hashing import hex_number
+from ..functions.labels import cited_type
 from ..functions.text import base_id, component, normalize_text
 from ..operators import audits, joins, temporal
 from ..operators import candidates as C
@@ -255,9 +256,17 @@ def g17_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return template.join(both.unionByName(r), ["random", "_row_id"], "left").drop("random")
 
 
-@query("SELECT training_condition, candidate_type, count(*) AS rows, count(DISTINCT query_id) AS queries, count(DISTINCT seed) AS seeds FROM predictions_long GROUP BY ALL")
+@query("""WITH r AS (SELECT _row_id, min(text) AS text, min(text_b) AS text_b FROM generate_random_u GROUP BY 1),
+    m AS (SELECT DISTINCT p.query_id, p.source_row_id, p.candidate_type, coalesce(t.text, r.text) AS query_text, CASE WHEN p.candidate_type = 'random_u' THEN r.text_b ELSE t.text_b END AS passage_text FROM predictions_long p LEFT JOIN test t ON t._row_id = p.source_row_id AND p.candidate_type <> 'random_u' LEFT JOIN r ON r._row_id = p.source_row_id AND p.candidate_type = 'random_u'),
+    e AS (SELECT 'cited' AS candidate_type, count(*) AS n, count(DISTINCT claim_id) AS q FROM test WHERE label <> 2 UNION ALL SELECT 'hard_u', count(*), count(DISTINCT claim_id) FROM test WHERE label = 2 UNION ALL SELECT 'random_u', count(DISTINCT _row_id), count(DISTINCT claim_id) FROM generate_random_u),
+    g AS (SELECT candidate_type, count(*) AS rows, count(DISTINCT trim(query_id)) AS queries, count(*) FILTER (candidate_type = 'cited') AS cited_rows, count(*) FILTER (candidate_type <> 'cited') AS u_rows, count(*) FILTER (query_text IS NULL) AS no_query_text, count(*) FILTER (passage_text IS NULL) AS no_passage_text FROM m GROUP BY 1)
+    SELECT candidate_type, rows, queries, cited_rows, u_rows, no_query_text, no_passage_text, coalesce(rows = n AND queries = q AND no_query_text = 0 AND no_passage_text = 0, false) AS valid FROM g FULL JOIN e USING (candidate_type)""")
 def g18_manifest_checks(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "predictions_long").groupBy("training_condition", "candidate_type").agg(F.count("*").alias("rows"), F.countDistinct("query_id").alias("queries"), F.countDistinct("seed").alias("seeds"))
+    """The manifest of g17 against the rows, queries, cited and uncited rows that its tables have, and without missing texts."""
+    t, r = table(spark, folder, "test"), table(spark, folder, "generate_random_u")
+    count = lambda df, kind, c: df.agg(F.countDistinct("_row_id").alias("rows"), F.countDistinct("claim_id").alias("queries")).select(F.lit(kind).alias("candidate_type"), "rows", "queries", (F.col("rows") * c).alias("cited_rows"), (F.col("rows") * (1 - c)).alias("u_rows"))
+    expected = count(t.where("label <> 2"), "cited", 1).unionByName(count(t.where("label = 2"), "hard_u", 0)).unionByName(count(r, "random_u", 0))
+    return audits.manifest_report(g17_manifest(spark, folder), ["candidate_type"], "query_id", cited_type("candidate_type"), ["query_text", "passage_text"], expected)
 
 
 @query(f"""WITH k AS (SELECT _row_id, label, sha1(sha1({NORM.format('text')}) || '|' || sha1({NORM.format('text_b')})) AS pair FROM train), f AS (SELECT pair, count(DISTINCT label) AS l, min(_row_id) AS first FROM k GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..functions.collections import parse_codes
+from ..functions.collections import parse_codes, parse_references
 from ..functions.dates import parse_date
 from ..functions.text import base_id, normalize_text
 from ..operators import audits, joins, ranking, resample, vectors
@@ -14,7 +14,7 @@ from ..operators.inference import holm
 from ..plans.sequence import global_sequence, running
 from ..sources.tables import load_splits
 from .fixtures import ENSEMBLE, METRICS, ensemble, scored_metrics
-from .fragments import BASE, CODES, DATE, NORM
+from .fragments import BASE, CODES, DATE, NORM, REFERENCES
 from .registry import query, table
 
 _PAIRS3 = "(SELECT 'train' AS split, * FROM train UNION ALL SELECT 'validation', * FROM validation UNION ALL SELECT 'test', * FROM test)"
@@ -111,16 +111,22 @@ def j10_strictly_before(spark: SparkSession, folder: str) -> DataFrame:
 _SHARED = f"""u AS (SELECT app, target, unnest(codes) AS code FROM q2 JOIN dd ON base = app), c AS (SELECT DISTINCT base, pub, unnest(codes) AS code FROM dd), sh AS (SELECT DISTINCT app, base FROM u JOIN c USING (code) WHERE pub < target)"""
 
 
-@query(f"""WITH {_META}, {_QUERIES}, {_SHARED}, cited AS (SELECT {BASE.format('patent_application_id')} AS app, {BASE.format('cited_document_id')} AS base FROM test WHERE label <> 2 UNION SELECT {BASE.format('patent_application_id')}, _u_candidate_base FROM test WHERE label = 2)
-    SELECT app, count(*) AS candidates FROM sh WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE c.app = sh.app AND c.base = sh.base) GROUP BY app""")
+@query(f"""WITH {_META}, {_QUERIES}, {_SHARED}, ro AS (SELECT {BASE.format('patent_application_id')} AS app, {NORM.format('text')} AS q, {BASE.format('cited_document_id')} AS base, label FROM test),
+    rf AS (SELECT coalesce(nullif({BASE.format('base_id')}, ''), {BASE.format('input_id')}) AS app, {REFERENCES.format('reference_bases')} AS refs, row_pos FROM doc_metadata),
+    gone AS (SELECT app, base FROM ro WHERE label <> 2 UNION SELECT x.app, y.base FROM ro x JOIN ro y ON x.q = y.q AND x.label = 2 AND y.label <> 2 UNION SELECT app, unnest(refs) FROM (SELECT app, arg_max(refs, row_pos) AS refs FROM rf GROUP BY app))
+    SELECT app, count(*) AS candidates FROM sh WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.app = sh.app AND g.base = sh.base) GROUP BY app""")
 def j11_exclusion_sets(spark: SparkSession, folder: str) -> DataFrame:
-    """j09's pairs without what the application cites or was given as uncited."""
+    """j09's pairs without what the application cites, what a row with the text of one of its claims cites, and its references."""
     d = _documents(spark, folder)
     apps = _applications(spark, folder).join(d.select(F.col("base").alias("app"), F.col("codes").alias("own_codes")), "app")
     pairs = joins.sharing(apps, "app", "own_codes", d, "base", "codes", F.col("pub") < F.col("target"), unique_ids=True)
-    rows = table(spark, folder, "test").select("label", base_id("patent_application_id").alias("app"), base_id("cited_document_id").alias("doc"), F.col("_u_candidate_base").alias("u"))
-    cited, given = rows.where("label <> 2").select("app", F.col("doc").alias("base")), rows.where("label = 2").select("app", F.col("u").alias("base"))
-    return joins.excluding(pairs, [cited, given], ["app", "base"]).groupBy("app").agg(F.count("*").alias("candidates"))
+    rows = table(spark, folder, "test").select("label", base_id("patent_application_id").alias("app"), F.md5(normalize_text("text")).alias("q"), base_id("cited_document_id").alias("base"))
+    cited = rows.where("label <> 2")
+    by_query = rows.where("label = 2").select("app", "q").distinct().join(cited.select("q", "base").distinct(), "q")
+    m = table(spark, folder, "doc_metadata")
+    base = F.coalesce(F.when(base_id("base_id") != "", base_id("base_id")), base_id("input_id"))
+    refs = joins.last_values(m.select(base.alias("app"), parse_references("reference_bases").alias("refs"), "row_pos"), ["app"], ["refs"], "row_pos").select("app", F.explode("refs").alias("base"))
+    return joins.excluding(pairs, [cited, by_query, refs], ["app", "base"]).groupBy("app").agg(F.count("*").alias("candidates"))
 
 
 @query(f"""SELECT h._row_id AS hard_id, r._row_id AS random_id FROM test h JOIN generate_random_u r ON h.claim_id = r.claim_id AND h.label = 2

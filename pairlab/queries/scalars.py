@@ -33,7 +33,8 @@ columns("f12_parse_collection", "doc_metadata", "row_pos", {"items": (lambda: C.
 columns("f13_parse_codes", "doc_metadata", "row_pos", {"codes": (lambda: C.parse_codes("cpc_subclasses"), CODES.format("cpc_subclasses"))})
 columns("f14_parse_references", "doc_metadata", "row_pos", {"refs": (lambda: C.parse_references("reference_bases"), REFERENCES.format("reference_bases"))})
 columns("f15_label_decode", "train", "_row_id", {"from_number": (lambda: L.decode_label("label"), "label::INT"), "from_name": (lambda: L.decode_label("label_name", strict=False), "CASE lower(trim(label_name)) WHEN 'a' THEN 0 WHEN 'x' THEN 1 WHEN 'u' THEN 2 END")})
-columns("f16_binary_label", "predictions_long", "prediction_row_id", {"cited": (lambda: L.cited("candidate_type"), "CASE WHEN candidate_type = 'cited' THEN 1 ELSE 0 END")})
+columns("f16_binary_label", "train", "_row_id", {"cited": (lambda: L.cited("label_name", strict=False), "CASE WHEN lower(trim(label_name)) IN ('a', 'x') THEN 1 WHEN lower(trim(label_name)) = 'u' THEN 0 END")})
+columns("f16_cited_type", "predictions_long", "prediction_row_id", {"cited": (lambda: L.cited_type("candidate_type"), "CASE WHEN candidate_type IN ('hard_u', 'random_u') THEN 0 ELSE 1 END")})
 columns("f18_parse_bool", "doc_metadata", "row_pos", {"same": (lambda: L.parse_bool(F.when(F.col("status") == "ok", "Yes ").otherwise(F.col("status"))), "coalesce(status = 'ok', false)")})
 columns("f19_hashes", "train", "_row_id", {"sha": (lambda: H.sha256_text(T.normalize_text("text_b")), f"sha256({NORM.format('text_b')})"), "pair": (lambda: H.pair_hash(T.normalize_text("text"), T.normalize_text("text_b")), f"sha1(sha1({NORM.format('text')}) || '|' || sha1({NORM.format('text_b')}))")})
 

@@ -47,6 +47,7 @@ def test_labels(spark):
     with pytest.raises(Exception, match="unknown label"):
         values(spark, L.decode_label("c"), "z")
     assert values(spark, L.cited("c"), "Cited", "hard_u", "A") == [1, 0, 1]
+    assert values(spark, L.cited_type("c"), "Cited", "Dense_Hard_U ", "other", None) == [1, 0, 1, 1]
     assert values(spark, L.parse_bool("c"), "TRUE ", "y", "no", None) == [True, True, False, False]
 
 

@@ -1,5 +1,6 @@
 """Sources, sinks, adapters and the streaming extension."""
 
+import hashlib
 import os
 
 import numpy as np
@@ -15,7 +16,7 @@ def test_csv_round_trip(spark, tmp_path):
     rows = [("a", ' "x", y\nz '), ("b", None), ("c", "\t|,")]
     path = str(tmp_path / "t")
     S.write_csv(spark.createDataFrame(rows, "k string, t string"), path)
-    assert sorted(tuple(r) for r in S.read_csv(spark, path, ["k", "t"]).collect()) == sorted(rows)
+    assert sorted(tuple(r) for r in S.read_csv(spark, path, ["k", "t"], multi_line=True).collect()) == sorted(rows)
 
 
 def test_grid(spark, tmp_path):
@@ -33,10 +34,10 @@ def test_grid(spark, tmp_path):
 def test_files(spark, tmp_path):
     for n in ("a_seed13.npz", "b_seed13.npz"):
         np.savez(tmp_path / n, logits=np.array([[0.0, 1.0], [2.0, -1.0]]))
-    assert S.find_file(str(tmp_path), "A", "seed13").endswith("a_seed13.npz")
+    assert S.find_file(spark, str(tmp_path), "A", "seed13").endswith("a_seed13.npz")
     with pytest.raises(FileNotFoundError):
-        S.find_file(str(tmp_path), "seed13")
-    assert len(S.discover(str(tmp_path), "*.npz", ["b_"])) == 1
+        S.find_file(spark, str(tmp_path), "seed13")
+    assert len(S.discover(spark, str(tmp_path), "*.npz", ["b_"])) == 1
     df = S.read_npz_logits(spark, str(tmp_path / "a_seed13.npz"), classes=2)
     assert [tuple(r) for r in df.orderBy("row_pos").collect()] == [(0, 0.0, 1.0), (1, 2.0, -1.0)]
     with pytest.raises(ValueError):
@@ -57,6 +58,45 @@ def test_cached_and_report(spark, tmp_path):
     assert S.to_report(df).first().json == '{"k":"a","x":null,"y":0.333333}'
 
 
+def test_replacing_a_table(spark, tmp_path):
+    """A writer that fails leaves the old table; one that reads it may replace it."""
+    path = str(tmp_path / "t")
+    S.write_parquet(spark.range(3), path)
+    with pytest.raises(Exception):
+        S.write_parquet(spark.range(5).select(F.raise_error(F.lit("stop")).cast("int").alias("id")), path)
+    assert spark.read.parquet(path).count() == 3
+    S.write_parquet(spark.read.parquet(path).union(spark.range(4)), path)
+    assert spark.read.parquet(path).count() == 7 and [f.name for f in tmp_path.iterdir()] == ["t"]
+
+
+def test_revision_and_content_key(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/a.parquet")
+    pinned = S.revision(spark, str(tmp_path), ["a"])
+    assert S.load_splits(spark, str(tmp_path), ["a"], pinned=pinned).count() == 3
+    df = spark.createDataFrame([(1, "x"), (2, None)], "k int, t string")
+    key = S.content_key(df, ["t"], "k", "model")
+    assert key == S.content_key(df.repartition(3), ["t"], "k", "model") != S.content_key(df.fillna("x"), ["t"], "k", "model")
+    spark.range(4).write.mode("overwrite").parquet(f"{tmp_path}/a.parquet")
+    with pytest.raises(ValueError):
+        S.load_splits(spark, str(tmp_path), ["a"], pinned=pinned)
+    with pytest.raises(ValueError):
+        S.cached(lambda: spark.createDataFrame([(float("nan"),)], "s double"), spark, f"{tmp_path}/c", 1, ["s"])
+    assert S.bridged(spark, "/gone/a.parquet", {"/other": "/x", "/gone": str(tmp_path)}) == f"{tmp_path}/a.parquet"
+    with pytest.raises(FileNotFoundError):
+        S.bridged(spark, "/gone/b.parquet", {"/gone": str(tmp_path)})
+
+
+def test_file_digest(spark, tmp_path):
+    (tmp_path / "f.bin").write_bytes(b"abc" * 4_000_000)
+    row = S.file_hashes(spark, str(tmp_path)).first()
+    assert row.bytes == 12_000_000 and row.sha256 == hashlib.sha256(b"abc" * 4_000_000).hexdigest()
+
+
+def test_inferred_csv(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("a,b\n1,x\n2,\n")
+    assert S.read_csv(spark, f"file://{tmp_path}/f.csv").dtypes == [("a", "int"), ("b", "string")]
+
+
 def test_adapter_halves_batches(spark):
     def load():
         def score(a, b):
