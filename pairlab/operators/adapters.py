@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
+from ..plans.cut import cut
+from .vectors import unit
+
 
 def score_pairs(df: DataFrame, id_col: str, query: str, passage: str, load: Callable[[], Callable[[list[str], list[str]], Sequence[float]]], batch: int = 256) -> DataFrame:
     """``id_col``, ``score``: a model's score of each pair, in batches; null texts count as ''.
@@ -61,7 +66,7 @@ def hashed_terms(size: int):
             m = np.zeros((len(texts), size))
             for i, t in enumerate(texts):
                 for w in re.findall(r"[^\W_]+", t.lower()):
-                    m[i, zlib.crc32(w.encode()) % size] += 1
+                    m[i, int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % size] += 1
             return m
 
         return encode
@@ -82,26 +87,48 @@ def overlap_model():
     return score
 
 
-def train_and_score(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, id_col: str) -> DataFrame:
-    """``id_col``, ``score``: logistic regression trained on all rows of ``train``, applied to ``test``."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def round_bf16(c: Column) -> Column:
+    """A number with 8 significant bits, as a bfloat16 keeps it; ties to even."""
+    step = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(c))) - 7)
+    return F.when(c == 0, F.lit(0.0)).otherwise(F.bround(c / step) * step)
+
+
+def pool_first(states: Column, bf16: bool = False) -> Column:
+    """The first token's state of a list of states (as a model gives them for [CLS]), to unit length; null for a zero state."""
+    first = F.get(states, F.lit(0))
+    first = F.transform(first, lambda x: round_bf16(x.cast("double"))) if bf16 else first
+    return unit(first)
 
-    assemble = VectorAssembler(inputCols=list(features), outputCol="__v")
-    model = LogisticRegression(featuresCol="__v", labelCol=label, maxIter=50, regParam=0.01).fit(assemble.transform(train))
-    return model.transform(assemble.transform(test)).select(id_col, vector_to_array("probability")[1].alias("score"))
 
+def next_token_probability(logits: Column, wanted: int, others: Sequence[int]) -> Column:
+    """The probability of token ``wanted`` among it and ``others``, from a row's next-token logits."""
+    at = lambda i: F.get(logits, F.lit(i)).cast("double")
+    top = F.greatest(*[at(i) for i in (wanted, *others)]) if others else at(wanted)
+    return F.exp(at(wanted) - top) / sum((F.exp(at(i) - top) for i in (wanted, *others)), F.lit(0.0))
 
-def train_text_classifier(train: DataFrame, test: DataFrame, text: str, label: str, id_col: str, keep: Sequence[str] = (), features: int = 1 << 16) -> DataFrame:
-    """``id_col``, kept columns, ``score``: logistic regression on hashed TF-IDF of the words."""
+
+def verbalize(logits: Column, words: dict[str, Sequence[int]]) -> dict[str, Column]:
+    """Probability of each label from next-token logits: a label's score is the summed probability of its words' tokens, and
+    scores are brought to a sum of 1 over the labels."""
+    top = F.array_max(logits).cast("double")
+    mass = {k: sum((F.exp(F.get(logits, F.lit(i)).cast("double") - top) for i in ids), F.lit(0.0)) for k, ids in words.items()}
+    total = sum(mass.values(), F.lit(0.0))
+    return {k: m / total for k, m in mass.items()}
+
+
+def train_text_classifier(train: DataFrame, test: DataFrame, text: Column, label: str, id_col: str, keep: Sequence[str] = (), size: int = 200_000, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Logistic regression on TF-IDF of the words that ``min_df`` training texts have, the ``size`` most frequent of these:
+    ``id_col``, kept columns and ``score`` of the test rows; and ``term``, ``coefficient`` of the vocabulary."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF
+    from pyspark.ml.feature import IDF, CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
-    from ..functions.text import tokens
-
-    steps = [HashingTF(inputCol="__w", outputCol="__tf", numFeatures=features), IDF(inputCol="__tf", outputCol="__v", minDocFreq=2), LogisticRegression(featuresCol="__v", labelCol=label, maxIter=20, regParam=0.01)]
-    words = lambda df: df.withColumn("__w", tokens(text))
-    return Pipeline(stages=steps).fit(words(train)).transform(words(test)).select(id_col, *keep, vector_to_array("probability")[1].alias("score"))
+    steps = [CountVectorizer(inputCol="__w", outputCol="__tf", vocabSize=size, minDF=float(min_df)), IDF(inputCol="__tf", outputCol="__v"), LogisticRegression(featuresCol="__v", labelCol=label, maxIter=20, regParam=0.01)]
+    words = lambda df: df.select(id_col, *{label, *keep}, tokens(text).alias("__w"))
+    held = cut(words(train))
+    model = Pipeline(stages=steps).fit(held)
+    scores = model.transform(words(test)).select(id_col, *keep, vector_to_array("probability")[1].alias("score"))
+    # The vocabulary has a stated size.
+    terms = pd.DataFrame({"term": model.stages[0].vocabulary, "coefficient": model.stages[2].coefficients.toArray()})
+    return scores, train.sparkSession.createDataFrame(terms)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams_1_2, tokens
+from ..plans.cut import cut
 
 
 def text_key(c: Column | str) -> Column:
@@ -29,10 +30,22 @@ def term_counts(df: DataFrame, doc: str, text: str, bigrams: bool = False) -> Da
     return long.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(counts: DataFrame, min_df: int = 2, size: int = 200_000) -> DataFrame:
-    """``term``, ``df``: terms in ``min_df`` documents or more; of these the ``size`` with the most occurrences, then by code points."""
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
-    return stats.orderBy(F.desc("total"), "term").limit(size).select("term", "df")
+def term_statistics(df: DataFrame, text: str, bigrams: bool = False) -> DataFrame:
+    """``term``, ``df`` (rows that have it), ``total`` (its occurrences). A row is a document.
+
+    A document's terms are sorted in its row, so a term's first occurrence shows there and the only shuffle is of sums by term."""
+    toks = tokens(text)
+    rows = df.select(F.sort_array(ngrams_1_2(toks) if bigrams else toks).alias("t"))
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), F.col("t")), F.lit(1), F.size("t"))
+    long = rows.select("t", before.alias("b")).select(F.explode(F.arrays_zip("t", "b")).alias("x"))
+    first = (F.col("x.b").isNull() | (F.col("x.t") != F.col("x.b"))).cast("long")
+    return long.groupBy(F.col("x.t").alias("term")).agg(F.sum(first).alias("df"), F.count("*").alias("total"))
+
+
+def vocabulary(stats: DataFrame, min_df: int = 2, size: int = 200_000) -> DataFrame:
+    """``term``, ``df``, ``total`` (as from term_statistics) of terms in ``min_df`` documents or more; of these the ``size`` with the
+    most occurrences, then by code points."""
+    return stats.where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(size)
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, documents: Column | int) -> DataFrame:
@@ -56,16 +69,17 @@ def pair_dot(pairs: DataFrame, pair: str, a: str, b: str, weights_a: DataFrame,
     return pairs.select(pair).join(common, pair, "left").select(pair, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def bm25(pairs: DataFrame, pair: str, query_terms: DataFrame, doc_terms: DataFrame, train_terms: DataFrame, documents: int, k1: float = 1.5, b: float = 0.75, min_df: int = 2, size: int = 200_000) -> DataFrame:
+def bm25(pairs: DataFrame, pair: str, query_terms: DataFrame, doc_terms: DataFrame, train_stats: DataFrame, documents: int, k1: float = 1.5, b: float = 0.75, min_df: int = 2, size: int = 200_000) -> DataFrame:
     """``pair``, ``score``: BM25 with binary query terms.
 
-    ``query_terms``: pair, term. ``doc_terms``: pair, term, tf. ``train_terms``: doc, term, tf of the passages that give
+    ``query_terms``: pair, term. ``doc_terms``: pair, term, tf. ``train_stats``: term_statistics of the passages that give
     vocabulary (as in vocabulary()), document frequencies and mean length; ``documents`` is their number, empty ones
     included. Lengths count terms of the vocabulary only; idf is ln(1 + (n - df + 0.5) / (df + 0.5)). Pairs
     without a common term score 0.
     """
-    stats = F.broadcast(vocabulary(train_terms, min_df, size))
-    mean = train_terms.join(stats, "term").agg(F.greatest(F.sum("tf") / F.lit(documents), F.lit(1e-12)).alias("__avg"))
+    kept = cut(vocabulary(train_stats, min_df, size))
+    stats = F.broadcast(kept.select("term", "df"))
+    mean = kept.agg(F.greatest(F.sum("total") / F.lit(documents), F.lit(1e-12)).alias("__avg"))
     known = doc_terms.join(stats, "term")
     length = known.groupBy(pair).agg(F.sum("tf").alias("__len"))
     idf = F.log(1 + (F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))

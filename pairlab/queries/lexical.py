@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..functions import probs as P
 from ..functions import text as T
-from ..operators import adapters, joins, vectors
+from ..operators import adapters, joins, training, vectors
 from ..operators import lexical as X
-from .fixtures import SCORED, scored
-from .fragments import TOKENS, UNIFORM
+from ..operators.metrics import accuracy_f1, roc_auc
+from ..plans.cut import cut
+from ..sources.tables import load_splits
+from .fragments import TOKENS
 from .registry import columns, query, table
 
-_YES, _NO = (f"({UNIFORM.format(f'_row_id || {chr(39)}|13|{k}{chr(39)}')} * 4.0::DOUBLE - 2.0::DOUBLE)" for k in (0, 1))
 _BIGRAMS = "list_concat({0}, list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
 
 columns("t01_tokens", "test", "_row_id", {"tokens": (lambda: T.tokens("text_b"), TOKENS.format("text_b"))})
 columns("t02_ngrams", "test", "_row_id", {"terms": (lambda: T.ngrams_1_2(T.tokens("text_b")), _BIGRAMS.format(TOKENS.format("text_b")))})
-columns("t17_text_variants", "test", "_row_id", {"masked": (lambda: T.mask_numbers("text"), "regexp_replace(text, '[0-9]+', '<num>', 'g')"), "content": (lambda: T.content_only("text"), r"trim(regexp_replace(regexp_replace(lower(text), '\([0-9]+[a-z]?\)|[0-9]+', ' ', 'g'), '[^\p{L}\p{N}]+', ' ', 'g'))")})
+_FIELD = {"claim": "coalesce(text, '')", "passage": "coalesce(text_b, '')", "pair": "coalesce(text, '') || ' ' || coalesce(text_b, '')"}
+_VARIANT = {"raw": "{0}", "masked": "regexp_replace({0}, '[0-9]+', '<num>', 'g')", "content": r"trim(regexp_replace(regexp_replace(lower({0}), '\([0-9]+[a-z]?\)|[0-9]+', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"}
+_MAKE = {"raw": lambda c: c, "masked": T.mask_numbers, "content": T.content_only}
+
+
+def _field(name: str) -> Column:
+    claim, passage = F.coalesce("text", F.lit("")), F.coalesce("text_b", F.lit(""))
+    return {"claim": claim, "passage": passage, "pair": F.concat_ws(" ", claim, passage)}[name]
+
+
+columns("t17_text_variants", "test", "_row_id", {f"{f}_{v}": (lambda f=f, v=v: _MAKE[v](_field(f)), _VARIANT[v].format(_FIELD[f])) for f in _FIELD for v in _VARIANT})
 
 _CORPUS = "corpus AS (SELECT coalesce(text, '') AS t FROM train UNION SELECT coalesce(text_b, '') FROM train)"
 _BOTH_GRAMS = "unnest(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]))) AS term"
@@ -31,8 +41,7 @@ _TEST_W = f"""ttoks AS (SELECT d, {TOKENS.format('d')} AS k FROM (SELECT coalesc
 
 def _fit(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int]:
     texts = X.corpus(table(spark, folder, "train"), ["text", "text_b"])
-    counts = X.term_counts(texts, "doc", "text", bigrams=True)
-    return texts, X.vocabulary(counts), texts.count()
+    return texts, X.vocabulary(X.term_statistics(texts, "text", bigrams=True)).select("term", "df"), texts.count()
 
 
 def _weights(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,10 +82,15 @@ def t07_bm25(spark: SparkSession, folder: str) -> DataFrame:
     test = table(spark, folder, "test").select("_row_id", "text", "text_b")
     train = table(spark, folder, "train").select("_row_id", "text_b")
     count = lambda c: X.term_counts(test, "_row_id", c).withColumnRenamed("doc", "_row_id")
-    return X.bm25(test, "_row_id", count("text").select("_row_id", "term"), count("text_b"), X.term_counts(train, "_row_id", "text_b"), train.count()).withColumn("score", F.round("score", 6))
+    return X.bm25(test, "_row_id", count("text").select("_row_id", "term"), count("text_b"), X.term_statistics(train, "text_b"), train.count()).withColumn("score", F.round("score", 6))
 
 
-@query()
+_ALNUM = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_BUCKETS = "list_transform(range(64), lambda b: len(list_filter(list_transform(" + _ALNUM.format("text_b") + ", lambda w: ('0x' || substr(md5(w), 1, 8))::UBIGINT % 64), lambda x: x = b))::DOUBLE)"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT text_b, {_BUCKETS} AS v FROM test WHERE text_b <> ''), u AS (SELECT text_b, list_transform(v, lambda x: round(x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12), 6)) AS vector FROM d)
+    SELECT _row_id, vector FROM test LEFT JOIN u USING (text_b)""")
 def t08_embed_distinct(spark: SparkSession, folder: str) -> DataFrame:
     """Unit vectors of distinct texts from a plugged-in encoder (here hashed terms), joined back to the rows."""
     rows = table(spark, folder, "test").select("_row_id", F.col("text_b").alias("text"))
@@ -91,57 +105,108 @@ def t09_pair_cosine(spark: SparkSession, folder: str) -> DataFrame:
     return e.join(b, "vec_id").select("vec_id", F.round(vectors.cosine("embedding", "next"), 6).alias("cosine"))
 
 
-@query()
+_DA, _DB = (f"list_distinct({_ALNUM.format(f'coalesce({c}, {chr(39)}{chr(39)})')})" for c in ("text", "text_b"))
+
+
+@query(f"SELECT _row_id, round(len(list_intersect({_DA}, {_DB})) / greatest(1, len(list_distinct(list_concat({_DA}, {_DB}))))::DOUBLE, 6) AS score FROM test")
 def t10_pair_scorer(spark: SparkSession, folder: str) -> DataFrame:
     """Pair scores from a plugged-in model (here word overlap) in Arrow batches; T11-T13 plug in alike."""
     return adapters.score_pairs(table(spark, folder, "test"), "_row_id", "text", "text_b", adapters.overlap_model).withColumn("score", F.round("score", 6))
 
 
-@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS pooled FROM e")
-def t11_unit_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Pooled vectors (a model's first-token states) brought to unit length."""
-    return table(spark, folder, "embeddings").select("vec_id", F.transform(vectors.unit("embedding"), lambda x: F.round(x, 6)).alias("pooled"))
+_STEP = "(2.0::DOUBLE ** (floor(log2(abs(x))) - 7))"
+
 
+@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), b AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x / {_STEP}, 0) * {_STEP} END) AS v FROM e) SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 6)) AS pooled FROM b")
+def t11_pooled_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The first of a row's token states (given, here the vector before its own reverse) as bfloat16, brought to unit length."""
+    states = table(spark, folder, "embeddings").select("vec_id", F.array("embedding", F.reverse("embedding")).alias("states"))
+    return states.select("vec_id", F.transform(adapters.pool_first(F.col("states"), bf16=True), lambda x: F.round(x, 6)).alias("pooled"))
 
-@query(f"SELECT _row_id, round(exp({_YES}) / (exp({_YES}) + exp({_NO})), 6) AS p_yes FROM test")
+
+@query("SELECT vec_id, round(exp(embedding[4]::DOUBLE) / (exp(embedding[4]::DOUBLE) + exp(embedding[6]::DOUBLE)), 6) AS p_yes FROM embeddings")
 def t12_yes_no(spark: SparkSession, folder: str) -> DataFrame:
-    """The probability of 'yes' from the next-token logits of 'yes' and 'no' (fixture logits)."""
-    yes, no = (H.uniform("_row_id", F.lit(13), F.lit(k)) * 4.0 - 2.0 for k in (0, 1))
-    return table(spark, folder, "test").select("_row_id", F.round(P.softmax([yes, no])[0], 6).alias("p_yes"))
+    """The probability of 'yes' (token 3) against 'no' (token 5) from rows of next-token logits (given, here the vectors)."""
+    return table(spark, folder, "embeddings").select("vec_id", F.round(adapters.next_token_probability(F.col("embedding"), 3, [5]), 6).alias("p_yes"))
+
+
+#: Tokens of the label words of three prompts: three classes, cited or not, and A or X.
+_WORDS = {"direct": {"a": [3, 10], "x": [5], "u": [7, 20, 33]}, "cited": {"c": [2, 4], "u": [9]}, "which": {"a": [11], "x": [12, 13]}}
 
 
-@query(f"WITH {SCORED} SELECT _row_id, round(avg(p_a / (p_a + p_x + p_u)), 6) AS p_a, round(avg(p_x / (p_a + p_x + p_u)), 6) AS p_x, round(avg(p_u / (p_a + p_x + p_u)), 6) AS p_u FROM scored WHERE p_a + p_x + p_u > 0 GROUP BY 1")
+def _mass(ids: list[int]) -> str:
+    return "(" + " + ".join(f"exp(v[{i + 1}])" for i in ids) + ")"
+
+
+@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) " + " UNION ALL ".join(f"SELECT vec_id, '{p}' AS prompt, '{k}' AS label, round({_mass(ids)} / ({' + '.join(_mass(i) for i in w.values())}), 6) AS probability FROM e" for p, w in _WORDS.items() for k, ids in w.items()))
 def t13_verbalizers(spark: SparkSession, folder: str) -> DataFrame:
-    """Class probabilities from the label words' scores under three prompts (the seeds, here), averaged."""
-    s = scored(spark, folder).where("p_a + p_x + p_u > 0")
-    p = P.renormalized(["p_a", "p_x", "p_u"])
-    return s.groupBy("_row_id").agg(*[F.round(F.avg(c), 6).alias(n) for c, n in zip(p, ("p_a", "p_x", "p_u"))])
+    """Probabilities of the labels from the logits of their words under three prompts; p23 puts the last two together."""
+    e = table(spark, folder, "embeddings")
+    each = [F.struct(F.lit(p).alias("prompt"), F.lit(k).alias("label"), F.round(c, 6).alias("probability")) for p, w in _WORDS.items() for k, c in adapters.verbalize(F.col("embedding"), w).items()]
+    return e.select("vec_id", F.explode(F.array(*each)).alias("x")).select("vec_id", "x.*")
+
+
+_MODELS, _SEEDS = ("lexical", "hashed"), (13, 42, 77)
+
+
+def _task_rows(rows: DataFrame) -> DataFrame:
+    """Rows of each task with their class: cited or not (of claims that have both kinds), X or A, and all three."""
+    cu = joins.owners(rows, "claim_id", F.col("label") == 2).withColumns({"task": F.lit("cited_vs_u"), "y": (F.col("label") != 2).cast("int")})
+    xa = rows.where("label <> 2").withColumns({"task": F.lit("x_vs_a"), "y": F.col("label")})
+    return cu.unionByName(xa, allowMissingColumns=True).unionByName(rows.withColumns({"task": F.lit("three_way"), "y": F.col("label")}), allowMissingColumns=True)
+
+
+def _supervised(spark: SparkSession, folder: str) -> DataFrame:
+    make = lambda t: training.featured(table(spark, folder, t), "text", "text_b", ["_row_id", "claim_id", "label"])
+    fitted = training.train_grid(_task_rows(cut(make("train"))), "task", "y", _MODELS, _SEEDS, "_row_id")
+    test = cut(make("test"))
+    wanted = _task_rows(test).select("task", "_row_id", "y").dropDuplicates(["task", "_row_id"])
+    return training.score_grid(test, fitted, _MODELS, "_row_id").join(wanted, ["task", "_row_id"])
 
 
 @query()
 def t14_supervised(spark: SparkSession, folder: str) -> DataFrame:
-    """A cited-or-not classifier trained on all train rows' lexical features, scored on test."""
-    make = lambda t: table(spark, folder, t).select("_row_id", (F.col("label") != 2).cast("double").alias("y"), *[c.alias(n) for n, c in X.pair_features("text", "text_b").items()])
-    names = list(X.pair_features("text", "text_b"))
-    return adapters.train_and_score(make("train"), make("test"), names, "y", "_row_id").withColumn("score", F.round("score", 4))
+    """ROC-AUC of two tasks, and accuracy and macro-F1 of the third, for two models and three seeds, on all test rows."""
+    s = cut(_supervised(spark, folder))
+    by = ["task", "model", "seed"]
+    auc = roc_auc(s.where("task <> 'three_way'"), by, F.col("y") == 1, F.get("probabilities", F.lit(1)))
+    best = F.array_position("probabilities", F.array_max("probabilities")).cast("int") - 1
+    three = accuracy_f1(s.where("task = 'three_way'").withColumn("best", best), by, "y", "best").where("metric in ('accuracy', 'macro_f1')")
+    return auc.unionByName(three).withColumn("value", F.round("value", 3))
+
+
+@query("""WITH t AS (SELECT 'cited_vs_u' AS task, _row_id FROM test WHERE claim_id IN (SELECT claim_id FROM test WHERE label = 2) UNION SELECT 'x_vs_a', _row_id FROM test WHERE label <> 2 UNION SELECT 'three_way', _row_id FROM test)
+    SELECT task, model, seed, count(*) AS rows, count(*) AS valid FROM t, (SELECT unnest(['lexical', 'hashed']) AS model), (SELECT unnest([13, 42, 77])::INT AS seed) GROUP BY ALL""")
+def t14_scored_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Each test row of a task is scored by each model and seed, and its probabilities make 1."""
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x)
+    valid = (F.abs(total - 1) < 1e-9) & (F.array_min("probabilities") >= 0) & (F.size("probabilities") == F.when(F.col("task") == "three_way", 3).otherwise(2))
+    return _supervised(spark, folder).groupBy("task", "model", "seed").agg(F.count("*").alias("rows"), F.count_if(valid).alias("valid"))
+
+
+def _controlled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Classifiers of two training conditions, with the same cited rows, and their scores of test and random rows."""
+    cols = ["_row_id", "label", "text", "text_b"]
+    train, test, random = (table(spark, folder, t).select(cols) for t in ("train", "test", "generate_random_u"))
+    made = [training.featured(rows.withColumn("task", F.lit(c)).withColumn("y", (F.col("label") != 2).cast("int")), "text", "text_b", ["_row_id", "task", "y"]) for c, rows in (("hard_only", train), ("mixed", train.unionByName(random)))]
+    fitted = cut(training.train_grid(made[0].unionByName(made[1]), "task", "y", ["hashed"], _SEEDS, "_row_id"))
+    kinds = test.withColumn("kind", F.when(F.col("label") == 2, "hard_u").otherwise("cited")).unionByName(random.dropDuplicates(["_row_id"]).withColumn("kind", F.lit("random_u")))
+    rows = cut(training.featured(kinds.withColumn("key", F.concat_ws("|", "kind", "_row_id")).dropDuplicates(["key"]), "text", "text_b", ["key", "kind"]))
+    return fitted, training.score_grid(rows, fitted, ["hashed"], "key").join(rows.select("key", "kind"), "key")
 
 
 @query()
 def t15_controlled_training(spark: SparkSession, folder: str) -> DataFrame:
-    """Two training conditions on the same cited rows, hard uncited rows alone or with random ones, and mean scores by kind of test row.
+    """Mean cited probability by training condition, seed and kind of row: hard uncited rows alone in training, or with random ones."""
+    scores = _controlled(spark, folder)[1]
+    return scores.groupBy(F.col("task").alias("condition"), "seed", "kind").agg(F.round(F.avg(F.get("probabilities", F.lit(1))), 3).alias("mean_score"))
 
-    A linear model on lexical features stands in for the fine-tuned ones."""
-    make = lambda df: df.select("_row_id", (F.col("label") != 2).cast("double").alias("y"), *[c.alias(n) for n, c in X.pair_features("text", "text_b").items()])
-    names = list(X.pair_features("text", "text_b"))
-    cols = ["_row_id", "label", "text", "text_b"]
-    train, random = table(spark, folder, "train").select(cols), table(spark, folder, "generate_random_u").select(cols)
-    test = make(table(spark, folder, "test").select(cols))
-    out = None
-    for condition, rows in (("hard_only", train), ("mixed", train.unionByName(random))):
-        scores = adapters.train_and_score(make(rows), test, names, "y", "_row_id").join(test.select("_row_id", "y"), "_row_id")
-        one = scores.groupBy("y").agg(F.round(F.avg("score"), 3).alias("mean_score")).select(F.lit(condition).alias("condition"), F.col("y").cast("int").alias("cited"), "mean_score")
-        out = one if out is None else out.unionByName(one)
-    return out
+
+@query("""WITH k AS (SELECT CASE WHEN label = 2 THEN 'hard_u' ELSE 'cited' END AS kind, _row_id FROM test UNION SELECT 'random_u', _row_id FROM generate_random_u)
+    SELECT condition, seed, kind, count(*) AS rows FROM k, (SELECT unnest(['hard_only', 'mixed']) AS condition), (SELECT unnest([13, 42, 77])::INT AS seed) GROUP BY ALL""")
+def t15_scored_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row is scored under each condition and seed."""
+    return _controlled(spark, folder)[1].groupBy(F.col("task").alias("condition"), "seed", "kind").agg(F.count("*").alias("rows"))
 
 
 _A, _B = (f"list_distinct({TOKENS.format(c)})" for c in ("text", "text_b"))
@@ -155,18 +220,45 @@ def t16_lexical_features(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "test").select("_row_id", *[F.round(c, 6).alias(n) for n, c in X.pair_features("text", "text_b").items()])
 
 
+def _fold(key: str) -> Column:
+    return H.hex_number(F.md5(key)) % 4 == 0
+
+
+_SIDES = "(SELECT 'train' AS split, _row_id, claim_id, text_b FROM train UNION ALL SELECT 'test', _row_id, claim_id, text_b FROM test)"
+
+
+@query(f"SELECT fold, split, count(*) FILTER (held) AS held, count(*) FILTER (NOT held) AS fitted, count(DISTINCT claim_id) FILTER (held) AS held_claims FROM (SELECT f AS fold, split, claim_id, ('0x' || substr(md5(CASE f WHEN 'random_row' THEN _row_id ELSE claim_id END), 1, 8))::UBIGINT % 4 = 0 AS held FROM {_SIDES}, (SELECT unnest(['random_row', 'whole_claims']) AS f)) GROUP BY ALL")
+def t18_folds(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows held out at random and by whole claims."""
+    rows = load_splits(spark, folder, ["train", "test"], ["_row_id", "claim_id"])
+    out = [rows.withColumn("held", _fold(k)).groupBy("split").agg(F.count_if("held").alias("held"), F.count_if(~F.col("held")).alias("fitted"), F.countDistinct(F.when(F.col("held"), F.col("claim_id"))).alias("held_claims")).withColumn("fold", F.lit(f)) for f, k in (("random_row", "_row_id"), ("whole_claims", "claim_id"))]
+    return out[0].unionByName(out[1])
+
+
+def _told_apart(spark: SparkSession, folder: str, key: str, field: str = "passage", variant: str = "content") -> tuple[DataFrame, DataFrame]:
+    rows = load_splits(spark, folder, ["train", "test"], ["_row_id", "claim_id", "text", "text_b"]).withColumn("y", (F.col("split") == "test").cast("double"))
+    return adapters.train_text_classifier(rows.where(~_fold(key)), rows.where(_fold(key)), _MAKE[variant](_field(field)), "y", "_row_id", ["y"])
+
+
 @query()
 def t18_split_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    """How well train and test can be told apart by their words, with whole claims held out: accuracy and ROC-AUC."""
-    from ..operators.metrics import accuracy_f1, roc_auc
-    from ..sources.tables import load_splits
-
-    rows = load_splits(spark, folder, ["train", "test"], ["_row_id", "claim_id", "text_b"]).withColumn("y", (F.col("split") == "test").cast("double"))
-    held = F.pmod(F.xxhash64("claim_id"), F.lit(4)) == 0
-    scored = adapters.train_text_classifier(rows.where(~held), rows.where(held), "text_b", "y", "_row_id", ["y"])
-    auc = roc_auc(scored, [], F.col("y") == 1, "score")
-    acc = accuracy_f1(scored.withColumn("yy", F.col("y").cast("int")).withColumn("pp", (F.col("score") >= 0.5).cast("int")), [], "yy", "pp", [0, 1]).where("metric = 'accuracy'")
-    return auc.unionByName(acc).withColumn("value", F.round("value", 3))
+    """How well train and test can be told apart by their passages' content words, with rows held out at random and with whole claims
+    held out: accuracy and ROC-AUC. What the first has above the second comes from claims that lie on both sides."""
+    out = None
+    for fold, key in (("random_row", "_row_id"), ("whole_claims", "claim_id")):
+        scored = cut(_told_apart(spark, folder, key)[0])
+        acc = accuracy_f1(scored.select(F.col("y").cast("int").alias("yy"), (F.col("score") >= 0.5).cast("int").alias("pp")), [], "yy", "pp", [0, 1]).where("metric = 'accuracy'")
+        one = roc_auc(scored, [], F.col("y") == 1, "score").unionByName(acc).select(F.lit(fold).alias("fold"), "metric", F.round("value", 3).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def t18_top_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty terms that speak most for either side."""
+    terms = _told_apart(spark, folder, "claim_id")[1]
+    top = lambda side, order: terms.orderBy(order, "term").limit(20).select(F.lit(side).alias("side"), "term", F.round("coefficient", 3).alias("coefficient"))
+    return top("test", F.desc("coefficient")).unionByName(top("train", F.asc("coefficient")))
 
 
 _TASKS = """SELECT 'cited_vs_u' AS task, _row_id, (label <> 2)::INT AS y FROM test WHERE claim_id IN (SELECT claim_id FROM test WHERE label = 2)
