@@ -12,9 +12,9 @@ from ..functions.text import normalize_text
 
 
 def _long(df: DataFrame, split: str, relations: dict[str, Column]) -> DataFrame:
-    """``split``, ``relation``, ``value``: one row for each row and relation; null and '' and rows without a split left out."""
+    """``split``, ``relation``, ``value`` (its MD5, which is what moves): one row for each row and relation; null and '' and rows without a split left out."""
     items = F.array(*[F.struct(F.lit(n).alias("relation"), c.cast("string").alias("value")) for n, c in relations.items()])
-    return df.select(F.col(split).alias("split"), F.explode(items).alias("__x")).select("split", "__x.relation", "__x.value").where("value <> '' and split is not null")
+    return df.select(F.col(split).alias("split"), F.explode(items).alias("__x")).select("split", "__x.relation", "__x.value").where("value <> '' and split is not null").withColumn("value", F.unhex(F.md5("value")))
 
 
 def _split_counts(df: DataFrame, split: str, relations: dict[str, Column]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,5 +13,5 @@ from .registry import query, table
 def x01_stream_daily_counts(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
     stream = read_events(spark, f"{folder}/events.parquet*", schema, "ts")
-    out = run_once(windowed_counts(stream, "ts", "event_type", "value"), f"daily_{uuid.uuid4().hex}")
+    out = run_once(windowed_counts(stream, "ts", "event_type", "value"), "daily")
     return out.select(F.col("window.start").cast("date").alias("day"), "event_type", "rows", F.round("total", 4).alias("total"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.cut import scratch
+
 
 def read_events(spark: SparkSession, path: str, schema: T.StructType, time: str) -> DataFrame:
     """A stream of the Parquet files that appear below ``path``, with ``time`` as a timestamp that watermarks accept."""
@@ -23,8 +25,19 @@ def first_seen(stream: DataFrame, time: str, key: str, late: str = "2 days") ->
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and returns the result; for tests and small reports."""
+    """Runs a stream over what is there and returns the result: the last state in complete mode, else all rows appended.
+
+    State and results lie in the shared checkpoint folder, so a lost executor or a stopped driver costs at most a batch."""
     spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    path = scratch(spark, name)
+    batches = []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        batches.append(f"{path}/batch-{number}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(save).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.parquet(*(batches[-1:] if mode == "complete" else batches))
