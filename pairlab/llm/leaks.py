@@ -209,7 +209,7 @@ class SeedFilter:
 
     @staticmethod
     def places(seeds: np.ndarray, k: int, bits: int) -> np.ndarray:
-        return mix(seeds + U64(0x9E3779B97F4A7C15) * U64(k + 1)) >> U64(64 - bits)
+        return mix(seeds + U64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) >> U64(64 - bits)
 
     def passing(self, seeds: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Those of the positions ``at`` whose seed may be an item's."""
