@@ -57,17 +57,19 @@ def count_best(scores: DataFrame, query: str, score: str, atol: float = 1e-8) ->
     return scores.join(best, query).groupBy(query).agg(F.count_if(F.abs(F.col("__b") - F.col(score)) <= atol).alias("ties"))
 
 
-def nearest(queries: DataFrame, query_id: str, query_vector: str, corpus: DataFrame, corpus_id: str, vector: str, block: int = 2048) -> DataFrame:
+def nearest(queries: DataFrame, query_id: str, query_vector: str, corpus: DataFrame, corpus_id: str, vector: str, block: int = 2048, within: str | None = None, digits: int = 9) -> DataFrame:
     """``query_id``, ``corpus_id``, ``similarity``: the most similar row of the corpus for each query row (not itself), the least id on ties.
 
-    Exact. The stated query set is taken in blocks of ``block`` rows, gathered one block at a time
+    Exact; similarities are compared after rounding to ``digits``. With ``within``, a column of both tables, only rows with the same value
+    count (a null has none). The stated query set is taken in blocks of ``block`` rows, gathered one block at a time
     as a matrix; each block is one scan of the corpus, whose tasks return one best row for each query.
     Null and zero vectors are left out.
     """
     spark = queries.sparkSession
     kind = dict(corpus.dtypes)[corpus_id]
-    rows = corpus.select(F.col(corpus_id).alias("c"), F.col(vector).alias("v")).where("c is not null and v is not null")
-    stated = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).where("q is not null and v is not null")
+    group = lambda: (F.col(within) if within else F.lit(0)).cast("string").alias("g")
+    rows = corpus.select(F.col(corpus_id).alias("c"), F.col(vector).alias("v"), group()).where("c is not null and v is not null and g is not null")
+    stated = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"), group()).where("q is not null and v is not null and g is not null")
     blocks = max(1, -(-stated.count() // block))
     numbered = stated.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks)))
     out = None
@@ -75,32 +77,33 @@ def nearest(queries: DataFrame, query_id: str, query_vector: str, corpus: DataFr
         part = numbered.where(F.col("b") == b).toPandas()
         if not len(part):
             continue
-        ids, matrix = part["q"].to_numpy(), np.array(part["v"].tolist(), dtype=np.float64)
+        ids, of, matrix = part["q"].to_numpy(), part["g"].to_numpy(), np.array(part["v"].tolist(), dtype=np.float64)
         size = np.linalg.norm(matrix, axis=1)
-        ids, matrix = ids[size > 0], matrix[size > 0] / size[size > 0, None]
-        shared = spark.sparkContext.broadcast((ids, matrix))
+        ids, of, matrix = ids[size > 0], of[size > 0], matrix[size > 0] / size[size > 0, None]
+        shared = spark.sparkContext.broadcast((ids, of, matrix))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            best, who = np.full(len(ids), -np.inf), [None] * len(ids)
+            ids, of, matrix = shared.value
+            best, who = np.full(len(ids), -np.inf), None
             for b in batches:
-                c = b["c"].to_numpy()
+                c, g = b["c"].to_numpy(), b["g"].to_numpy()
                 m = np.array(b["v"].tolist(), dtype=np.float64)
                 n = np.linalg.norm(m, axis=1)
-                c, m = c[n > 0], m[n > 0] / n[n > 0, None]
+                c, g, m = c[n > 0], g[n > 0], m[n > 0] / n[n > 0, None]
                 if not len(c):
                     continue
                 order = np.argsort(c, kind="stable")
-                c, m = c[order], m[order]
-                s = np.round(matrix @ m.T, 9)
-                s[ids[:, None] == c[None, :]] = -np.inf
+                c, g, m = c[order], g[order], m[order]
+                s = np.round(matrix @ m.T, digits)
+                s[(ids[:, None] == c[None, :]) | (of[:, None] != g[None, :])] = -np.inf
                 top = s.argmax(axis=1)
-                for i, j in enumerate(top):
-                    v = s[i, j]
-                    if v > best[i] or (v == best[i] and np.isfinite(v) and c[j] < who[i]):
-                        best[i], who[i] = v, c[j]
-            keep = [i for i in range(len(ids)) if who[i] is not None]
-            yield pd.DataFrame({"q": ids[keep], "c": [who[i] for i in keep], "s": best[keep]})
+                v, w = s[np.arange(len(ids)), top], c[top]
+                who = w if who is None else who
+                better = (v > best) | ((v == best) & (w < who))
+                best, who = np.where(better, v, best), np.where(better, w, who)
+            keep = np.isfinite(best)
+            if keep.any():
+                yield pd.DataFrame({"q": ids[keep], "c": who[keep], "s": best[keep]})
 
         found = rows.mapInPandas(scan, f"q {dict(stated.dtypes)['q']}, c {kind}, s double")
         out = found if out is None else out.unionByName(found)

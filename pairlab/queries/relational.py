@@ -240,9 +240,8 @@ def w10_running_max(spark: SparkSession, folder: str) -> DataFrame:
     SELECT query, candidate, score FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, candidate) = 1""")
 def k01_top1_cosine(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
-    a, b = e.where("vec_id % 100 = 0").select("label", F.col("vec_id").alias("query"), F.col("embedding").alias("x")), e.select("label", F.col("vec_id").alias("candidate"), F.col("embedding").alias("y"))
-    scores = a.join(b, "label").where("query <> candidate").select("query", "candidate", F.round(vectors.cosine("x", "y"), 6).alias("score"))
-    return vectors.best_by_query(scores, "query", "candidate", "score")
+    best = vectors.nearest(e.where("vec_id % 100 = 0"), "vec_id", "embedding", e, "vec_id", "embedding", within="label", digits=6)
+    return best.select(F.col("query_id").alias("query"), F.col("corpus_id").alias("candidate"), F.col("similarity").alias("score"))
 
 
 @query("SELECT _row_id, (('0x' || substr(sha256('42|test|' || patent_application_id || '|' || claim_id), 1, 16))::UBIGINT % (label + 107))::BIGINT AS chosen FROM test WHERE patent_application_id IS NOT NULL")

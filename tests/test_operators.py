@@ -159,6 +159,8 @@ def test_vectors(spark):
     got = {r.query_id: (r.corpus_id, r.similarity) for r in vectors.nearest(df, "i", "v", df, "i", "v", block=2).collect()}
     assert got == {1: (4, 1.0), 4: (1, 1.0), 5: (1, 1.0)}
     assert vectors.nearest(df.limit(0), "i", "v", df, "i", "v").count() == 0
+    near = df.withColumn("g", F.when(F.col("i") == 5, "b").when(F.col("i") < 5, "a"))
+    assert {r.query_id: r.corpus_id for r in vectors.nearest(near, "i", "v", near, "i", "v", within="g").collect()} == {1: 4, 4: 1}
     best = spark.createDataFrame([("q", 2, 0.5), ("q", 1, 0.5), ("q", 3, 0.4)], "q string, c int, s double")
     assert tuple(vectors.best_by_query(best, "q", "c", "s").first()) == ("q", 1, 0.5)
 
