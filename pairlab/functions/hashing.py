@@ -31,7 +31,11 @@ def uniform(*parts: Column | str, grid: int = 1000) -> Column:
 
 def choice(n: Column | str, *parts: Column) -> Column:
     """BIGINT below ``n`` (null where it is 0): the first 16 hex digits of a SHA-256 of the parts, with bars between them, modulo ``n``."""
-    digest = F.sha2(F.concat_ws("|", *parts), 256)
+    return drawn(n, F.sha2(F.concat_ws("|", *parts), 256))
+
+
+def drawn(n: Column | str, digest: Column) -> Column:
+    """BIGINT below ``n`` (null where it is 0): the first 16 hex digits of a digest modulo ``n``."""
     number = F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
     return F.when(_c(n) > 0, (number % _c(n)).cast("long"))
 
