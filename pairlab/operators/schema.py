@@ -61,6 +61,15 @@ def alias_table(meta: DataFrame, id_col: str, base_col: str, order: str) -> Data
     return both.groupBy("alias").agg(F.max_by("target", "o").alias("target"))
 
 
+def resolved(exact: DataFrame, meta: DataFrame, meta_id: str, meta_base: str, order: str) -> DataFrame:
+    """``exact`` (normalized spellings, distinct) with ``target``, as resolve_ids finds it: ids move here, not the rows that have them."""
+    aliases = alias_table(meta, meta_id, meta_base, order)
+    first = aliases.select(F.col("alias").alias("exact"), F.col("target").alias("__t1"))
+    second = aliases.select(F.col("alias").alias("__base"), F.col("target").alias("__t2"))
+    joined = exact.withColumn("__base", base_id("exact")).join(first, "exact", "left").join(second, "__base", "left")
+    return joined.select("exact", F.coalesce("__t1", "__t2", "__base").alias("target"))
+
+
 def resolve_ids(df: DataFrame, id_col: str, meta: DataFrame, meta_id: str, meta_base: str, order: str, name: str) -> DataFrame:
     """``df`` with ``name``: the base of ``id_col`` by its alias, else by its base form's alias, else its base form.
 

@@ -92,3 +92,43 @@ def test_no_pairs_in_the_plan(name, spark, sf):
     """Nothing is exploded to pairs of target and candidate."""
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" not in plan
+
+
+def shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {str(p) for d in dirs for p in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    df = spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count()
+    one = candidates.cut(df)
+    assert not shuffle_files(spark) - before
+    assert one.count() == 1000 and df.count() == 1000 and one.join(df, "k").count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_items_of_a_common_barred_document_are_found_once():
+    """Documents 1 and 2 have a third of 3,000 items each; what they bar is kept, and other barred properties are taken off once."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    days, have = [r.randrange(100) for _ in range(3000)], [[100 + i % 2, 1 + i % 3, 1000 + i // 2] for i in range(3000)]
+    block = eligible._Block(pa.table({"cand": pa.array(range(3000), pa.int64()), "day": days, "properties": have}))
+    near = eligible._Near(block, [100])
+    for day, bar in ((50, [1]), (60, [1]), (70, [1, 1003]), (70, [1003, 1004, 7]), (80, [1, 2, 1001, 1200]), (90, [])):
+        own = [i for i in range(0, 3000, 2) if days[i] < day and not set(bar) & set(have[i])]
+        assert near.count(day, bar) == len(own)
+        assert near.block.cand[near.places[np.flatnonzero(near.opened(day, bar))]].tolist() == own
+    assert len(near._common) == 2
+
+
+def test_no_text_moves_with_the_rows(spark, sf):
+    """Texts of uncited rows were carried through the joins for their draws; ids are resolved apart from the rows."""
+    from pairlab.queries.composites import _chain
+
+    chain = _chain(spark, sf)
+    assert "draw" not in chain.prep.columns + chain.targets.columns
+    plan = candidates.prepared(chain.pairs, spark.read.parquet(f"{sf}/doc_metadata.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2
