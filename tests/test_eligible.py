@@ -132,3 +132,14 @@ def test_no_text_moves_with_the_rows(spark, sf):
     assert "draw" not in chain.prep.columns + chain.targets.columns
     plan = candidates.prepared(chain.pairs, spark.read.parquet(f"{sf}/doc_metadata.parquet"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 2
+
+
+def test_equal_vectors_of_a_block_are_scored_once():
+    """3,000 items with 20 vectors: 20 are kept, and each item's is among them."""
+    import numpy as np
+    import pyarrow as pa
+
+    given = [None if i % 20 == 7 else [float(i % 20), 1.0][: 1 + i % 2] for i in range(3000)]
+    block = eligible._Block(pa.table({"cand": pa.array(range(3000), pa.int64()), "day": [0] * 3000, "properties": [[1]] * 3000, "vector": pa.array(given, pa.list_(pa.float64()))}))
+    assert block.vectors.shape == (20, 2)
+    assert all(block.sizes[k] == (-1 if v is None else len(v)) and (v is None or block.vectors[k][: len(v)].tolist() == v) for k, v in zip(np.ravel(block.of), given))
