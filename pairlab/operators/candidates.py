@@ -128,28 +128,39 @@ def random_candidates(target: DataFrame, cands: DataFrame, chosen: DataFrame, pa
 
 def violations(random: DataFrame, target: DataFrame, prep: DataFrame, docs: DataFrame) -> DataFrame:
     """``split``, ``check``, ``count``: eight rules, derived again from output rows (``split``, ``claim_id``, ``candidate_base`` and ``text_b``
-    or its digest ``text_key``)."""
+    or its digest ``text_key``). With a column ``source`` they are counted for each, in the same joins.
+
+    Whatever a join decides is told at once: lists of codes and references don't move on to the next."""
     key = F.col("text_key") if "text_key" in random.columns else F.md5("text_b")
+    by = [c for c in ("source", "split") if c in random.columns]
+    yes = lambda c: F.coalesce(c, F.lit(False))
     t = target.select("split", "claim_id", "app", "hard_doc", "q", "passage", "target", "target_codes", "target_refs", "target_component")
     d = docs.select(F.col("base").alias("candidate_base"), "pub", "codes")
     cited = prep.where("label <> 2").select("split", "claim_id", "app", F.col("doc").alias("candidate_base"), F.col("passage").alias("key"), "own_component")
     comps = cited.groupBy("split", "candidate_base", "key").agg(F.collect_set("own_component").alias("components"))
     by_claim = cited.select("split", "claim_id", "candidate_base", F.lit(True).alias("cited")).distinct()
     by_app = cited.select("split", "app", "candidate_base", F.lit(True).alias("cited_app")).distinct()
-    r = random.select("split", "claim_id", "candidate_base", key.alias("key")).join(t, ["split", "claim_id"]).join(d, "candidate_base", "left").join(comps, ["split", "candidate_base", "key"], "left").join(by_claim, ["split", "claim_id", "candidate_base"], "left").join(by_app, ["split", "app", "candidate_base"], "left")
-    yes = lambda c: F.coalesce(c, F.lit(False))
+    rows = [*by, "claim_id", "app", "candidate_base", "q", "key"]
+    r = random.select(*by, "claim_id", "candidate_base", key.alias("key")).join(t, ["split", "claim_id"])
+    same = (F.col("key") == F.col("passage")).alias("same_passage"), (F.col("candidate_base") == F.col("hard_doc")).alias("same_document"), yes(F.array_contains("target_refs", F.col("candidate_base"))).alias("referenced")
+    r = r.select(*rows, *same, "target", "target_codes", "target_component").join(d, "candidate_base", "left")
+    told = ["same_passage", "same_document", "referenced"]
+    r = r.select(*rows, *told, (~yes(F.col("pub") < F.col("target"))).alias("late"), (~yes(F.arrays_overlap("codes", "target_codes"))).alias("no_code"), "target_component").join(comps, ["split", "candidate_base", "key"], "left")
+    told += ["late", "no_code"]
+    r = r.select(*rows, *told, yes(F.array_contains("components", F.col("target_component"))).alias("same_component"))
+    r = r.join(by_claim, ["split", "claim_id", "candidate_base"], "left").join(by_app, ["split", "app", "candidate_base"], "left")
     counts = (
         F.count("*") - F.countDistinct("q"),
         F.count("*") - F.countDistinct("q", "key"),
-        F.count_if(F.col("key") == F.col("passage")),
-        F.count_if(F.col("candidate_base") == F.col("hard_doc")),
-        F.count_if(yes(F.col("cited")) | yes(F.col("cited_app")) | yes(F.array_contains("target_refs", F.col("candidate_base")))),
-        F.count_if(~yes(F.col("pub") < F.col("target"))),
-        F.count_if(~yes(F.arrays_overlap("codes", "target_codes"))),
-        F.count_if(yes(F.array_contains("components", F.col("target_component")))),
+        F.count_if("same_passage"),
+        F.count_if("same_document"),
+        F.count_if(yes(F.col("cited")) | yes(F.col("cited_app")) | F.col("referenced")),
+        F.count_if("late"),
+        F.count_if("no_code"),
+        F.count_if("same_component"),
     )
-    agg = r.groupBy("split").agg(*[c.alias(n) for n, c in zip(CHECKS, counts)])
-    return agg.select("split", F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("count")) for c in CHECKS])).alias("x")).select("split", "x.check", "x.count")
+    agg = r.groupBy(*by).agg(*[c.alias(n) for n, c in zip(CHECKS, counts)])
+    return agg.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("count")) for c in CHECKS])).alias("x")).select(*by, "x.check", "x.count")
 
 
 def pool_summary(target: DataFrame, sizes: DataFrame) -> DataFrame:

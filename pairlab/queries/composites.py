@@ -127,8 +127,8 @@ def g07_violations(spark: SparkSession, folder: str) -> DataFrame:
     c = _chain(spark, folder)
     given = table(spark, folder, "generate_random_u").select("claim_id", F.coalesce("_u_candidate_base", "cited_document_id").alias("id"), normalize_text("text_b").alias("text_b"), F.lit("test").alias("split"))
     given = resolve_ids(given, "id", table(spark, folder, "doc_metadata"), "input_id", "base_id", "row_pos", "candidate_base")
-    audit = lambda rows, name: C.violations(rows, c.targets, c.prep, c.docs).select(F.lit(name).alias("source"), "*")
-    return audit(c.picked(), "generated").unionByName(audit(given, "table"))
+    both = c.picked().withColumn("source", F.lit("generated")).unionByName(given.select("split", "claim_id", "candidate_base", F.md5("text_b").alias("text_key"), F.lit("table").alias("source")))
+    return C.violations(both, c.targets, c.prep, c.docs)
 
 
 _REL = {"query": NORM.format("text"), "passage": NORM.format("text_b"), "document": BASE.format("cited_document_id"), "application": BASE.format("patent_application_id"), **{c.strip("_"): f"trim({c})" for c in ("_component_id", "_supercomponent_id", "_priority_component_id")}}

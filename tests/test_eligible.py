@@ -143,3 +143,19 @@ def test_equal_vectors_of_a_block_are_scored_once():
     block = eligible._Block(pa.table({"cand": pa.array(range(3000), pa.int64()), "day": [0] * 3000, "properties": [[1]] * 3000, "vector": pa.array(given, pa.list_(pa.float64()))}))
     assert block.vectors.shape == (20, 2)
     assert all(block.sizes[k] == (-1 if v is None else len(v)) and (v is None or block.vectors[k][: len(v)].tolist() == v) for k, v in zip(np.ravel(block.of), given))
+
+
+def test_audit_of_two_sources_in_one_pass(spark, sf):
+    """Each source was joined by itself, and lists of references and codes moved through every join."""
+    from pairlab.queries.composites import _chain
+
+    chain = _chain(spark, sf)
+    rows = chain.picked()
+    both = rows.withColumn("source", F.lit("a")).unionByName(rows.where("claim_id > 'EP005'").withColumn("source", F.lit("b")))
+    of = lambda r: {(x["split"], x["check"]): x["count"] for x in candidates.violations(r, chain.targets, chain.prep, chain.docs).collect()}
+    got = candidates.violations(both, chain.targets, chain.prep, chain.docs)
+    told = {n: {(x["split"], x["check"]): x["count"] for x in got.where(F.col("source") == n).collect()} for n in "ab"}
+    assert told == {"a": of(rows), "b": of(rows.where("claim_id > 'EP005'"))}
+    plan = QUERIES["g07_violations"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    # Five of the audit, three before it; two passes had thirteen.
+    assert plan.count("Join") == 8
