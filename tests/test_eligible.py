@@ -159,3 +159,23 @@ def test_audit_of_two_sources_in_one_pass(spark, sf):
     plan = QUERIES["g07_violations"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     # Five of the audit, three before it; two passes had thirteen.
     assert plan.count("Join") == 8
+
+
+def test_a_block_is_made_in_little_memory():
+    """200,000 items of ten properties: 16 MB of them. Sorting copies again took 5.75 times that beside the table, this takes 3."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n, k = 200_000, 10
+    have = np.random.default_rng(3).integers(0, 50_000, n * k)
+    t = pa.table({"cand": pa.array(np.arange(n)), "day": pa.array(np.zeros(n, dtype=np.int32)), "properties": pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.array(have))})
+    tracemalloc.start()
+    block = eligible._Block(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * have.nbytes
+    assert block.properties.tolist() == np.unique(have).tolist() and block.starts[-1] == n * k
+    for p in (0, 777, 49_999):
+        assert sorted(block.having([p]).tolist()) == sorted(np.flatnonzero(have == p) // k)
