@@ -4,6 +4,7 @@ import random
 import re
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +180,39 @@ def test_a_block_is_made_in_little_memory():
     assert block.properties.tolist() == np.unique(have).tolist() and block.starts[-1] == n * k
     for p in (0, 777, 49_999):
         assert sorted(block.having([p]).tolist()) == sorted(np.flatnonzero(have == p) // k)
+
+
+@pytest.mark.parametrize("row, pairs", [(1, 1), (20, 30), (1 << 13, 1 << 20)])
+@pytest.mark.parametrize("targets, items", [(1, 9), (5, 200), (8, 300), (61, 300), (200, 40)])
+def test_shared_rows_stand_for_each_pair_once(monkeypatch, row, pairs, targets, items):
+    monkeypatch.setattr(eligible, "_ROW", row)
+    monkeypatch.setattr(eligible, "_PAIRS", pairs)
+    r = np.random.default_rng(targets)
+    kinds = r.random((6, targets)) < np.array([1, 1, 0.9, 0.5, 0.05, 0])[:, None]
+    ok = kinds[r.integers(0, 6, items)] ^ (r.random((items, targets)) < 0.002)
+    cand = np.sort(r.choice(10_000, items, replace=False))
+    bits = np.packbits(ok.T, axis=0)
+    got = []
+    for (ends, claims), (to, cands) in eligible._shared(bits, cand):
+        assert len(ends) == len(to) and ends[-1] == len(claims) and to[-1] == len(cands)
+        for k in range(len(ends) - 1):
+            mine, of = claims[ends[k] : ends[k + 1]], cands[to[k] : to[k + 1]]
+            assert len(mine) and len(of) and (len(mine) * len(of) <= row or len(of) == 1)
+            got += [(int(t), int(c)) for t in mine for c in of]
+    assert sorted(got) == sorted((t, int(cand[i])) for i, t in np.argwhere(ok))
+    assert not list(eligible._shared(bits * 0, cand))
+
+
+def test_pairs_are_small_on_disk(spark, tmp_path):
+    """1.2 million pairs of 300 targets with 5,000 items, a few of them barred: one target's items after another's took about two bytes a pair."""
+    r = random.Random(5)
+    it = spark.createDataFrame([("s", i, f"20{r.randrange(10, 20)}-01-01", ["H" if i % 9 else "A"], f"d{i % 500}") for i in range(5000)], "split string, cand long, pub string, codes array<string>, doc string").withColumn("pub", F.to_date("pub"))
+    targets = [("s", f"EP{i:08}_c1", f"20{r.randrange(18, 21)}-02-01", ["H"] if i % 4 else ["A", "H"], [f"d{r.randrange(500)}"]) for i in range(300)]
+    tg = spark.createDataFrame(targets, "split string, claim_id string, target string, codes array<string>, bar array<string>").withColumn("target", F.to_date("target"))
+    index, numbers = eligible.numbered(it, [F.col("codes"), F.array("doc")])
+    asked = eligible.asked(tg, "codes", 0, tg.select("split", "claim_id", F.lit(1).alias("kind"), F.explode("bar").alias("value")), numbers)
+    eligible.pairs(asked, index).write.parquet(out := str(tmp_path / "pairs"))
+    found = spark.read.parquet(out)
+    n = found.count()
+    assert n == eligible.counts(asked, index).agg(F.sum("n")).first()[0] == found.distinct().count() > 1_000_000
+    assert rows_written(spark, out) < 0.7 * n
